@@ -44,7 +44,18 @@ class Explainer:
     width: int
 
 
+_explainers: dict[str, Explainer] = {}
+
+
 def explainer(model: FraudModel) -> Explainer:
+    """The explainer of a model, built once per trained model."""
+    uid = model.classifier.uid
+    if uid not in _explainers:
+        _explainers[uid] = _build(model)
+    return _explainers[uid]
+
+
+def _build(model: FraudModel) -> Explainer:
     """Read the node table of a trained model: at most trees x 2^(depth+1) rows."""
     spark = SparkSession.getActiveSession()
     path = new_dir(spark, "trees")

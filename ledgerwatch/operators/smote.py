@@ -13,6 +13,7 @@ from ledgerwatch.operators.neighbors import self_knn
 from ledgerwatch.operators.sampling import smallest_by_hash
 
 NEIGHBORS = 5
+COPIES_PER_TASK = 100_000
 
 
 def minority_points(df: DataFrame, key: str, features: Sequence[str], label: str = S.LABEL) -> DataFrame:
@@ -54,17 +55,22 @@ def synthetic_rows(
 
     points = minority_points(df, key, features, label).withColumn("_one", F.lit(1))
     extra = smallest_by_hash(points, {1: rest}, "_one", "id", seed)
-    copies = points.select("id", (F.lit(each) + extra.cast("int")).alias("copies"), "vector")
+    copies = points.select("id", (F.lit(each).cast("long") + extra.cast("int")).alias("copies"), "vector")
     near = (
         smote_neighbors(df, key, features, k, label, **layout)
         .groupBy(F.col("query_id").alias("id"))
         .agg(F.sort_array(F.collect_list(F.struct("rank", "vector"))).alias("near"))  # at most k entries
     )
-    made = (
+    # a row with very many copies makes them in pieces, on as many tasks
+    pieces = (
         copies.where("copies > 0")
         .join(near, "id")
-        .withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
-        .withColumn("_key", F.concat_ws("/", "id", "copy"))
+        .withColumn("_first", F.explode(F.expr(f"sequence(1L, greatest(copies, 1L), {COPIES_PER_TASK}L)")))
+        .repartition("id", "_first")
+    )
+    last = f"least(greatest(copies, 1L), _first + {COPIES_PER_TASK - 1})"
+    made = pieces.withColumn("copy", F.explode(F.expr(f"sequence(_first, {last})"))).withColumn(
+        "_key", F.concat_ws("/", "id", "copy")
     )
     pick = F.pmod(C.hash_key("_key", seed), F.size("near")) + 1
     made = made.withColumns(
@@ -83,7 +89,7 @@ def smote(df: DataFrame, key: str, features: Sequence[str], label: str = S.LABEL
     """The rows of ``df`` followed by the synthetic ones, marked ``is_synthetic``."""
     original = df.select(
         F.col(key).cast("long").alias("base_key"),
-        F.lit(0).alias("copy"),
+        F.lit(0).cast("long").alias("copy"),
         *[F.col(c).cast("float").alias(c) for c in features],
         F.col(label).cast("byte").alias(label),
         F.lit(False).alias("is_synthetic"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions import columns as C
 
-SLICE_ROWS = 2_000_000
+SLICE_ROWS = 4_000_000
 
 
 def add_velocity(

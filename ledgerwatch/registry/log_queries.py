@@ -199,17 +199,19 @@ def validate_transactions(spark, sf_dir):
 
 @query(
     "default_velocity",
-    from_tx(
-        """, hourly as (select "nameOrig", step, count(*) as n from tx where type = 'TRANSFER' group by all)
-        select event_id, 1 as velocity_cumcount, cast(coalesce(n, 1) as integer) as velocity_1hr,
-        1 as velocity_3hr, 1 as velocity_24hr from tx left join hourly using ("nameOrig", step)"""
+    from_features(
+        """select event_id, 1 as velocity_cumcount, case when type = 'TRANSFER' then velocity_1hr else 1 end as velocity_1hr,
+        case when type = 'CASH_OUT' then velocity_3hr else 1 end as velocity_3hr, velocity_24hr from feat"""
     ),
 )
 def default_velocity(spark, sf_dir):
-    rows = transactions(spark, sf_dir)
-    hourly = rows.where("type = 'TRANSFER'").groupBy("nameOrig", "step").agg(F.count(F.lit(1)).alias("velocity_1hr"))
-    known = rows.select(KEY, "nameOrig", "step").join(hourly, ["nameOrig", "step"], "left")
-    return validation.default_velocity(known).select(KEY, *S.VELOCITY_FEATURES)
+    partial = features(spark, sf_dir, keep=("type",)).select(
+        KEY,
+        F.when(F.col("type") == "TRANSFER", F.col("velocity_1hr")).alias("velocity_1hr"),
+        F.when(F.col("type") == "CASH_OUT", F.col("velocity_3hr")).alias("velocity_3hr"),
+        "velocity_24hr",
+    )
+    return validation.default_velocity(partial).select(KEY, *S.VELOCITY_FEATURES)
 
 
 @query(
@@ -249,9 +251,13 @@ def balance_anomaly(spark, sf_dir):
     return plain(transactions(spark, sf_dir).where(C.balance_anomaly()).select(KEY, "isFraud"))
 
 
-@query("clip_amount", from_tx("select event_id, least(amount, 5000.0::double) as amount from tx"))
+@query("clip_amount", from_tx(
+    "select event_id, least(amount, 1000000.0::double) as amount, least(amount, 5000.0::double) as amount_5000 from tx"
+))
 def clip_amount(spark, sf_dir):
-    return transactions(spark, sf_dir).select(KEY, C.clip_amount(upper=5000.0).alias("amount"))
+    return transactions(spark, sf_dir).select(
+        KEY, C.clip_amount().alias("amount"), C.clip_amount(upper=5000.0).alias("amount_5000")
+    )
 
 
 def _velocity_query(name, expression, sql):

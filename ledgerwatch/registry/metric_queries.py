@@ -255,6 +255,22 @@ def smote_query(spark, sf_dir):
     return rows.select("base_key", "copy", *S.REALISTIC_FEATURES, F.col(S.LABEL).cast("int").alias(S.LABEL), "is_synthetic")
 
 
+@query(
+    "smote_copies",
+    from_features(
+        f"""select base_key, cast(each + case when place <= rest then 1 else 0 end as bigint) as copies from (
+        select event_id as base_key, row_number() over (order by {_HASH}, event_id) as place,
+          (legit - fraud) // fraud as each, (legit - fraud) % fraud as rest
+        from feat, (select count(*) filter ("isFraud" = 0) as legit, count(*) filter ("isFraud" = 1) as fraud from feat)
+        where "isFraud" = 1) where each + case when place <= rest then 1 else 0 end > 0"""
+    ),
+)
+def smote_copies(spark, sf_dir):
+    """Synthetic rows made from each minority row."""
+    made = _balanced(spark, sf_dir).where("is_synthetic")
+    return made.groupBy("base_key").agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query(
     "smote_union",
     from_features(

@@ -11,7 +11,7 @@ from ledgerwatch import schema as S
 from ledgerwatch.operators import attribution, model as M, reports, retrieval, sampling
 from ledgerwatch.plans import investigation, training
 from ledgerwatch.registry import query
-from ledgerwatch.registry.tables import KEY, features, table
+from ledgerwatch.registry.tables import KEY, features, from_features, table
 from ledgerwatch.sources import run_log
 from ledgerwatch.workspace import new_dir, written
 
@@ -80,6 +80,11 @@ def model_save_load(spark, sf_dir):
     return M.score(job.features, job.model).select(KEY, "score").join(again, KEY)
 
 
+@query("model_reload_gap", from_features("select event_id, 0.0::double as gap from feat"))
+def model_reload_gap(spark, sf_dir):
+    return model_save_load(spark, sf_dir).select(KEY, F.abs(F.col("score") - F.col("loaded")).alias("gap"))
+
+
 @query("run_log")
 def run_log_query(spark, sf_dir):
     job = trained(spark, sf_dir)
@@ -106,6 +111,16 @@ def explain_rows(spark, sf_dir):
     return attribution.explain_rows(job.features, job.model, KEY)
 
 
+@query("explain_additivity", from_features("select event_id, 12 as features, 0.0::double as gap from feat"))
+def explain_additivity(spark, sf_dir):
+    """Base value plus attributions is the log-odds of the score, on every row."""
+    total = F.aggregate("attributions", F.col("base_value"), lambda a, x: a + x)
+    log_odds = F.log(F.col("score") / (1 - F.col("score")))
+    return _attributed(spark, sf_dir).select(
+        KEY, F.size("attributions").alias("features"), F.round(F.abs(total - log_odds), 6).alias("gap")
+    )
+
+
 @query("predict_report")
 def predict_report(spark, sf_dir):
     return reports.predict_report(_attributed(spark, sf_dir), KEY, trained(spark, sf_dir).model.threshold)
@@ -132,9 +147,7 @@ def case_attribution(spark, sf_dir):
 
 def _corpus(spark, sf_dir) -> investigation.Corpus:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    chunks = written(
-        retrieval.chunk_table(docs, "doc_id", separator="\n"), "chunks"
-    )
+    chunks = written(retrieval.chunk_table(docs, "doc_id", separator="\n"), "chunks")
     encoder = retrieval.fit_encoder(chunks)
     return investigation.Corpus(retrieval.embed(chunks, encoder), encoder)
 
@@ -153,6 +166,24 @@ def investigate(spark, sf_dir):
     )
 
 
+@query(
+    "trace_shape",
+    from_features("select event_id as investigation_id, 1 as reports, true as calls_answered, true as in_order from feat"),
+)
+def trace_shape(spark, sf_dir):
+    """Every investigation ends in one report and answers each of its calls at once."""
+    events = investigation.trace_events(_findings(spark, sf_dir), KEY)
+
+    def count(kind):
+        return F.count_if(F.col("type") == kind)
+
+    return events.groupBy("investigation_id").agg(
+        count("report").cast("int").alias("reports"),
+        (count("tool_call") == count("tool_result")).alias("calls_answered"),
+        (F.max("seq") == 2 * count("tool_call")).alias("in_order"),
+    )
+
+
 @query("trace_events")
 def trace_events(spark, sf_dir):
     return investigation.trace_events(_findings(spark, sf_dir), KEY)

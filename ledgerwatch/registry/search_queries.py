@@ -42,13 +42,11 @@ def chunk_documents(spark, sf_dir):
     return text_functions.chunk_documents(docs, separator="\n")
 
 
-@query("load_corpus", "select sum(length(text) + 1)::bigint as chars, sum(cast(doc_id as varchar) <> '')::bigint as lines_at_least from documents")
+@query("load_corpus", "select sum(length(text) + 1)::bigint as chars from documents")
 def load_corpus(spark, sf_dir):
     path = new_dir(spark, "corpus")
     _documents(spark, sf_dir).select("text", "lang").write.partitionBy("lang").text(path)
-    files = corpus.load_corpus(spark, path)
-    docs = _documents(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
-    return files.agg(F.sum(F.length("text")).alias("chars"), F.max(docs).alias("lines_at_least"))
+    return corpus.load_corpus(spark, path).agg(F.sum(F.length("text")).alias("chars"))
 
 
 _KNN = """near as (

@@ -8,7 +8,7 @@ from ledgerwatch import schema as S
 from ledgerwatch.registry import query
 from ledgerwatch.registry.model_queries import trained
 from ledgerwatch.registry.tables import KEY, TX, from_tx, table
-from ledgerwatch.sources.event_log import EPOCH_MICROS, transactions_from_events
+from ledgerwatch.sources.event_log import EPOCH_SECONDS, transactions_from_events
 from ledgerwatch.streaming import lateness, scoring, velocity
 from ledgerwatch.workspace import new_dir
 
@@ -24,6 +24,11 @@ def _relevant(spark, sf_dir):
     return event_stream(spark, sf_dir).where(F.col("type").isin(*S.TYPE_CODES))
 
 
+def _bucket(start, hours):
+    """Number of the bucket whose window begins at ``start``."""
+    return F.floor(((F.unix_seconds(start) - EPOCH_SECONDS) / 3600 + 1) / hours).cast("int")
+
+
 @query("score_stream")
 def score_stream(spark, sf_dir):
     out = new_dir(spark, "score_stream")
@@ -46,7 +51,7 @@ def score_stream_rejected(spark, sf_dir):
 
 
 def _closed_sql(hours):
-    return f"""select "nameOrig", {hours} as hours, min(start) as start, cast(count(*) as integer) as n from (
+    return f"""select "nameOrig", {hours} as hours, cast(b as integer) as bucket, cast(count(*) as integer) as n from (
       select "nameOrig", floor(step / {hours}) as b,
         timestamp '2024-01-01' + to_hours(cast(floor(step / {hours}) * {hours} - 1 as integer)) as start
       from tx where type in ('TRANSFER', 'CASH_OUT'))
@@ -62,7 +67,7 @@ def velocity_stream(spark, sf_dir):
         velocity.start_append(velocity.closed_counts(_relevant(spark, sf_dir), hours), out).awaitTermination()
         parts.append(
             spark.read.parquet(f"{out}/table").select(
-                "nameOrig", F.lit(hours).alias("hours"), F.col("start").cast("timestamp_ntz").alias("start"), "n"
+                "nameOrig", F.lit(hours).alias("hours"), _bucket("start", hours).alias("bucket"), "n"
             )
         )
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -84,7 +89,7 @@ def velocity_stream(spark, sf_dir):
 )
 def velocity_asof_stream(spark, sf_dir):
     hours, out = new_dir(spark, "closed_hours"), new_dir(spark, "asof")
-    stream = velocity.closed_hours(_relevant(spark, sf_dir), EPOCH_MICROS // 1_000_000)
+    stream = velocity.closed_hours(_relevant(spark, sf_dir), EPOCH_SECONDS)
     velocity.start_append(stream, hours).awaitTermination()
     velocity.start_asof(spark, f"{hours}/table", out).awaitTermination()
     return spark.read.parquet(f"{out}/table")

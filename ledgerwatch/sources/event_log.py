@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# 2024-01-01T00:00:00Z, the hour before step 1
-EPOCH_MICROS = 1704067200000000
-HOUR_MICROS = 3600000000
+# 2024-01-01T00:00:00Z, where the hour of step 1 begins
+EPOCH_SECONDS = 1704067200
+_SINCE_EPOCH = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts as timestamp_ntz))"
 
 
 def transactions_from_events(events: DataFrame) -> DataFrame:
     """Eleven transaction columns plus the row key ``event_id`` and the time ``ts``.
 
-    Pure projection: it streams as well as it batches.
+    Pure projection: it streams as well as it batches. Event times without a zone
+    are taken as UTC whatever the session's zone.
     """
-    micros = "unix_micros(cast(ts as timestamp))"
     base = events.select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.expr(f"cast(floor(({micros} - {EPOCH_MICROS}) / {HOUR_MICROS}) + 1 as int)").alias("step"),
+        F.expr(f"timestamp_micros({EPOCH_SECONDS} * 1000000L + {_SINCE_EPOCH})").alias("ts"),
+        F.expr(f"cast(floor({_SINCE_EPOCH} / 3600000000L) + 1 as int)").alias("step"),
         F.expr(
             "case event_type when 'click' then 'TRANSFER' when 'purchase' then 'CASH_OUT'"
             " when 'view' then 'PAYMENT' when 'signup' then 'CASH_IN' when 'error' then 'DEBIT' end"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-_SEEN = "batch long, max_ts timestamp"
+_SEEN = "latest timestamp"
 
 
 def start_lateness(stream: DataFrame, out: str, delay_seconds: int = 3600, **trigger) -> StreamingQuery:
@@ -14,22 +14,23 @@ def start_lateness(stream: DataFrame, out: str, delay_seconds: int = 3600, **tri
 
     A row is late if its time is more than ``delay_seconds`` before the latest time
     of all earlier batches. Every batch writes its rows to ``out/rows`` with ``late``,
-    and its own latest time, one row, to ``out/seen``, each to a folder of its own.
+    and the latest time so far, one row, to ``out/seen``, each to a folder of its own:
+    a batch reads one row of the batch before, and a replayed batch rewrites its own.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         latest = None
         if batch_id > 0:
-            seen = spark.read.schema(_SEEN).parquet(f"{out}/seen/*")
-            latest = seen.where(F.col("batch") < batch_id).agg(F.max("max_ts")).first()[0]
-        watermark = F.lit(latest).cast("timestamp") - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {delay_seconds})")
+            latest = spark.read.schema(_SEEN).parquet(f"{out}/seen/{batch_id - 1}").first()["latest"]
+        watermark = F.lit(latest).cast("timestamp") - F.expr(f"make_dt_interval(0, 0, 0, {delay_seconds})")
         late = F.coalesce(F.col("ts") < watermark, F.lit(False))
-        rows = batch.withColumn("late", late)
-        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
-        batch.agg(F.lit(batch_id).cast("long").alias("batch"), F.max("ts").alias("max_ts")).write.mode(
+        rows = f"{out}/rows/batch={batch_id}"
+        batch.withColumn("late", late).write.mode("overwrite").parquet(rows)
+        written = spark.read.schema(batch.schema).parquet(rows)
+        written.agg(F.greatest(F.max("ts"), F.lit(latest).cast("timestamp")).alias("latest")).write.mode(
             "overwrite"
-        ).parquet(f"{out}/seen/batch_{batch_id}")
+        ).parquet(f"{out}/seen/{batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)
