@@ -25,16 +25,13 @@ from ledgerwatch.operators.model import FraudModel
 from ledgerwatch.workspace import new_dir
 
 MARGIN_TO_LOG_ODDS = 2.0
-_BATCH_CELLS = 1 << 21
+_TILE_ROWS = 8_192
+_CONDITIONS_KEPT = 512
 
 
-@dataclass(frozen=True)
-class Leaf:
-    """``bounds`` has (feature, above, up to) per path feature; ``table`` the attributions
-    per pattern of met conditions, bit i set when the i-th condition is met."""
-
-    bounds: tuple[tuple[int, float, float], ...]
-    table: np.ndarray
+# One leaf: (feature, above, up to) per feature on its path, and per such feature its
+# attribution for each pattern of met conditions, bit i set when the i-th is met.
+Leaf = tuple[tuple[tuple[int, float, float], ...], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -86,7 +83,7 @@ def _build(model: FraudModel) -> Explainer:
             base += value * float(np.prod(shares))
             if conditions:
                 bounds = tuple((f, lo, hi) for f, lo, hi, _ in conditions)
-                leaves.append(Leaf(bounds, value * _shapley_table(shares)))
+                leaves.append((bounds, value * _shapley_table(shares)))
     return Explainer(tuple(leaves), base, len(model.features))
 
 
@@ -105,50 +102,54 @@ def _paths(tree, node_id, met, weight):
 
 
 def _shapley_table(shares):
-    """Shapley values of prod(met_i or share_i) for every pattern of met conditions."""
+    """Shapley values of prod(met_i or share_i): a row per feature, a column per pattern of met conditions."""
     m = len(shares)
-    weights = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
-    table = np.zeros((1 << m, m))
-    for pattern in range(1 << m):
-        met = [(pattern >> i) & 1 for i in range(m)]
-        for i in range(m):
-            by_size = np.array([1.0])
-            for j in range(m):
-                if j != i:
-                    by_size = np.convolve(by_size, [shares[j], met[j]])
-            table[pattern, i] = (met[i] - shares[i]) * float(np.dot(weights, by_size))
+    weights = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
+    met = ((np.arange(1 << m) >> np.arange(m)[:, None]) & 1).astype("float64")
+    table = np.empty((m, 1 << m))
+    for i in range(m):
+        by_size = np.zeros((m, 1 << m))  # row k: products with k conditions met by the row's own values
+        by_size[0] = 1
+        for j in range(m):
+            if j != i:
+                grown = by_size * shares[j]
+                grown[1:] += by_size[:-1] * met[j]
+                by_size = grown
+        table[i] = (met[i] - shares[i]) * (weights @ by_size)
     return table
 
 
-def attribute(values: np.ndarray, explain: Explainer) -> np.ndarray:
+def attribute(values: np.ndarray, leaves: tuple[Leaf, ...]) -> np.ndarray:
     """Attributions of a (rows x features) matrix."""
-    total = np.zeros((len(values), explain.width))
-    columns = [np.ascontiguousarray(values[:, f]) for f in range(explain.width)]
-    conditions: dict[tuple[int, float, float], np.ndarray] = {}
-    for leaf in explain.leaves:
-        pattern = np.zeros(len(values), dtype=np.int64)
-        for i, (f, lo, hi) in enumerate(leaf.bounds):
-            bit = conditions.get((f, lo, hi))
-            if bit is None:
-                bit = conditions[(f, lo, hi)] = ((columns[f] > lo) & (columns[f] <= hi)).astype(np.int64)
-            pattern |= bit << i
-        found = leaf.table[pattern]
-        for i, (f, _, _) in enumerate(leaf.bounds):
-            total[:, f] += found[:, i]
-    return total
+    rows, width = values.shape
+    columns = [np.ascontiguousarray(values[:, f]) for f in range(width)]
+    total = np.zeros((width, rows))
+    met: dict[tuple[int, float, float], np.ndarray] = {}
+    index, found = np.empty(rows, dtype=np.intp), np.empty(rows)
+    for bounds, table in leaves:
+        kind = np.uint8 if len(bounds) <= 8 else np.uint32
+        pattern = np.zeros(rows, dtype=kind)
+        for i, condition in enumerate(bounds):
+            if condition not in met:
+                if len(met) >= _CONDITIONS_KEPT:
+                    met.clear()
+                f, above, up_to = condition
+                met[condition] = ((columns[f] > above) & (columns[f] <= up_to)).view(np.uint8)
+            pattern |= np.left_shift(met[condition], i, dtype=kind)
+        index[:] = pattern
+        for (f, _, _), attributions in zip(bounds, table, strict=True):
+            np.take(attributions, index, out=found, mode="clip")
+            total[f] += found
+    return total.T
 
 
 def explain_rows(df: DataFrame, model: FraudModel, key: str, name: str = "attributions") -> DataFrame:
-    """``key``, the attribution per feature in model order, and the base value.
-
-    One pass without a shuffle; ship only the key and the features to Python and
-    join back by key, or pass ``keep`` columns through ``explain_table``.
-    """
+    """``key``, the attribution per feature in model order, and the base value."""
     return explain_table(df, model, [key], name)
 
 
 def explain_table(df: DataFrame, model: FraudModel, keep: list[str], name: str = "attributions") -> DataFrame:
-    """The ``keep`` columns with ``attributions`` and ``base_value`` beside them."""
+    """The ``keep`` columns with ``attributions`` and ``base_value`` beside them, in one pass without a shuffle."""
     explain = explainer(model)
     model_inputs = [f"_x{i}" for i in range(explain.width)]
     narrow = df.select(
@@ -159,24 +160,22 @@ def explain_table(df: DataFrame, model: FraudModel, keep: list[str], name: str =
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields)
     schema += f", `{name}` array<double>, base_value double"
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(explain)  # bounded by trees x 2^depth leaves
+    base_value = explain.base_value
+    shared = spark.sparkContext.broadcast(explain.leaves)  # at most trees x 2^depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        explain = shared.value
+        leaves = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            step = max(1, _BATCH_CELLS // 256)
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
+            for start in range(0, batch.num_rows, _TILE_ROWS):
+                part = batch.slice(start, _TILE_ROWS)
                 matrix = np.column_stack([part.column(x).to_numpy(zero_copy_only=False) for x in model_inputs])
-                values = attribute(matrix, explain)
+                values = attribute(matrix, leaves)
                 n, width = values.shape
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, n * width + 1, width, dtype="int32")), pa.array(values.ravel())
+                    pa.array(np.arange(0, n * width + 1, width, dtype="int32")), pa.array(np.ascontiguousarray(values).ravel())
                 )
                 yield pa.record_batch(
-                    [*[part.column(c) for c in keep], lists, pa.array(np.full(n, explain.base_value))],
+                    [*[part.column(c) for c in keep], lists, pa.array(np.full(n, base_value))],
                     names=[*keep, name, "base_value"],
                 )
 

@@ -1,22 +1,24 @@
 """Exact nearest neighbours by squared Euclidean distance, ties to the smaller id.
 
 Few queries (a checked count) travel to the vectors: each task keeps the best ``k``
-per query and ships only those. Many queries meet the vectors by cell:
+per query and ships only those. Many queries meet the vectors by bin:
 
-* pivots, sampled by hash, cut space into cells; each vector belongs to its nearest;
-* a query first searches the nearest cells that hold ``k`` vectors, which bounds its
-  k-th distance, then every further cell the triangle inequality cannot rule out;
-* a cell's vectors and visitors are both dealt into blocks of at most about ``block``
-  rows, so a dense cell becomes many tasks;
 * copies of a vector beyond the ``k`` smallest ids can never be an answer and are
-  left out before the search.
-
-Pivots and blocks decide only who meets whom; the answers are those of a full scan.
+  left out first, before the shuffle that groups them;
+* pivots, sampled by hash, cut space into cells; cells are packed into bins of about
+  ``block`` vectors, and a denser cell is dealt over several bins;
+* a query first searches the bins of the nearest cells that hold ``k`` vectors, which
+  bounds its k-th distance, then every bin with a cell the triangle inequality cannot
+  rule out;
+* the visitors of a bin are dealt into blocks as well, so a popular bin becomes many tasks.
+
+Pivots, bins and blocks decide only who meets whom; the answers are those of a full scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.workspace import written
 
-FEW_QUERIES = 4_096
-CELLS = 1_024
-BLOCK = 8_192
-_MATRIX = 1 << 22
+FEW_QUERIES = 8_192
+CELLS = 4_096
+BLOCK = 2_048
+_TILE_QUERIES, _TILE_VECTORS = 256, 1_024
 _SLACK = 1e-9
 _NEAR_PIVOTS = 1e-6
 
@@ -54,7 +56,7 @@ def knn(
     if is_few(queries, few_queries):
         found = _scan(queries, base, k)
     else:
-        found = _search_cells(queries, base, k, cells, block)
+        found = _search_bins(queries, base, k, cells, block)
     columns = ["query_id", "rank", "id", "distance"] + (["vector"] if with_vector else [])
     return _nearest(found, k).select(*columns)
 
@@ -74,67 +76,101 @@ def _doubles(df: DataFrame) -> DataFrame:
     return df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
 
 
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` rows per query; each map task drops the others before the shuffle."""
+    best = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 _FOUND = "query_id long, id long, distance double, vector array<double>"
+_FOUND_ARROW = pa.schema(
+    [("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64()), ("vector", pa.list_(pa.float64()))]
+)
 
 
 def _scan(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     rows = queries.orderBy("id").collect()  # at most few_queries rows, checked by knn
+    if not rows:
+        return base.sparkSession.createDataFrame([], _FOUND)
     ids = np.array([r["id"] for r in rows], dtype="int64")
     matrix = np.array([r["vector"] for r in rows], dtype="float64")
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
-            for base_ids, vectors in _parts(batch, len(ids)):
-                best = _best(ids, matrix, base_ids, vectors, k, best)
+            if batch.num_rows:
+                found = _best(ids, matrix, *_rows(batch), k)
+                best = found if best is None else _merged(best, found, k)
         if best is not None:
             yield _found_batch(best)
 
-    if not rows:
-        return base.sparkSession.createDataFrame([], _FOUND)
     return base.mapInArrow(best_of_partition, _FOUND)
 
 
-def _search_cells(queries: DataFrame, base: DataFrame, k: int, cells: int, block: int) -> DataFrame:
+def _search_bins(queries: DataFrame, base: DataFrame, k: int, cells: int, block: int) -> DataFrame:
+    spark = base.sparkSession
     copies = Window.partitionBy("vector").orderBy("id")
-    base = base.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(cells).collect()  # the pivots: at most `cells` rows
+    base = written(
+        base.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy"), "vectors"
+    )
+    wanted = min(cells, 2 * isqrt(base.count()) + 1)
+    sample = base.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()  # the pivots: at most `cells` rows
     if not sample:
-        return base.sparkSession.createDataFrame([], _FOUND)
-    pivots = np.array([r["vector"] for r in sample], dtype="float64")
+        return spark.createDataFrame([], _FOUND)
+    pivots = _in_line(np.array([r["vector"] for r in sample], dtype="float64"))
 
-    in_cells = written(
-        base.mapInArrow(_assign(pivots), "id long, vector array<double>, cell int, reach double"), "cells"
-    )
-    sizes = np.zeros(len(pivots), dtype="int64")
-    reach = np.zeros(len(pivots))
+    in_cells = written(base.mapInArrow(_assign(pivots), "id long, vector array<double>, cell int, reach double"), "cells")
+    sizes, reach = np.zeros(len(pivots), dtype="int64"), np.zeros(len(pivots))
     for r in in_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).collect():
         sizes[r["cell"]], reach[r["cell"]] = r["n"], r["reach"]
-    in_cells = in_cells.select("cell", "id", "vector")
-
-    first = queries.mapInArrow(
-        _visits(pivots, sizes, reach, k, bounded=False), "query_id long, query array<double>, cell int"
+    first_bin, bins = _pack(sizes, block)
+    layout = (pivots, sizes, reach, first_bin, bins)
+    # one row per cell, so at most `cells` rows
+    places = F.broadcast(
+        spark.createDataFrame(
+            [(i, int(first_bin[i]), int(bins[i])) for i in range(len(pivots)) if sizes[i]],
+            "cell int, first_bin int, bins int",
+        )
     )
-    near = written(_nearest(_meet(first, in_cells, sizes, k, block), k).drop("rank"), "near")
-    bound = near.groupBy("query_id").agg(F.max("distance").alias("bound"))
-    rest = (
-        queries.join(bound.withColumnRenamed("query_id", "id"), "id")
-        .select("id", "vector", "bound")
-        .mapInArrow(_visits(pivots, sizes, reach, k, bounded=True), "query_id long, query array<double>, cell int")
+    in_bins = in_cells.join(places, "cell").select(
+        (F.col("first_bin") + F.pmod(F.xxhash64("id"), F.col("bins"))).cast("int").alias("bin"), "id", "vector"
     )
-    return near.unionByName(_meet(rest, in_cells, sizes, k, block))
-
 
-def _nearest(found: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` rows per query; each map task drops the others before the shuffle."""
-    best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    visit_schema = "query_id long, query array<double>, bin int"
+    first = queries.mapInArrow(_visits(layout, k, bounded=False), visit_schema)
+    near = written(_nearest(_meet(first, in_bins, k, block), k).drop("rank"), "near")
+    bound = near.groupBy(F.col("query_id").alias("id")).agg(F.max("distance").alias("bound"))
+    rest = queries.join(bound, "id").mapInArrow(_visits(layout, k, bounded=True), visit_schema)
+    return near.unionByName(_meet(rest, in_bins, k, block))
+
+
+def _in_line(pivots: np.ndarray) -> np.ndarray:
+    """Pivots ordered along their widest direction, so that near ones share bins."""
+    centred = pivots - pivots.mean(axis=0)
+    axis = np.linalg.svd(centred, full_matrices=False)[2][0] if len(pivots) > 1 else np.ones(pivots.shape[1])
+    return pivots[np.argsort(centred @ axis, kind="stable")]
+
+
+def _pack(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bin and number of bins per cell: small neighbours share one, large cells have several."""
+    first, bins = np.zeros(len(sizes), dtype="int64"), np.ones(len(sizes), dtype="int64")
+    current, held = 0, 0
+    for i, n in enumerate(sizes):
+        bins[i] = max(1, -(-int(n) // block))
+        if held and (held + n > block):
+            current, held = current + 1, 0
+        first[i] = current
+        if bins[i] > 1:
+            current, held = current + int(bins[i]), 0
+        else:
+            held += int(n)
+    return first, bins
 
 
 def _assign(pivots):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, vectors in _parts(batch, len(pivots)):
+            for ids, vectors in _tiles(batch):
                 d2 = _distances(vectors, pivots)
                 cell = d2.argmin(axis=1)
                 reach = np.sqrt(d2[np.arange(len(ids)), cell])
@@ -146,91 +182,81 @@ def _assign(pivots):
     return assign
 
 
-def _visits(pivots, sizes, reach, k, bounded):
-    """The cells each query must search: the nearest ones holding ``k`` vectors, or, once
-    its k-th distance is bounded, the others that may hold something as near."""
+def _visits(layout, k, bounded):
+    """The bins each query must search: those of the nearest cells holding ``k`` vectors, or, once
+    its k-th distance is bounded, the others with a cell that may hold something as near."""
+    pivots, sizes, reach, first_bin, bins = layout  # per cell, in pivot order
+    # cells that share their first bin form one group, visited as a whole
+    group_starts = np.flatnonzero(np.r_[True, first_bin[1:] != first_bin[:-1]])
+    group_bins = [
+        np.arange(first_bin[s], first_bin[s] + bins[s : e].max())
+        for s, e in zip(group_starts, [*group_starts[1:], len(sizes)], strict=True)
+    ]
+
+    def groups(cells):
+        return np.logical_or.reduceat(cells, group_starts, axis=1)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps = np.sqrt(_distances(pivots, pivots)) if bounded else None
         for batch in batches:
             bounds = batch.column("bound").to_numpy(zero_copy_only=False) if bounded else None
             start = 0
-            for ids, vectors in _parts(batch, len(pivots)):
+            for ids, vectors in _tiles(batch):
                 d = np.sqrt(_distances(vectors, pivots))
                 order = np.where(sizes > 0, d, np.inf).argsort(axis=1, kind="stable")
-                held = sizes[order].cumsum(axis=1)
-                near = np.zeros(d.shape, dtype=bool)
-                np.put_along_axis(near, order, (held - sizes[order] < k), axis=1)
-                near &= sizes > 0
+                ahead = sizes[order].cumsum(axis=1) - sizes[order]
+                nearest = np.zeros(d.shape, dtype=bool)
+                np.put_along_axis(nearest, order, ahead < k, axis=1)
+                wanted = groups(nearest & (sizes > 0))
                 if bounded:
                     radius = np.sqrt(bounds[start : start + len(ids)])[:, None]
-                    start += len(ids)
                     own = d.argmin(axis=1)
-                    floor = d - reach
-                    between = gaps[own]
+                    between = np.sqrt(_distances(pivots[own], pivots))
                     with np.errstate(divide="ignore", invalid="ignore"):
                         plane = (d**2 - d[np.arange(len(ids)), own][:, None] ** 2) / (2 * between)
-                    floor = np.maximum(floor, np.where(between > _NEAR_PIVOTS * (1 + d), plane, 0))
-                    scale = 1 + d + radius + reach
-                    near = ~near & (sizes > 0) & (floor <= radius + _SLACK * scale)
-                q, cell = near.nonzero()
-                if len(q):
+                    plane = np.where(between > _NEAR_PIVOTS * (1 + d), plane, 0)
+                    floor = np.maximum(d - reach, plane)
+                    open_cells = (sizes > 0) & (floor <= radius + _SLACK * (1 + d + radius + reach))
+                    wanted = ~wanted & groups(open_cells)
+                start += len(ids)
+                query, group = wanted.nonzero()
+                if len(query):
+                    counts = np.array([len(group_bins[g]) for g in group])
+                    query = np.repeat(query, counts)
+                    bin_ids = np.concatenate([group_bins[g] for g in group]).astype("int32")
                     yield pa.record_batch(
-                        [pa.array(ids[q]), _lists(vectors[q]), pa.array(cell.astype("int32"))],
-                        names=["query_id", "query", "cell"],
+                        [pa.array(ids[query]), _lists(vectors[query]), pa.array(bin_ids)],
+                        names=["query_id", "query", "bin"],
                     )
 
     return visits
 
 
-def _meet(visits: DataFrame, in_cells: DataFrame, sizes, k: int, block: int) -> DataFrame:
-    """Search every visited cell, block by block, keeping the best ``k`` per block."""
+def _meet(visits: DataFrame, in_bins: DataFrame, k: int, block: int) -> DataFrame:
+    """Search every visited bin, block by block, keeping the best ``k`` per block."""
     visits = written(visits, "visits")
-    spark = visits.sparkSession
-    cell_sizes = spark.createDataFrame(
-        [(i, -(-int(n) // block)) for i, n in enumerate(sizes) if n], "cell int, base_blocks int"
+    callers = visits.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    vectors = in_bins.join(callers, "bin").select(
+        "bin", F.explode(F.expr("sequence(0, blocks - 1)")).alias("query_block"), "id", "vector"
     )
-    callers = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("query_blocks"))
-    # one row per cell, so at most `cells` rows
-    layout = F.broadcast(cell_sizes.join(callers, "cell"))
-
-    def dealt(column, blocks):
-        return F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
-
-    vectors = (
-        in_cells.join(layout, "cell")
-        .withColumn("base_block", dealt("id", "base_blocks"))
-        .withColumn("query_block", F.explode(F.expr("sequence(0, query_blocks - 1)")))
-        .select("cell", "base_block", "query_block", "id", "vector")
-    )
-    asked = (
-        visits.join(layout, "cell")
-        .withColumn("query_block", dealt("query_id", "query_blocks"))
-        .withColumn("base_block", F.explode(F.expr("sequence(0, base_blocks - 1)")))
-        .select("cell", "base_block", "query_block", "query_id", "query")
+    asked = visits.join(callers, "bin").select(
+        "bin", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("query_block"), "query_id", "query"
     )
 
     def search(queries: pa.Table, base: pa.Table) -> pa.Table:
-        best = None
-        if queries.num_rows and base.num_rows:
-            ids = queries.column("query_id").to_numpy()
-            matrix = _matrix(queries.column("query").combine_chunks())
-            for base_ids, rows in _parts(base.select(["id", "vector"]).combine_chunks().to_batches()[0], len(ids)):
-                best = _best(ids, matrix, base_ids, rows, k, best)
-        return pa.Table.from_batches([_found_batch(best)] if best else [], schema=_FOUND_ARROW)
-
-    keys = ["cell", "base_block", "query_block"]
+        if not queries.num_rows or not base.num_rows:
+            return _FOUND_ARROW.empty_table()
+        ids = queries.column("query_id").to_numpy()
+        matrix = _matrix(queries.column("query").combine_chunks())
+        base_ids = base.column("id").to_numpy()
+        vectors = _matrix(base.column("vector").combine_chunks())
+        return pa.Table.from_batches([_found_batch(_best(ids, matrix, base_ids, vectors, k))])
+
+    keys = ["bin", "query_block"]
     return asked.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(search, _FOUND)
 
 
-_FOUND_ARROW = pa.schema(
-    [("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64()), ("vector", pa.list_(pa.float64()))]
-)
-
-
 def _matrix(lists: pa.Array) -> np.ndarray:
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(lists), -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def _lists(matrix: np.ndarray) -> pa.Array:
@@ -239,43 +265,65 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
-def _parts(batch: pa.RecordBatch, against: int):
-    """(ids, vectors) pieces small enough for a distance matrix with ``against`` columns."""
-    if not batch.num_rows:
-        return
-    ids = batch.column("id").to_numpy()
-    vectors = _matrix(batch.column("vector"))
-    size = max(1, _MATRIX // max(1, against))
-    for i in range(0, len(ids), size):
-        yield ids[i : i + size], vectors[i : i + size]
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column("id").to_numpy(), _matrix(batch.column("vector"))
+
+
+def _tiles(batch: pa.RecordBatch):
+    """(ids, vectors) pieces whose distances to the pivots fit the cache."""
+    if batch.num_rows:
+        ids, vectors = _rows(batch)
+        for i in range(0, len(ids), _TILE_QUERIES):
+            yield ids[i : i + _TILE_QUERIES], vectors[i : i + _TILE_QUERIES]
 
 
 def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Squared distances, summed one dimension after the other so that they repeat exactly."""
     total = np.zeros((len(left), len(right)))
+    gap = np.empty_like(total)
     for j in range(left.shape[1]):
-        gap = left[:, j, None] - right[None, :, j]
-        total += gap * gap
+        np.subtract(left[:, j, None], right[None, :, j], out=gap)
+        np.multiply(gap, gap, out=gap)
+        total += gap
     return total
 
 
-def _best(query_ids, queries, base_ids, vectors, k, best):
-    """Merge the ``k`` nearest of ``vectors`` per query into ``best``."""
-    d2 = _distances(queries, vectors)
-    if d2.shape[1] > k:
-        kept = d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
-    else:
-        kept = np.ones(d2.shape, dtype=bool)
-    q, b = kept.nonzero()
-    found = (query_ids[q], base_ids[b], d2[q, b], vectors[b])
-    if best is not None:
-        found = tuple(np.concatenate(pair) for pair in zip(best, found, strict=True))
-    order = np.lexsort((found[1], found[2], found[0]))
-    sorted_ids = found[0][order]
+def _best(query_ids, queries, base_ids, vectors, k):
+    """(query id, id, distance, vector) of the ``k`` nearest vectors of every query.
+
+    Vectors go in id order, so keeping the earlier of two equal distances keeps the smaller id.
+    """
+    order = np.argsort(base_ids, kind="stable")
+    base_ids, vectors = base_ids[order], vectors[order]
+    found = []
+    for i in range(0, len(query_ids), _TILE_QUERIES):
+        tile = queries[i : i + _TILE_QUERIES]
+        distance, place = np.full((len(tile), k), np.inf), np.full((len(tile), k), -1)
+        for j in range(0, len(base_ids), _TILE_VECTORS):
+            d2 = _distances(tile, vectors[j : j + _TILE_VECTORS])
+            places = np.broadcast_to(np.arange(j, j + d2.shape[1]), d2.shape)
+            d2, places = np.hstack([distance, d2]), np.hstack([place, places])
+            last = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+            kept = d2 <= last
+            if (kept.sum(axis=1) > k).any():
+                closer, tied = d2 < last, d2 == last
+                kept = closer | (tied & (tied.cumsum(axis=1) <= k - closer.sum(axis=1, keepdims=True)))
+            distance, place = d2[kept].reshape(-1, k), places[kept].reshape(-1, k)
+        real = place >= 0
+        found.append((np.repeat(query_ids[i : i + _TILE_QUERIES], real.sum(axis=1)), place[real], distance[real]))
+    ids, place, distance = (np.concatenate(part) for part in zip(*found, strict=True))
+    return ids, base_ids[place], distance, vectors[place]
+
+
+def _merged(left, right, k):
+    """The best ``k`` per query of two results."""
+    ids, base_ids, distance, vectors = (np.concatenate(pair) for pair in zip(left, right, strict=True))
+    order = np.lexsort((base_ids, distance, ids))
+    sorted_ids = ids[order]
+    count = np.arange(len(order))
     starts = np.r_[True, sorted_ids[1:] != sorted_ids[:-1]]
-    position = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
-    order = order[position < k]
-    return tuple(part[order] for part in found)
+    order = order[count - np.maximum.accumulate(np.where(starts, count, 0)) < k]
+    return ids[order], base_ids[order], distance[order], vectors[order]
 
 
 def _found_batch(best) -> pa.RecordBatch:
