@@ -6,7 +6,7 @@ combines map-side, so ties and hot scores cost nothing after the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators.running import running_totals
@@ -14,22 +14,6 @@ from ledgerwatch.workspace import written
 
 F1_GUARD = 1e-9
 
-METRICS = (
-    "roc_auc",
-    "pr_auc",
-    "best_threshold",
-    "best_f1",
-    "precision",
-    "recall",
-    "true_negatives",
-    "false_positives",
-    "false_negatives",
-    "true_positives",
-    "recall_at_0.5",
-    "precision_at_0.5",
-    "f1_at_0.5",
-)
-
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Positives and rows per distinct score, written once for the passes that follow."""
@@ -54,17 +38,20 @@ def running_curve(counts: DataFrame, **layout) -> DataFrame:
     )
 
 
-def pr_curve(counts: DataFrame, **layout) -> DataFrame:
-    """Precision, recall and F1 at every distinct score."""
+def curve_points(counts: DataFrame, **layout) -> DataFrame:
+    """``running_curve`` with precision, recall and F1 at every score."""
     positives = counts.agg(F.sum("pos")).scalar()
-    points = running_curve(counts, **layout).withColumns(
-        {
-            "precision": F.col("tp") / F.col("predicted"),
-            "recall": F.try_divide(F.col("tp"), positives),
-        }
-    )
     p, r = F.col("precision"), F.col("recall")
-    return points.select("score", "precision", "recall", (2 * p * r / (p + r + F1_GUARD)).alias("f1"))
+    return (
+        running_curve(counts, **layout)
+        .withColumns({"precision": F.col("tp") / F.col("predicted"), "recall": F.try_divide(F.col("tp"), positives)})
+        .withColumn("f1", 2 * p * r / (p + r + F1_GUARD))
+    )
+
+
+def pr_curve(counts: DataFrame, **layout) -> DataFrame:
+    """Precision, recall and F1 at every distinct score."""
+    return curve_points(counts, **layout).select("score", "precision", "recall", "f1")
 
 
 def with_end_point(curve: DataFrame) -> DataFrame:
@@ -80,33 +67,38 @@ def with_end_point(curve: DataFrame) -> DataFrame:
 
 def roc_auc(counts: DataFrame, **layout) -> DataFrame:
     """Area under the ROC curve, ties at half weight. NULL if only one class occurs."""
-    negatives = F.col("n") - F.col("pos")
-    won = negatives.cast("double") * (F.col("tp_before") + F.col("pos") / 2)
-    pairs = F.sum("pos").cast("double") * F.sum(negatives).cast("double")
-    return running_curve(counts, **layout).agg(F.try_divide(F.sum(won), pairs).alias("roc_auc"))
+    return running_curve(counts, **layout).agg(_area_under_roc().alias("roc_auc"))
 
 
 def pr_auc(counts: DataFrame, **layout) -> DataFrame:
     """Average precision: recall steps times precision, without interpolation."""
+    return running_curve(counts, **layout).agg(_average_precision().alias("pr_auc"))
+
+
+def _area_under_roc() -> Column:
+    negatives = F.col("n") - F.col("pos")
+    won = negatives.cast("double") * (F.col("tp_before") + F.col("pos") / 2)
+    return F.try_divide(F.sum(won), F.sum("pos").cast("double") * F.sum(negatives).cast("double"))
+
+
+def _average_precision() -> Column:
     step = F.col("pos") * (F.col("tp") / F.col("predicted"))
-    return running_curve(counts, **layout).agg(
-        F.try_divide(F.sum(step), F.sum("pos").cast("double")).alias("pr_auc")
-    )
+    return F.try_divide(F.sum(step), F.sum("pos").cast("double"))
+
+
+def _best_point() -> Column:
+    point = F.struct("score", "f1", "precision", "recall", "tp", "predicted")
+    return F.max_by(point, F.struct("f1", -F.col("score")))
 
 
 def best_threshold(counts: DataFrame, **layout) -> DataFrame:
     """The score with the highest F1, the lowest such score on ties."""
-    rank = F.struct("f1", -F.col("score"))
-    best = F.max_by(F.struct("score", "f1", "precision", "recall"), rank)
-    return (
-        pr_curve(counts, **layout)
-        .agg(best.alias("best"))
-        .select(
-            F.col("best.score").alias("best_threshold"),
-            F.col("best.f1").alias("best_f1"),
-            F.col("best.precision").alias("precision"),
-            F.col("best.recall").alias("recall"),
-        )
+    best = curve_points(counts, **layout).agg(_best_point().alias("best"))
+    return best.select(
+        F.col("best.score").alias("best_threshold"),
+        F.col("best.f1").alias("best_f1"),
+        F.col("best.precision").alias("precision"),
+        F.col("best.recall").alias("recall"),
     )
 
 
@@ -165,36 +157,38 @@ def classification_report(matrix: DataFrame) -> DataFrame:
 
 
 def evaluate(df: DataFrame, score: str = "score", label: str = "label", **layout) -> DataFrame:
-    """The thirteen metrics of a scored table as one row, threshold tuned on the same rows."""
-    counts = score_counts(df, score, label)
-    best = best_threshold(counts, **layout).first()
-    at_best = _weighted_matrix(counts, best["best_threshold"])
-    fraud = F.col("class") == "Fraud"
-    at_half = classification_report(_weighted_matrix(counts, 0.5)).where(fraud)
-    row = {
-        **roc_auc(counts, **layout).first().asDict(),
-        **pr_auc(counts, **layout).first().asDict(),
-        **best.asDict(),
-        **at_best.first().asDict(),
-        **at_half.select(*[F.col(m).alias(f"{m}_at_0.5") for m in ("recall", "precision", "f1")]).first().asDict(),
-    }
-    kinds = {int: "long", float: "double", type(None): "double"}
-    return df.sparkSession.range(1).select(
-        *[F.lit(row[name]).cast(kinds[type(row[name])]).alias(name) for name in METRICS]
-    )
-
+    """The thirteen metrics of a scored table as one row, threshold tuned on the same rows.
 
-def _weighted_matrix(counts: DataFrame, threshold: float) -> DataFrame:
-    """The confusion matrix from score counts, without another pass over the rows."""
-    hit = F.col("score") >= F.lit(threshold)
-    neg = F.col("n") - F.col("pos")
-    cells = {
-        "true_negatives": F.when(~hit, neg),
-        "false_positives": F.when(hit, neg),
-        "false_negatives": F.when(~hit, F.col("pos")),
-        "true_positives": F.when(hit, F.col("pos")),
-    }
-    return counts.agg(*[F.coalesce(F.sum(cell), F.lit(0)).alias(name) for name, cell in cells.items()])
+    One aggregate over the curve: the point at a threshold already holds the hits
+    and predictions the confusion matrix needs.
+    """
+    at_half = F.col("score") >= 0.5
+    row = curve_points(score_counts(df, score, label), **layout).agg(
+        _area_under_roc().alias("roc_auc"),
+        _average_precision().alias("pr_auc"),
+        _best_point().alias("best"),
+        F.sum("pos").alias("p"),
+        F.sum("n").alias("rows"),
+        F.coalesce(F.sum(F.when(at_half, F.col("pos"))), F.lit(0)).alias("half_tp"),
+        F.coalesce(F.sum(F.when(at_half, F.col("n"))), F.lit(0)).alias("half_predicted"),
+    )
+    tp, predicted = F.col("best.tp"), F.col("best.predicted")
+    half_tp, half_predicted = F.col("half_tp"), F.col("half_predicted")
+    return row.select(
+        "roc_auc",
+        "pr_auc",
+        F.col("best.score").alias("best_threshold"),
+        F.col("best.f1").alias("best_f1"),
+        F.col("best.precision").alias("precision"),
+        F.col("best.recall").alias("recall"),
+        (F.col("rows") - F.col("p") - predicted + tp).alias("true_negatives"),
+        (predicted - tp).alias("false_positives"),
+        (F.col("p") - tp).alias("false_negatives"),
+        tp.alias("true_positives"),
+        _ratio(half_tp, F.col("p")).alias("recall_at_0.5"),
+        _ratio(half_tp, half_predicted).alias("precision_at_0.5"),
+        _ratio(2 * half_tp, half_predicted + F.col("p")).alias("f1_at_0.5"),
+    )
 
 
 def _class_scores(name, hits, wrong, missed):

@@ -47,9 +47,18 @@ def train(
     trees: int = TRAIN_PARAMS["n_estimators"],
     depth: int = TRAIN_PARAMS["max_depth"],
     label: str = S.LABEL,
+    order: Sequence[str] = (),
 ) -> FraudModel:
-    """Fit gradient-boosted trees. Pass a written table: training reads it repeatedly."""
-    use_checkpoint_dir(df.sparkSession)
+    """Fit gradient-boosted trees.
+
+    ``order`` names columns that identify a row: the rows are dealt out and sorted by
+    them, so that the seeded row sampling picks the same rows on every run and retry.
+    """
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    if order:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(parts, *order).sortWithinPartitions(*order)
     matrix = assemble(df, features).select("_features", F.col(label).cast("double").alias("_label"))
     booster = GBTClassifier(
         featuresCol="_features",

@@ -52,7 +52,8 @@ def bucket_count(hours: int, account: str = "nameOrig", step: str = "step") -> C
 
 
 def _windowed(df: DataFrame, key: str, account: str, step: str) -> DataFrame:
-    return df.withColumn("velocity_cumcount", account_rank(key, account, step)).withColumns(
+    by_account = df.repartition(account)  # serves all four windows, whichever of them are used
+    return by_account.withColumn("velocity_cumcount", account_rank(key, account, step)).withColumns(
         {f"velocity_{h}hr": bucket_count(h, account, step) for h in (1, 3, 24)}
     )
 

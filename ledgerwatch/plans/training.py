@@ -47,7 +47,7 @@ def train_run(
     """Resample the training rows, fit, and tune the threshold on the test rows."""
     matrix = scan_features(split, columns, keep=[key, "is_test"])
     balanced = written(smote(matrix.where(~F.col("is_test")), key, columns), "balanced")
-    fitted = M.train(balanced, columns, trees, depth)
+    fitted = M.train(balanced, columns, trees, depth, order=("base_key", "copy"))
     test = M.score(matrix.where("is_test"), fitted).select(key, "score", S.LABEL)
     metrics = curves.evaluate(test, "score", S.LABEL).first().asDict()
     return TrainedRun(replace(fitted, threshold=metrics["best_threshold"]), metrics, test)

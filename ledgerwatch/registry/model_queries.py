@@ -12,7 +12,7 @@ from ledgerwatch.operators import attribution, model as M, reports, retrieval, s
 from ledgerwatch.plans import investigation, training
 from ledgerwatch.registry import query
 from ledgerwatch.registry.tables import KEY, features, from_features, table
-from ledgerwatch.sources import run_log
+from ledgerwatch.sources import corpus, run_log
 from ledgerwatch.workspace import new_dir, written
 
 # Trees per model here; the full training job uses 300.
@@ -60,7 +60,7 @@ def train_run(spark, sf_dir):
 def train_model(spark, sf_dir):
     job = trained(spark, sf_dir)
     split = training.split_features(job.features, KEY)
-    fitted = M.train(split.where(~F.col("is_test")), S.REALISTIC_FEATURES, trees=5, depth=DEPTH)
+    fitted = M.train(split.where(~F.col("is_test")), S.REALISTIC_FEATURES, trees=5, depth=DEPTH, order=(KEY,))
     return M.score(split.where("is_test"), fitted).select(KEY, F.col(S.LABEL).cast("int").alias(S.LABEL), "score")
 
 
@@ -145,11 +145,19 @@ def case_attribution(spark, sf_dir):
     return reports.top_drivers(explained, [KEY, "score", "amount"], 8)
 
 
+_corpora: dict[tuple[str, str], investigation.Corpus] = {}
+
+
 def _corpus(spark, sf_dir) -> investigation.Corpus:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    chunks = written(retrieval.chunk_table(docs, "doc_id", separator="\n"), "chunks")
-    encoder = retrieval.fit_encoder(chunks)
-    return investigation.Corpus(retrieval.embed(chunks, encoder), encoder)
+    """The vector table of the documents, built and saved once per session and data folder."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _corpora:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+        chunks = written(retrieval.chunk_table(docs, "doc_id", separator="\n"), "chunks")
+        encoder, path = retrieval.fit_encoder(chunks), new_dir(spark, "vectors")
+        corpus.save_vectors(retrieval.embed(chunks, encoder), path)
+        _corpora[place] = investigation.Corpus(corpus.load_vectors(spark, path), encoder)
+    return _corpora[place]
 
 
 def _findings(spark, sf_dir):

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from ledgerwatch import schema as S
 from ledgerwatch.registry import query
 from ledgerwatch.registry.model_queries import trained
-from ledgerwatch.registry.tables import KEY, TX, from_tx, table
+from ledgerwatch.registry.tables import KEY, TX, from_features, from_tx, table
 from ledgerwatch.sources.event_log import EPOCH_SECONDS, transactions_from_events
 from ledgerwatch.streaming import lateness, scoring, velocity
 from ledgerwatch.workspace import new_dir
 
 
+_REQUEST = (KEY, "step", "type", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
+
+
 def event_stream(spark, sf_dir):
     shape = table(spark, sf_dir, "events").schema
     return transactions_from_events(
@@ -33,11 +36,19 @@ def _bucket(start, hours):
 def score_stream(spark, sf_dir):
     out = new_dir(spark, "score_stream")
     model = trained(spark, sf_dir).model
-    columns = ["step", "type", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
-    scoring.start_scoring(event_stream(spark, sf_dir).select(KEY, *columns), model, out).awaitTermination()
+    scoring.start_scoring(event_stream(spark, sf_dir).select(*_REQUEST), model, out).awaitTermination()
     return spark.read.parquet(f"{out}/scored").drop("batch")
 
 
+@query("score_stream_gap", from_features("select event_id, 0.0::double as gap from feat where amount > 0"))
+def score_stream_gap(spark, sf_dir):
+    """What the stream scored against a batch over the same requests."""
+    log = transactions_from_events(table(spark, sf_dir, "events"))
+    batch, _ = scoring.score_batch(log.select(*_REQUEST), trained(spark, sf_dir).model)
+    both = score_stream(spark, sf_dir).join(batch.select(KEY, F.col("risk_score").alias("batch_score")), KEY)
+    return both.select(KEY, F.abs(F.col("risk_score") - F.col("batch_score")).alias("gap"))
+
+
 @query(
     "score_stream_rejected",
     from_tx("select event_id, type from tx where not (type in ('TRANSFER', 'CASH_OUT') and amount > 0)"),
@@ -45,8 +56,7 @@ def score_stream(spark, sf_dir):
 def score_stream_rejected(spark, sf_dir):
     out = new_dir(spark, "score_stream")
     model = trained(spark, sf_dir).model
-    columns = ["step", "type", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
-    scoring.start_scoring(event_stream(spark, sf_dir).select(KEY, *columns), model, out).awaitTermination()
+    scoring.start_scoring(event_stream(spark, sf_dir).select(*_REQUEST), model, out).awaitTermination()
     return spark.read.parquet(f"{out}/rejected").select(KEY, "type")
 
 
