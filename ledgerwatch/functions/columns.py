@@ -80,8 +80,17 @@ def balance_anomaly() -> Column:
 
 
 def feature_label(feature_col: str) -> Column:
-    pairs = [F.lit(item) for entry in S.FEATURE_LABELS.items() for item in entry]
-    return F.try_element_at(F.create_map(*pairs), F.col(feature_col))
+    return _looked_up(S.FEATURE_LABELS, feature_col)
+
+
+def tool_label(name_col: str) -> Column:
+    """Display name of a tool; an unknown tool keeps its own name."""
+    return F.coalesce(_looked_up(S.TOOL_LABELS, name_col), F.col(name_col))
+
+
+def _looked_up(values: dict[str, str], col: str) -> Column:
+    pairs = [F.lit(item) for entry in values.items() for item in entry]
+    return F.try_element_at(F.create_map(*pairs), F.col(col))
 
 
 def narrow(col: str) -> Column:

@@ -93,15 +93,18 @@ def explain_report(attributed: DataFrame, key: str, features=S.REALISTIC_FEATURE
 def velocity_check(df: DataFrame, key: str, above: int = S.VELOCITY_FLAG_ABOVE) -> DataFrame:
     """The account's counters, missing ones as 0, and the flag for a busy day."""
     counters = {c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in S.VELOCITY_FEATURES}
-    note = f"risk_flag=True when velocity_24hr > {above} (Customer Risk Rating Matrix)."
     return df.select(
         key,
         *[counters[c].alias(c) for c in ("velocity_1hr", "velocity_3hr", "velocity_24hr", "velocity_cumcount")],
         (counters["velocity_24hr"] > above).alias("risk_flag"),
-        F.lit(note).alias("note"),
+        F.lit(velocity_note(above)).alias("note"),
     )
 
 
+def velocity_note(above: int = S.VELOCITY_FLAG_ABOVE) -> str:
+    return f"risk_flag=True when velocity_24hr > {above} (Customer Risk Rating Matrix)."
+
+
 def confident_fraud(df: DataFrame, threshold: float, score: str = "score", label: str = S.LABEL) -> DataFrame:
     return df.where((F.col(label) == 1) & (F.col(score) >= F.lit(threshold)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwatch.functions import columns as C
 from ledgerwatch.functions.text import snippet
 
 
@@ -23,6 +24,11 @@ def trace_pair(events: DataFrame, investigation: str = "investigation_id") -> Da
     )
     calls = events.where(F.col("type") == "tool_call").select(*keys, "seq")
     return calls.join(results, keys, "left").select(
-        investigation, "seq", "name", "result", F.col("result").isNotNull().alias("done"),
+        investigation,
+        "seq",
+        "name",
+        C.tool_label("name").alias("label"),
+        "result",
+        F.col("result").isNotNull().alias("done"),
         snippet(F.col("result")).alias("snippet"),
     )

@@ -20,8 +20,6 @@ QUESTIONS = {
     2: "account balance drained to zero fraud",
 }
 
-TOOLS = ("run_fraud_model", "explain_prediction", "check_account_velocity", "retrieve_regulations")
-
 
 @dataclass(frozen=True)
 class Corpus:
@@ -49,7 +47,7 @@ def needs_explanation(score: str = "risk_score"):
 def investigate(transactions: DataFrame, key: str, model: M.FraudModel, corpus: Corpus) -> DataFrame:
     """One finding per transaction: score, drivers where the score asks for them, velocity, passages.
 
-    ``transactions`` carries the model features, ``type`` and the velocity counters.
+    ``transactions`` carries the model features and the fields of a request.
     Scores, attributions and velocity are projections of the same rows, so nothing
     is joined but the three answers of the corpus.
     """
@@ -91,11 +89,26 @@ def investigate(transactions: DataFrame, key: str, model: M.FraudModel, corpus:
 
 def trace_events(findings: DataFrame, key: str) -> DataFrame:
     """The investigation of each transaction as ordered events, result texts cut to 500 characters."""
-    transaction = F.to_json(F.struct("step", "type", "amount", *S.VELOCITY_FEATURES))
+    transaction = F.to_json(F.struct(F.struct(*S.REQUEST_FIELDS).alias("transaction")))
+    question = F.to_json(F.struct("query"))
     scored = F.to_json(F.struct("risk_score", "predicted_class", "risk_label", "flagged_features"))
-    explained = F.to_json(F.struct("risk_score", "summary", F.col("top_drivers").alias("top_features")))
+    top = F.transform(
+        "top_drivers", lambda d: F.struct(d["label"].alias("feature"), d["shap_value"], d["direction"])
+    )
+    explained = F.to_json(
+        F.struct(
+            "risk_score", F.col("top_drivers")[0]["label"].alias("top_driver"), "summary", top.alias("top_features")
+        )
+    )
     velocity = F.to_json(
-        F.struct("velocity_1hr", "velocity_3hr", "velocity_24hr", "velocity_cumcount", "risk_flag")
+        F.struct(
+            "velocity_1hr",
+            "velocity_3hr",
+            "velocity_24hr",
+            "velocity_cumcount",
+            "risk_flag",
+            F.lit(reports.velocity_note()).alias("note"),
+        )
     )
     report = F.concat_ws(
         "\n",
@@ -106,13 +119,13 @@ def trace_events(findings: DataFrame, key: str) -> DataFrame:
     )
     gate = needs_explanation()
     steps = [
-        (F.lit(True), "run_fraud_model", transaction, scored),
-        (gate, "explain_prediction", transaction, explained),
-        (F.lit(True), "check_account_velocity", transaction, velocity),
-        (F.lit(True), "retrieve_regulations", F.col("query"), F.col("passages")),
+        (F.lit(True), transaction, scored),
+        (gate, transaction, explained),
+        (F.lit(True), transaction, velocity),
+        (F.lit(True), question, F.col("passages")),
     ]
     events = []
-    for wanted, tool, asked, result in steps:
+    for tool, (wanted, asked, result) in zip(S.TOOL_LABELS, steps, strict=True):
         events.append(F.when(wanted, _event("tool_call", tool, asked, F.lit(None))))
         events.append(F.when(wanted, _event("tool_result", tool, F.lit(None), F.substring(result, 1, 500))))
     events.append(_event("report", None, F.lit(None), report))

@@ -162,7 +162,9 @@ def vectors_save_load(spark, sf_dir):
 _EVENTS_SQL = """e as (
   select conv_id as investigation_id, turn as seq,
     case role when 'user' then 'tool_call' when 'assistant' then 'tool_result' else 'report' end as type,
-    'tool_' || (turn // 2 % 2) as name, text as content from conversations)"""
+    case turn // 2 % 4 when 0 then 'tool_run_fraud_model' when 1 then 'tool_explain_prediction'
+      when 2 then 'tool_retrieve_regulations' else 'tool_search' end as name,
+    text as content from conversations)"""
 
 
 def _events(spark, sf_dir):
@@ -170,7 +172,10 @@ def _events(spark, sf_dir):
         F.col("conv_id").alias("investigation_id"),
         F.col("turn").alias("seq"),
         F.expr("case role when 'user' then 'tool_call' when 'assistant' then 'tool_result' else 'report' end").alias("type"),
-        F.expr("concat('tool_', turn div 2 % 2)").alias("name"),
+        F.expr(
+            "case turn div 2 % 4 when 0 then 'tool_run_fraud_model' when 1 then 'tool_explain_prediction'"
+            " when 2 then 'tool_retrieve_regulations' else 'tool_search' end"
+        ).alias("name"),
         F.col("text").alias("content"),
     )
 
@@ -179,7 +184,9 @@ def _events(spark, sf_dir):
     "trace_pair",
     f"""with {_EVENTS_SQL},
     r as (select investigation_id, name, arg_max(content, seq) as result from e where type = 'tool_result' group by 1, 2)
-    select investigation_id, seq, name, result, result is not null as done,
+    select investigation_id, seq, name, case name when 'tool_run_fraud_model' then 'Run Fraud Model'
+      when 'tool_explain_prediction' then 'Explain Prediction' when 'tool_retrieve_regulations' then 'Retrieve Regulations'
+      else name end as label, result, result is not null as done,
       case when length(result) > 200 then substring(result, 1, 200) || '…' else result end as snippet
     from e left join r using (investigation_id, name) where type = 'tool_call'""",
 )

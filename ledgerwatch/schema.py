@@ -58,6 +58,27 @@ FEATURE_LABELS = {
     "velocity_24hr": "Txns same day",
 }
 
+# Fields of a request, and the tools of an investigation with their display names.
+REQUEST_FIELDS = (
+    "step",
+    "type",
+    "amount",
+    "oldbalanceOrg",
+    "newbalanceOrig",
+    "oldbalanceDest",
+    "newbalanceDest",
+    "velocity_cumcount",
+    "velocity_1hr",
+    "velocity_3hr",
+    "velocity_24hr",
+)
+TOOL_LABELS = {
+    "tool_run_fraud_model": "Run Fraud Model",
+    "tool_explain_prediction": "Explain Prediction",
+    "tool_check_account_velocity": "Check Account Velocity",
+    "tool_retrieve_regulations": "Retrieve Regulations",
+}
+
 # Limits and cut-offs.
 FIRST_STEP, LAST_STEP = 1, 743
 EXPLAIN_THRESHOLD = 0.4

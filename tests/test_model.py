@@ -135,3 +135,109 @@ def test_labels_at_the_thresholds(spark):
 
     df = spark.createDataFrame([(0.5,), (0.4999,), (0.3,), (0.2999,)], "s double")
     assert [r[0] for r in df.select(C.risk_label("s", 0.5)).collect()] == ["HIGH", "MEDIUM", "MEDIUM", "LOW"]
+
+
+def uniform(name, low, high):
+    """Numbers in [low, high), a fixed sequence per name."""
+    from ledgerwatch.functions import columns as C
+
+    return low + C.unit_interval(C.hash_key("key", hash_of(name))) * (high - low)
+
+
+def hash_of(name):
+    return sum(ord(c) * 31**i for i, c in enumerate(name)) % 10_000
+
+
+@pytest.fixture(scope="module")
+def separable(spark):
+    """4,000 requests, 30 % fraud: emptied origins and unmoved destinations against ordinary payments."""
+    df = spark.range(4000).select(F.col("id").alias("key"), (F.col("id") < 1200).cast("byte").alias("isFraud"))
+    fraud = F.col("isFraud") == 1
+
+    def either(a, b):
+        return F.when(fraud, a).otherwise(b)
+
+    df = df.withColumns(
+        {
+            "step": F.floor(uniform("step", 1, 744)).cast("int"),
+            "type_encoded": F.floor(uniform("type", 1, 3)).cast("byte"),
+            "amount": uniform("amount", 50, 50_000),
+            "velocity_24hr": F.floor(either(uniform("v24", 1, 20), uniform("v24", 1, 6))).cast("int"),
+        }
+    )
+    amount = F.col("amount")
+    df = df.withColumns(
+        {
+            "log_amount": F.log1p(amount),
+            "oldbalanceOrg": either(amount * uniform("org", 1, 1.05), amount / uniform("org", 0.05, 0.4)),
+            "oldbalanceDest": either(uniform("dest", 0, 2000), uniform("dest", 1000, 50_000)),
+            "velocity_1hr": F.least("velocity_24hr", F.floor(uniform("v1", 1, 4))).cast("int"),
+            "velocity_cumcount": F.col("velocity_24hr") + F.floor(uniform("cum", 0, 20)).cast("int"),
+        }
+    )
+    df = df.withColumns(
+        {
+            "newbalanceOrig": either(amount * uniform("new", 0, 0.02), F.col("oldbalanceOrg") - amount),
+            "newbalanceDest": either(F.col("oldbalanceDest") + uniform("moved", -50, 50), F.col("oldbalanceDest") + amount),
+            "velocity_3hr": F.least("velocity_24hr", F.col("velocity_1hr") + F.floor(uniform("v3", 0, 3))).cast("int"),
+        }
+    ).cache()
+    return df, M.train(df, trees=15, depth=4, order=("key",))
+
+
+def test_recall_on_separable_rows(separable):
+    df, model = separable
+    fraud = M.score(df, model).where("isFraud = 1")
+    assert fraud.where("score >= 0.5").count() / fraud.count() > 0.8
+
+
+def test_example_requests(spark, separable):
+    from ledgerwatch.streaming.scoring import score_batch
+
+    requests = spark.createDataFrame(
+        [
+            ("fraud", 1, "TRANSFER", 181.0, 181.0, 0.0, 0.0, 0.0, 1, 1, 1, 1),
+            ("legit", 200, "CASH_OUT", 5000.0, 50000.0, 45000.0, 10000.0, 15000.0, 10, 1, 2, 3),
+            ("bad type", 1, "PAYMENT", 181.0, 181.0, 0.0, 0.0, 0.0, 1, 1, 1, 1),
+            ("bad amount", 1, "TRANSFER", -100.0, 181.0, 0.0, 0.0, 0.0, 1, 1, 1, 1),
+        ],
+        "name string, step int, type string, amount double, oldbalanceOrg double, newbalanceOrig double,"
+        " oldbalanceDest double, newbalanceDest double, velocity_cumcount int, velocity_1hr int, velocity_3hr int,"
+        " velocity_24hr int",
+    )
+    scored, rejected = score_batch(requests, separable[1])
+    scores = {r["name"]: r["risk_score"] for r in scored.collect()}
+    assert set(scores) == {"fraud", "legit"} and all(0 <= s <= 1 for s in scores.values())
+    assert scores["legit"] < 0.9 and scores["fraud"] > scores["legit"]
+    assert {r["name"]: r["failed"] for r in rejected.collect()} == {"bad type": ["type"], "bad amount": ["amount"]}
+
+
+def test_training_repeats(separable):
+    df, model = separable
+    again = M.train(df.repartition(7), trees=15, depth=4, order=("key",))
+    both = M.score(M.score(df, model), again, "again")
+    assert both.where(F.abs(F.col("score") - F.col("again")) > 1e-9).count() == 0
+
+
+def test_investigation_trace(spark, sf_dir):
+    import json
+
+    from ledgerwatch.registry import QUERIES
+
+    events = QUERIES["trace_events"](spark, sf_dir).orderBy("investigation_id", "seq").collect()
+    traces = {}
+    for e in events:
+        traces.setdefault(e["investigation_id"], []).append(e)
+    findings = {r["event_id"]: r for r in QUERIES["investigate"](spark, sf_dir).collect()}
+    assert set(traces) == set(findings) and len(findings) == 412
+    for key, trace in traces.items():
+        found = findings[key]
+        assert [e["seq"] for e in trace] == list(range(len(trace)))
+        tools = [e["name"] for e in trace if e["type"] == "tool_call"]
+        expected = [t for t in S.TOOL_LABELS if t != "tool_explain_prediction" or found["risk_score"] >= 0.4]
+        assert tools == expected and trace[-1]["type"] == "report"
+        assert (found["summary"] is not None) == (found["risk_score"] >= 0.4)
+        assert found["recommendation"] in trace[-1]["content"]
+        assert all(len(e["content"]) <= 500 for e in trace if e["type"] == "tool_result")
+        assert set(json.loads(trace[0]["input"])["transaction"]) == set(S.REQUEST_FIELDS)
+        assert found["passages"]
