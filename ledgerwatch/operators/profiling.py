@@ -82,7 +82,7 @@ def amount_stats(df: DataFrame, **layout) -> DataFrame:
     a class; the built-in exact percentile would.
     """
     counts = written(
-        df.where(F.col("amount").isNotNull())
+        df.where(F.col("amount").isNotNull() & F.col(S.LABEL).isin(0, 1))
         .groupBy(F.col(S.LABEL).cast("int").alias(S.LABEL), "amount")
         .agg(F.count(F.lit(1)).alias("n")),
         "amount_counts",

@@ -25,7 +25,7 @@ def first_by_hash(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def smallest_by_hash(
     df: DataFrame, need: Mapping[int, int], group: str, key: str, seed: int = 42, cut_bits: int = CUT_BITS
 ) -> Column:
-    """A predicate true for exactly ``need[g]`` rows of each group ``g`` of ``df``.
+    """A predicate true for exactly ``need[g]`` rows of each group ``g`` of ``df``, or all it has.
 
     Picks the rows with the smallest (hash, key). The hash range is cut into
     2^``cut_bits`` even parts; a histogram finds the part holding the last row
@@ -52,8 +52,8 @@ def smallest_by_hash(
     left = _lookup("_g", {g: wanted[g] - before for g, (_, before) in cuts.items()})
     last_rows = {r["_g"]: (r["_h"], r["_key"]) for r in last.where(F.col("_rank") == left).collect()}
 
-    chosen = F.lit(False)
     own_hash = C.hash_key(key, seed)
+    chosen = F.col(group).isin([g for g in wanted if g not in cuts])  # groups with no more rows than wanted
     for g, (last_hash, last_key) in last_rows.items():
         inside = (own_hash < last_hash) | ((own_hash == last_hash) & (F.col(key) <= last_key))
         chosen = chosen | ((F.col(group) == g) & inside)

@@ -59,37 +59,39 @@ def _windowed(df: DataFrame, key: str, account: str, step: str) -> DataFrame:
 
 
 def _sliced(df: DataFrame, key: str, account: str, step: str, slice_of: Column) -> DataFrame:
-    rows = df.withColumn("_slice", slice_of)
-    counts = rows.groupBy(account, step, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # a struct as key: inside one, NULL equals NULL, so rows without account or hour stay
+    hour = F.struct(F.col(account).alias("account"), F.col(step).alias("step")).alias("_hour")
+    rows = df.withColumn("_slot", F.struct(hour, slice_of.alias("slice"))).drop(account, step)
+    counts = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
 
     earlier_slices = (
-        Window.partitionBy(account, step).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_slot._hour").orderBy("_slot.slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    per_slice = counts.withColumn("_slices_before", _total("_n", earlier_slices))
+    per_slice = counts.select("_slot", "_slot._hour", _total("_n", earlier_slices).alias("_slices_before"))
 
-    earlier_hours = Window.partitionBy(account).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    earlier_hours = Window.partitionBy("_account").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     per_hour = (
-        counts.groupBy(account, step)
+        counts.groupBy("_slot._hour")
         .agg(F.sum("_n").alias("velocity_1hr"))
+        .withColumns({"_account": F.col("_hour.account"), "_step": F.col("_hour.step")})
         .withColumn("_hours_before", _total("velocity_1hr", earlier_hours))
         .withColumns(
             {
-                f"velocity_{h}hr": F.sum("velocity_1hr").over(Window.partitionBy(account, C.bucket(step, h)))
+                f"velocity_{h}hr": F.sum("velocity_1hr").over(Window.partitionBy("_account", C.bucket("_step", h)))
                 for h in (3, 24)
             }
         )
     )
-    offsets = per_slice.join(per_hour, [account, step]).select(
-        account,
-        step,
-        "_slice",
+    offsets = per_slice.join(per_hour, "_hour").select(
+        "_slot",
         (F.col("_hours_before") + F.col("_slices_before")).alias("_before"),
         *[F.col(f"velocity_{h}hr").cast("int").alias(f"velocity_{h}hr") for h in (1, 3, 24)],
     )
-    in_slice = Window.partitionBy(account, step, "_slice").orderBy(key)
+    in_slot = Window.partitionBy("_slot").orderBy(key)
     return (
-        rows.join(offsets, [account, step, "_slice"])
-        .withColumn("velocity_cumcount", (F.col("_before") + F.row_number().over(in_slice) - 1).cast("int"))
+        rows.join(offsets, "_slot")
+        .withColumn("velocity_cumcount", (F.col("_before") + F.row_number().over(in_slot) - 1).cast("int"))
+        .withColumns({account: F.col("_slot._hour.account"), step: F.col("_slot._hour.step")})
         .select(*df.columns, "velocity_cumcount", "velocity_1hr", "velocity_3hr", "velocity_24hr")
     )
 

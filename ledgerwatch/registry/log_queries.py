@@ -103,6 +103,12 @@ def velocity_features(spark, sf_dir):
     return _rounded(features(spark, sf_dir, keep=("nameOrig",)))
 
 
+@query("velocity_features_sliced", from_features(f'select event_id, "nameOrig", {_FEATURES_SQL} from feat'))
+def velocity_features_sliced(spark, sf_dir):
+    """The plan for logs of any size, on the same tables."""
+    return _rounded(features(spark, sf_dir, keep=("nameOrig",), slice_rows=500))
+
+
 @query("write_features", from_features(f"select event_id, {_FEATURES_SQL} from feat"))
 def write_features(spark, sf_dir):
     path = new_dir(spark, "features")
@@ -312,17 +318,21 @@ def anomaly_precision(spark, sf_dir):
     return profiling.anomaly_precision(transactions(spark, sf_dir))
 
 
-@query(
-    "amount_stats",
-    from_tx(
-        """select "isFraud", count(*) as "rows", round(avg(amount), 4) as mean, round(median(amount), 4) as median,
-        max(amount) as max from tx group by "isFraud" """
-    ),
-)
+_AMOUNTS = """select "isFraud", count(*) as "rows", round(avg(amount), 4) as mean, round(median(amount), 4) as median,
+    max(amount) as max from tx group by "isFraud" """
+
+
+@query("amount_stats", from_tx(_AMOUNTS))
 def amount_stats(spark, sf_dir):
     return profiling.amount_stats(transactions(spark, sf_dir))
 
 
+@query("amount_stats_buckets", from_tx(_AMOUNTS))
+def amount_stats_buckets(spark, sf_dir):
+    """The plan for any number of distinct amounts, on the same tables."""
+    return profiling.amount_stats(transactions(spark, sf_dir), single_task_rows=0, buckets=64)
+
+
 @query(
     "amount_histogram",
     from_tx(

@@ -31,17 +31,21 @@ def _counts(spark, sf_dir):
     return curves.score_counts(scored(spark, sf_dir), "score", S.LABEL)
 
 
-@query(
-    "running_curve",
-    from_curve(
-        """select score, cast(pos as bigint) as pos, n, cast(tp_before as bigint) as tp_before, cast(tp as bigint) as tp,
-        cast(predicted as bigint) as predicted from curve"""
-    ),
-)
+_CURVE = """select score, cast(pos as bigint) as pos, n, cast(tp_before as bigint) as tp_before, cast(tp as bigint) as tp,
+    cast(predicted as bigint) as predicted from curve"""
+
+
+@query("running_curve", from_curve(_CURVE))
 def running_curve(spark, sf_dir):
     return curves.running_curve(_counts(spark, sf_dir))
 
 
+@query("running_curve_buckets", from_curve(_CURVE))
+def running_curve_buckets(spark, sf_dir):
+    """The plan for any number of distinct scores, on the same tables."""
+    return curves.running_curve(_counts(spark, sf_dir), single_task_rows=0, buckets=64)
+
+
 _ROC = 'sum((n - pos) * (tp_before + pos / 2)) / (max(p_all)::double * (max(n_all) - max(p_all)))'
 _AP = 'sum(pos * (cast(tp as double) / predicted)) / max(p_all)'
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch import schema as S
+from ledgerwatch.functions import columns as C
 from ledgerwatch.operators import attribution, model as M, reports, retrieval, sampling
 from ledgerwatch.plans import investigation, training
 from ledgerwatch.registry import query
@@ -131,6 +132,47 @@ def explain_report(spark, sf_dir):
     return reports.explain_report(_attributed(spark, sf_dir), KEY)
 
 
+@query(
+    "explain_order",
+    from_features("select event_id, 12 as features, true as in_order, true as class_matches_label from feat"),
+)
+def explain_order(spark, sf_dir):
+    """Drivers come by falling absolute value, and a row is class 1 exactly if it is labelled HIGH."""
+    threshold = trained(spark, sf_dir).model.threshold
+    sizes = F.transform("features", lambda f: F.abs(f["shap_value"]))
+    rows = _attributed(spark, sf_dir)
+    listed = rows.select(KEY, "score", reports.drivers().alias("features")).withColumn("_sizes", sizes)
+    return listed.select(
+        KEY,
+        F.size("features").alias("features"),
+        (F.col("_sizes") == F.reverse(F.array_sort("_sizes"))).alias("in_order"),
+        ((C.predicted_class("score", threshold) == 1) == (C.risk_label("score", threshold) == "HIGH")).alias(
+            "class_matches_label"
+        ),
+    )
+
+
+@query(
+    "investigate_checks",
+    from_features(
+        """select event_id, true as explained_when_due, true as recommendation_follows, true as has_passages,
+        velocity_24hr > 5 as risk_flag from feat"""
+    ),
+)
+def investigate_checks(spark, sf_dir):
+    """The gate on explanations and the recommendation rule, on every finding."""
+    label, busy, due = F.col("risk_label"), F.col("risk_flag"), F.col("risk_score") >= 0.4
+    points = F.when(label == "HIGH", 2).when(label == "MEDIUM", 1).otherwise(0) + busy.cast("int")
+    follows = F.when(points >= 2, "ESCALATE").when(points == 1, "MONITOR").otherwise("CLEAR")
+    return investigate(spark, sf_dir).select(
+        KEY,
+        ((F.size(F.coalesce("top_drivers", F.array())) == 3) == due).alias("explained_when_due"),
+        (F.col("recommendation") == follows).alias("recommendation_follows"),
+        (F.length("passages") > 0).alias("has_passages"),
+        "risk_flag",
+    )
+
+
 @query("global_importance")
 def global_importance(spark, sf_dir):
     return attribution.global_importance(_attributed(spark, sf_dir), S.REALISTIC_FEATURES)

@@ -21,8 +21,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions_from_events(table(spark, sf_dir, "events"))
 
 
-def features(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return feature_table(transactions(spark, sf_dir), KEY, keep)
+def features(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), **layout) -> DataFrame:
+    return feature_table(transactions(spark, sf_dir), KEY, keep, **layout)
 
 
 def test_score(df: DataFrame) -> DataFrame:

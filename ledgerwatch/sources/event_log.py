@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # 2024-01-01T00:00:00Z, where the hour of step 1 begins
 EPOCH_SECONDS = 1704067200
-_SINCE_EPOCH = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts as timestamp_ntz))"
+_EPOCH_DAY = EPOCH_SECONDS // 86400
 
 
 def transactions_from_events(events: DataFrame) -> DataFrame:
@@ -16,10 +16,13 @@ def transactions_from_events(events: DataFrame) -> DataFrame:
     Pure projection: it streams as well as it batches. Event times without a zone
     are taken as UTC whatever the session's zone.
     """
-    base = events.select(
+    clock = events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    base = clock.select(
         "event_id",
-        F.expr(f"timestamp_micros({EPOCH_SECONDS} * 1000000L + {_SINCE_EPOCH})").alias("ts"),
-        F.expr(f"cast(floor({_SINCE_EPOCH} / 3600000000L) + 1 as int)").alias("step"),
+        F.expr(
+            "make_timestamp_ltz(year(ts), month(ts), day(ts), hour(ts), minute(ts), extract(SECOND FROM ts), 'UTC')"
+        ).alias("ts"),
+        F.expr(f"(unix_date(cast(ts as date)) - {_EPOCH_DAY}) * 24 + hour(ts) + 1").alias("step"),
         F.expr(
             "case event_type when 'click' then 'TRANSFER' when 'purchase' then 'CASH_OUT'"
             " when 'view' then 'PAYMENT' when 'signup' then 'CASH_IN' when 'error' then 'DEBIT' end"

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,30 +8,36 @@ from ledgerwatch.operators.features import feature_table
 from ledgerwatch.operators.velocity import add_velocity
 from ledgerwatch.registry.tables import transactions
 
-from plans import exchanges
+from plans import exchanges, text
 
 
 @pytest.fixture(scope="module")
 def skewed(spark):
-    """600 rows: one account owns half, most of them in one hour; keys are sparse and uneven."""
+    """One account owns half the rows, most of them in one hour; keys are sparse and uneven;
+    some rows lack the account or the hour."""
     rows = []
     for i in range(600):
         account = "hot" if i % 2 else f"C{i % 37}"
         step = 5 if account == "hot" and i % 5 else 1 + (i * 7) % 60
         rows.append((i * i * 3 + 11, step, account))
+    rows += [(2_000_000 + i, 3 if i % 2 else None, None if i % 3 else "C1") for i in range(24)]
     return spark.createDataFrame(rows, "key long, step int, nameOrig string")
 
 
 def expected(rows):
     out = {}
-    ordered = sorted(rows, key=lambda r: (r["nameOrig"], r["step"], r["key"]))
+    ordered = sorted(rows, key=lambda r: (r["nameOrig"] or "", -1 if r["step"] is None else r["step"], r["key"]))
+
+    def bucket(r, hours):
+        return None if r["step"] is None else r["step"] // hours
+
     for r in rows:
         same = [x for x in ordered if x["nameOrig"] == r["nameOrig"]]
         out[r["key"]] = (
             [x["key"] for x in same].index(r["key"]),
             sum(x["step"] == r["step"] for x in same),
-            sum(x["step"] // 3 == r["step"] // 3 for x in same),
-            sum(x["step"] // 24 == r["step"] // 24 for x in same),
+            sum(bucket(x, 3) == bucket(r, 3) for x in same),
+            sum(bucket(x, 24) == bucket(r, 24) for x in same),
         )
     return out
 
@@ -54,10 +62,13 @@ def test_window_plan_has_one_shuffle(spark, sf_dir):
     assert exchanges(feature_table(transactions(spark, sf_dir), "event_id")) == 1
 
 
-def test_sliced_plan_never_shuffles_rows_by_account_alone(spark, sf_dir):
-    plan = feature_table(transactions(spark, sf_dir), "event_id", slice_rows=50)._jdf.queryExecution().optimizedPlan().toString()
-    wide = [line for line in plan.splitlines() if "Window" in line and "nameOrig" in line and "_slice" not in line]
-    assert all("event_id" not in line for line in wide)
+def test_sliced_plan_shuffles_the_rows_once_by_slot(spark, sf_dir):
+    plan = text(feature_table(transactions(spark, sf_dir), "event_id", slice_rows=50))
+    exchanges_by = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    # counts per slot (for both branches), slices of an hour, hours, account; and the rows
+    assert exchanges_by.count("_account") == 1 and "nameOrig" not in exchanges_by
+    rows = plan[: plan.index("Join")]
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#", rows) == ["_slot"]
 
 
 def test_type_filter_reaches_the_scan(spark, sf_dir, tmp_path):
