@@ -43,17 +43,18 @@ def knn(
     cells: int = CELLS,
     block: int = BLOCK,
     with_vector: bool = False,
+    few: bool | None = None,
 ) -> DataFrame:
     """The ``k`` nearest ``base`` rows of every query.
 
     Both inputs have columns ``id`` (long) and ``vector`` (array of float or double).
     Returns ``query_id, rank (from 1), id, distance`` with the squared distance, and
     the neighbour's ``vector`` on request. Fewer than ``k`` rows come back only when
-    ``base`` has fewer.
+    ``base`` has fewer. ``few`` is the answer of ``is_few`` if the caller has it.
     """
     queries = _doubles(queries)
     base = _doubles(base)
-    if is_few(queries, few_queries):
+    if is_few(queries, few_queries) if few is None else few:
         found = _scan(queries, base, k)
     else:
         found = _search_bins(queries, base, k, cells, block)

@@ -80,9 +80,10 @@ def retrieve(
     ``queries`` has ``id, vector``. Without any chunk every query gets ``empty_text``.
     """
     base = vectors.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
-    hits = knn(queries, base, top_k, few_queries, **layout)
+    few = is_few(queries, few_queries)
+    hits = knn(queries, base, top_k, few=few, **layout)
     chunks = vectors.select("chunk_id", passage(F.col("text"), max_chars).alias("text"))
-    texts = chunk_lookup(hits, chunks, few=is_few(queries, few_queries))
+    texts = chunk_lookup(hits, chunks, few)
     joined = texts.groupBy("query_id").agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("rank", "text")))["text"], PASSAGE_SEPARATOR).alias(
             "passages"  # at most top_k entries

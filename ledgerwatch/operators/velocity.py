@@ -5,7 +5,8 @@ four windows over one shuffle by account: no group can exceed the checked count.
 larger log takes the sliced plan, which never holds an account, or an account's
 hour, in one task:
 
-* the row key's range is cut into slices of about ``slice_rows`` rows;
+* the row keys are cut into slices of about ``slice_rows`` rows, at quantiles and evenly
+  between them, so that uneven keys do no harm;
 * rows are counted per (account, hour, slice), with map-side combining;
 * running sums over those counts give the offsets, over at most one row per hour of
   an account and one row per slice of an hour;
@@ -14,12 +15,14 @@ hour, in one task:
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions import columns as C
 
 SLICE_ROWS = 4_000_000
+QUANTILES = 1_024
 
 
 def add_velocity(
@@ -33,12 +36,10 @@ def add_velocity(
 
     ``key`` is a unique integer row key; it orders the rows of one account and hour.
     """
-    rows, low, high = df.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
+    rows = df.count()
     if rows <= slice_rows:
         return _windowed(df, key, account, step)
-    slices = -(-rows // slice_rows)
-    width = (high - low) // slices + 1
-    return _sliced(df, key, account, step, F.expr(f"(`{key}` - {low}) div {width}"))
+    return _sliced(_with_slice(df, key, -(-rows // slice_rows)), key, account, step)
 
 
 def account_rank(key: str, account: str = "nameOrig", step: str = "step") -> Column:
@@ -58,10 +59,32 @@ def _windowed(df: DataFrame, key: str, account: str, step: str) -> DataFrame:
     )
 
 
-def _sliced(df: DataFrame, key: str, account: str, step: str, slice_of: Column) -> DataFrame:
+def _with_slice(df: DataFrame, key: str, slices: int) -> DataFrame:
+    """Add ``_slice``, rising with the key: about ``slices`` parts of like size."""
+    blocks = min(slices, QUANTILES)
+    shares = [i / blocks for i in range(blocks + 1)]
+    position = F.col(key).cast("double")
+    edges = sorted(set(df.agg(F.percentile_approx(position, shares, 10 * QUANTILES)).first()[0]))
+    placed = df.withColumn("_position", position)
+    if len(edges) > 2:
+        splits = [float("-inf"), *edges[1:-1], float("inf")]
+        placed = Bucketizer(splits=splits, inputCol="_position", outputCol="_block").transform(placed)
+    else:
+        placed = placed.withColumn("_block", F.lit(0))
+    blocks = max(1, len(edges) - 1)
+    per_block = -(-slices // blocks)
+    bounds = F.array(*[F.lit(e) for e in (edges if len(edges) > 1 else [edges[0], edges[0] + 1])])
+    block = F.col("_block").cast("int")
+    low, high = F.get(bounds, block), F.get(bounds, block + 1)
+    inside = F.floor((F.col("_position") - low) / (high - low) * per_block)
+    part = F.least(F.greatest(inside, F.lit(0)), F.lit(per_block - 1))
+    return placed.withColumn("_slice", block * per_block + part).drop("_position", "_block")
+
+
+def _sliced(df: DataFrame, key: str, account: str, step: str) -> DataFrame:
     # a struct as key: inside one, NULL equals NULL, so rows without account or hour stay
     hour = F.struct(F.col(account).alias("account"), F.col(step).alias("step")).alias("_hour")
-    rows = df.withColumn("_slot", F.struct(hour, slice_of.alias("slice"))).drop(account, step)
+    rows = df.withColumn("_slot", F.struct(hour, F.col("_slice").alias("slice"))).drop(account, step, "_slice")
     counts = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
 
     earlier_slices = (
@@ -92,7 +115,7 @@ def _sliced(df: DataFrame, key: str, account: str, step: str, slice_of: Column)
         rows.join(offsets, "_slot")
         .withColumn("velocity_cumcount", (F.col("_before") + F.row_number().over(in_slot) - 1).cast("int"))
         .withColumns({account: F.col("_slot._hour.account"), step: F.col("_slot._hour.step")})
-        .select(*df.columns, "velocity_cumcount", "velocity_1hr", "velocity_3hr", "velocity_24hr")
+        .select(*[c for c in df.columns if c != "_slice"], "velocity_cumcount", "velocity_1hr", "velocity_3hr", "velocity_24hr")
     )
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch import schema as S
 from ledgerwatch.operators.features import feature_table
+from ledgerwatch.operators import velocity
 from ledgerwatch.operators.velocity import add_velocity
 from ledgerwatch.registry.tables import transactions
 
@@ -51,6 +52,22 @@ def test_both_plans_match_brute_force(skewed, slice_rows):
     assert got == expected(skewed.collect())
 
 
+@pytest.mark.parametrize("quantiles", [4, 1024])
+@pytest.mark.parametrize("outlier", [2**62, -(2**62)])
+def test_slices_stay_even_with_uneven_keys(spark, monkeypatch, quantiles, outlier):
+    monkeypatch.setattr(velocity, "QUANTILES", quantiles)
+    keys = spark.range(1000).select("id").unionByName(spark.createDataFrame([(outlier,)], "id long"))
+    rows = velocity._with_slice(keys, "id", 100).orderBy("id").collect()
+    slices = [r["_slice"] for r in rows]
+    assert slices == sorted(slices)
+    biggest = max(slices.count(s) for s in set(slices))
+    assert biggest <= (40 if quantiles == 1024 else 300)
+
+
+def test_slices_of_one_key(spark):
+    assert velocity._with_slice(spark.range(7, 8), "id", 3).first()["_slice"] >= 0
+
+
 def test_sliced_plan_equals_windows_on_the_log(spark, sf_dir):
     log = transactions(spark, sf_dir)
     plain, sliced = feature_table(log, "event_id"), feature_table(log, "event_id", slice_rows=50)
