@@ -15,6 +15,7 @@ from ledgerwatch.sources.corpus import VECTOR_COLUMNS
 from ledgerwatch.workspace import written
 
 DIMENSIONS = 384
+PARAGRAPH_BITS = 20
 NO_DOCUMENTS = "No regulatory documents loaded."
 
 
@@ -40,10 +41,14 @@ def chunk_table(docs: DataFrame, key: str, **chunking) -> DataFrame:
     """``chunk_id, source, text`` of every chunk. ``key`` is the documents' integer key.
 
     A chunk's id packs its document's key and its place there, so no global
-    numbering pass is needed; 2^20 paragraphs per document are allowed for.
+    numbering pass is needed. Keys below 2^43 and 2^20 paragraphs each fit; more
+    is an error.
     """
+    doc, place = F.col(key).cast("long"), F.col("paragraph")
+    fits = (doc >= 0) & (doc < 1 << 63 - PARAGRAPH_BITS) & (place < 1 << PARAGRAPH_BITS)
+    packed = F.shiftleft(doc, PARAGRAPH_BITS) + place
     return chunk_documents(docs, **chunking).select(
-        (F.shiftleft(F.col(key).cast("long"), 20) + F.col("paragraph")).alias("chunk_id"),
+        F.when(fits, packed).otherwise(F.raise_error(F.lit("document key or paragraph too large"))).alias("chunk_id"),
         "source",
         F.col("chunk").alias("text"),
     )

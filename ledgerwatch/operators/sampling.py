@@ -17,6 +17,11 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> Dat
     return df.where(C.hash_key(key, seed) < F.lit(int(fraction * (1 << C.HASH_BITS))))
 
 
+def fraud_and_sample(df: DataFrame, key: str, label: str, fraction: float, seed: int = 42) -> DataFrame:
+    """Every positive row, and of the others a hash sample."""
+    return df.where((F.col(label) == 1) | (C.hash_key(key, seed) < F.lit(int(fraction * (1 << C.HASH_BITS)))))
+
+
 def first_by_hash(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement: the smallest hashes of the key."""
     return df.orderBy(C.hash_key(key, seed), key).limit(n)

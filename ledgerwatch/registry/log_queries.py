@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 from ledgerwatch import schema as S
 from ledgerwatch.functions import columns as C
 from ledgerwatch.operators import features as feature_ops
-from ledgerwatch.operators import profiling, reports, validation
+from ledgerwatch.operators import profiling, reports, sampling, validation
 from ledgerwatch.registry import query
-from ledgerwatch.registry.tables import KEY, features, from_features, from_tx, plain, scored, test_score, transactions
+from ledgerwatch.registry.tables import (
+    HASH_SQL,
+    KEY,
+    features,
+    from_features,
+    from_tx,
+    plain,
+    scored,
+    test_score,
+    transactions,
+)
 from ledgerwatch.sources import transactions as log
 from ledgerwatch.workspace import new_dir
 
@@ -327,6 +337,18 @@ def amount_stats(spark, sf_dir):
     return profiling.amount_stats(transactions(spark, sf_dir))
 
 
+@query(
+    "amount_stats_sampled",
+    from_tx(
+        f"""select "isFraud", count(*) as "rows", round(avg(amount), 4) as mean, round(median(amount), 4) as median,
+        max(amount) as max from tx where "isFraud" = 1 or {HASH_SQL} < {int(0.01 * (1 << C.HASH_BITS))} group by "isFraud" """
+    ),
+)
+def amount_stats_sampled(spark, sf_dir):
+    """All fraud against a 1 % sample of the rest."""
+    return profiling.amount_stats(sampling.fraud_and_sample(transactions(spark, sf_dir), KEY, S.LABEL, 0.01))
+
+
 @query("amount_stats_buckets", from_tx(_AMOUNTS))
 def amount_stats_buckets(spark, sf_dir):
     """The plan for any number of distinct amounts, on the same tables."""

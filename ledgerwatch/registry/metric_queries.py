@@ -13,6 +13,7 @@ from ledgerwatch.registry import query
 from ledgerwatch.registry.tables import (
     ATTRIBUTED,
     DRIVERS,
+    HASH_SQL,
     KEY,
     SCORE_COUNTS,
     attributed,
@@ -183,10 +184,7 @@ def toxic_label_metrics(spark, sf_dir):
 
 # Samples, splits and resampling.
 
-_HASH = "cast('0x' || substr(md5('42:' || event_id), 1, 12) as bigint)"
-
-
-@query("sample_legit", from_tx(f"""select event_id, amount from tx where "isFraud" = 0 and {_HASH} < {int(0.01 * (1 << C.HASH_BITS))}"""))
+@query("sample_legit", from_tx(f"""select event_id, amount from tx where "isFraud" = 0 and {HASH_SQL} < {int(0.01 * (1 << C.HASH_BITS))}"""))
 def sample_legit(spark, sf_dir):
     legit = transactions(spark, sf_dir).where(F.col(S.LABEL) == 0)
     return sampling.hash_sample(legit, KEY, 0.01).select(KEY, "amount")
@@ -198,7 +196,7 @@ exact as (select *, ceil(0.2::double * n_all) as n_test, n * ceil(0.2::double *
 ranked as (select *, floor(x) as whole, n_test - sum(floor(x)) over () as spare,
   row_number() over (order by floor(x) - x, "isFraud") as place from exact),
 need as (select "isFraud", whole + case when place <= spare then 1 else 0 end as need from ranked),
-hashed as (select *, row_number() over (partition by "isFraud" order by {_HASH}, event_id) as place from feat),
+hashed as (select *, row_number() over (partition by "isFraud" order by {HASH_SQL}, event_id) as place from feat),
 split as (select h.*, h.place <= need as is_test from hashed h join need using ("isFraud"))"""
 
 
@@ -221,7 +219,7 @@ def label_summary(spark, sf_dir):
 
 @query(
     "sample_cases",
-    from_features(f"""select event_id, score from feat where "isFraud" = 1 and score >= 0.5 order by {_HASH}, event_id limit 10"""),
+    from_features(f"""select event_id, score from feat where "isFraud" = 1 and score >= 0.5 order by {HASH_SQL}, event_id limit 10"""),
 )
 def sample_cases(spark, sf_dir):
     return sampling.first_by_hash(reports.confident_fraud(scored(spark, sf_dir), 0.5), KEY, 10).select(KEY, "score")
@@ -263,7 +261,7 @@ def smote_query(spark, sf_dir):
     "smote_copies",
     from_features(
         f"""select base_key, cast(each + case when place <= rest then 1 else 0 end as bigint) as copies from (
-        select event_id as base_key, row_number() over (order by {_HASH}, event_id) as place,
+        select event_id as base_key, row_number() over (order by {HASH_SQL}, event_id) as place,
           (legit - fraud) // fraud as each, (legit - fraud) % fraud as rest
         from feat, (select count(*) filter ("isFraud" = 0) as legit, count(*) filter ("isFraud" = 1) as fraud from feat)
         where "isFraud" = 1) where each + case when place <= rest then 1 else 0 end > 0"""

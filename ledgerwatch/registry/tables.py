@@ -71,6 +71,8 @@ def plain(df: DataFrame) -> DataFrame:
     )
 
 
+HASH_SQL = "cast('0x' || substr(md5('42:' || event_id), 1, 12) as bigint)"
+
 TX = """
 tx0 as (
   select event_id, ts,

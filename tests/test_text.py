@@ -104,3 +104,13 @@ def test_last_result_serves_every_call(spark):
     events = spark.createDataFrame(rows, "investigation_id long, seq int, type string, name string, content string")
     got = {(r["investigation_id"], r["seq"]): (r["result"], r["done"]) for r in trace_pair(events).collect()}
     assert got == {(1, 0): ("last", True), (1, 2): ("last", True), (1, 4): (None, False), (2, 0): (None, False)}
+
+
+def test_chunk_ids_that_do_not_fit(spark):
+    from pyspark.errors import PySparkException
+
+    docs = spark.createDataFrame([(1 << 43, "x" * 60, "s")], "doc_id long, text string, source string")
+    with pytest.raises(PySparkException, match="too large"):
+        retrieval.chunk_table(docs, "doc_id").collect()
+    fits = docs.withColumn("doc_id", F.lit((1 << 43) - 1))
+    assert retrieval.chunk_table(fits, "doc_id").first()["chunk_id"] == ((1 << 43) - 1) << 20
