@@ -69,7 +69,6 @@ def train(
         subsamplingRate=TRAIN_PARAMS["subsample"],
         featureSubsetStrategy=str(TRAIN_PARAMS["colsample_bytree"]),
         seed=TRAIN_PARAMS["random_state"],
-        cacheNodeIds=True,
     )
     return FraudModel(booster.fit(matrix), tuple(features))
 
