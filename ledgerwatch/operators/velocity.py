@@ -82,16 +82,8 @@ def _with_slice(df: DataFrame, key: str, slices: int) -> DataFrame:
 
 
 def _sliced(df: DataFrame, key: str, account: str, step: str) -> DataFrame:
-    # a struct as key: inside one, NULL equals NULL, so rows without account or hour stay
-    hour = F.struct(F.col(account).alias("account"), F.col(step).alias("step")).alias("_hour")
-    rows = df.withColumn("_slot", F.struct(hour, F.col("_slice").alias("slice"))).drop(account, step, "_slice")
-    counts = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
-
-    earlier_slices = (
-        Window.partitionBy("_slot._hour").orderBy("_slot.slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    per_slice = counts.select("_slot", "_slot._hour", _total("_n", earlier_slices).alias("_slices_before"))
-
+    rows = _with_slot(df, account, step)
+    counts = _slot_counts(rows)
     earlier_hours = Window.partitionBy("_account").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     per_hour = (
         counts.groupBy("_slot._hour")
@@ -105,17 +97,78 @@ def _sliced(df: DataFrame, key: str, account: str, step: str) -> DataFrame:
             }
         )
     )
-    offsets = per_slice.join(per_hour, "_hour").select(
-        "_slot",
-        (F.col("_hours_before") + F.col("_slices_before")).alias("_before"),
+    placed = _placed(rows, counts, per_hour.drop("_account", "_step"), key)
+    return placed.select(
+        *_original(df, account, step),
+        (F.col("_hours_before") + F.col("_place")).cast("int").alias("velocity_cumcount"),
         *[F.col(f"velocity_{h}hr").cast("int").alias(f"velocity_{h}hr") for h in (1, 3, 24)],
     )
+
+
+def asof_rows(
+    df: DataFrame,
+    hours: DataFrame,
+    key: str,
+    account: str = "nameOrig",
+    step: str = "step",
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Velocity up to and including each row, rows of an hour taken in key order.
+
+    ``hours`` has a row per account and hour with its rows ``n``, the account's rows
+    before it (``velocity_cumcount``) and those up to its end in its 3- and 24-hour
+    bucket. Rows whose hour is not there are left for later.
+    """
+    slices = -(-df.count() // slice_rows)
+    sliced = _with_slice(df, key, slices) if slices > 1 else df.withColumn("_slice", F.lit(0).cast("long"))
+    rows = _with_slot(sliced, account, step)
+    per_hour = hours.select(
+        _hour(account, step),
+        "n",
+        F.col("velocity_cumcount").alias("_hours_before"),
+        *[F.col(f"velocity_{h}hr").alias(f"_to_end_{h}") for h in (1, 3, 24)],
+    )
+    placed = _placed(rows, _slot_counts(rows), per_hour, key)
+    return placed.select(
+        *_original(sliced, account, step),
+        (F.col("_hours_before") + F.col("_place")).cast("int").alias("velocity_cumcount"),
+        *[
+            (F.col(f"_to_end_{h}") - F.col("n") + F.col("_place") + 1).cast("int").alias(f"velocity_{h}hr")
+            for h in (1, 3, 24)
+        ],
+    )
+
+
+def _hour(account: str, step: str) -> Column:
+    # inside a struct NULL equals NULL, so rows without account or hour stay
+    return F.struct(F.col(account).alias("account"), F.col(step).alias("step")).alias("_hour")
+
+
+def _with_slot(df: DataFrame, account: str, step: str) -> DataFrame:
+    """Account, hour and slice as one key column in place of the three."""
+    slot = F.struct(_hour(account, step), F.col("_slice").alias("slice"))
+    return df.withColumn("_slot", slot).drop(account, step, "_slice")
+
+
+def _original(df: DataFrame, account: str, step: str) -> list[Column]:
+    back = {account: F.col("_slot._hour.account").alias(account), step: F.col("_slot._hour.step").alias(step)}
+    return [back.get(c, F.col(c)) for c in df.columns if c != "_slice"]
+
+
+def _slot_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _placed(rows: DataFrame, counts: DataFrame, per_hour: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of their hour and ``_place``, their number in it from 0."""
+    earlier_slices = (
+        Window.partitionBy("_slot._hour").orderBy("_slot.slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    per_slice = counts.select("_slot", "_slot._hour", _total("_n", earlier_slices).alias("_slices_before"))
+    per_slot = per_slice.join(per_hour, "_hour").drop("_hour")
     in_slot = Window.partitionBy("_slot").orderBy(key)
-    return (
-        rows.join(offsets, "_slot")
-        .withColumn("velocity_cumcount", (F.col("_before") + F.row_number().over(in_slot) - 1).cast("int"))
-        .withColumns({account: F.col("_slot._hour.account"), step: F.col("_slot._hour.step")})
-        .select(*[c for c in df.columns if c != "_slice"], "velocity_cumcount", "velocity_1hr", "velocity_3hr", "velocity_24hr")
+    return rows.join(per_slot, "_slot").withColumn(
+        "_place", F.col("_slices_before") + F.row_number().over(in_slot) - 1
     )
 
 

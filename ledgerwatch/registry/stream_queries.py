@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerwatch import schema as S
+from ledgerwatch.operators.features import filter_types
 from ledgerwatch.registry import query
 from ledgerwatch.registry.model_queries import trained
 from ledgerwatch.registry.tables import KEY, TX, from_features, from_tx, table
@@ -83,13 +84,24 @@ def velocity_stream(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _closed_hours_asof(spark, sf_dir):
+    """Tables of the closed hours with their counters, by two streams run to their end."""
+    hours, out = new_dir(spark, "closed_hours"), new_dir(spark, "asof")
+    velocity.start_append(velocity.closed_hours(_relevant(spark, sf_dir), EPOCH_SECONDS), hours).awaitTermination()
+    velocity.start_asof(spark, f"{hours}/table", out).awaitTermination()
+    return f"{out}/table"
+
+
+_CLOSED = """timestamp '2024-01-01' + to_hours(step) <=
+  (select max(ts) from tx where type in ('TRANSFER', 'CASH_OUT')) - interval 1 hour"""
+
+
 @query(
     "velocity_asof_stream",
     f"""with {TX},
     h as (
       select "nameOrig", step, count(*) as n from tx where type in ('TRANSFER', 'CASH_OUT') group by 1, 2
-      having timestamp '2024-01-01' + to_hours(step) <=
-        (select max(ts) from tx where type in ('TRANSFER', 'CASH_OUT')) - interval 1 hour)
+      having {_CLOSED})
     select "nameOrig", step, n,
       cast(coalesce(sum(n) over (partition by "nameOrig" order by step rows between unbounded preceding and 1 preceding), 0)
         as bigint) as velocity_cumcount,
@@ -98,11 +110,28 @@ def velocity_stream(spark, sf_dir):
       cast(sum(n) over (partition by "nameOrig", floor(step / 24) order by step) as bigint) as velocity_24hr from h""",
 )
 def velocity_asof_stream(spark, sf_dir):
-    hours, out = new_dir(spark, "closed_hours"), new_dir(spark, "asof")
-    stream = velocity.closed_hours(_relevant(spark, sf_dir), EPOCH_SECONDS)
-    velocity.start_append(stream, hours).awaitTermination()
-    velocity.start_asof(spark, f"{hours}/table", out).awaitTermination()
-    return spark.read.parquet(f"{out}/table")
+    return spark.read.parquet(_closed_hours_asof(spark, sf_dir))
+
+
+def _so_far(hours):
+    return f"""cast(count(*) over (partition by "nameOrig", floor(step / {hours}) order by step, event_id
+      rows between unbounded preceding and current row) as integer) as velocity_{hours}hr"""
+
+
+@query(
+    "velocity_asof_rows",
+    f"""with {TX}
+    select event_id, "nameOrig", step,
+      cast(row_number() over (partition by "nameOrig" order by step, event_id) - 1 as integer) as velocity_cumcount,
+      {_so_far(1)}, {_so_far(3)}, {_so_far(24)}
+    from tx where type in ('TRANSFER', 'CASH_OUT') and {_CLOSED}""",
+)
+def velocity_asof_rows(spark, sf_dir):
+    rows, out = new_dir(spark, "transactions"), new_dir(spark, "asof_rows")
+    log = filter_types(transactions_from_events(table(spark, sf_dir, "events")))
+    log.select(KEY, "nameOrig", "step").write.parquet(rows)
+    velocity.start_asof_rows(spark, _closed_hours_asof(spark, sf_dir), rows, out, KEY).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
 # Days of arrival per micro-batch of the lateness query.

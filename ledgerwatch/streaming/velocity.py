@@ -4,7 +4,8 @@
 behind the watermark. ``start_asof`` goes on from the closed hours: per account and
 hour, what the account had done so far. Since the hours are counted (with map-side
 combining) before they reach the per-account state, an account costs the state at most
-one row per hour, however many transactions it makes.
+one row per hour, however many transactions it makes. ``start_asof_rows`` then releases the
+transactions of the closed hours, each with the counters up to and including itself.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerwatch.operators.velocity import asof_rows
+
 WATERMARK = "1 hour"
 HOURS_SCHEMA = "nameOrig string, step int, n long"
 
@@ -74,6 +77,30 @@ def start_asof(spark: SparkSession, hours_table: str, out: str, **trigger) -> St
     return start_append(asof_counts(hours), out, **trigger)
 
 
+def start_asof_rows(
+    spark: SparkSession, asof_table: str, rows_table: str, out: str, key: str, **trigger
+) -> StreamingQuery:
+    """Transactions with their counters, hour by hour as the hours close.
+
+    ``rows_table`` holds the transactions with ``key``, ``nameOrig`` and ``step``; a batch
+    reads the hours it releases. Each batch overwrites its own folder below ``out/rows``.
+    """
+
+    def release(batch: DataFrame, batch_id: int) -> None:
+        first, last = batch.agg(F.min("step"), F.max("step")).first()
+        rows = spark.read.parquet(rows_table).where(F.col("step").between(first, last))
+        asof_rows(rows, batch, key).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+    return (
+        spark.readStream.schema(ASOF_SCHEMA)
+        .parquet(asof_table)
+        .writeStream.foreachBatch(release)
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     total, bucket3, count3, bucket24, count24 = state.get if state.exists else (0, -1, 0, -1, 0)
     rows = []

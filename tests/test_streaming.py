@@ -69,6 +69,33 @@ def test_asof_over_many_batches(spark, sf_dir, tmp_path):
     assert len(got) >= len(want) - 8
 
 
+def test_rows_of_closed_hours_over_many_batches(spark, sf_dir, tmp_path):
+    log = filter_types(transactions(spark, sf_dir)).select("event_id", "ts", "step", "nameOrig")
+    log.write.parquet(str(tmp_path / "log"))
+    parts = log.withColumn("part", F.least(F.floor(F.col("step") / 240), F.lit(2)).cast("int"))
+    hours = velocity.closed_hours(arrivals(spark, parts, str(tmp_path / "in"), 3), EPOCH_SECONDS)
+    # one batch of hours after the other, each releasing its transactions
+    query = (
+        hours.writeStream.format("parquet").option("path", str(tmp_path / "hours/table"))
+        .option("checkpointLocation", str(tmp_path / "hours/checkpoint")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    velocity.start_asof(spark, str(tmp_path / "hours/table"), str(tmp_path / "asof")).awaitTermination()
+    velocity.start_asof_rows(
+        spark, str(tmp_path / "asof/table"), str(tmp_path / "log"), str(tmp_path / "rows"), "event_id"
+    ).awaitTermination()
+    got = {r["event_id"]: r for r in spark.read.parquet(str(tmp_path / "rows/rows")).collect()}
+    rows = sorted(log.collect(), key=lambda r: (r["step"], r["event_id"]))
+    seen = []
+    for r in rows:
+        before = [x for x in seen if x["nameOrig"] == r["nameOrig"]]
+        seen.append(r)
+        if r["event_id"] in got:
+            want = [len(before)] + [1 + sum(x["step"] // h == r["step"] // h for x in before) for h in (1, 3, 24)]
+            assert [got[r["event_id"]][c] for c in S.VELOCITY_FEATURES] == want
+    assert len(rows) - len(got) <= 6
+
+
 def test_closed_buckets_equal_batch_counts(spark, sf_dir, tmp_path):
     log = filter_types(transactions(spark, sf_dir)).select("ts", "step", "nameOrig")
     stream = arrivals(spark, log.withColumn("part", F.lit(0)), str(tmp_path / "in"), 1)

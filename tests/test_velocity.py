@@ -68,6 +68,41 @@ def test_slices_of_one_key(spark):
     assert velocity._with_slice(spark.range(7, 8), "id", 3).first()["_slice"] >= 0
 
 
+@pytest.mark.parametrize("slice_rows", [10_000, 5])
+def test_asof_rows_match_brute_force(spark, skewed, slice_rows):
+    whole = add_velocity(skewed, "key", slice_rows=slice_rows)
+    hours = whole.groupBy("nameOrig", "step").agg(
+        F.count(F.lit(1)).alias("n"), F.min("velocity_cumcount").alias("velocity_cumcount")
+    )
+    rows = skewed.collect()
+
+    def within(x, r, h):
+        return None not in (x["step"], r["step"]) and x["step"] // h == r["step"] // h
+
+    ends = spark.createDataFrame(
+        [
+            (r["nameOrig"], r["step"], *[
+                sum(x["nameOrig"] == r["nameOrig"] and within(x, r, h) and x["step"] <= r["step"] for x in rows) for h in (1, 3, 24)
+            ])
+            for r in {(x["nameOrig"], x["step"]): x for x in rows}.values() if r["step"] is not None
+        ],
+        "nameOrig string, step int, velocity_1hr long, velocity_3hr long, velocity_24hr long",
+    )
+    closed = hours.join(ends, hours.nameOrig.eqNullSafe(ends.nameOrig) & (hours.step == ends.step)).select(
+        hours.nameOrig, hours.step, "n", "velocity_cumcount", "velocity_1hr", "velocity_3hr", "velocity_24hr"
+    )
+    got = velocity.asof_rows(skewed, closed, "key", slice_rows=slice_rows).collect()
+    assert len(got) == sum(r["step"] is not None for r in rows)
+    for r in got:
+        upto = [
+            x for x in rows
+            if x["nameOrig"] == r["nameOrig"] and x["step"] is not None and (x["step"], x["key"]) <= (r["step"], r["key"])
+        ]
+        missing = sum(x["nameOrig"] == r["nameOrig"] and x["step"] is None for x in rows)
+        assert r["velocity_cumcount"] == len(upto) - 1 + missing
+        assert [r[f"velocity_{h}hr"] for h in (1, 3, 24)] == [sum(within(x, r, h) for x in upto) for h in (1, 3, 24)]
+
+
 def test_sliced_plan_equals_windows_on_the_log(spark, sf_dir):
     log = transactions(spark, sf_dir)
     plain, sliced = feature_table(log, "event_id"), feature_table(log, "event_id", slice_rows=50)
