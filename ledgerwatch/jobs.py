@@ -10,6 +10,7 @@ written out first so that it stays the same; a Parquet log names its key with ``
 from __future__ import annotations
 
 import argparse
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,12 @@ from ledgerwatch.operators import attribution, model as M, profiling, reports, r
 from ledgerwatch.operators.features import add_request_features, feature_table
 from ledgerwatch.operators.validation import default_velocity, split_valid
 from ledgerwatch.plans import investigation, training
+from ledgerwatch.session import open_session
 from ledgerwatch.sources import corpus as corpus_files
 from ledgerwatch.sources import transactions as log_files
 from ledgerwatch.sources.trace import write_trace
-from ledgerwatch.streaming import scoring
+from ledgerwatch.sources.event_log import EPOCH_SECONDS
+from ledgerwatch.streaming import scoring, velocity
 from ledgerwatch.workspace import written
 
 KEY = "row_id"
@@ -137,6 +140,27 @@ def score_stream(spark: SparkSession, args) -> None:
     scoring.start_scoring(stream, M.load_model(spark, args.model), args.out, **trigger).awaitTermination()
 
 
+def velocity_stream(spark: SparkSession, args) -> None:
+    """Final counts per account and bucket, and counters per closed hour, as log files arrive."""
+    log = velocity.relevant_stream(log_files.stream_csv(spark, args.log), args.epoch)
+    trigger = {"processingTime": args.every} if args.every else {"availableNow": True}
+    running = [
+        velocity.start_append(velocity.closed_counts(log, hours), f"{args.out}/counts_{hours}h", **trigger)
+        for hours in (3, 24)
+    ]
+    hourly = velocity.start_append(velocity.closed_hours(log, args.epoch), f"{args.out}/counts_1h", **trigger)
+    if args.every:
+        while hourly.isActive and not hourly.lastProgress:  # its first batch creates the table
+            time.sleep(1)
+    else:
+        for query in (*running, hourly):
+            query.awaitTermination()
+    last = velocity.start_asof(spark, f"{args.out}/counts_1h/table", f"{args.out}/asof", **trigger)
+    if args.every:
+        spark.streams.awaitAnyTermination()
+    last.awaitTermination()
+
+
 JOBS: dict[str, tuple[Callable, dict[str, object]]] = {
     "ingest": (ingest, {"log": None, "format": "csv", "key": KEY, "chunk_rows": S.CHUNK_ROWS}),
     "profile": (profile, {"log": None, "format": "csv", "key": KEY, "sample": 0.01}),
@@ -146,6 +170,7 @@ JOBS: dict[str, tuple[Callable, dict[str, object]]] = {
     "score": (score, {"requests": None, "model": None, "key": KEY}),
     "corpus": (build_corpus, {"docs": None}),
     "investigate": (investigate, {"requests": None, "model": None, "corpus": None, "key": KEY}),
+    "velocity-stream": (velocity_stream, {"log": None, "epoch": EPOCH_SECONDS, "every": ""}),
     "score-stream": (score_stream, {"requests": None, "model": None, "every": ""}),
 }
 
@@ -166,5 +191,4 @@ def main(argv: Sequence[str] | None = None) -> None:
             )
         command.add_argument("--out", required=True)
     args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName(f"ledgerwatch {args.job}").getOrCreate()
-    JOBS[args.job][0](spark, args)
+    JOBS[args.job][0](open_session(f"ledgerwatch {args.job}"), args)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwatch import schema as S
@@ -15,6 +15,17 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.TXN_SCHEMA).option("header", True).csv(path)
 
 
+def stream_csv(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """The log as a stream of arriving files, a bounded number per batch."""
+    reader = spark.readStream.schema(S.TXN_SCHEMA).option("header", True)
+    return reader.option("maxFilesPerTrigger", files_per_batch).csv(path)
+
+
+def event_time(step: str, epoch_seconds: int) -> Column:
+    """The start of hour ``step`` as a time; hour 1 starts at ``epoch_seconds``."""
+    return F.timestamp_seconds(F.lit(epoch_seconds).cast("long") + (F.col(step) - 1) * 3600)
+
+
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -18,12 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerwatch.functions import columns as C
 from ledgerwatch.operators.velocity import asof_rows
+from ledgerwatch.sources.transactions import event_time
 
 WATERMARK = "1 hour"
 HOURS_SCHEMA = "nameOrig string, step int, n long"
 
 
+def relevant_stream(log: DataFrame, epoch_seconds: int) -> DataFrame:
+    """Account and event time of the relevant transactions of a log that counts in hours."""
+    relevant = log.where(C.is_relevant())
+    return relevant.select("nameOrig", "step", event_time("step", epoch_seconds).alias("ts"))
+
+
 def closed_counts(stream: DataFrame, hours: int, watermark: str = WATERMARK) -> DataFrame:
     """Rows per account and bucket of ``hours``, for append mode.
 

@@ -69,6 +69,30 @@ def test_from_log_to_findings(spark, work):
     assert read("stream/scored").count() == predictions.count()
 
 
+def test_velocity_stream(spark, work):
+    main(["velocity-stream", "--log", f"{work}/log", "--out", f"{work}/velocity"])
+    hours = spark.read.parquet(f"{work}/velocity/asof/table")
+    counts = spark.read.parquet(f"{work}/velocity/counts_1h/table")
+    assert hours.count() == counts.count() > 300
+    days = spark.read.parquet(f"{work}/velocity/counts_24h/table")
+    log = spark.read.schema(S.TXN_SCHEMA).option("header", True).csv(f"{work}/log").where("type in ('TRANSFER', 'CASH_OUT')")
+    per_day = log.groupBy("nameOrig", F.floor(F.col("step") / 24).alias("day")).count()
+    assert per_day.count() - days.count() <= 8
+    assert days.agg(F.sum("n")).first()[0] <= log.count()
+
+
+def test_session_settings(spark):
+    from ledgerwatch.session import SETTINGS, open_session
+
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    session = open_session("settings")
+    assert session.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert "RocksDB" in session.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for k, v in before.items():
+        if v is not None:
+            spark.conf.set(k, v)
+
+
 def test_every_job_has_a_help_line():
     assert all(run.__doc__ for run, _ in JOBS.values())
 
