@@ -31,6 +31,7 @@ FEW_QUERIES = 8_192
 CELLS = 4_096
 BLOCK = 2_048
 _TILE_QUERIES, _TILE_VECTORS = 256, 1_024
+_BROADCAST_BINS = 1_000_000
 _SLACK = 1e-9
 _NEAR_PIVOTS = 1e-6
 
@@ -55,9 +56,9 @@ def knn(
     queries = _doubles(queries)
     base = _doubles(base)
     if is_few(queries, few_queries) if few is None else few:
-        found = _scan(queries, base, k)
+        found = _scan(queries, base, k, with_vector)
     else:
-        found = _search_bins(queries, base, k, cells, block)
+        found = _search_bins(queries, base, k, cells, block, with_vector)
     columns = ["query_id", "rank", "id", "distance"] + (["vector"] if with_vector else [])
     return _nearest(found, k).select(*columns)
 
@@ -89,7 +90,7 @@ _FOUND_ARROW = pa.schema(
 )
 
 
-def _scan(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+def _scan(queries: DataFrame, base: DataFrame, k: int, with_vector: bool) -> DataFrame:
     rows = queries.orderBy("id").collect()  # at most few_queries rows, checked by knn
     if not rows:
         return base.sparkSession.createDataFrame([], _FOUND)
@@ -100,7 +101,7 @@ def _scan(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
         best = None
         for batch in batches:
             if batch.num_rows:
-                found = _best(ids, matrix, *_rows(batch), k)
+                found = _best(ids, matrix, *_rows(batch), k, with_vector)
                 best = found if best is None else _merged(best, found, k)
         if best is not None:
             yield _found_batch(best)
@@ -108,7 +109,9 @@ def _scan(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     return base.mapInArrow(best_of_partition, _FOUND)
 
 
-def _search_bins(queries: DataFrame, base: DataFrame, k: int, cells: int, block: int) -> DataFrame:
+def _search_bins(
+    queries: DataFrame, base: DataFrame, k: int, cells: int, block: int, with_vector: bool
+) -> DataFrame:
     spark = base.sparkSession
     copies = Window.partitionBy("vector").orderBy("id")
     base = written(
@@ -126,6 +129,7 @@ def _search_bins(queries: DataFrame, base: DataFrame, k: int, cells: int, block:
         sizes[r["cell"]], reach[r["cell"]] = r["n"], r["reach"]
     first_bin, bins = _pack(sizes, block)
     layout = (pivots, sizes, reach, first_bin, bins)
+    n_bins = int((first_bin + bins).max())
     # one row per cell, so at most `cells` rows
     places = F.broadcast(
         spark.createDataFrame(
@@ -139,10 +143,11 @@ def _search_bins(queries: DataFrame, base: DataFrame, k: int, cells: int, block:
 
     visit_schema = "query_id long, query array<double>, bin int"
     first = queries.mapInArrow(_visits(layout, k, bounded=False), visit_schema)
-    near = written(_nearest(_meet(first, in_bins, k, block), k).drop("rank"), "near")
+    meeting = {"k": k, "block": block, "n_bins": n_bins, "with_vector": with_vector}
+    near = written(_nearest(_meet(first, in_bins, **meeting), k).drop("rank"), "near")
     bound = near.groupBy(F.col("query_id").alias("id")).agg(F.max("distance").alias("bound"))
     rest = queries.join(bound, "id").mapInArrow(_visits(layout, k, bounded=True), visit_schema)
-    return near.unionByName(_meet(rest, in_bins, k, block))
+    return near.unionByName(_meet(rest, in_bins, **meeting))
 
 
 def _in_line(pivots: np.ndarray) -> np.ndarray:
@@ -232,10 +237,12 @@ def _visits(layout, k, bounded):
     return visits
 
 
-def _meet(visits: DataFrame, in_bins: DataFrame, k: int, block: int) -> DataFrame:
+def _meet(visits: DataFrame, in_bins: DataFrame, k: int, block: int, n_bins: int, with_vector: bool) -> DataFrame:
     """Search every visited bin, block by block, keeping the best ``k`` per block."""
     visits = written(visits, "visits")
     callers = visits.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    if n_bins <= _BROADCAST_BINS:  # two integers per bin
+        callers = F.broadcast(callers)
     vectors = in_bins.join(callers, "bin").select(
         "bin", F.explode(F.expr("sequence(0, blocks - 1)")).alias("query_block"), "id", "vector"
     )
@@ -250,7 +257,7 @@ def _meet(visits: DataFrame, in_bins: DataFrame, k: int, block: int) -> DataFram
         matrix = _matrix(queries.column("query").combine_chunks())
         base_ids = base.column("id").to_numpy()
         vectors = _matrix(base.column("vector").combine_chunks())
-        return pa.Table.from_batches([_found_batch(_best(ids, matrix, base_ids, vectors, k))])
+        return pa.Table.from_batches([_found_batch(_best(ids, matrix, base_ids, vectors, k, with_vector))])
 
     keys = ["bin", "query_block"]
     return asked.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(search, _FOUND)
@@ -262,7 +269,7 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 
 def _lists(matrix: np.ndarray) -> pa.Array:
     n, width = matrix.shape
-    offsets = np.arange(0, n * width + 1, width, dtype="int32")
+    offsets = np.arange(n + 1, dtype="int32") * width
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
@@ -289,8 +296,8 @@ def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(query_ids, queries, base_ids, vectors, k):
-    """(query id, id, distance, vector) of the ``k`` nearest vectors of every query.
+def _best(query_ids, queries, base_ids, vectors, k, with_vector):
+    """(query id, id, distance, vector or nothing) of the ``k`` nearest vectors of every query.
 
     Vectors go in id order, so keeping the earlier of two equal distances keeps the smaller id.
     """
@@ -313,7 +320,7 @@ def _best(query_ids, queries, base_ids, vectors, k):
         real = place >= 0
         found.append((np.repeat(query_ids[i : i + _TILE_QUERIES], real.sum(axis=1)), place[real], distance[real]))
     ids, place, distance = (np.concatenate(part) for part in zip(*found, strict=True))
-    return ids, base_ids[place], distance, vectors[place]
+    return ids, base_ids[place], distance, (vectors if with_vector else vectors[:, :0])[place]
 
 
 def _merged(left, right, k):

@@ -16,6 +16,7 @@ from ledgerwatch.workspace import written
 
 DIMENSIONS = 384
 PARAGRAPH_BITS = 20
+BROADCAST_HITS = 1_000_000
 NO_DOCUMENTS = "No regulatory documents loaded."
 
 
@@ -88,7 +89,7 @@ def retrieve(
     few = is_few(queries, few_queries)
     hits = knn(queries, base, top_k, few=few, **layout)
     chunks = vectors.select("chunk_id", passage(F.col("text"), max_chars).alias("text"))
-    texts = chunk_lookup(hits, chunks, few)
+    texts = chunk_lookup(hits, chunks, few and top_k * few_queries <= BROADCAST_HITS)
     joined = texts.groupBy("query_id").agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("rank", "text")))["text"], PASSAGE_SEPARATOR).alias(
             "passages"  # at most top_k entries
