@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwatch.functions.text import stripped
+
 PREFIX = "data: "
 EVENT_FIELDS = "type string, name string, input string, content string"
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def trace_line(*fields: str) -> Column:
@@ -24,16 +27,19 @@ def read_trace_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_trace(lines: DataFrame, schema: str = EVENT_FIELDS, line: str = "value") -> DataFrame:
-    """Events from lines. Lines without the prefix, blank or malformed ones are skipped."""
+    """Events from lines. Lines without the prefix, blank or malformed ones are skipped.
+
+    Read as the one element of an array, an object with anything behind it is malformed too.
+    """
     keep = [c for c in lines.columns if c != line]
-    raw = F.trim(F.substring(F.col(line), len(PREFIX) + 1, 2**31 - 1))
-    checked = f"{schema}, _malformed string"
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
-    parsed = (
+    raw = stripped(F.substring(F.col(line), len(PREFIX) + 1, 2**31 - 1))
+    in_array = F.from_json(F.concat(F.lit("["), F.col("_raw"), F.lit("]")), f"array<struct<{schema}>>", _STRICT)
+    return (
         lines.where(F.startswith(F.col(line), F.lit(PREFIX)))
         .withColumn("_raw", raw)
-        .where(F.col("_raw") != "")
-        .withColumn("_event", F.from_json("_raw", checked, options))
-        .where(F.col("_event").isNotNull() & F.col("_event._malformed").isNull())
+        .where(F.startswith("_raw", F.lit("{")) & F.endswith("_raw", F.lit("}")))
+        .withColumn("_events", in_array)
+        .where(F.size("_events") == 1)
+        .select(*keep, F.col("_events")[0].alias("_event"))
+        .select(*keep, "_event.*")
     )
-    return parsed.select(*keep, "_event.*").drop("_malformed")

@@ -84,7 +84,7 @@ def test_embedding_is_unit_length(spark):
 def test_trace_lines(spark):
     good = {"type": "tool_call", "name": "x", "input": "{\"a\": 1}"}
     lines = ["", "data: ", "data: {broken", "event: x", f"data: {json.dumps(good)}", "data:" + json.dumps(good),
-             "data: {\"type\": \"report\", \"content\": \"two\\nlines\"}  ", "data:    ", "data: not json"]
+             "data: {\"type\": \"report\", \"content\": \"two\\nlines\"}  ", "data:    ", "data: not json", "data: [1]", "data: null", "data: 42"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     got = [tuple(r) for r in trace.parse_trace(df).collect()]
     assert got == [("tool_call", "x", "{\"a\": 1}", None), ("report", None, None, "two\nlines")]
@@ -114,3 +114,50 @@ def test_chunk_ids_that_do_not_fit(spark):
         retrieval.chunk_table(docs, "doc_id").collect()
     fits = docs.withColumn("doc_id", F.lit((1 << 43) - 1))
     assert retrieval.chunk_table(fits, "doc_id").first()["chunk_id"] == ((1 << 43) - 1) << 20
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        '{"type": "a"}', '{"type": "a"} x', '{"type": "a"}{"b": 1}', "{'type': 'a'}", '{"type": NaN}', '{type: "a"}',
+        '{"type": "a",}', '{"type": "a"', '{}', '{"type": "\\u00e9"}', '{"type": "a"},{"type": "b"}', '{"type": "a"}]',
+        '\t{"type": "a"}\r', '{"type": "a" /* c */}', '{"name": "a b", "content": "x } y"}', '{"type": null}',
+    ],
+)
+def test_only_whole_objects_are_events(spark, raw):
+    """The lines a JSON parser accepts as one object, no others."""
+
+    def refuse(name):
+        raise ValueError(name)
+
+    try:
+        want = json.loads(raw.strip(), parse_constant=refuse)
+    except ValueError:
+        want = None
+    got = trace.parse_trace(spark.createDataFrame([("data: " + raw,)], "value string")).collect()
+    assert [r.asDict() for r in got] == (
+        [] if want is None else [{k: want.get(k) for k in ("type", "name", "input", "content")}]
+    )
+
+
+def random_texts(n):
+    import random
+
+    rnd = random.Random(11)
+    pieces = ["a", "word ", "\n\n", "\r\n", "\n", " ", "\xa0", "\u3000", "\t", "é", "x" * 30, "long word here ", "\r\n\r\n", "😀"]
+    return ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(0, 90))) for _ in range(n)]
+
+
+def test_random_texts_cut_and_chunk_as_plain_python(spark):
+    texts = random_texts(400)
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    cut = [r[0] for r in df.orderBy("doc_id").select(text.passage(F.col("text"), 60)).collect()]
+    assert cut == [python_passage(t, 60) for t in texts]
+    got = sorted((r["doc_id"], r["paragraph"], r["chunk"]) for r in text.chunk_documents(df).collect())
+    want = [
+        (i, p, piece.strip())
+        for i, t in enumerate(texts)
+        for p, piece in enumerate(t.replace("\r\n", "\n").split("\n\n"))
+        if len(piece.strip()) >= 50
+    ]
+    assert got == sorted(want) and len(want) > 100
