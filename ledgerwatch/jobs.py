@@ -103,7 +103,7 @@ def score(spark: SparkSession, args) -> None:
 def build_corpus(spark: SparkSession, args) -> None:
     """Text files to a vector table and its encoder."""
     docs = written(corpus_files.load_corpus(spark, args.docs).withColumn("doc_id", _compact_id()), "documents")
-    chunks = written(retrieval.chunk_table(docs, "doc_id"), "chunks")
+    chunks = retrieval.written_chunks(docs, "doc_id")
     encoder = retrieval.fit_encoder(chunks)
     encoder.write().overwrite().save(f"{args.out}/encoder")
     corpus_files.save_vectors(retrieval.embed(chunks, encoder), f"{args.out}/vectors")

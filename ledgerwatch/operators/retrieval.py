@@ -55,9 +55,14 @@ def chunk_table(docs: DataFrame, key: str, **chunking) -> DataFrame:
     )
 
 
+def written_chunks(docs: DataFrame, key: str, **chunking) -> DataFrame:
+    """``chunk_table`` as a written table, dealt out evenly: one document may hold any share of the chunks."""
+    return written(chunk_table(docs, key, **chunking).repartition("chunk_id"), "chunks")
+
+
 def build_vectors(docs: DataFrame, key: str, encoder: PipelineModel | None = None, **chunking) -> DataFrame:
     """Documents to the vector table, with an encoder fitted to them if none is given."""
-    chunks = written(chunk_table(docs, key, **chunking), "chunks")
+    chunks = written_chunks(docs, key, **chunking)
     encoder = encoder or fit_encoder(chunks)
     return embed(chunks, encoder).select(*VECTOR_COLUMNS)
 

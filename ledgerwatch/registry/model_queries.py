@@ -195,7 +195,7 @@ def _corpus(spark, sf_dir) -> investigation.Corpus:
     place = (spark.sparkContext.applicationId, sf_dir)
     if place not in _corpora:
         docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-        chunks = written(retrieval.chunk_table(docs, "doc_id", separator="\n"), "chunks")
+        chunks = retrieval.written_chunks(docs, "doc_id", separator="\n")
         encoder, path = retrieval.fit_encoder(chunks), new_dir(spark, "vectors")
         corpus.save_vectors(retrieval.embed(chunks, encoder), path)
         _corpora[place] = investigation.Corpus(corpus.load_vectors(spark, path), encoder)
