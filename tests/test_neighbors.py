@@ -38,6 +38,15 @@ def test_matches_brute_force(spark, layout, width, k):
     assert run(knn(as_df(queries), as_df(base), k, **layout)) == brute(queries, base, k)
 
 
+def test_dense_cell_of_distinct_vectors(spark):
+    """Half the vectors crowd into one cell, so it is dealt over many bins."""
+    rnd = random.Random(9)
+    base = [(i, [1e-5 * rnd.random(), 1e-5 * rnd.random(), 1e-5 * rnd.random()]) for i in range(150)]
+    base += [(150 + i, [rnd.gauss(0, 9) for _ in range(3)]) for i in range(150)]
+    df = spark.createDataFrame(base, "id long, vector array<double>")
+    assert run(knn(df, df, 4, few_queries=0, cells=6, block=10)) == brute(base, base, 4)
+
+
 @pytest.mark.parametrize("layout", [{}, SMALL])
 def test_fewer_vectors_than_wanted(spark, layout):
     base = spark.createDataFrame(points(3, 2, 4), "id long, vector array<double>")
