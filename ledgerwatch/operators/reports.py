@@ -51,6 +51,7 @@ def top_drivers(df: DataFrame, keep: list[str], top: int, features=S.REALISTIC_F
 
 def driver_sentence(top: Column, score: Column) -> Column:
     """The strongest driver of a row in words."""
+    # fixed wording, four decimals
     direction = F.when(top["shap_value"] > 0, "increases").otherwise("decreases")
     return F.concat(
         F.lit("Primary driver: '"),

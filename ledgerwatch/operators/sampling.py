@@ -68,10 +68,14 @@ def smallest_by_hash(
 def stratified_split(
     df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42, **layout
 ) -> DataFrame:
-    """Add ``is_test``: exactly ceil(share * rows) rows, each class in proportion."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    need = test_counts(counts, test_share)
-    return df.withColumn("is_test", smallest_by_hash(df, need, label, key, seed, **layout))
+    """Add ``is_test``: exactly ceil(share * labelled rows) rows, each class in proportion.
+
+    A row without a label is never a test row.
+    """
+    labelled = df.where(F.col(label).isNotNull())
+    counts = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = smallest_by_hash(labelled, test_counts(counts, test_share), label, key, seed, **layout)
+    return df.withColumn("is_test", F.coalesce(chosen, F.lit(False)))
 
 
 def test_counts(counts: Mapping[int, int], test_share: float) -> dict[int, int]:

@@ -13,7 +13,7 @@ from ledgerwatch.functions import columns as C
 from ledgerwatch.operators import attribution, model as M, reports
 from ledgerwatch.operators.retrieval import embed, retrieve
 
-# The question put to the corpus for each kind of finding.
+# The question put to the corpus for each kind of finding.
 QUESTIONS = {
     0: "suspicious transaction reporting deadline",
     1: "velocity more than 5 transactions escalate",

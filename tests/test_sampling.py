@@ -25,6 +25,13 @@ def test_split_is_exact_and_proportional(spark, rows, fraud, cut_bits):
         assert abs(counts.get((1, True), 0) - 0.2 * fraud) < 1
 
 
+def test_rows_without_label_stay_out_of_the_test(spark):
+    df = labelled(spark, 100, 20).withColumn("isFraud", F.when(F.col("key") % 4 > 0, F.col("isFraud")))
+    rows = sampling.stratified_split(df, "isFraud", "key").collect()
+    assert len(rows) == 100 and sum(r["is_test"] for r in rows) == 15
+    assert not any(r["is_test"] for r in rows if r["isFraud"] is None)
+
+
 def test_split_does_not_depend_on_layout(spark):
     df = labelled(spark, 500, 60)
     first = {r["key"] for r in sampling.stratified_split(df, "isFraud", "key").where("is_test").collect()}
