@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as entry
 import check_oracles
 import plans
+from ledgerwatch import registry
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
