@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm import chat, langid, toxicity, url_filter
+from ledgerwatch.llm import ann, chat, langid, mixing, pieces, probminhash, syncmers, toxicity, url_filter, wrappers
 from ledgerwatch.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,38 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_graph_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_source_mix")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mix, sources = mixing.mix_sources(docs)
+    known = F.broadcast(spark.createDataFrame([(s, n, t) for s, (n, t) in sources.items()], "s string, source_size long, target double"))
+    sized = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
+    uses = mix.uses_of(F.array("source"), mixing.place_of("doc_id", 2))
+    joined = sized.join(known, F.col("source").eqNullSafe(F.col("s")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * uses).cast("long").alias("taken"))
+
+
+@query("op3_syncmer_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_near_duplicates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns whole labelled texts outside the held-out fold; scores every row of documents."""
@@ -83,3 +115,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     found = docs.select("doc_id", held_out("doc_id").alias("held_out"), langid.identify(model, "text").alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
+
+
+@query("op10_pieces")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text, and of the text that the ids give back."""
+    model = pieces.Pieces.read()
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    said = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_ids"),
+        F.sha2(said.cast("binary"), 256).alias("ids_sha256"),
+        F.length("decoded").cast("long").alias("n_chars"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("same"),
+    )
