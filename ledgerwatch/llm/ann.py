@@ -195,11 +195,13 @@ def nearest(
                 "d": [group.d.iloc[0]], "shard": [group.shard.iloc[0]], "start": [start],
                 "points": [np.array(group.v.tolist(), dtype=np.float64).tobytes()],
                 "links": [links.astype(np.int32).tobytes()],
-                "rows": [[[(r["vec_id"], r["n"]) for r in own] for own in group["rows"]]],
+                "row_ids": [[r["vec_id"] for own in group["rows"] for r in own]],
+                "row_counts": [[r["n"] for own in group["rows"] for r in own]],
+                "row_ends": [np.cumsum([len(own) for own in group["rows"]])],
             }
         )
 
-    form = "d int, shard int, start int, points binary, links binary, rows array<array<struct<vec_id:long,n:long>>>"
+    form = "d int, shard int, start int, points binary, links binary, row_ids array<long>, row_counts array<long>, row_ends array<long>"
     graphs = written(dealt.groupBy("d", "shard").applyInPandas(built, form), "graphs")
     asked = each.where("asks").select(F.size("v").alias("d"), "vec_id", "v")
     blocks = max(1, math.ceil(asked.count() / QUERIES))
@@ -241,10 +243,11 @@ def _answers(block, k: int, beam: int) -> pd.DataFrame:
             scores = cosines(some[j], raw[found])
             for node, score in zip(found, scores, strict=True):
                 same = np.array_equal(raw[node], some[j])
-                for row in block.rows[node]:
-                    copies = min(int(row["n"]) - (same and row["vec_id"] == query["vec_id"]), k)
+                for at in range(block.row_ends[node - 1] if node else 0, block.row_ends[node]):
+                    vec_id = int(block.row_ids[at])
+                    copies = min(int(block.row_counts[at]) - (same and vec_id == query["vec_id"]), k)
                     if copies > 0:
-                        out.append((query["vec_id"], i + j, row["vec_id"], float(score), copies))
+                        out.append((query["vec_id"], i + j, vec_id, float(score), copies))
     made = pd.DataFrame(out, columns=["query_id", "asked_by", "vec_id", "score", "copies"])
     made["asked_by"] = [xxhash.xxh3_64_intdigest(own[i].tobytes()) >> 1 for i in made.asked_by]
     return made
