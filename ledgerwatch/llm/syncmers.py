@@ -27,7 +27,7 @@ def words_of(text: Column) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """Hashes of the anchors in order; of all words for a text of fewer than ``K`` words, of the text itself without any."""
+    """Hashes of the anchors in order; without any, of all words, and without words of the text itself."""
     words = words_of(text)
     return F.transform(F.array(words), lambda w: _anchors(w, text))[0]
 
@@ -53,7 +53,8 @@ def _anchors(words: Column, text: Column) -> Column:
         return _let(F.zip_with(pairs, F.slice(pairs, 2, size), lambda a, b: F.least(a, b)), edge)
 
     pairs = F.zip_with(words, F.slice(words, 2, size), lambda a, b: F.hash(a, b))
-    return F.when(size < K, short).otherwise(_let(pairs, chosen))
+    found = F.when(size < K, short).otherwise(_let(pairs, chosen))
+    return _let(found, lambda a: F.when(F.size(a) == 0, short).otherwise(a))
 
 
 def _let(value: Column, body) -> Column:
