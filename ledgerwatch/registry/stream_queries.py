@@ -10,8 +10,8 @@ from ledgerwatch.registry import query
 from ledgerwatch.registry.model_queries import trained
 from ledgerwatch.registry.tables import KEY, TX, from_features, from_tx, table
 from ledgerwatch.sources.event_log import EPOCH_SECONDS, transactions_from_events
-from ledgerwatch.streaming import lateness, scoring, velocity
-from ledgerwatch.workspace import new_dir
+from ledgerwatch.streaming import scoring, velocity
+from ledgerwatch.workspace import new_dir, written
 
 
 _REQUEST = (KEY, "step", "type", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
@@ -28,11 +28,6 @@ def _relevant(spark, sf_dir):
     return event_stream(spark, sf_dir).where(F.col("type").isin(*S.TYPE_CODES))
 
 
-def _bucket(start, hours):
-    """Number of the bucket whose window begins at ``start``."""
-    return F.floor(((F.unix_seconds(start) - EPOCH_SECONDS) / 3600 + 1) / hours).cast("int")
-
-
 @query("score_stream")
 def score_stream(spark, sf_dir):
     out = new_dir(spark, "score_stream")
@@ -61,27 +56,38 @@ def score_stream_rejected(spark, sf_dir):
     return spark.read.parquet(f"{out}/rejected").select(KEY, "type")
 
 
+_CLOSED = """timestamp '2024-01-01' + to_hours(step) <=
+  (select max(ts) from tx where type in ('TRANSFER', 'CASH_OUT')) - interval 1 hour"""
+
+
 def _closed_sql(hours):
-    return f"""select "nameOrig", {hours} as hours, cast(b as integer) as bucket, cast(count(*) as integer) as n from (
-      select "nameOrig", floor(step / {hours}) as b,
-        timestamp '2024-01-01' + to_hours(cast(floor(step / {hours}) * {hours} - 1 as integer)) as start
-      from tx where type in ('TRANSFER', 'CASH_OUT'))
-    group by "nameOrig", b
-    having min(start) + to_hours({hours}) <= (select max(ts) from tx where type in ('TRANSFER', 'CASH_OUT')) - interval 1 hour"""
+    return f"""select "nameOrig", {hours} as hours, cast(floor(step / {hours}) as integer) as bucket, cast(sum(n) as integer) as n
+    from h group by 1, 3 having {hours} = 1 or max(floor(step / {hours})) * {hours} + {hours} - 1 < (select max(step) from h)"""
 
 
-@query("velocity_stream", from_tx(" union all ".join(f"({_closed_sql(h)})" for h in (1, 3, 24))))
+@query(
+    "velocity_stream",
+    f"""with {TX},
+    h as (
+      select "nameOrig", step, count(*) as n from tx where type in ('TRANSFER', 'CASH_OUT') group by 1, 2 having {_CLOSED})
+    """
+    + " union all ".join(f"({_closed_sql(h)})" for h in (1, 3, 24)),
+)
 def velocity_stream(spark, sf_dir):
-    parts = []
-    for hours in (1, 3, 24):
-        out = new_dir(spark, f"velocity_{hours}h")
-        velocity.start_append(velocity.closed_counts(_relevant(spark, sf_dir), hours), out).awaitTermination()
-        parts.append(
-            spark.read.parquet(f"{out}/table").select(
-                "nameOrig", F.lit(hours).alias("hours"), _bucket("start", hours).alias("bucket"), "n"
-            )
-        )
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Hours are counted once; the longer buckets are sums of closed hours."""
+    hours = new_dir(spark, "closed_hours")
+    velocity.start_append(velocity.closed_hours(_relevant(spark, sf_dir), EPOCH_SECONDS), hours).awaitTermination()
+    table = f"{hours}/table"
+    found = spark.read.schema(velocity.HOURS_SCHEMA).parquet(table).select(
+        "nameOrig", F.lit(1).alias("hours"), F.col("step").alias("bucket"), F.col("n").cast("int").alias("n")
+    )
+    for length in (3, 24):
+        out = new_dir(spark, f"velocity_{length}h")
+        closed = spark.readStream.schema(velocity.HOURS_SCHEMA).parquet(table)
+        velocity.start_append(velocity.closed_buckets(closed, length, EPOCH_SECONDS), out).awaitTermination()
+        part = spark.read.schema("nameOrig string, bucket int, n int").parquet(f"{out}/table")
+        found = found.unionByName(part.select("nameOrig", F.lit(length).alias("hours"), "bucket", "n"))
+    return found
 
 
 def _closed_hours_asof(spark, sf_dir):
@@ -92,10 +98,6 @@ def _closed_hours_asof(spark, sf_dir):
     return f"{out}/table"
 
 
-_CLOSED = """timestamp '2024-01-01' + to_hours(step) <=
-  (select max(ts) from tx where type in ('TRANSFER', 'CASH_OUT')) - interval 1 hour"""
-
-
 @query(
     "velocity_asof_stream",
     f"""with {TX},
@@ -127,10 +129,13 @@ def _so_far(hours):
     from tx where type in ('TRANSFER', 'CASH_OUT') and {_CLOSED}""",
 )
 def velocity_asof_rows(spark, sf_dir):
-    rows, out = new_dir(spark, "transactions"), new_dir(spark, "asof_rows")
-    log = filter_types(transactions_from_events(table(spark, sf_dir, "events")))
-    log.select(KEY, "nameOrig", "step").write.parquet(rows)
-    velocity.start_asof_rows(spark, _closed_hours_asof(spark, sf_dir), rows, out, KEY).awaitTermination()
+    accepted, hours, asof, out = (new_dir(spark, name) for name in ("accepted", "closed_hours", "asof", "asof_rows"))
+    velocity.start_accept(_relevant(spark, sf_dir).select(KEY, "nameOrig", "step", "ts"), accepted, KEY).awaitTermination()
+    shape = f"{KEY} long, nameOrig string, step int, ts timestamp, day int"
+    rows = spark.readStream.schema(shape).parquet(f"{accepted}/table")
+    velocity.start_append(velocity.closed_hours(rows, EPOCH_SECONDS), hours).awaitTermination()
+    velocity.start_asof(spark, f"{hours}/table", asof).awaitTermination()
+    velocity.start_asof_rows(spark, f"{asof}/table", f"{accepted}/table", out, KEY, EPOCH_SECONDS).awaitTermination()
     return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
@@ -144,17 +149,16 @@ _ARRIVAL_SQL = f"least(floor((step - 1 + case when event_id % 97 = 0 then 36 els
     f"""with {TX},
     a as (select event_id, ts, cast({_ARRIVAL_SQL} as bigint) as batch from tx),
     seen as (select b.batch, max(e.ts) as latest from (select distinct batch from a) b left join a e on e.batch < b.batch group by 1)
-    select a.event_id, a.batch, coalesce(ts < latest - interval 1 hour, false) as late from a join seen using (batch)""",
+    select a.event_id, a.batch, coalesce(ts <= latest - interval 1 hour, false) as late from a join seen using (batch)""",
 )
 def late_events(spark, sf_dir):
-    """Every 97th event reaches the stream a day and a half late."""
-    source, out = new_dir(spark, "arrivals"), new_dir(spark, "late")
-    rows = transactions_from_events(table(spark, sf_dir, "events")).select(
-        "event_id", "ts", F.expr(f"cast({_ARRIVAL_SQL} as int)").alias("arrival")
-    )
+    """Every 97th event reaches the stream a day and a half late; the stream's own watermark leaves it out."""
+    source, out = new_dir(spark, "arrivals"), new_dir(spark, "accepted")
+    events = transactions_from_events(table(spark, sf_dir, "events"))
+    rows = written(events.select("event_id", "ts", F.expr(f"cast({_ARRIVAL_SQL} as int)").alias("arrival")), "events")
     for arrival in range(6):
-        (rows.where(F.col("arrival") == arrival).drop("arrival").coalesce(1)
-         .write.mode("append").parquet(source))
-    stream = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
-    lateness.start_lateness(stream, out).awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("event_id", F.col("batch").cast("long").alias("batch"), "late")
+        rows.where(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("event_id long, ts timestamp").parquet(source)
+        velocity.start_accept(stream, out, "event_id").awaitTermination()
+    accepted = spark.read.parquet(f"{out}/table")
+    return velocity.late_rows(rows, accepted, "event_id").select("event_id", F.col("arrival").cast("long").alias("batch"), "late")

@@ -54,10 +54,49 @@ def closed_hours(stream: DataFrame, epoch_seconds: int, watermark: str = WATERMA
     return closed_counts(stream, 1, watermark).select("nameOrig", step.cast("int").alias("step"), F.col("n").cast("long").alias("n"))
 
 
-def start_append(df: DataFrame, out: str, **trigger) -> StreamingQuery:
+def closed_buckets(hours: DataFrame, length: int, epoch_seconds: int) -> DataFrame:
+    """Rows per account and bucket of ``length`` hours from a stream of closed hours, for append mode.
+
+    ``hours`` is what ``closed_hours`` gives, so the log is counted once for all lengths. A
+    bucket is closed once an hour after its last one is. Rows per account and ``bucket``.
+    """
+    starts = F.timestamp_seconds((F.col("step").cast("long") - 1) * 3600 + epoch_seconds)
+    window = F.window("start", f"{length} hours", f"{length} hours", f"{length - 1} hours")
+    return (
+        hours.withColumn("start", starts)
+        .withWatermark("start", "0 seconds")
+        .groupBy("nameOrig", window.alias("window"))
+        .agg(F.sum("n").cast("int").alias("n"))
+        .select(
+            "nameOrig",
+            F.floor(((F.unix_seconds(F.col("window.start")) - epoch_seconds) / 3600 + 1) / length).cast("int").alias("bucket"),
+            "n",
+        )
+    )
+
+
+def start_accept(stream: DataFrame, out: str, key: str, watermark: str = WATERMARK, **trigger) -> StreamingQuery:
+    """Append the rows that are not behind the watermark, each key once, to the table ``out/table``.
+
+    Counts, counters and released rows all start from this table: what it holds is never late
+    for a later stream with the same watermark, so a late row disturbs none of them.
+    """
+    accepted = stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
+    by_day = accepted.withColumn("day", F.floor(F.unix_seconds("ts") / 86_400).cast("int"))
+    return start_append(by_day, out, ("day",), **trigger)
+
+
+def late_rows(rows: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``late``: whether the stream left them out as behind its watermark."""
+    seen = accepted.select(key, F.lit(False).alias("late"))
+    return rows.join(seen, key, "left").withColumn("late", F.coalesce("late", F.lit(True)))
+
+
+def start_append(df: DataFrame, out: str, partition_by: tuple[str, ...] = (), **trigger) -> StreamingQuery:
     """Append a stream to the table ``out/table``; its commit log makes each batch appear whole, once."""
     return (
         df.writeStream.format("parquet")
+        .partitionBy(*partition_by)
         .outputMode("append")
         .option("path", f"{out}/table")
         .option("checkpointLocation", f"{out}/checkpoint")
@@ -86,17 +125,21 @@ def start_asof(spark: SparkSession, hours_table: str, out: str, **trigger) -> St
 
 
 def start_asof_rows(
-    spark: SparkSession, asof_table: str, rows_table: str, out: str, key: str, **trigger
+    spark: SparkSession, asof_table: str, rows_table: str, out: str, key: str, epoch_seconds: int, **trigger
 ) -> StreamingQuery:
     """Transactions with their counters, hour by hour as the hours close.
 
-    ``rows_table`` holds the transactions with ``key``, ``nameOrig`` and ``step``; a batch
-    reads the hours it releases. Each batch overwrites its own folder below ``out/rows``.
+    ``rows_table`` is what ``start_accept`` wrote, with ``key``, ``nameOrig``, ``step`` and ``ts``,
+    laid out by day: a batch reads the days of the hours it releases. Since the hours were
+    counted from the same table, late rows have no part in either. Each batch overwrites
+    its own folder below ``out/rows``.
     """
 
     def release(batch: DataFrame, batch_id: int) -> None:
         first, last = batch.agg(F.min("step"), F.max("step")).first()
-        rows = spark.read.parquet(rows_table).where(F.col("step").between(first, last))
+        days = [F.floor((F.lit(step) - 1 + epoch_seconds // 3600) / 24) for step in (first, last)]
+        table = spark.read.parquet(rows_table).where(F.col("day").between(*days) & F.col("step").between(first, last))
+        rows = table.select(key, "nameOrig", "step")
         asof_rows(rows, batch, key).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
 
     return (

@@ -7,7 +7,7 @@ from ledgerwatch.operators.validation import default_velocity
 from ledgerwatch.registry.model_queries import trained
 from ledgerwatch.registry.tables import transactions
 from ledgerwatch.sources.event_log import EPOCH_SECONDS
-from ledgerwatch.streaming import lateness, scoring, velocity
+from ledgerwatch.streaming import scoring, velocity
 
 COLUMNS = ["event_id", "step", "type", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
 
@@ -71,7 +71,7 @@ def test_asof_over_many_batches(spark, sf_dir, tmp_path):
 
 def test_rows_of_closed_hours_over_many_batches(spark, sf_dir, tmp_path):
     log = filter_types(transactions(spark, sf_dir)).select("event_id", "ts", "step", "nameOrig")
-    log.write.parquet(str(tmp_path / "log"))
+    log.withColumn("day", F.floor(F.unix_seconds("ts") / 86_400).cast("int")).write.partitionBy("day").parquet(str(tmp_path / "log"))
     parts = log.withColumn("part", F.least(F.floor(F.col("step") / 240), F.lit(2)).cast("int"))
     hours = velocity.closed_hours(arrivals(spark, parts, str(tmp_path / "in"), 3), EPOCH_SECONDS)
     # one batch of hours after the other, each releasing its transactions
@@ -82,7 +82,7 @@ def test_rows_of_closed_hours_over_many_batches(spark, sf_dir, tmp_path):
     query.awaitTermination()
     velocity.start_asof(spark, str(tmp_path / "hours/table"), str(tmp_path / "asof")).awaitTermination()
     velocity.start_asof_rows(
-        spark, str(tmp_path / "asof/table"), str(tmp_path / "log"), str(tmp_path / "rows"), "event_id"
+        spark, str(tmp_path / "asof/table"), str(tmp_path / "log"), str(tmp_path / "rows"), "event_id", EPOCH_SECONDS
     ).awaitTermination()
     got = {r["event_id"]: r for r in spark.read.parquet(str(tmp_path / "rows/rows")).collect()}
     rows = sorted(log.collect(), key=lambda r: (r["step"], r["event_id"]))
@@ -111,14 +111,47 @@ def test_closed_buckets_equal_batch_counts(spark, sf_dir, tmp_path):
     assert got == {k: n for k, n in want.items() if (k[1] * 24 + 23) * 3600 <= latest - 3600}
 
 
-def test_late_rows_are_kept(spark, tmp_path):
+def accept(spark, rows, folder, parts):
+    """Rows arriving part by part, each part run to its end."""
+    shape = rows.drop("part").schema
+    for part in range(parts):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(shape).parquet(f"{folder}/in")
+        velocity.start_accept(stream, f"{folder}/accepted", "event_id").awaitTermination()
+    return spark.read.parquet(f"{folder}/accepted/table")
+
+
+def test_late_rows_are_named(spark, tmp_path):
     rows = spark.createDataFrame(
         [(1, 0, 0), (2, 100, 0), (3, 90, 1), (4, 30, 1), (5, 300, 1), (6, 239, 2), (7, 240, 2), (8, 500, 2)],
         "event_id long, minute int, part int",
     ).withColumn("ts", F.timestamp_seconds(F.lit(EPOCH_SECONDS) + F.col("minute") * 60)).drop("minute")
-    stream = arrivals(spark, rows, str(tmp_path / "in"), 3)
-    lateness.start_lateness(stream, str(tmp_path / "out")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out/rows"))
-    assert {r["event_id"]: r["late"] for r in got.collect()} == {1: False, 2: False, 3: False, 4: True, 5: False, 6: True, 7: False, 8: False}
-    assert {tuple(r) for r in lateness.late_summary(got).collect()} == {(0, 2, 0), (1, 3, 1), (2, 3, 1)}
+    accepted = accept(spark, rows, str(tmp_path), 3)
+    got = {r["event_id"]: r["late"] for r in velocity.late_rows(rows, accepted, "event_id").collect()}
+    # a row at the watermark itself is late
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: False, 6: True, 7: True, 8: False}
     assert S.LAST_STEP == 743
+
+
+def test_late_rows_disturb_no_counters(spark, sf_dir, tmp_path):
+    """Every tenth row arrives three days late: the others have the counters of a log without it."""
+    log = filter_types(transactions(spark, sf_dir)).select("event_id", "ts", "step", "nameOrig")
+    part = F.least(F.floor((F.col("step") + F.when(F.col("event_id") % 10 == 0, 72).otherwise(0)) / 150), F.lit(4))
+    accepted = accept(spark, log.withColumn("part", part.cast("int")), str(tmp_path), 5)
+    kept = accepted.select("event_id", "nameOrig", "step").collect()
+    assert 0 < log.count() - len(kept) < log.count() / 8
+    rows = spark.readStream.schema(accepted.schema).parquet(f"{tmp_path}/accepted/table")
+    velocity.start_append(velocity.closed_hours(rows, EPOCH_SECONDS), f"{tmp_path}/hours").awaitTermination()
+    velocity.start_asof(spark, f"{tmp_path}/hours/table", f"{tmp_path}/asof").awaitTermination()
+    velocity.start_asof_rows(
+        spark, f"{tmp_path}/asof/table", f"{tmp_path}/accepted/table", f"{tmp_path}/rows", "event_id", EPOCH_SECONDS
+    ).awaitTermination()
+    got = {r["event_id"]: r for r in spark.read.parquet(f"{tmp_path}/rows/rows").collect()}
+    assert len(kept) - len(got) <= 6
+    seen = []
+    for r in sorted(kept, key=lambda r: (r["step"], r["event_id"])):
+        before = [x for x in seen if x["nameOrig"] == r["nameOrig"]]
+        seen.append(r)
+        if r["event_id"] in got:
+            want = [len(before)] + [1 + sum(x["step"] // h == r["step"] // h for x in before) for h in (1, 3, 24)]
+            assert [got[r["event_id"]][c] for c in S.VELOCITY_FEATURES] == want
