@@ -1,7 +1,12 @@
 """Exact nearest neighbours by squared Euclidean distance, ties to the smaller id.
 
 Few queries (a checked count) travel to the vectors: each task keeps the best ``k``
-per query and ships only those. Many queries meet the vectors by bin:
+per query and ships only those. Many queries of many dimensions meet the vectors in a
+grid: both sides are packed into blocks, one row and one buffer each, and every pair of
+blocks is one search, so a vector moves once per block of the other side, not per query.
+
+In few dimensions the triangle inequality leaves most pairs out, so there queries meet
+the vectors by bin:
 
 * copies of a vector beyond the ``k`` smallest ids can never be an answer and are
   left out first, before the shuffle that groups them;
@@ -30,6 +35,8 @@ from ledgerwatch.workspace import written
 FEW_QUERIES = 8_192
 CELLS = 4_096
 BLOCK = 2_048
+BIN_DIMENSIONS = 16  # above, bins rule nothing out
+GRID_BLOCK = 16_384  # vectors in a block of the grid
 _TILE_QUERIES, _TILE_VECTORS = 256, 1_024
 _BROADCAST_BINS = 1_000_000
 _SLACK = 1e-9
@@ -45,6 +52,8 @@ def knn(
     block: int = BLOCK,
     with_vector: bool = False,
     few: bool | None = None,
+    bin_dimensions: int = BIN_DIMENSIONS,
+    grid_block: int = GRID_BLOCK,
 ) -> DataFrame:
     """The ``k`` nearest ``base`` rows of every query.
 
@@ -57,6 +66,8 @@ def knn(
     base = _doubles(base)
     if is_few(queries, few_queries) if few is None else few:
         found = _scan(queries, base, k, with_vector)
+    elif _width(base) > bin_dimensions:
+        found = _search_grid(queries, base, k, grid_block, with_vector)
     else:
         found = _search_bins(queries, base, k, cells, block, with_vector)
     columns = ["query_id", "rank", "id", "distance"] + (["vector"] if with_vector else [])
@@ -109,6 +120,65 @@ def _scan(queries: DataFrame, base: DataFrame, k: int, with_vector: bool) -> Dat
     return base.mapInArrow(best_of_partition, _FOUND)
 
 
+def _width(base: DataFrame) -> int:
+    first = base.select(F.size("vector").alias("width")).first()
+    return first["width"] if first else 0
+
+
+_PACKED = "id_bytes binary, vector_bytes binary, width int"
+
+
+def packed(df: DataFrame, block: int) -> DataFrame:
+    """``block_no`` and one buffer of ids and one of vectors for about ``block`` rows each, written.
+
+    Rows are dealt out by a hash of their id, so blocks have like sizes.
+    """
+    df = written(df.select("id", "vector"), "vectors")
+    blocks = max(1, -(-df.count() // block))
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids = np.ascontiguousarray(table.column("id").to_numpy())
+        vectors = _matrix(table.column("vector").combine_chunks())
+        return pa.table(
+            {
+                "block_no": pa.array([table.column("block_no")[0].as_py()], pa.int32()),
+                "id_bytes": pa.array([ids.tobytes()], pa.binary()),
+                "vector_bytes": pa.array([np.ascontiguousarray(vectors).tobytes()], pa.binary()),
+                "width": pa.array([vectors.shape[1]], pa.int32()),
+            }
+        )
+
+    dealt = df.withColumn("block_no", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return written(dealt.groupBy("block_no").applyInArrow(pack, f"block_no int, {_PACKED}"), "blocks")
+
+
+def grid(queries: DataFrame, base: DataFrame, block: int = GRID_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Packed queries and vectors, each row once per block of the other side, keyed by ``(row, col)``."""
+    rows, columns = packed(queries, block), packed(base, block)
+    row_ids, column_ids = (side.select("block_no").agg(F.collect_list("block_no")).scalar() for side in (rows, columns))
+    return (
+        rows.withColumnRenamed("block_no", "row").withColumn("col", F.explode(column_ids)),
+        columns.withColumnRenamed("block_no", "col").withColumn("row", F.explode(row_ids)),
+    )
+
+
+def _search_grid(queries: DataFrame, base: DataFrame, k: int, block: int, with_vector: bool) -> DataFrame:
+    rows, columns = grid(queries, base, block)
+
+    def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(table.column("id_bytes")[0].as_py(), dtype="int64")
+        vectors = np.frombuffer(table.column("vector_bytes")[0].as_py(), dtype="float64")
+        return ids, vectors.reshape(len(ids), table.column("width")[0].as_py())
+
+    def search(asked: pa.Table, there: pa.Table) -> pa.Table:
+        if not asked.num_rows or not there.num_rows:
+            return _FOUND_ARROW.empty_table()
+        return pa.Table.from_batches([_found_batch(_best(*unpacked(asked), *unpacked(there), k, with_vector))])
+
+    keys = ["row", "col"]
+    return rows.groupBy(*keys).cogroup(columns.groupBy(*keys)).applyInArrow(search, _FOUND)
+
+
 def _search_bins(
     queries: DataFrame, base: DataFrame, k: int, cells: int, block: int, with_vector: bool
 ) -> DataFrame:
@@ -118,7 +188,10 @@ def _search_bins(
         base.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy"), "vectors"
     )
     wanted = min(cells, 2 * isqrt(base.count()) + 1)
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()  # the pivots: at most `cells` rows
+    # the pivots: at most `cells` rows. A threshold on the hash first, so that tasks send about twice as many in all
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    thinned = base.where(place < F.lit(min(1.0, (2 * wanted + 64) / max(base.count(), 1))) * (1 << 30))
+    sample = thinned.orderBy(place, "id").limit(wanted).collect()
     if not sample:
         return spark.createDataFrame([], _FOUND)
     pivots = _in_line(np.array([r["vector"] for r in sample], dtype="float64"))

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from ledgerwatch.operators.neighbors import knn, self_knn
+from pyspark.sql import functions as F
+
+from ledgerwatch.operators.neighbors import grid, knn, self_knn
 
 SMALL = {"few_queries": 0, "cells": 12, "block": 16}
 
@@ -38,6 +40,35 @@ def test_matches_brute_force(spark, layout, width, k):
     assert run(knn(as_df(queries), as_df(base), k, **layout)) == brute(queries, base, k)
 
 
+@pytest.mark.parametrize("width", [3, 20])
+@pytest.mark.parametrize("with_vector", [False, True])
+def test_grid_matches_brute_force(spark, width, with_vector):
+    base, queries = points(6, 150, width, copies=40), points(7, 70, width)
+    as_df = lambda rows: spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    near = knn(as_df(queries), as_df(base), 4, few_queries=0, bin_dimensions=0, grid_block=16, with_vector=with_vector)
+    assert run(near) == brute(queries, base, 4)
+    if with_vector:
+        known = dict(base)
+        assert all(r["vector"] == known[r["id"]] for r in near.collect())
+
+
+def test_grid_moves_blocks_not_pairs(spark):
+    """At 384 dimensions 600 queries and 900 vectors shuffle 2 x 12 rows, each a block of whole vectors."""
+    df = spark.range(900).select("id", F.transform(F.sequence(F.lit(1), F.lit(384)), lambda i: F.rand(3) + i).alias("vector"))
+    asked, there = grid(df.where("id < 600"), df, block=225)
+    assert (asked.count(), there.count()) == (12, 12)
+    size = F.sum(F.length("vector_bytes"))
+    assert asked.agg(size).first()[0] == 600 * 384 * 8 * 4 and there.agg(size).first()[0] == 900 * 384 * 8 * 3
+
+
+def test_pivots_come_from_a_thinned_table(spark):
+    """With many partitions the driver is sent about twice the pivots in all, not that many per partition."""
+    rows = points(8, 3000, 2)
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(40)
+    got = run(knn(df.where("id < 20"), df, 3, few_queries=0, cells=8, block=64))
+    assert got == brute(rows[:20], rows, 3)
+
+
 def test_dense_cell_of_distinct_vectors(spark):
     """Half the vectors crowd into one cell, so it is dealt over many bins."""
     rnd = random.Random(9)
@@ -70,7 +101,6 @@ def test_self_is_left_out_among_copies(spark, layout):
 
 def test_copies_are_cut_before_the_shuffle(spark):
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
     base = spark.createDataFrame(points(5, 10, 2, copies=50), "id long, vector array<double>")
     best = Window.partitionBy("vector").orderBy("id")
