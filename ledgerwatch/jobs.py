@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwatch import schema as S
-from ledgerwatch.operators import attribution, model as M, profiling, reports, retrieval, sampling
+from ledgerwatch.operators import attribution, curves, model as M, profiling, reports, retrieval, sampling
 from ledgerwatch.operators.features import add_request_features, feature_table
 from ledgerwatch.operators.validation import default_velocity, split_valid
 from ledgerwatch.plans import investigation, training
@@ -50,7 +50,7 @@ def ingest(spark: SparkSession, args) -> None:
 
 
 def profile(spark: SparkSession, args) -> None:
-    """Class shares, fraud by type, anomalies, amounts."""
+    """Class shares, fraud by type, anomalies, amounts; ``--sample`` thins legitimate rows for the amounts."""
     log = read_log(spark, args)
     sample = sampling.fraud_and_sample(log, KEY, S.LABEL, args.sample)
     for name, table in {
@@ -70,17 +70,23 @@ def features(spark: SparkSession, args) -> None:
 
 
 def train(spark: SparkSession, args) -> None:
-    """Both models, their thresholds and the run log."""
-    training.train_all(spark.read.parquet(args.features), KEY, args.out, args.trees, args.depth)
+    """Both models, their thresholds, the run log, and per run the confusion matrix and reports on the test rows."""
+    runs = training.train_all(spark.read.parquet(args.features), KEY, args.out, args.trees, args.depth)
+    for done in runs.values():
+        for name, threshold in (("best", done.model.threshold), ("half", 0.5)):
+            matrix = written(curves.confusion_matrix(done.scored_test, threshold, label=S.LABEL), "matrix")
+            place = f"evaluation/model_{len(done.model.features)}/{name}"
+            _save(matrix, args.out, f"{place}/confusion_matrix")
+            _save(curves.classification_report(matrix), args.out, f"{place}/report")
 
 
 def explain(spark: SparkSession, args) -> None:
-    """Global importance over the first rows, and the drivers of sampled fraud cases."""
+    """Global importance over all rows (or a share of them by hash), and the drivers of sampled fraud cases."""
     model = M.load_model(spark, args.model)
     table = spark.read.parquet(args.features)
-    first = log_files.head(table, KEY, args.rows)
+    rows = table if args.sample >= 1 else sampling.hash_sample(table, KEY, args.sample)
     _save(
-        attribution.global_importance(attribution.explain_rows(first, model, KEY), model.features), args.out, "importance"
+        attribution.global_importance(attribution.explain_rows(rows, model, KEY), model.features), args.out, "importance"
     )
     cases = sampling.first_by_hash(
         reports.confident_fraud(M.score(table, model), model.threshold), KEY, args.cases
@@ -102,20 +108,13 @@ def score(spark: SparkSession, args) -> None:
 
 def build_corpus(spark: SparkSession, args) -> None:
     """Text files to a vector table and its encoder."""
-    docs = written(corpus_files.load_corpus(spark, args.docs).withColumn("doc_id", _compact_id()), "documents")
+    docs = written(corpus_files.load_corpus(spark, args.docs).withColumn("doc_id", F.monotonically_increasing_id()), "documents")
     chunks = retrieval.written_chunks(docs, "doc_id")
     encoder = retrieval.fit_encoder(chunks)
     encoder.write().overwrite().save(f"{args.out}/encoder")
     corpus_files.save_vectors(retrieval.embed(chunks, encoder), f"{args.out}/vectors")
 
 
-def _compact_id():
-    """A generated id with 22 bits for the place in a partition: whole files open at 4 MB each,
-    so a partition holds a few dozen."""
-    generated = F.monotonically_increasing_id()
-    return F.shiftleft(F.shiftright(generated, 33), 22) + generated.bitwiseAND(F.lit((1 << 33) - 1))
-
-
 def _corpus(spark: SparkSession, path: str) -> investigation.Corpus:
     encoder = retrieval.PipelineModel.load(f"{path}/encoder")
     return investigation.Corpus(corpus_files.load_vectors(spark, f"{path}/vectors"), encoder)
@@ -129,7 +128,8 @@ def investigate(spark: SparkSession, args) -> None:
     findings = written(found, "findings")
     _save(findings, args.out, "findings")
     _save(rejected, args.out, "rejected")
-    write_trace(investigation.trace_events(findings, args.key), f"{args.out}/trace")
+    events = investigation.trace_events(findings, args.key).unionByName(investigation.error_events(rejected, args.key))
+    write_trace(events, f"{args.out}/trace")
 
 
 def score_stream(spark: SparkSession, args) -> None:
@@ -141,32 +141,36 @@ def score_stream(spark: SparkSession, args) -> None:
 
 
 def velocity_stream(spark: SparkSession, args) -> None:
-    """Final counts per account and bucket, and counters per closed hour, as log files arrive."""
+    """Final counts per account and bucket, and counters per closed hour, as log files arrive.
+
+    The log is read and counted once, by the hour; the rest goes on from the closed hours.
+    """
     log = velocity.relevant_stream(log_files.stream_csv(spark, args.log), args.epoch)
     trigger = {"processingTime": args.every} if args.every else {"availableNow": True}
-    running = [
-        velocity.start_append(velocity.closed_counts(log, hours), f"{args.out}/counts_{hours}h", **trigger)
-        for hours in (3, 24)
-    ]
     hourly = velocity.start_append(velocity.closed_hours(log, args.epoch), f"{args.out}/counts_1h", **trigger)
     if args.every:
         while hourly.isActive and not hourly.lastProgress:  # its first batch creates the table
             time.sleep(1)
     else:
-        for query in (*running, hourly):
-            query.awaitTermination()
-    last = velocity.start_asof(spark, f"{args.out}/counts_1h/table", f"{args.out}/asof", **trigger)
+        hourly.awaitTermination()
+    table = f"{args.out}/counts_1h/table"
+    last = [velocity.start_asof(spark, table, f"{args.out}/asof", **trigger)]
+    for length in (3, 24):
+        closed = spark.readStream.schema(velocity.HOURS_SCHEMA).parquet(table)
+        buckets = velocity.closed_buckets(closed, length, args.epoch)
+        last.append(velocity.start_append(buckets, f"{args.out}/counts_{length}h", **trigger))
     if args.every:
         spark.streams.awaitAnyTermination()
-    last.awaitTermination()
+    for query in last:
+        query.awaitTermination()
 
 
 JOBS: dict[str, tuple[Callable, dict[str, object]]] = {
     "ingest": (ingest, {"log": None, "format": "csv", "key": KEY, "chunk_rows": S.CHUNK_ROWS}),
-    "profile": (profile, {"log": None, "format": "csv", "key": KEY, "sample": 0.01}),
+    "profile": (profile, {"log": None, "format": "csv", "key": KEY, "sample": 1.0}),
     "features": (features, {"log": None, "format": "csv", "key": KEY}),
     "train": (train, {"features": None, "trees": M.TRAIN_PARAMS["n_estimators"], "depth": M.TRAIN_PARAMS["max_depth"]}),
-    "explain": (explain, {"features": None, "model": None, "rows": 5000, "cases": 10}),
+    "explain": (explain, {"features": None, "model": None, "sample": 1.0, "cases": 10}),
     "score": (score, {"requests": None, "model": None, "key": KEY}),
     "corpus": (build_corpus, {"docs": None}),
     "investigate": (investigate, {"requests": None, "model": None, "corpus": None, "key": KEY}),

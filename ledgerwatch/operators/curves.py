@@ -16,15 +16,22 @@ F1_GUARD = 1e-9
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Positives and rows per distinct score, written once for the passes that follow."""
+    """Positives and rows per distinct score, written once for the passes that follow.
+
+    Rows without a score or a label, and those whose score is NaN, are left out.
+    """
     counts = (
-        df.where(F.col(score).isNotNull())
+        df.where(_scored(score, label))
         .groupBy(F.col(score).alias("score"))
         .agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
     )
     return written(counts, "score_counts")
 
 
+def _scored(score: str, label: str) -> Column:
+    return F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isNotNull()
+
+
 def running_curve(counts: DataFrame, **layout) -> DataFrame:
     """Per score, highest first: positives and rows at or above it."""
     totals = running_totals(counts, "score", ["pos", "n"], descending=True, **layout)
@@ -104,7 +111,7 @@ def best_threshold(counts: DataFrame, **layout) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, threshold: float, score: str = "score", label: str = "label") -> DataFrame:
     hit, fraud = F.col(score) >= F.lit(threshold), F.col(label) == 1
-    return df.where(F.col(score).isNotNull()).agg(
+    return df.where(_scored(score, label)).agg(
         F.count_if(~hit & ~fraud).alias("true_negatives"),
         F.count_if(hit & ~fraud).alias("false_positives"),
         F.count_if(~hit & fraud).alias("false_negatives"),

@@ -79,10 +79,10 @@ def amount_stats(df: DataFrame, **layout) -> DataFrame:
     """Rows, mean, exact median and maximum of the amount per class.
 
     The median comes from running counts over distinct amounts, so no task holds
-    a class; the built-in exact percentile would.
+    a class; the built-in exact percentile would. NULL and NaN amounts are left out.
     """
     counts = written(
-        df.where(F.col("amount").isNotNull() & F.col(S.LABEL).isin(0, 1))
+        df.where(F.col("amount").isNotNull() & ~F.isnan("amount") & F.col(S.LABEL).isin(0, 1))
         .groupBy(F.col(S.LABEL).cast("int").alias(S.LABEL), "amount")
         .agg(F.count(F.lit(1)).alias("n")),
         "amount_counts",
@@ -112,7 +112,9 @@ def amount_histogram(df: DataFrame, bins: int = 60) -> DataFrame:
     The ranges are one row of four numbers, used as a scalar subquery: no join. A
     class with a single amount gets the unit range around it.
     """
-    clipped = df.select(F.col(S.LABEL).cast("int").alias(S.LABEL), C.clip_amount().alias("amount"))
+    clipped = df.where(F.col("amount").isNotNull() & ~F.isnan("amount") & F.col(S.LABEL).isNotNull()).select(
+        F.col(S.LABEL).cast("int").alias(S.LABEL), C.clip_amount().alias("amount")
+    )
     fraud, amount = F.col(S.LABEL) == 1, F.col("amount")
     ranges = clipped.agg(
         F.struct(
@@ -124,7 +126,7 @@ def amount_histogram(df: DataFrame, bins: int = 60) -> DataFrame:
     ).scalar()
     lo = F.when(fraud, ranges["lo1"]).otherwise(ranges["lo0"])
     hi = F.when(fraud, ranges["hi1"]).otherwise(ranges["hi0"])
-    placed = clipped.where(amount.isNotNull()).withColumns({"_lo": lo, "_hi": hi}).withColumns(
+    placed = clipped.withColumns({"_lo": lo, "_hi": hi}).withColumns(
         {
             "_lo": F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")),
             "_hi": F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch import schema as S
@@ -15,7 +17,6 @@ from ledgerwatch.sources.corpus import VECTOR_COLUMNS
 from ledgerwatch.workspace import written
 
 DIMENSIONS = 384
-PARAGRAPH_BITS = 20
 BROADCAST_HITS = 1_000_000
 NO_DOCUMENTS = "No regulatory documents loaded."
 
@@ -32,35 +33,42 @@ def fit_encoder(texts: DataFrame, text: str = "text", dimensions: int = DIMENSIO
     ).fit(texts)
 
 
-def embed(texts: DataFrame, encoder: PipelineModel) -> DataFrame:
-    """Add ``embedding``, an array of float of unit length (zero for a text without words)."""
+Encoder = PipelineModel | Callable[[Column], Column]
+
+
+def embed(texts: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
+    """Add ``embedding``, an array of float of unit length (zero for a text without words).
+
+    ``encoder`` is a pipeline from ``fit_encoder``, or any function from the text column to an
+    array of numbers, such as a pandas UDF.
+    """
+    if not isinstance(encoder, PipelineModel):
+        return texts.withColumn("embedding", encoder(F.col(text)).cast("array<float>"))
     encoded = encoder.transform(texts)
     return encoded.select(*texts.columns, vector_to_array("_unit", "float32").alias("embedding"))
 
 
 def chunk_table(docs: DataFrame, key: str, **chunking) -> DataFrame:
-    """``chunk_id, source, text`` of every chunk. ``key`` is the documents' integer key.
+    """``chunk_id, doc_id, paragraph, source, text`` of every chunk. ``key`` is the documents' key.
 
-    A chunk's id packs its document's key and its place there, so no global
-    numbering pass is needed. Keys below 2^43 and 2^20 paragraphs each fit; more
-    is an error.
+    A chunk is known by its document's key and its place there; ``chunk_id`` is a
+    generated number for the search, good once the table is written.
     """
-    doc, place = F.col(key).cast("long"), F.col("paragraph")
-    fits = (doc >= 0) & (doc < 1 << 63 - PARAGRAPH_BITS) & (place < 1 << PARAGRAPH_BITS)
-    packed = F.shiftleft(doc, PARAGRAPH_BITS) + place
     return chunk_documents(docs, **chunking).select(
-        F.when(fits, packed).otherwise(F.raise_error(F.lit("document key or paragraph too large"))).alias("chunk_id"),
+        F.monotonically_increasing_id().alias("chunk_id"),
+        F.col(key).alias("doc_id"),
+        "paragraph",
         "source",
         F.col("chunk").alias("text"),
     )
 
 
 def written_chunks(docs: DataFrame, key: str, **chunking) -> DataFrame:
-    """``chunk_table`` as a written table, dealt out evenly: one document may hold any share of the chunks."""
-    return written(chunk_table(docs, key, **chunking).repartition("chunk_id"), "chunks")
+    """``chunk_table`` as a written table, then dealt out evenly: one document may hold any share of the chunks."""
+    return written(written(chunk_table(docs, key, **chunking), "chunk_rows").repartition("chunk_id"), "chunks")
 
 
-def build_vectors(docs: DataFrame, key: str, encoder: PipelineModel | None = None, **chunking) -> DataFrame:
+def build_vectors(docs: DataFrame, key: str, encoder: Encoder | None = None, **chunking) -> DataFrame:
     """Documents to the vector table, with an encoder fitted to them if none is given."""
     chunks = written_chunks(docs, key, **chunking)
     encoder = encoder or fit_encoder(chunks)
@@ -68,13 +76,13 @@ def build_vectors(docs: DataFrame, key: str, encoder: PipelineModel | None = Non
 
 
 def chunk_lookup(hits: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
-    """The text of every hit (``id``), by equi-join.
+    """The text of every hit (``id``), by equi-join; a hit without a text keeps its row.
 
     ``few`` hits of a checked number travel to the chunks, which then need no shuffle.
     Otherwise both sides shuffle by id, and AQE splits a chunk that is hit very often.
     """
     hits = F.broadcast(hits) if few else hits
-    return chunks.withColumnRenamed("chunk_id", "id").join(hits, "id")
+    return chunks.withColumnRenamed("chunk_id", "id").join(hits, "id", "right")
 
 
 def retrieve(

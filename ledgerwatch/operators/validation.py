@@ -12,15 +12,20 @@ _BALANCES = ("oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDes
 
 
 def failed_rules(velocity: bool = True):
-    """Names of the rules a row breaks, in a fixed order. A NULL breaks its rule."""
+    """Names of the rules a row breaks, in a fixed order. NULL, NaN and infinity break their rule."""
+
+    def number(name):
+        # NaN is above every number, so it is below no bound either
+        return F.col(name) < F.lit(float("inf"))
+
     rules = [
         ("step", F.col("step").between(S.FIRST_STEP, S.LAST_STEP)),
         ("type", C.is_relevant()),
-        ("amount", F.col("amount") > 0),
-        *[(name, F.col(name) >= 0) for name in _BALANCES],
+        ("amount", (F.col("amount") > 0) & number("amount")),
+        *[(name, (F.col(name) >= 0) & number(name)) for name in _BALANCES],
     ]
     if velocity:
-        rules += [(name, F.col(name) >= 0) for name in S.VELOCITY_FEATURES]
+        rules += [(name, (F.col(name) >= 0) & number(name)) for name in S.VELOCITY_FEATURES]
     broken = [F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(F.lit(name)) for name, ok in rules]
     return F.array_compact(F.array(*broken))
 

@@ -4,40 +4,42 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch import schema as S
 from ledgerwatch.functions import columns as C
 from ledgerwatch.operators import attribution, model as M, reports
-from ledgerwatch.operators.retrieval import embed, retrieve
-
-# The question put to the corpus for each kind of finding.
-QUESTIONS = {
-    0: "suspicious transaction reporting deadline",
-    1: "velocity more than 5 transactions escalate",
-    2: "account balance drained to zero fraud",
-}
-
+from ledgerwatch.operators.retrieval import Encoder, embed, retrieve
+from ledgerwatch.workspace import written
 
 @dataclass(frozen=True)
 class Corpus:
     """A vector table and the encoder that made it."""
 
     vectors: DataFrame
-    encoder: PipelineModel
+    encoder: Encoder
+
+
+def question(label: Column, kind: Column, risk_flag: Column, drivers: Column) -> Column:
+    """What to look up for a finding, from its label, type, velocity flag and the names of its drivers."""
+    return F.concat_ws(
+        " ",
+        F.lower(label),
+        F.lit("risk"),
+        F.lower(F.replace(kind, F.lit("_"), F.lit(" "))),
+        F.when(risk_flag, F.lit("with many transactions in a day")),
+        F.when(F.size(drivers) > 0, F.concat(F.lit("because of "), F.lower(F.array_join(drivers, " and ")))),
+    )
 
 
-def answers(corpus: Corpus) -> DataFrame:
-    """``question_id, query, passages``: one row per question, three in all."""
-    spark = corpus.vectors.sparkSession
-    asked = spark.createDataFrame(list(QUESTIONS.items()), "id long, text string")
+def answers(corpus: Corpus, questions: DataFrame) -> DataFrame:
+    """``query, passages`` for every different ``query``."""
+    asked = questions.select("query").distinct()
+    asked = written(asked.select(F.monotonically_increasing_id().alias("id"), F.col("query").alias("text")), "questions")
     vectors = embed(asked, corpus.encoder).select("id", F.col("embedding").alias("vector"))
     found = retrieve(vectors, corpus.vectors).withColumnRenamed("query_id", "id")
-    return asked.join(found, "id").select(
-        F.col("id").alias("question_id"), F.col("text").alias("query"), "passages"
-    )
+    return asked.join(found, "id").select(F.col("text").alias("query"), "passages")
 
 
 def needs_explanation(score: str = "risk_score"):
@@ -48,8 +50,8 @@ def investigate(transactions: DataFrame, key: str, model: M.FraudModel, corpus:
     """One finding per transaction: score, drivers where the score asks for them, velocity, passages.
 
     ``transactions`` carries the model features and the fields of a request.
-    Scores, attributions and velocity are projections of the same rows, so nothing
-    is joined but the three answers of the corpus.
+    Scores, attributions and velocity are projections of the same rows; they are written
+    once, the different questions are looked up, and the answers joined back.
     """
     carried = [c for c in transactions.columns if c != key]
     scored = M.score(transactions, model)
@@ -77,19 +79,25 @@ def investigate(transactions: DataFrame, key: str, model: M.FraudModel, corpus:
         F.when(explained, reports.driver_sentence(F.col("_top")[0], F.col("score"))).alias("summary"),
         "risk_flag",
         C.recommendation(F.col("risk_label"), F.col("risk_flag")).alias("recommendation"),
-        F.when(F.col("risk_label") != "LOW", 2)
-        .when(F.col("risk_flag"), 1)
-        .otherwise(0)
-        .cast("long")
-        .alias("question_id"),
+        question(
+            F.col("risk_label"), F.col("type"), F.col("risk_flag"), F.when(explained, F.col("_top")["label"])
+        ).alias("query"),
     )
-    # three rows by construction
-    return findings.join(F.broadcast(answers(corpus)), "question_id").drop("question_id")
+    findings = written(findings, "findings")
+    return findings.join(answers(corpus, findings), "query")
+
+
+def error_events(rejected: DataFrame, key: str) -> DataFrame:
+    """One ``error`` event per rejected transaction (with ``failed``), naming the rules it breaks."""
+    said = F.concat(F.lit("invalid transaction: "), F.array_join("failed", ", "))
+    return rejected.select(
+        F.col(key).alias("investigation_id"), F.lit(0).alias("seq"), _event("error", None, F.lit(None), said).alias("e")
+    ).select("investigation_id", "seq", "e.*")
 
 
 def trace_events(findings: DataFrame, key: str) -> DataFrame:
     """The investigation of each transaction as ordered events, result texts cut to 500 characters."""
-    transaction = F.to_json(F.struct(F.struct(*S.REQUEST_FIELDS).alias("transaction")))
+    transaction = F.to_json(F.struct(F.struct(*S.REQUEST_FIELDS).alias("transaction")))  # an object in the line
     question = F.to_json(F.struct("query"))
     scored = F.to_json(F.struct("risk_score", "predicted_class", "risk_label", "flagged_features"))
     top = F.transform(
@@ -112,7 +120,7 @@ def trace_events(findings: DataFrame, key: str) -> DataFrame:
     )
     report = F.concat_ws(
         "\n",
-        F.lit("FRAUD INVESTIGATION REPORT"),
+        F.lit("FRAUD INVESTIGATION REPORT"),  # fixed value
         F.concat(F.lit("Score: "), F.format_string("%.4f", "risk_score"), F.lit(" "), F.col("risk_label")),
         F.col("summary"),
         F.concat(F.lit("RECOMMENDATION: "), F.col("recommendation")),

@@ -12,6 +12,7 @@ from ledgerwatch.registry import query
 from ledgerwatch.registry.tables import (
     HASH_SQL,
     KEY,
+    TX,
     features,
     from_features,
     from_tx,
@@ -213,6 +214,40 @@ def validate_transactions(spark, sf_dir):
     return checked.select(KEY, F.array_join("failed", ",").alias("failed"))
 
 
+_EDGE = {"amount": 3, "oldbalanceOrg": 5, "newbalanceOrig": 7, "oldbalanceDest": 11, "newbalanceDest": 13}
+_EDGE_SQL = ", ".join(
+    f"""case when event_id % {n} = 0 then case event_id % 4 when 0 then 'nan'::double when 1 then null
+    when 2 then 'inf'::double else "{c}" end else "{c}" end as "{c}\""""
+    for c, n in _EDGE.items()
+)
+_EDGE_FAILED = " || ".join(
+    f"case when coalesce({ok}, false) then '' else '{name},' end"
+    for name, ok in [
+        ("step", "step between 1 and 743"),
+        ("type", "type in ('TRANSFER', 'CASH_OUT')"),
+        ("amount", "amount > 0 and isfinite(amount)"),
+        *[(c, f'"{c}" >= 0 and isfinite("{c}")') for c in MONEY[1:]],
+    ]
+)
+
+
+@query(
+    "validate_edge",
+    f"""with {TX}, edge as (select event_id, step, type, {_EDGE_SQL} from tx)
+    select event_id, rtrim({_EDGE_FAILED}, ',') as failed from edge""",
+)
+def validate_edge(spark, sf_dir):
+    """Amounts and balances that are NaN, NULL or infinite are rejected by name."""
+    key = F.col(KEY)
+
+    def odd(name, every):
+        value = F.when(key % 4 == 0, float("nan")).when(key % 4 == 1, None).when(key % 4 == 2, float("inf")).otherwise(F.col(name))
+        return F.when(key % every == 0, value).otherwise(F.col(name))
+
+    edge = transactions(spark, sf_dir).withColumns({name: odd(name, every) for name, every in _EDGE.items()})
+    return validation.validate(edge).select(KEY, F.array_join("failed", ",").alias("failed"))
+
+
 @query(
     "default_velocity",
     from_features(
@@ -352,7 +387,7 @@ def amount_stats_sampled(spark, sf_dir):
 @query("amount_stats_buckets", from_tx(_AMOUNTS))
 def amount_stats_buckets(spark, sf_dir):
     """The plan for any number of distinct amounts, on the same tables."""
-    return profiling.amount_stats(transactions(spark, sf_dir), single_task_rows=0, buckets=64)
+    return profiling.amount_stats(transactions(spark, sf_dir), bucket_rows=50)
 
 
 @query(

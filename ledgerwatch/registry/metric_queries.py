@@ -44,7 +44,7 @@ def running_curve(spark, sf_dir):
 @query("running_curve_buckets", from_curve(_CURVE))
 def running_curve_buckets(spark, sf_dir):
     """The plan for any number of distinct scores, on the same tables."""
-    return curves.running_curve(_counts(spark, sf_dir), single_task_rows=0, buckets=64)
+    return curves.running_curve(_counts(spark, sf_dir), bucket_rows=50)
 
 
 _ROC = 'sum((n - pos) * (tp_before + pos / 2)) / (max(p_all)::double * (max(n_all) - max(p_all)))'

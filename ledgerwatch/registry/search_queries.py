@@ -96,9 +96,10 @@ _PASSAGE = """case when length(text) > 500 then regexp_replace(substring(text, 1
 @query(
     "chunk_lookup",
     f"""with {_KNN} select query_id, cast("rank" as integer) as "rank", id, {_PASSAGE} as passage
-    from near join documents on id = doc_id where "rank" <= 3""",
+    from near left join documents on id = doc_id where "rank" <= 3""",
 )
 def chunk_lookup(spark, sf_dir):
+    """Vectors without a document of their number keep their row."""
     vectors = _vectors(spark, sf_dir)
     hits = knn(vectors, vectors, 3).select("query_id", "rank", "id")
     passages = _documents(spark, sf_dir).select(
@@ -107,21 +108,37 @@ def chunk_lookup(spark, sf_dir):
     return retrieval.chunk_lookup(hits, passages)
 
 
+# An encoder that SQL can state as well: length and how often some letters occur.
+_LETTERS = "eatnrsi"
+
+
+def _letter_counts(text):
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _LETTERS]
+    return F.array(*[c.cast("float") for c in (F.length(text), *counts)])
+
+
+_LETTERS_SQL = "[" + ", ".join(["length({0})"] + [f"length({{0}}) - length(replace({{0}}, '{c}', ''))" for c in _LETTERS]) + "]::double[]"
+
+
 @query(
     "retrieve",
-    f"""with base as (select vec_id, embedding, text from embeddings join documents on vec_id = doc_id),
+    f"""with {_CHUNKS},
     near as (
-      select q.vec_id as query_id, text, row_number() over (partition by q.vec_id
-        order by list_distance(q.embedding::double[], b.embedding::double[]), b.vec_id) as "rank"
-      from embeddings q, base b)
+      select q.item_id as query_id, chunk as text, row_number() over (partition by q.item_id
+        order by list_distance({_LETTERS_SQL.format("q.text")}, {_LETTERS_SQL.format("c.chunk")}), c.doc_id, c.paragraph) as "rank"
+      from benchmark q, chunks c)
     select query_id, string_agg({_PASSAGE}, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by "rank") as passages
     from near where "rank" <= 2 group by 1""",
 )
 def retrieve(spark, sf_dir):
-    queries = _vectors(spark, sf_dir)
-    texts = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    base = queries.join(texts, "id").select(F.col("id").alias("chunk_id"), F.col("vector").alias("embedding"), "text")
-    return retrieval.retrieve(queries, base)
+    """Benchmark items as questions to all paragraphs of all documents."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    chunks = retrieval.written_chunks(docs, "doc_id", separator="\n")
+    place = F.shiftleft("doc_id", 20) + F.col("paragraph")  # in the order that SQL breaks ties by
+    vectors = retrieval.embed(chunks.withColumn("chunk_id", place), _letter_counts)
+    queries = retrieval.embed(asked, _letter_counts).select("id", F.col("embedding").alias("vector"))
+    return retrieval.retrieve(queries, vectors)
 
 
 def _corpus_table(spark, sf_dir):
@@ -137,12 +154,12 @@ def embed_chunks(spark, sf_dir):
 
 @query(
     "build_vectors",
-    f"""with {_CHUNKS} select cast(doc_id * 1048576 + paragraph as bigint) as chunk_id, source, chunk as text,
+    f"""with {_CHUNKS} select doc_id, cast(paragraph as integer) as paragraph, source, chunk as text,
     384 as dimensions from chunks""",
 )
 def build_vectors(spark, sf_dir):
     vectors = _corpus_table(spark, sf_dir)
-    return vectors.select("chunk_id", "source", "text", F.size("embedding").alias("dimensions"))
+    return vectors.select("doc_id", "paragraph", "source", "text", F.size("embedding").alias("dimensions"))
 
 
 @query(
@@ -196,12 +213,18 @@ def trace_pair_query(spark, sf_dir):
 
 @query(
     "trace_write",
-    """select 'data: {"type":"tool_call","name":"' || event_type || '","input":"' || event_id || '"}' as value from events""",
+    """select 'data: {"type":"tool_call","name":"' || event_type || '","input":' || case when event_id % 2 = 0
+      then '{"transaction":{"id":' || event_id || ',"kind":"' || event_type || '"}}' else '"' || event_id || '"' end || '}' as value
+    from events""",
 )
 def trace_write(spark, sf_dir):
+    """The arguments of a call stand in the line as an object, other texts as a string."""
     path = new_dir(spark, "trace")
+    asked = F.to_json(F.struct(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind")).alias("transaction")))
     rows = table(spark, sf_dir, "events").select(
-        F.lit("tool_call").alias("type"), F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("input")
+        F.lit("tool_call").alias("type"),
+        F.col("event_type").alias("name"),
+        F.when(F.col("event_id") % 2 == 0, asked).otherwise(F.col("event_id").cast("string")).alias("input"),
     )
     trace.write_trace(rows, path)
     return trace.read_trace_lines(spark, path)
@@ -209,7 +232,8 @@ def trace_write(spark, sf_dir):
 
 @query(
     "trace_parse",
-    f"with {_EVENTS_SQL} select type, name, content from e",
+    f"""with {_EVENTS_SQL} select type, name, content,
+      '{{"transaction":{{"id":' || investigation_id || ',"turn":' || seq || '}}}}' as input from e""",
 )
 def trace_parse(spark, sf_dir):
     path = new_dir(spark, "trace")
@@ -219,6 +243,7 @@ def trace_parse(spark, sf_dir):
             " when 'click' then concat('event: ', props) else concat('data: not json ', event_id) end"
         ).alias("value")
     )
-    lines = _events(spark, sf_dir).select(trace.trace_line("type", "name", "content").alias("value"))
+    asked = F.to_json(F.struct(F.struct(F.col("investigation_id").alias("id"), F.col("seq").alias("turn")).alias("transaction")))
+    lines = _events(spark, sf_dir).withColumn("input", asked).select(trace.trace_line("type", "name", "content", "input").alias("value"))
     lines.unionByName(noise).write.text(path)
-    return trace.parse_trace(trace.read_trace_lines(spark, path)).select("type", "name", "content")
+    return trace.parse_trace(trace.read_trace_lines(spark, path)).select("type", "name", "content", "input")

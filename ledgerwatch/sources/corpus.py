@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions.text import file_stem
 
-VECTOR_COLUMNS = ("chunk_id", "source", "text", "embedding")
+VECTOR_COLUMNS = ("chunk_id", "doc_id", "paragraph", "source", "text", "embedding")
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -13,8 +13,23 @@ _STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericN
 
 
 def trace_line(*fields: str) -> Column:
-    """One event as a line; absent fields are left out of the JSON."""
-    return F.concat(F.lit(PREFIX), F.to_json(F.struct(*fields)))
+    """One event as a line; absent fields are left out of the JSON.
+
+    ``input``, the arguments of a call, is a text that holds a JSON object; it stands
+    in the line as that object, after the other fields. Any other text stays a string.
+    """
+    others = F.to_json(F.struct(*[f for f in fields if f != "input"]))
+    if "input" not in fields:
+        return F.concat(F.lit(PREFIX), others)
+    whole = F.from_json(F.concat(F.lit("["), F.col("input"), F.lit("]")), "array<map<string,string>>", _STRICT)
+    is_object = F.startswith("input", F.lit("{")) & F.endswith("input", F.lit("}")) & (F.size(whole) == 1)
+    shown = F.when(F.coalesce(is_object, F.lit(False)), F.col("input")).otherwise(
+        F.regexp_extract(F.to_json(F.struct("input")), r"(?s)^\{\"input\":(.*)\}$", 1)
+    )
+    head = F.substring(others, F.lit(1), F.length(others) - 1)
+    comma = F.when(others == "{}", "").otherwise(",")
+    spliced = F.concat(head, comma, F.lit('"input":'), shown, F.lit("}"))
+    return F.concat(F.lit(PREFIX), F.when(F.col("input").isNull(), others).otherwise(spliced))
 
 
 def write_trace(events: DataFrame, path: str, *fields: str) -> None:

@@ -51,8 +51,12 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def head(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first ``n`` rows by ``key``: each task keeps ``n``, one merges them."""
-    return df.orderBy(key).limit(n)
+    """The first ``n`` rows by ``key``.
+
+    The last key wanted is found among the keys alone; whole rows move only up to it.
+    """
+    last = df.select(key).orderBy(key).limit(n).agg(F.max(key)).scalar()
+    return df.where(F.col(key) <= last).orderBy(key).limit(n)
 
 
 def scan_features(df: DataFrame, features: Sequence[str] = S.FULL_FEATURES, keep: Sequence[str] = ()) -> DataFrame:

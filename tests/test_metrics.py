@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.operators import curves, profiling
 from ledgerwatch.operators.running import running_totals
 
-SPLIT = {"single_task_rows": 0, "buckets": 16}
+SPLIT = {"bucket_rows": 8}
 
 
 def table(spark, pairs):
@@ -130,3 +130,28 @@ def test_class_shares_add_up(spark):
     got = {r["name"]: r["pct"] for r in profiling.class_distribution(df).collect()}
     assert got == {"Fraud": 25.0, "Legitimate": 75.0}
     assert profiling.label_summary(df).select(F.sum("positives")).first()[0] == 1
+
+
+@pytest.mark.parametrize("layout", [{}, SPLIT, {"bucket_rows": 1}])
+def test_nan_and_null_are_left_out_alike(spark, layout):
+    rows = [(0.9, 1), (0.2, 0), (0.2, 1), (float("nan"), 1), (None, 1), (0.7, None), (0.4, 0)]
+    row = curves.evaluate(table(spark, rows), **layout).first()
+    whole = curves.evaluate(table(spark, [r for r in rows if r[0] is not None and r[0] == r[0] and r[1] is not None])).first()
+    assert row == whole
+    matrix = curves.confusion_matrix(table(spark, rows), 0.4).first()
+    assert tuple(matrix) == (1, 1, 1, 1)
+
+
+@pytest.mark.parametrize("layout", [{}, {"bucket_rows": 1}])
+def test_amounts_with_nan_null_and_ties(spark, layout):
+    rows = [(5.0, 0), (float("nan"), 0), (None, 0), (1.0, 0), (5.0, 0), (9.0, 1), (float("nan"), 1), (3.0, None)]
+    df = spark.createDataFrame(rows, "amount double, isFraud int")
+    got = {r["isFraud"]: tuple(r)[1:] for r in profiling.amount_stats(df, **layout).collect()}
+    assert got == {0: (3, 3.6667, 5.0, 5.0), 1: (1, 9.0, 9.0, 9.0)}
+    assert profiling.amount_histogram(df, 4).agg(F.sum("rows")).first()[0] == 4
+
+
+def test_running_totals_put_nan_last(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (1.0, 2), (2.0, 4)], "v double, n long")
+    got = {str(r["v"]): r["n_before"] for r in running_totals(df, "v", ["n"], bucket_rows=1).collect()}
+    assert got == {"1.0": 0, "2.0": 2, "nan": 6}

@@ -129,5 +129,29 @@ def test_sort_query_is_in_order(spark, sf_dir):
     assert keys == sorted(keys)
 
 
-def test_questions_and_gate():
-    assert set(investigation.QUESTIONS) == {0, 1, 2}
+def test_questions_follow_the_finding(spark):
+    rows = [("HIGH", "CASH_OUT", True, ["Amount", "Hour"]), ("LOW", "TRANSFER", False, []), ("LOW", "TRANSFER", None, None)]
+    df = spark.createDataFrame(rows, "label string, type string, flag boolean, drivers array<string>")
+    asked = df.select(investigation.question(F.col("label"), F.col("type"), F.col("flag"), F.col("drivers"))).collect()
+    assert [r[0] for r in asked] == [
+        "high risk cash out with many transactions in a day because of amount and hour", "low risk transfer", "low risk transfer",
+    ]
+
+
+def test_rejected_transactions_leave_an_error_event(spark):
+    df = spark.createDataFrame([(4, ["step", "amount"])], "key long, failed array<string>")
+    (event,) = investigation.error_events(df, "key").collect()
+    assert event.asDict() == {
+        "investigation_id": 4, "seq": 0, "type": "error", "name": None, "input": None, "content": "invalid transaction: step, amount",
+    }
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_numbers_that_are_none_are_rejected_by_name(spark, bad):
+    good = {"step": 5, "type": "TRANSFER", "amount": 1.0, "oldbalanceOrg": 1.0, "newbalanceOrig": 0.0, "oldbalanceDest": 0.0, "newbalanceDest": 0.0}
+    numbers = [n for n, v in good.items() if isinstance(v, float)]
+    rows = [tuple(bad if n == name else v for n, v in good.items()) for name in numbers]
+    shape = ", ".join(f"{n} {'int' if n == 'step' else 'string' if n == 'type' else 'double'}" for n in good)
+    checked = validation.validate(spark.createDataFrame(rows, shape)).collect()
+    assert [r["failed"] for r in checked] == [[n] for n in numbers]
+    assert validation.split_valid(spark.createDataFrame(rows, shape))[0].count() == 0

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,17 +23,21 @@ def test_chunks(spark):
     assert chunks(spark, f"a|{fifty}", separator="|") == [("s0", 1, fifty)]
 
 
-def python_passage(value, limit=500):
-    return (value[:limit].rsplit(" ", 1)[0] + " …") if len(value) > limit else value
-
-
 @pytest.mark.parametrize(
-    "value",
-    ["short", "x" * 500, "x" * 501, "word " * 120, "a" * 499 + " b", "a\nb " * 200, "a" * 250 + " " + "b\n" * 200, "é " * 300, " " * 600],
+    ("value", "shown"),
+    [
+        ("short", "short"),
+        ("x" * 500, "x" * 500),
+        ("x" * 501, "x" * 500 + " …"),
+        ("word " * 120, "word " * 99 + "word …"),
+        ("a" * 499 + " b", "a" * 499 + " …"),
+        ("a" * 250 + " " + "b\n" * 200, "a" * 250 + " …"),
+        (" " * 600, " " * 499 + " …"),
+    ],
 )
-def test_passage(spark, value):
+def test_passage(spark, value, shown):
     df = spark.createDataFrame([(value,)], "v string")
-    assert df.select(text.passage(F.col("v"))).first()[0] == python_passage(value)
+    assert df.select(text.passage(F.col("v"))).first()[0] == shown
 
 
 def test_snippet(spark):
@@ -68,7 +73,7 @@ def test_corpus_to_retrieval(spark, tmp_path):
 
 def test_empty_corpus(spark):
     queries = spark.createDataFrame([(1, [0.0, 1.0])], "id long, vector array<float>")
-    empty = spark.createDataFrame([], "chunk_id long, source string, text string, embedding array<float>")
+    empty = spark.createDataFrame([], "chunk_id long, doc_id long, paragraph int, source string, text string, embedding array<float>")
     assert retrieval.retrieve(queries, empty).first()["passages"] == retrieval.NO_DOCUMENTS
 
 
@@ -82,16 +87,16 @@ def test_embedding_is_unit_length(spark):
 
 
 def test_trace_lines(spark):
-    good = {"type": "tool_call", "name": "x", "input": "{\"a\": 1}"}
+    good = {"type": "tool_call", "name": "x", "input": {"a": {"b": [1, "two"]}}}
     lines = ["", "data: ", "data: {broken", "event: x", f"data: {json.dumps(good)}", "data:" + json.dumps(good),
              "data: {\"type\": \"report\", \"content\": \"two\\nlines\"}  ", "data:    ", "data: not json", "data: [1]", "data: null", "data: 42"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     got = [tuple(r) for r in trace.parse_trace(df).collect()]
-    assert got == [("tool_call", "x", "{\"a\": 1}", None), ("report", None, None, "two\nlines")]
+    assert got == [("tool_call", "x", '{"a":{"b":[1,"two"]}}', None), ("report", None, None, "two\nlines")]
 
 
 def test_trace_round_trip(spark, tmp_path):
-    rows = [("tool_call", "a", "in", None), ("tool_result", "a", None, "quote \" and\nline"), ("report", None, None, "é")]
+    rows = [("tool_call", "a", "in", None), ("tool_call", "a", '{"t":{"q":"x \\"y\\" }"}}', None), ("tool_call", "b", "{no object}", None), ("tool_result", "a", None, "quote \" and\nline"), ("report", None, None, "é")]
     events = spark.createDataFrame(rows, trace.EVENT_FIELDS)
     trace.write_trace(events, str(tmp_path / "t"))
     again = trace.parse_trace(trace.read_trace_lines(spark, str(tmp_path / "t")))
@@ -106,14 +111,17 @@ def test_last_result_serves_every_call(spark):
     assert got == {(1, 0): ("last", True), (1, 2): ("last", True), (1, 4): (None, False), (2, 0): (None, False)}
 
 
-def test_chunk_ids_that_do_not_fit(spark):
-    from pyspark.errors import PySparkException
+def test_any_key_and_any_number_of_paragraphs(spark):
+    docs = spark.createDataFrame([(1 << 62, ("x" * 60 + "\n\n") * 3, "s"), (-5, "y" * 60, "t")], "doc_id long, text string, source string")
+    table = retrieval.written_chunks(docs, "doc_id")
+    assert {(r["doc_id"], r["paragraph"]) for r in table.collect()} == {(1 << 62, 0), (1 << 62, 1), (1 << 62, 2), (-5, 0)}
+    assert table.select("chunk_id").distinct().count() == 4
+
 
-    docs = spark.createDataFrame([(1 << 43, "x" * 60, "s")], "doc_id long, text string, source string")
-    with pytest.raises(PySparkException, match="too large"):
-        retrieval.chunk_table(docs, "doc_id").collect()
-    fits = docs.withColumn("doc_id", F.lit((1 << 43) - 1))
-    assert retrieval.chunk_table(fits, "doc_id").first()["chunk_id"] == ((1 << 43) - 1) << 20
+def test_any_function_can_encode(spark):
+    table = spark.createDataFrame([("abc",), ("",)], "text string")
+    rows = retrieval.embed(table, lambda t: F.array(F.length(t), F.lit(1))).collect()
+    assert [r["embedding"] for r in rows] == [[3.0, 1.0], [0.0, 1.0]]
 
 
 @pytest.mark.parametrize(
@@ -148,16 +156,35 @@ def random_texts(n):
     return ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(0, 90))) for _ in range(n)]
 
 
-def test_random_texts_cut_and_chunk_as_plain_python(spark):
+def test_random_texts_are_cut_at_spaces(spark):
+    texts = random_texts(400)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    shown = [r[0] for r in df.orderBy("doc_id").select(text.passage(F.col("text"), 60)).collect()]
+    for whole, cut in zip(texts, shown, strict=True):
+        if len(whole) <= 60:
+            assert cut == whole
+            continue
+        assert cut.endswith(" …")
+        kept = cut.removesuffix(" …")
+        assert whole.startswith(kept) and len(kept) <= 60
+        if len(kept) < 60:  # it ends before a space, and no later word would have fitted
+            assert whole[len(kept)] == " " and " " not in whole[len(kept) + 1 : 60]
+        else:
+            assert " " not in kept
+
+
+def test_random_texts_keep_their_long_paragraphs_in_order(spark):
     texts = random_texts(400)
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    cut = [r[0] for r in df.orderBy("doc_id").select(text.passage(F.col("text"), 60)).collect()]
-    assert cut == [python_passage(t, 60) for t in texts]
-    got = sorted((r["doc_id"], r["paragraph"], r["chunk"]) for r in text.chunk_documents(df).collect())
-    want = [
-        (i, p, piece.strip())
-        for i, t in enumerate(texts)
-        for p, piece in enumerate(t.replace("\r\n", "\n").split("\n\n"))
-        if len(piece.strip()) >= 50
-    ]
-    assert got == sorted(want) and len(want) > 100
+    found = {}
+    for r in sorted(text.chunk_documents(df).collect(), key=lambda r: (r["doc_id"], r["paragraph"])):
+        found.setdefault(r["doc_id"], []).append(r["chunk"])
+    assert sum(map(len, found.values())) > 100
+    for i, whole in enumerate(texts):
+        rest = whole.replace("\r\n", "\n")
+        for chunk in found.get(i, []):
+            assert len(chunk) >= 50 and "\n\n" not in chunk and chunk == chunk.strip()
+            skipped, _, rest = rest.partition(chunk)
+            # what was skipped holds no paragraph that is long enough
+            assert max((len(p.strip()) for p in re.split("\n\n", skipped)), default=0) < 50
+        assert max((len(p.strip()) for p in re.split("\n\n", rest)), default=0) < 50
