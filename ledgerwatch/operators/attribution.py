@@ -4,7 +4,7 @@ A leaf is reached when the row passes every split on its path. Merging the split
 one feature leaves a conjunction over at most ``depth`` features, each either met by
 the row (1) or replaced by the share of training rows that met it. The Shapley values
 of such a product depend only on which of the leaf's features the row meets, so they
-are tabulated once per leaf, 2^m entries for m features. Tasks then look up one entry
+are tabulated per leaf in the tasks, 2^m entries for m features, and looked up once
 per row and leaf: no tree is walked and nothing is recursive.
 
 Values are log-odds: the booster's margin is half of them, hence the factor 2.
@@ -25,31 +25,57 @@ from ledgerwatch.operators.model import FraudModel
 from ledgerwatch.workspace import new_dir
 
 MARGIN_TO_LOG_ODDS = 2.0
-_TILE_ROWS = 8_192
 _CONDITIONS_KEPT = 512
 
 
-# One leaf: (feature, above, up to) per feature on its path, and per such feature its
-# attribution for each pattern of met conditions, bit i set when the i-th is met.
-Leaf = tuple[tuple[tuple[int, float, float], ...], np.ndarray]
+TABLE_BYTES = 128 << 20  # of tables that a worker keeps; beyond, they are made anew for each batch
+
+
+@dataclass(frozen=True)
+class Leaf:
+    """(feature, above, up to) per feature on its path, the share of training rows that met each, its value."""
+
+    bounds: tuple[tuple[int, float, float], ...]
+    shares: tuple[float, ...]
+    value: float
+
+    def table(self) -> np.ndarray:
+        """Per feature its attribution for each pattern of met conditions, bit i set when the i-th is met."""
+        return self.value * _shapley_table(self.shares)
+
+
+class Leaves:
+    """The leaves of all trees: what travels to the tasks grows with their number, not with 2^depth."""
+
+    def __init__(self, leaves: list[Leaf]) -> None:
+        self.leaves = leaves
+        self.tables: list[np.ndarray] | None = None
+
+    def __getstate__(self):
+        return {"leaves": self.leaves, "tables": None}
+
+    def __iter__(self) -> Iterator[tuple[tuple[tuple[int, float, float], ...], np.ndarray]]:
+        size = sum(8 * len(leaf.shares) << len(leaf.shares) for leaf in self.leaves)
+        if self.tables is None and size <= TABLE_BYTES:
+            self.tables = [leaf.table() for leaf in self.leaves]
+        for i, leaf in enumerate(self.leaves):
+            yield leaf.bounds, self.tables[i] if self.tables else leaf.table()
 
 
 @dataclass(frozen=True)
 class Explainer:
-    leaves: tuple[Leaf, ...]
+    leaves: Leaves
     base_value: float
     width: int
 
 
-_explainers: dict[str, Explainer] = {}
-
-
 def explainer(model: FraudModel) -> Explainer:
-    """The explainer of a model, built once per trained model."""
-    uid = model.classifier.uid
-    if uid not in _explainers:
-        _explainers[uid] = _build(model)
-    return _explainers[uid]
+    """The explainer of a model, built once and kept on it."""
+    found = model.__dict__.get("_explainer")
+    if found is None:
+        found = _build(model)
+        object.__setattr__(model, "_explainer", found)  # the model is frozen otherwise
+    return found
 
 
 def _build(model: FraudModel) -> Explainer:
@@ -83,8 +109,8 @@ def _build(model: FraudModel) -> Explainer:
             base += value * float(np.prod(shares))
             if conditions:
                 bounds = tuple((f, lo, hi) for f, lo, hi, _ in conditions)
-                leaves.append((bounds, value * _shapley_table(shares)))
-    return Explainer(tuple(leaves), base, len(model.features))
+                leaves.append(Leaf(bounds, tuple(shares), value))
+    return Explainer(Leaves(leaves), base, len(model.features))
 
 
 def _paths(tree, node_id, met, weight):
@@ -119,7 +145,7 @@ def _shapley_table(shares):
     return table
 
 
-def attribute(values: np.ndarray, leaves: tuple[Leaf, ...]) -> np.ndarray:
+def attribute(values: np.ndarray, leaves: Leaves) -> np.ndarray:
     """Attributions of a (rows x features) matrix."""
     rows, width = values.shape
     columns = [np.ascontiguousarray(values[:, f]) for f in range(width)]
@@ -161,13 +187,13 @@ def explain_table(df: DataFrame, model: FraudModel, keep: list[str], name: str =
     schema += f", `{name}` array<double>, base_value double"
     spark = df.sparkSession
     base_value = explain.base_value
-    shared = spark.sparkContext.broadcast(explain.leaves)  # at most trees x 2^depth
+    shared = spark.sparkContext.broadcast(explain.leaves)  # at most trees x 2^depth leaves of a few numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, _TILE_ROWS):
-                part = batch.slice(start, _TILE_ROWS)
+            if batch.num_rows:
+                part = batch
                 matrix = np.column_stack([part.column(x).to_numpy(zero_copy_only=False) for x in model_inputs])
                 values = attribute(matrix, leaves)
                 n, width = values.shape

@@ -25,6 +25,9 @@ TRAIN_PARAMS = {
 }
 
 
+PART_ROWS = 500_000  # training rows sorted by one task
+
+
 @dataclass(frozen=True)
 class FraudModel:
     """A trained classifier with its feature order and decision threshold."""
@@ -57,7 +60,7 @@ def train(
     spark = df.sparkSession
     use_checkpoint_dir(spark)
     if order:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
         df = df.repartition(parts, *order).sortWithinPartitions(*order)
     matrix = assemble(df, features).select("_features", F.col(label).cast("double").alias("_label"))
     booster = GBTClassifier(

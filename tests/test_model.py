@@ -150,36 +150,27 @@ def hash_of(name):
 
 @pytest.fixture(scope="module")
 def separable(spark):
-    """4,000 requests, 30 % fraud: emptied origins and unmoved destinations against ordinary payments."""
-    df = spark.range(4000).select(F.col("id").alias("key"), (F.col("id") < 1200).cast("byte").alias("isFraud"))
-    fraud = F.col("isFraud") == 1
-
-    def either(a, b):
-        return F.when(fraud, a).otherwise(b)
-
-    df = df.withColumns(
-        {
-            "step": F.floor(uniform("step", 1, 744)).cast("int"),
-            "type_encoded": F.floor(uniform("type", 1, 3)).cast("byte"),
-            "amount": uniform("amount", 50, 50_000),
-            "velocity_24hr": F.floor(either(uniform("v24", 1, 20), uniform("v24", 1, 6))).cast("int"),
-        }
-    )
-    amount = F.col("amount")
+    """2,000 requests; those labelled move large sums and leave the sender with next to nothing."""
+    df = spark.range(2000).select(F.col("id").alias("key"), (F.col("id") % 4 == 0).cast("byte").alias("isFraud"))
+    bad = F.col("isFraud") == 1
     df = df.withColumns(
         {
-            "log_amount": F.log1p(amount),
-            "oldbalanceOrg": either(amount * uniform("org", 1, 1.05), amount / uniform("org", 0.05, 0.4)),
-            "oldbalanceDest": either(uniform("dest", 0, 2000), uniform("dest", 1000, 50_000)),
-            "velocity_1hr": F.least("velocity_24hr", F.floor(uniform("v1", 1, 4))).cast("int"),
-            "velocity_cumcount": F.col("velocity_24hr") + F.floor(uniform("cum", 0, 20)).cast("int"),
+            "step": F.ceil(uniform("hour", 0, 700)).cast("int"),
+            "type_encoded": (1 + (F.col("key") % 2)).cast("byte"),
+            "amount": F.when(bad, uniform("large", 20_000, 90_000)).otherwise(uniform("small", 10, 30_000)),
+            "oldbalanceDest": uniform("there", 0, 8_000),
+            "velocity_cumcount": F.floor(uniform("past", 0, 40)).cast("int"),
+            "velocity_24hr": F.floor(uniform("day", 1, 9)).cast("int"),
         }
     )
+    left = F.when(bad, uniform("rest", 0, 100)).otherwise(uniform("purse", 3_000, 60_000))
+    df = df.withColumns({"newbalanceOrig": left, "oldbalanceOrg": left + F.col("amount")})
     df = df.withColumns(
         {
-            "newbalanceOrig": either(amount * uniform("new", 0, 0.02), F.col("oldbalanceOrg") - amount),
-            "newbalanceDest": either(F.col("oldbalanceDest") + uniform("moved", -50, 50), F.col("oldbalanceDest") + amount),
-            "velocity_3hr": F.least("velocity_24hr", F.col("velocity_1hr") + F.floor(uniform("v3", 0, 3))).cast("int"),
+            "log_amount": F.log1p("amount"),
+            "newbalanceDest": F.when(bad, F.col("oldbalanceDest")).otherwise(F.col("oldbalanceDest") + F.col("amount")),
+            "velocity_1hr": F.lit(1),
+            "velocity_3hr": F.least(F.lit(2), F.col("velocity_24hr")),
         }
     ).cache()
     return df, M.train(df, trees=15, depth=4, order=("key",))
