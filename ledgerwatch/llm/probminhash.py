@@ -5,9 +5,11 @@ is its weight; each arrival falls into one of ``REGISTERS`` registers, which kee
 Processes stop once the next arrival is later than the latest register. Two texts agree in a register with
 their probability Jaccard. Texts that agree in a band of registers are candidates, checked on all their runs.
 
-Equal texts are one text from the start. Within a bucket a few leaders are compared with the members of
-other components; links merge components, and buckets within one component are done. Leaders grow fourfold
-each round until every pair of different components in a bucket has been compared, so no link is missed.
+Equal texts are one text from the start. Within a bucket a few leaders are compared with the members of other
+components; links merge components, and buckets within one component are done. What is left after
+``ROUNDS`` rounds is compared block by block: members in one block, those outside the bucket's largest
+component in another, each pair in the first bucket it shares, and only links leave a task. So every pair
+of different components that shares a bucket is compared, and no group's pairs are written out.
 """
 
 from __future__ import annotations
@@ -30,7 +32,10 @@ LEAST = 0.8
 BANDS = 30
 ROWS = 6
 REGISTERS = BANDS * ROWS
-GROWTH = 4
+ROUNDS = 2
+GROWTH = 8  # of the leaders of a bucket, and of the pairs of a text, from round to round
+MEMBERS, LEADERS = 128, 64  # texts in a block
+DEVIATIONS = 4.0  # of the agreement in registers, below which a pair is not checked
 
 _U = np.uint64
 
@@ -92,6 +97,11 @@ def probability_jaccard(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarr
     return float(total)
 
 
+def marks_of(holder: np.ndarray) -> bytes:
+    """Sixteen bits of each register, for a quick estimate."""
+    return holder.astype(np.uint16).tobytes()
+
+
 def _digest(words: np.ndarray, text: str) -> bytes:
     return xxhash.xxh3_128_digest(words.tobytes() if len(words) else b"\0" + text.encode("utf-8", "replace"))
 
@@ -99,15 +109,20 @@ def _digest(words: np.ndarray, text: str) -> bytes:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(text hash, digest of the words, bands) per text; texts without words have no bands."""
     for batch in batches:
-        digests, bands, known = [], [], {}
+        digests, known = [], {}
         for text in batch.text:
             words = word_hashes(text)
             digest = _digest(words, text)
             if digest not in known:
-                known[digest] = band_hashes(signature(*weighted_shingles(words))) if len(words) else np.empty(0, dtype=np.int64)
+                holder = signature(*weighted_shingles(words)) if len(words) else np.empty(0, dtype=np.uint64)
+                known[digest] = (band_hashes(holder) if len(words) else holder.view(np.int64), marks_of(holder))
             digests.append(digest)
-            bands.append(known[digest])
-        yield pd.DataFrame({"doc_id": batch.doc_id, "mark": batch.mark, "digest": digests, "bands": bands})
+        yield pd.DataFrame(
+            {
+                "doc_id": batch.doc_id, "mark": batch.mark, "digest": digests, "bands": [known[d][0] for d in digests],
+                "packed": [known[d][0].tobytes() for d in digests], "registers": [known[d][1] for d in digests],
+            }
+        )
 
 
 def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,14 +134,41 @@ def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 words = word_hashes(text)
                 if _digest(words, text) == bytes(digest):
                     runs, weights = weighted_shingles(words)
-                    out[ident] = (ident, runs.view(np.int64), weights.astype(np.int32))
+                    out[ident] = (ident, runs.tobytes(), weights.astype(np.int32).tobytes())
         yield pd.DataFrame(list(out.values()), columns=["id", "runs", "weights"])
 
 
+def _compare(least: float):
+    low = least - DEVIATIONS * (least * (1 - least) / REGISTERS) ** 0.5
+
+    def unpack(block: pd.DataFrame, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(block[name]), dtype=kind).reshape(len(block), -1)
+
+    def compare(members: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        """Links between a block of members and one of leaders of the same bucket."""
+        out = []
+        if len(members) and len(leaders):
+            marks, bands = unpack(members, "registers", np.uint16), unpack(members, "bands", np.int64)
+            band = members.band.iloc[0]
+            for r in leaders.itertuples(index=False):
+                agree = (marks == np.frombuffer(r.registers, dtype=np.uint16)).mean(axis=1)
+                shared = bands == np.frombuffer(r.bands, dtype=np.int64)
+                mine = (agree >= low) & (members.root.to_numpy() != r.root) & (shared.argmax(axis=1) == band)
+                runs, weights = np.frombuffer(r.runs, dtype=np.uint64), np.frombuffer(r.weights, dtype=np.int32)
+                for i in np.flatnonzero(mine):
+                    other = members.iloc[i]
+                    theirs = np.frombuffer(other.runs, dtype=np.uint64), np.frombuffer(other.weights, dtype=np.int32)
+                    if probability_jaccard(runs, weights, *theirs) >= least:
+                        out.append((r.root, other.root))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+
+    return compare
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         near = [
-            probability_jaccard(np.asarray(a).view(np.uint64), np.asarray(m), np.asarray(b).view(np.uint64), np.asarray(n))
+            probability_jaccard(*(np.frombuffer(x, dtype=t) for x, t in ((a, np.uint64), (m, np.int32), (b, np.uint64), (n, np.int32))))
             for a, m, b, n in zip(batch.runs_a, batch.weights_a, batch.runs_b, batch.weights_b, strict=True)
         ]
         yield pd.DataFrame({"a": batch.a, "b": batch.b, "ca": batch.ca, "cb": batch.cb, "near": near})
@@ -142,15 +184,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     rows = docs.where(F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")
     )
-    read = written(rows.mapInPandas(_read, "doc_id long, mark long, digest binary, bands array<long>"), "near_rows")
+    read = written(rows.mapInPandas(_read, "doc_id long, mark long, digest binary, bands array<long>, packed binary, registers binary"), "near_rows")
     texts = written(
         read.groupBy("digest")
-        .agg(F.min("mark").alias("mark"), F.any_value("bands").alias("bands"))
+        .agg(F.min("mark").alias("mark"), *[F.any_value(c).alias(c) for c in ("bands", "packed", "registers")])
         .withColumn("id", F.monotonically_increasing_id()),
         "near_texts",
     )
-    bucket = F.explode(F.transform("bands", lambda h, i: F.xxhash64(h, i)))
-    members = texts.select("id", bucket.alias("bucket"))
+    members = texts.select("id", F.posexplode("bands").alias("band", "hash"))
+    members = members.select("id", "band", F.xxhash64("hash", "band").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = written(members.join(shared, "bucket"), "near_buckets")
     roots = _linked(rows, texts, buckets, least)
@@ -163,22 +205,19 @@ def _linked(rows: DataFrame, texts: DataFrame, buckets: DataFrame, least: float)
     ids = buckets.select("id").distinct()
     wanted = texts.join(ids, "id").select("id", "digest", "mark")
     arrays = joined_small(rows.select("mark", "text"), wanted, "mark").select("id", "digest", "text")
-    shingled = arrays.mapInPandas(_shingles, "id long, runs array<long>, weights array<int>")
+    shingled = arrays.mapInPandas(_shingles, "id long, runs binary, weights binary")
     shingled = written(shingled.dropDuplicates(["id"]), "near_shingles")
     roots = written(ids.select("id", F.col("id").alias("root")), "near_roots")
     active, tested, leaders = buckets, None, 1
-    while True:
-        placed = active.join(roots, "id")
-        mixed_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-        mixed_buckets = mixed_buckets.where("lo != hi").select("bucket", "n")
-        placed = written(placed.join(mixed_buckets, "bucket"), "near_active")
-        most = placed.agg(F.max("n")).first()[0]
-        if most is None:
+    for _ in range(ROUNDS):
+        placed = _active(active, roots)
+        if placed.limit(1).count() == 0:
             return roots
         lead = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
-        heads = placed.withColumn("nth", F.row_number().over(lead)).where(F.col("nth") <= leaders)
-        heads = heads.select("bucket", F.col("id").alias("other"), F.col("root").alias("other_root"))
-        met = placed.join(heads, (placed["bucket"] == heads["bucket"]) & (placed["root"] != heads["other_root"]))
+        heads = placed.where(F.lit(leaders == 1) | (F.col("root") != F.col("main")))
+        heads = heads.withColumn("nth", F.row_number().over(lead)).where(F.col("nth") <= leaders)
+        heads = heads.select(F.col("bucket").alias("of"), F.col("id").alias("other"), F.col("root").alias("other_root"))
+        met = placed.join(heads, (F.col("bucket") == F.col("of")) & (F.col("root") != F.col("other_root")))
         low = F.col("id") < F.col("other")
         pairs = met.select(
             F.when(low, F.col("id")).otherwise(F.col("other")).alias("a"),
@@ -190,23 +229,42 @@ def _linked(rows: DataFrame, texts: DataFrame, buckets: DataFrame, least: float)
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         # a text is compared with few others at once, since a link saves the rest of its component
         nth = Window.partitionBy("b").orderBy(F.xxhash64("a"), "a")
-        pairs = written(pairs.withColumn("nth", F.row_number().over(nth)), "near_pairs")
-        now = pairs.where(F.col("nth") <= leaders).drop("nth")
-        left = pairs.where(F.col("nth") > leaders).limit(1).count() > 0
+        now = pairs.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= leaders).drop("nth")
         one = shingled.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"), F.col("weights").alias("weights_a"))
         two = shingled.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"), F.col("weights").alias("weights_b"))
-        checked = written(
-            now.join(one, "a").join(two, "b").mapInPandas(_verify, "a long, b long, ca long, cb long, near double"), "near_checked"
-        )
-        links = checked.where(F.col("near") >= least)
-        merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        merged = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        roots = written(roots.join(merged, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "near_roots")
+        checked = now.join(one, "a").join(two, "b").mapInPandas(_verify, "a long, b long, ca long, cb long, near double")
+        checked = written(checked, "near_checked")
+        roots = _merged(roots, checked.where(F.col("near") >= least).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         failed = checked.where(F.col("near") < least).select("a", "b")
         tested = failed if tested is None else tested.unionByName(failed)
-        if leaders >= most and not left:
-            return roots
-        active, leaders = placed.select("bucket", "id"), leaders * GROWTH
+        active, leaders = placed.select("bucket", "band", "id"), leaders * GROWTH
+    placed = _active(active, roots)
+    known = texts.select("id", "registers", F.col("packed").alias("bands")).join(shingled, "id")
+    full = written(placed.join(known, "id"), "near_left")
+    chunks, blocks = (F.ceil(F.col(n) / size).cast("int") for n, size in (("n", MEMBERS), ("others", LEADERS)))
+    dealt = F.xxhash64("id")
+    members = full.withColumn("chunk", F.pmod(dealt, chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    heads = full.where("root != main").withColumn("block", F.pmod(dealt, blocks).cast("int"))
+    heads = heads.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    keys, columns = ["bucket", "chunk", "block"], ["band", "root", "registers", "bands", "runs", "weights"]
+    links = members.select(*keys, *columns).groupBy(*keys).cogroup(heads.select(*keys, *columns).groupBy(*keys))
+    return _merged(roots, written(links.applyInPandas(_compare(least), "a long, b long"), "near_links"))
+
+
+def _active(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: with their root, the bucket's largest component
+    ``main``, its members ``n`` and those outside it ``others``."""
+    placed = buckets.join(roots, "id")
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    kinds = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("largest"))
+    kinds = kinds.where("kinds > 1").select("bucket", F.col("largest.root").alias("main"), "n", (F.col("n") - F.col("largest.n")).alias("others"))
+    return written(placed.join(kinds, "bucket"), "near_active")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after linking components."""
+    merged = components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return written(roots.join(merged, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "near_roots")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
