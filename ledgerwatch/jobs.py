@@ -133,11 +133,12 @@ def investigate(spark: SparkSession, args) -> None:
 
 
 def score_stream(spark: SparkSession, args) -> None:
-    """Score requests as files arrive."""
+    """Score requests as files arrive; ``--counters`` names the as-of table of ``velocity-stream``."""
     shape = spark.read.parquet(args.requests).schema
     stream = spark.readStream.schema(shape).parquet(args.requests)
     trigger = {"processingTime": args.every} if args.every else {"availableNow": True}
-    scoring.start_scoring(stream, M.load_model(spark, args.model), args.out, **trigger).awaitTermination()
+    model = M.load_model(spark, args.model)
+    scoring.start_scoring(stream, model, args.out, args.counters or None, **trigger).awaitTermination()
 
 
 def velocity_stream(spark: SparkSession, args) -> None:
@@ -175,7 +176,7 @@ JOBS: dict[str, tuple[Callable, dict[str, object]]] = {
     "corpus": (build_corpus, {"docs": None}),
     "investigate": (investigate, {"requests": None, "model": None, "corpus": None, "key": KEY}),
     "velocity-stream": (velocity_stream, {"log": None, "epoch": EPOCH_SECONDS, "every": ""}),
-    "score-stream": (score_stream, {"requests": None, "model": None, "every": ""}),
+    "score-stream": (score_stream, {"requests": None, "model": None, "counters": "", "every": ""}),
 }
 
 

@@ -152,6 +152,19 @@ def embed_chunks(spark, sf_dir):
     return retrieval.embed(chunks, retrieval.fit_encoder(chunks)).select("doc_id", "paragraph", "embedding")
 
 
+@query(
+    "embed_sizes",
+    f"""with {_CHUNKS} select doc_id, cast(paragraph as integer) as paragraph, 384 as dimensions,
+    case when regexp_matches(chunk, '[\\p{{L}}\\p{{N}}]') then 1.0 else 0.0 end as size from chunks""",
+)
+def embed_sizes(spark, sf_dir):
+    """Every vector has 384 dimensions and length 1, or 0 for a chunk without words."""
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return embed_chunks(spark, sf_dir).select(
+        "doc_id", "paragraph", F.size("embedding").alias("dimensions"), F.round(F.sqrt(square), 3).alias("size")
+    )
+
+
 @query(
     "build_vectors",
     f"""with {_CHUNKS} select doc_id, cast(paragraph as integer) as paragraph, source, chunk as text,

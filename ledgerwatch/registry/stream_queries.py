@@ -60,6 +60,34 @@ _CLOSED = """timestamp '2024-01-01' + to_hours(step) <=
   (select max(ts) from tx where type in ('TRANSFER', 'CASH_OUT')) - interval 1 hour"""
 
 
+def _last_closed(hours, column):
+    return f"""cast(case when floor(c.step / {hours}) = floor(tx.step / {hours}) then c.{column} else 0 end + 1 as integer)"""
+
+
+@query(
+    "score_stream_velocity",
+    f"""with {TX},
+    h as (
+      select "nameOrig", step, count(*) as n from tx where type in ('TRANSFER', 'CASH_OUT') group by 1, 2
+      having timestamp '2024-01-01' + to_hours(step) <=
+        (select max(ts) from tx where type in ('TRANSFER', 'CASH_OUT')) - interval 1 hour),
+    c as (
+      select *, sum(n) over (partition by "nameOrig" order by step) as total,
+        sum(n) over (partition by "nameOrig", floor(step / 3) order by step) as n3,
+        sum(n) over (partition by "nameOrig", floor(step / 24) order by step) as n24 from h)
+    select event_id, cast(coalesce(total, 0) as integer) as velocity_cumcount, {_last_closed(1, "n")} as velocity_1hr,
+      {_last_closed(3, "n3")} as velocity_3hr, {_last_closed(24, "n24")} as velocity_24hr
+    from tx asof left join c on tx."nameOrig" = c."nameOrig" and tx.step >= c.step
+    where type in ('TRANSFER', 'CASH_OUT') and amount > 0""",
+)
+def score_stream_velocity(spark, sf_dir):
+    """Requests scored with their accounts' counters as of the last closed hour."""
+    counters, out = _closed_hours_asof(spark, sf_dir), new_dir(spark, "score_stream")
+    requests = event_stream(spark, sf_dir).select(*_REQUEST, "nameOrig")
+    scoring.start_scoring(requests, trained(spark, sf_dir).model, out, counters).awaitTermination()
+    return spark.read.parquet(f"{out}/scored").select(KEY, *S.VELOCITY_FEATURES)
+
+
 def _closed_sql(hours):
     return f"""select "nameOrig", {hours} as hours, cast(floor(step / {hours}) as integer) as bucket, cast(sum(n) as integer) as n
     from h group by 1, 3 having {hours} = 1 or max(floor(step / {hours})) * {hours} + {hours} - 1 < (select max(step) from h)"""
