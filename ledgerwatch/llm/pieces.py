@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -30,8 +31,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 START = -1  # the piece before the first, and one that nothing can depend on any more
 CHUNK = 65_536
+SLICE = 500  # texts whose ids leave a worker at once
 BLOCK = 64  # chunks whose matrices are combined at once
-CACHE = 400_000  # words whose pieces a worker remembers
+CACHE = 350_000  # units whose ids a worker remembers, and pairs of pieces
+
+_LETTER = re.compile(r"[^\W\d_]")
 
 Matrix = dict[tuple[int, int], dict[tuple[int, int], float]]  # entry state to exit state to weight
 
@@ -117,12 +121,28 @@ class Pieces:
 
     @cached_property
     def units(self) -> re.Pattern[str]:
-        """Stretches that no piece crosses: spaces and the word after them, or all if a piece says otherwise."""
-        crossing = any(SPACE in x.lstrip(SPACE) for x in self.ids)
-        return re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
+        """Stretches that no piece crosses.
+
+        They end before spaces, and before marks that no piece holds right after a letter but for few letters;
+        if a piece crosses spaces, the whole text is one.
+        """
+        if any(SPACE in x.lstrip(SPACE) for x in self.ids):
+            return re.compile(".+", re.DOTALL)
+        before: dict[str, set[str]] = {}
+        for text in self.ids:
+            for a, b in zip(text, text[1:], strict=False):
+                if not b.isalnum() and b not in (SPACE, "_"):
+                    before.setdefault(b, set()).update(_LETTER.findall(a))
+        joined = set().union(*[found for found in before.values() if len(found) <= 3])
+        marks = sorted(b for b, found in before.items() if found <= joined)
+        if not marks:
+            return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        own = re.escape("".join(marks))
+        follows = r"(?<![^\W\d_])" + "".join(f"|(?<={re.escape(c)})" for c in sorted(joined))
+        return re.compile(f"{SPACE}*[^{SPACE}][^{SPACE}{own}]*(?:(?:{follows})[{own}][^{SPACE}{own}]*)*|{SPACE}+")
 
     @cached_property
-    def _pairs(self) -> dict[tuple[int, int], bool]:
+    def _pairs(self) -> dict[int, bool]:
         return {}
 
     @cached_property
@@ -130,8 +150,8 @@ class Pieces:
         return {}
 
     @cached_property
-    def _cache(self) -> dict[str, bytes]:
-        return {}
+    def _cache(self) -> _Units:
+        return _Units(self)
 
     def _merged(self, text: str) -> list[str]:
         """Letters merged pair by pair, best score first, leftmost of equals."""
@@ -157,15 +177,15 @@ class Pieces:
 
     def allowed(self, before: int, piece: int) -> bool:
         """Whether merging the letters of both pieces gives just these two."""
-        known = self._pairs.get((before, piece))
+        known = self._pairs.get(before * len(self.texts) + piece)
         if known is None:
             known = self._stay_apart(before, piece)
             if known is None:
                 a, b = self.texts[before], self.texts[piece]
                 known = self._merged(a + b) == [a, b]
-            if len(self._pairs) > 4 * CACHE:
+            if len(self._pairs) > CACHE:
                 self._pairs.clear()
-            self._pairs[before, piece] = known
+            self._pairs[before * len(self.texts) + piece] = known
         return known
 
     def _edge(self, piece: int, right: bool) -> list[tuple[str, float]]:
@@ -263,34 +283,66 @@ class Pieces:
         return self.path(reached, best[1])
 
     def _only_path(self, unit: str) -> list[int]:
-        """``walk`` and ``path`` over a whole unit where at most one path reaches each place."""
-        ids, prefixes, longest, pairs = self.ids, self.prefixes, self.longest, self._pairs
-        size = len(unit)
-        reached: list[int | None] = [None] * (size + 1)
-        reached[0] = START
-        for here in range(size):
-            before = reached[here]
-            if before is None:
-                continue
-            if unit[here] not in ids:
-                reached[here + 1] = -2 - ord(unit[here])
-            for end in range(here + 1, min(size, here + longest) + 1):
-                part = unit[here:end]
-                if part not in prefixes:
+        """The path of ``walk`` over a whole unit where all weights are 0: longest pieces first, back from dead ends.
+
+        At most one path reaches a place, so no place is reached twice.
+        """
+        trie, known, many, size = self.trie, self._pairs.get, len(self.texts), len(unit)
+        out: list[int] = []
+        came: list[int] = []
+        here, before, limit = 0, START, size
+        while here < size:
+            children, at, piece, end = trie, here, None, here
+            while at < limit:
+                node = children.get(unit[at])
+                if node is None:
                     break
-                piece = ids.get(part)
-                if piece is not None and reached[end] is None:
-                    allowed = before < 0 or pairs.get((before, piece))
-                    if allowed or (allowed is None and self.allowed(before, piece)):
-                        reached[end] = piece
-        out = []
-        while size:
-            out.append(reached[size])
-            size -= self.size(reached[size])
-        return out[::-1]
+                found, children = node
+                at += 1
+                if found is not None:
+                    piece, end = found, at
+            if piece is None:
+                if limit > here and unit[here] not in self.ids:
+                    piece, end = -2 - ord(unit[here]), here + 1
+                else:  # nothing shorter is left: the piece before ends elsewhere
+                    limit = here - 1
+                    here = came.pop()
+                    out.pop()
+                    before = out[-1] if out else START
+                    continue
+            if before >= 0 and piece >= 0:
+                allowed = known(before * many + piece)
+                if allowed is None:
+                    allowed = self.allowed(before, piece)
+                if not allowed:
+                    limit = end - 1
+                    continue
+            came.append(here)
+            out.append(piece)
+            here, before, limit = end, piece, size
+        return out
+
+    @cached_property
+    def trie(self) -> dict:
+        """Pieces letter by letter: the id of the piece that ends there, or None, and what follows."""
+        pieces: dict[str, int] = self.ids
+        children: dict[str, dict] = {"": {}}
+        for text in sorted(self.prefixes, key=len):
+            children[text] = {}
+            children[text[:-1]][text[-1]] = (pieces.get(text), children[text])
+        return children[""]
+
+    def ready(self) -> Pieces:
+        """With its tables made and nothing remembered, so that workers get just them with the model."""
+        self.__dict__.pop("_cache", None)
+        self.__dict__.pop("_pairs", None)
+        _ = self.trie, self.prefixes, self.longest, self.units, self._shown
+        return self
 
     def numbers(self, pieces: list[int]) -> bytes:
         """Ids as 32-bit integers; a letter without a piece gives its bytes, or the unknown id."""
+        if not pieces or min(pieces) >= 0:
+            return array("i", pieces).tobytes()
         out: list[int] = []
         for piece in pieces:
             if piece >= 0:
@@ -299,17 +351,11 @@ class Pieces:
                 out.extend(self.byte_ids[b] for b in chr(-2 - piece).encode("utf-8", "replace"))
             else:
                 out.append(self.unknown)
-        return np.array(out, dtype="<i4").tobytes()
+        return array("i", out).tobytes()
 
-    def unit(self, unit: str) -> bytes:
-        known = self._cache.get(unit)
-        if known is None:
-            if len(self._cache) > CACHE:
-                self._cache.clear()
-            known = self.numbers(self.unit_pieces(unit))
-            if len(unit) <= 64:
-                self._cache[unit] = known
-        return known
+    def unit_ids(self, text: str) -> list[bytes]:
+        """The ids of each unit of a text that begins and ends with units."""
+        return [*map(self._cache.__getitem__, self.units.findall(text))]
 
     def normal(self, text: str) -> str:
         text = text.replace(" ", SPACE)
@@ -318,18 +364,18 @@ class Pieces:
         return SPACE + text if self.prefix_space and text else text
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.unit, self.units.findall(self.normal(text))))
+        return b"".join(self.unit_ids(self.normal(text)))
 
     def decode(self, ids: np.ndarray) -> str:
         """Bytes that are no UTF-8 become U+FFFD; special ids say nothing."""
         shown = self._shown
-        if not self._byte_set.isdisjoint(ids):
+        if len(ids) and self._is_byte[ids].any():
             data = b"".join(
                 bytes([self._byte_of[i]]) if i in self._byte_of else shown[i].encode("utf-8", "replace") for i in ids.tolist()
             )
             text = data.decode("utf-8", "replace")
         else:
-            text = "".join([shown[i] for i in ids.tolist()])
+            text = "".join(map(shown.__getitem__, ids.tolist()))
         return text[1:] if self.prefix_space and text.startswith(" ") else text
 
     @cached_property
@@ -341,8 +387,10 @@ class Pieces:
         return {i: b for b, i in enumerate(self.byte_ids)}
 
     @cached_property
-    def _byte_set(self) -> frozenset[int]:
-        return frozenset(self.byte_ids)
+    def _is_byte(self) -> np.ndarray:
+        out = np.zeros(len(self.texts), dtype=bool)
+        out[list(self.byte_ids)] = True
+        return out
 
     # chunks
 
@@ -400,11 +448,30 @@ class Pieces:
         head = self.walk(text, base + entry[0], entry[1], first)
         best = max((v[0], k) for k, v in head.items() if k[0] == first)
         parts = [self.numbers(self.path(head, best[1]))]
-        parts += map(self.unit, self.units.findall(text[first:last]))
+        parts += self.unit_ids(text[first:last])
         parts.append(self.numbers(self.path(self.walk(text, last, START, size), end)))
         return b"".join(parts)
 
 
+class _Units(dict):
+    """Ids of units met before."""
+
+    def __init__(self, model: Pieces) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.model.numbers(self.model.unit_pieces(unit))
+        if len(unit) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[unit] = found
+        return found
+
+    def __reduce__(self):
+        return _Units, (self.model,)
+
+
 def product(a: Matrix, b: Matrix) -> Matrix:
     """The max-plus product."""
     out: Matrix = {}
@@ -451,28 +518,52 @@ def _unpack(cells) -> Matrix:
 STATES = "entry_over int, entry_piece int, leave_over int, leave_piece int"
 
 
-def encode(docs: DataFrame, model: Pieces, text: str = "text", out: str = "ids", chunk: int = CHUNK) -> DataFrame:
+def _sliced(texts: pd.Series) -> Iterator[list[str | None]]:
+    """Texts in order, a few at a time, so that results do not pile up in a worker."""
+    listed = texts.tolist()
+    for i in range(0, len(listed), SLICE):
+        yield listed[i : i + SLICE]
+
+
+def encode(
+    docs: DataFrame, model: Pieces, text: str = "text", out: str = "ids", chunk: int = CHUNK, decoded: str | None = None
+) -> DataFrame:
     """``docs`` with the ids of each whole text as array<int> in column ``out``.
 
-    Null texts give null, empty texts an empty array. All rows and columns stay, repeated rows too; a column
+    With ``decoded`` the ids are decoded into a column of that name in the same pass. Null texts give null, empty texts an empty array. All rows and columns stay, repeated rows too; a column
     of the name ``out`` is replaced. Texts of more than ``chunk`` characters go through the parallel scan.
     Meeting in one task: the ids of one text, and the matrices of its blocks (a text of 2 GB has 512).
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop(out)
+    shared = spark.sparkContext.broadcast(model.ready())
+    docs = docs.drop(out, *([decoded] if decoded else []))
     names = docs.columns
 
     @F.pandas_udf("array<int>")
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = shared.value
         for texts in batches:
-            yield pd.Series([None if t is None else np.frombuffer(known.encode(t), dtype="<i4") for t in texts], dtype=object)
+            for some in _sliced(texts):
+                yield pd.Series([None if t is None else np.frombuffer(known.encode(t), dtype="<i4") for t in some], dtype=object)
+
+    @F.pandas_udf("ids array<int>, back string")
+    def there_and_back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for texts in batches:
+            for some in _sliced(texts):
+                ids = [None if t is None else np.frombuffer(known.encode(t), dtype="<i4") for t in some]
+                yield pd.DataFrame({"ids": ids, "back": [None if i is None else known.decode(i) for i in ids]}, dtype=object)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        if not decoded:
+            return rows.withColumn(out, ids_of(text))
+        coded = rows.withColumn("__coded", there_and_back(text))
+        return coded.select(*[F.col(f"`{c}`") for c in names], F.col("__coded.ids").alias(out), F.col("__coded.back").alias(decoded))
 
     fits = F.coalesce(F.length(text) <= chunk, F.lit(True))
     if model.trim_spaces:
         raise ValueError("chunks need a model that keeps spaces")
-    small = docs.where(fits).withColumn(out, whole(text))
+    small = whole(docs.where(fits))
     if docs.where(~fits).limit(1).count() == 0:
         return small
     row = F.struct(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__of"), F.col(f"`{text}`").alias("__text"))
@@ -542,7 +633,7 @@ def encode(docs: DataFrame, model: Pieces, text: str = "text", out: str = "ids",
     parts = ids.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     joined = parts.select("__row", F.flatten("parts.ids").alias(out))
     large = giant.join(joined, "__row").select("__of.*", F.col(out))
-    return small.unionByName(large)
+    return small.unionByName(decode(large, model, out, decoded) if decoded else large)
 
 
 def _reach(parts: list[Matrix], leave: tuple[int, int]) -> float:
@@ -568,7 +659,7 @@ def _spans(rows, numbers, name: str, states: list[tuple[int, int]]) -> pd.DataFr
 
 def decode(rows: DataFrame, model: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of each array of ids in column ``out``; null gives null, none the empty text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model.ready())
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -108,8 +108,10 @@ def test_giant_texts_through_spark(spark, model, library):
     rng = random.Random(2)
     texts = ["".join(rng.choices(PARTS, k=2500)), "aab" * 3000, " ".join(["tion"] * 900), "short", "", None, " " * 5000]
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])]
-    out = pieces.decode(pieces.encode(rows_of(spark, rows), model, chunk=64), model)
-    assert out.columns == ["doc_id", "text", "ids", "decoded"]
+    out = pieces.encode(rows_of(spark, rows), model, chunk=64, decoded="decoded")
+    apart = pieces.decode(pieces.encode(rows_of(spark, rows), model, chunk=64), model)
+    assert sorted(map(str, out.select("doc_id", "ids", "decoded").collect())) == sorted(map(str, apart.select("doc_id", "ids", "decoded").collect()))
+    assert sorted(out.columns) == ["decoded", "doc_id", "ids", "text"]
     got = out.collect()
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, rows))
     for r in got:
