@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the ids of the whole text, their number, and whether they give the text back."""
     model = pieces.Pieces.read()
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text"), model), model)
+    coded = pieces.encode(docs.select("doc_id", "source", "text"), model, decoded="decoded")
     same = F.col("decoded").eqNullSafe(F.col("text"))
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("same"))
 

@@ -20,7 +20,7 @@ from ledgerwatch.workspace import written
 WEIGHTS = (5, 2, 1)
 MAX_USES = 3
 BUCKETS = 1 << 16
-LOW_BITS = 46  # of the seeded hash within a bucket
+LOW_BITS = 44  # of the seeded place within a bucket
 
 
 def word_count(text: str | Column) -> Column:
@@ -143,8 +143,9 @@ def _augment(graph: list[list[_Arc]]) -> None:
 
 
 def place_of(key: str | Column, seed: int) -> Column:
-    """A seeded place of the key among all: 62 bits."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key) if isinstance(key, str) else key), 2)
+    """A seeded place of the key among all: 60 bits of a digest, which SQL engines agree on. Null keys have one place."""
+    key = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def pattern_of(members: Column) -> Column:
