@@ -25,15 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwatch.llm.common import small_batches
 from ledgerwatch.workspace import written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 START = -1  # the piece before the first, and one that nothing can depend on any more
 CHUNK = 65_536
-SLICE = 500  # texts whose ids leave a worker at once
+SLICE = 100  # texts whose ids leave a worker at once
 BLOCK = 64  # chunks whose matrices are combined at once
-CACHE = 350_000  # units whose ids a worker remembers, and pairs of pieces
+CACHE = 60_000  # units whose ids a worker remembers, and pairs of pieces
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -535,6 +536,7 @@ def encode(
     Meeting in one task: the ids of one text, and the matrices of its blocks (a text of 2 GB has 512).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model.ready())
     docs = docs.drop(out, *([decoded] if decoded else []))
     names = docs.columns

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerwatch.llm.common import joined_small, mixed, shingle_hashes, word_hashes
+from ledgerwatch.llm.common import joined_small, mixed, shingle_hashes, small_batches, word_hashes
 from ledgerwatch.llm.components import components
 from ledgerwatch.workspace import written
 
@@ -181,6 +181,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     ``least`` or more over runs of five words (shorter texts are one run). Texts with the same words are equal;
     those without words only if they are the same. Rows with a null text are left out.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")
     )

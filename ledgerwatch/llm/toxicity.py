@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import joined_small, learned_from, mixed, seeded
+from ledgerwatch.llm.common import joined_small, learned_from, mixed, seeded, small_batches
 from ledgerwatch.workspace import written
 
 WORD = re.compile(r"[^\W_]{1,64}")
 ORDERS = 4
 BITS = 19  # of the index into each table of counts, which bounds the model
 PRIOR = 5.0
-CACHE = 400_000  # words whose log ratio a worker remembers
+CACHE = 50_000  # words whose log ratio a worker remembers
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -212,6 +212,7 @@ def fit(
     Without rows of both classes every ratio is 1 and every score 0.5.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     marks = (
         labels.where(learned_from(key) & F.col(toxic).isin(0, 1))
         .groupBy(F.col(key).alias(key))
@@ -263,6 +264,7 @@ def fit(
 
 
 def raw_score(spark: SparkSession, model: ToxicityModel, text: str | Column) -> Column:
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
