@@ -1,21 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models: how much likelier the toxic model finds a text.
 
-The unit of evidence is a word in a new context: a word counts once per class for every different word
-before it. Two models per class share their backoff:
+Three levels, each discounted towards what the next one expects:
 
-* letters: bytes of a word after up to three bytes before them, longest context first;
-* words: a whole word, backing off to its letters.
+* a word after the word before it, by the number of rows that say so;
+* the word alone, by the number of different words before it;
+* letters: bytes of a word after up to three bytes before them, by the same number.
 
-Kneser-Ney discounts counts towards the shared lower order. Here the discount grows with what that order
-expects (``spread`` standard deviations plus ``slack`` of the expectation), so an expression that is rare,
-or as frequent in both classes, scores what the shared counts say: nothing. The score is the sum of the log
-ratios over the words, divided by the root of their number and calibrated on rows no count has seen.
+Words and their pairs are kept by 64-bit hash, counted in all rows that are learned from, and discounted by
+``DISCOUNT`` and ``slack`` of the expectation; what occurs ``DISCOUNT`` times at most says what the next level says.
+Letters are counted in like amounts of text of both classes and have a discount of ``spread`` standard
+deviations besides. The score is the sum of the log ratios over the words, divided by the root of their number
+and calibrated on rows no count has seen.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +32,7 @@ WORD = re.compile(r"[^\W_]{1,64}")
 ORDERS = 4
 BITS = 19  # of the index into each table of counts, which bounds the model
 PRIOR = 5.0
+DISCOUNT = 3
 CACHE = 400_000  # words whose log ratio a worker remembers
 
 _U = np.uint64
@@ -42,10 +44,18 @@ def words_of(text: str | None) -> list[str]:
 
 
 def word_cells(words: list[str]) -> np.ndarray:
+    return (word_hashes(words) >> _U(64 - BITS)).astype(np.int64)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
     import xxhash
 
-    ids = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64)
-    return (ids >> _U(64 - BITS)).astype(np.int64)
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64)
+
+
+def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits for each word after another, from the hashes of both."""
+    return mixed(before * _STEP + word)
 
 
 def letter_cells(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -70,29 +80,61 @@ def letter_cells(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]],
     return cells, owner
 
 
-def _discounted(count: np.ndarray, expected: np.ndarray, spread: float, slack: float) -> np.ndarray:
+def _moved(count: np.ndarray, expected: np.ndarray, room: np.ndarray) -> np.ndarray:
     """The count moved towards what is expected, at most as far as that."""
-    room = spread * np.sqrt(expected + 1) + slack * expected
     return np.where(count > expected + room, count - room, np.where(count < expected - room, count + room, expected))
 
 
+def _log_ratios(counts: np.ndarray, shares: np.ndarray, lower: np.ndarray, slack: float) -> np.ndarray:
+    """Log ratios from counts [class, n]: the ``lower`` ones where the counts say no more.
+
+    ``shares`` [class, n]: how the classes would share the counts of an ordinary expression.
+    """
+    chance = shares * np.stack([np.exp(-lower / 2), np.exp(lower / 2)])
+    expected = counts.sum(0) * chance / chance.sum(0)
+    kept = (_moved(counts, expected, DISCOUNT + slack * expected) + chance) / shares
+    return np.log(kept[1] / kept[0])
+
+
+@dataclass
+class Counts:
+    """Counts [class, n] and the classes' shares [class, n] of expressions with sorted 64-bit hashes."""
+
+    keys: np.ndarray = field(repr=False)
+    counts: np.ndarray = field(repr=False)
+    shares: np.ndarray = field(repr=False)
+
+    def refine(self, hashes: np.ndarray, lower: np.ndarray, slack: float) -> np.ndarray:
+        """``lower`` with the log ratios of the hashes that are known."""
+        if not len(self.keys):
+            return lower
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        known = np.flatnonzero(self.keys[at] == hashes)
+        out, at = lower.copy(), at[known]
+        out[known] = _log_ratios(self.counts[:, at], self.shares[:, at], lower[known], slack)
+        return out
+
+
 @dataclass
 class ToxicityModel:
-    """Counts by cell: ``grams`` and ``contexts`` [class, order, cell], ``words`` [class, cell]; class 1 is toxic."""
+    """Class 1 is toxic. ``vocabulary`` and ``pairs`` hold what occurs more than ``DISCOUNT`` times in all learned rows.
+
+    Counts by cell in like amounts of both classes: ``grams`` and ``contexts`` [class, order, cell] for the letters,
+    ``words`` [class, cell] and their ``totals`` for comparison.
+    """
 
     grams: np.ndarray = field(repr=False)
     contexts: np.ndarray = field(repr=False)
     words: np.ndarray = field(repr=False)
     totals: np.ndarray
+    vocabulary: Counts
+    pairs: Counts
     spread: float
     slack: float
     slope: float = 1.0
     offset: float = 0.0
 
-    def log_ratios(self, words: list[str]) -> np.ndarray:
-        """For each word the log of its toxic over its ordinary likelihood."""
-        if not words:
-            return np.empty(0)
+    def letter_ratios(self, words: list[str]) -> np.ndarray:
         cells, owner = letter_cells(words)
         shared = np.full(len(owner), 1 / 256)
         rates = np.stack([shared, shared])
@@ -101,49 +143,98 @@ class ToxicityModel:
             totals = self.contexts[:, order][:, context].astype(float)
             pooled = (counts.sum(0) + 2 * shared) / (totals.sum(0) + 2)
             base = rates * (pooled / shared)
-            rates = (_discounted(counts, totals * base, self.spread, self.slack) + PRIOR * base) / (totals + PRIOR)
+            expected = totals * base
+            room = self.spread * np.sqrt(expected + 1) + self.slack * expected
+            rates = (_moved(counts, expected, room) + PRIOR * base) / (totals + PRIOR)
             shared = pooled
-        letters = np.bincount(owner, weights=np.log(rates[1] / rates[0]), minlength=len(words))
-        counts = self.words[:, word_cells(words)].astype(float)
-        share = counts.sum(0) / max(self.totals.sum(), 1.0)
-        tilt = np.stack([np.exp(-letters / 2), np.exp(letters / 2)])
-        expected = self.totals[:, None] * share * tilt
-        kept = _discounted(counts, expected, self.spread, self.slack) + PRIOR * share * tilt
-        known = counts.sum(0) > 0
-        out = letters.copy()
-        weight = kept[:, known] / np.maximum(self.totals[:, None], 1.0)
-        out[known] = np.log(weight[1] / weight[0])
-        return out
+        return np.bincount(owner, weights=np.log(rates[1] / rates[0]), minlength=len(words))
 
-    def raw_scores(self, texts: list[str | None], cache: dict[str, float] | None = None) -> np.ndarray:
-        cache = {} if cache is None else cache
+    def raw_scores(self, texts: list[str | None], known: KnownWords | None = None) -> np.ndarray:
+        known = KnownWords(self) if known is None else known
         out = np.zeros(len(texts))
         for i, text in enumerate(texts):
             words = words_of(text)
             if not words:
                 continue
-            if len(cache) > CACHE:
-                cache.clear()
-            new = list(set(words).difference(cache))
-            cache.update(zip(new, self.log_ratios(new).tolist(), strict=True))
-            out[i] = math.fsum(map(cache.__getitem__, words)) / math.sqrt(len(words))
+            hashes, ratios = known.of(words)
+            after = pair_hashes(np.concatenate([NO_WORD, hashes[:-1]]), hashes)
+            out[i] = self.pairs.refine(after, ratios, self.slack).sum() / np.sqrt(len(words))
         return out
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -50, 50)))
 
 
-def _contexts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, toxic, hash of the word before) once per batch."""
+class KnownWords:
+    """Hashes and log ratios of the words seen lately."""
+
+    def __init__(self, model: ToxicityModel) -> None:
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.hashes = np.empty(1024, dtype=np.uint64)
+        self.ratios = np.empty(1024)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.places) > CACHE:
+            self._clear()
+        new = list(set(words).difference(self.places))
+        if new:
+            n, end = len(self.places), len(self.places) + len(new)
+            if end > len(self.hashes):
+                self.hashes, self.ratios = (np.concatenate([x[:n], np.empty(2 * end - n, dtype=x.dtype)]) for x in (self.hashes, self.ratios))
+            hashes = word_hashes(new)
+            self.hashes[n:end] = hashes
+            self.ratios[n:end] = self.model.vocabulary.refine(hashes, self.model.letter_ratios(new), self.model.slack)
+            self.places.update(zip(new, range(n, end), strict=True))
+        at = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.hashes[at], self.ratios[at]
+
+
+NO_WORD = word_hashes([""])
+
+
+def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, toxic, hash of the word before, rows, whether in a row that balances the classes) once per batch."""
     for batch in batches:
         for toxic in (0, 1):
-            pairs = set()
-            for text in batch.text[batch.toxic == toxic]:
+            rows: Counter[tuple[str, str]] = Counter()
+            balanced = set()
+            own = batch[batch.toxic == toxic]
+            for text, used in zip(own.text, own.balanced, strict=True):
                 words = words_of(text)
-                pairs.update(zip(["", *words[:-1]], words, strict=True))
-            if pairs:
-                before, word = zip(*pairs, strict=True)
-                yield pd.DataFrame({"word": word, "toxic": toxic, "before": before})
+                pairs = set(zip(["", *words[:-1]], words, strict=True))
+                rows.update(pairs)
+                if used:
+                    balanced |= pairs
+            if rows:
+                before, word = zip(*rows, strict=True)
+                hashes = dict(zip(different := list(set(before)), word_hashes(different).view(np.int64), strict=True))
+                yield pd.DataFrame(
+                    {"word": word, "toxic": toxic, "before": [hashes[x] for x in before], "n": list(rows.values()), "balanced": [x in balanced for x in rows]}
+                )
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, before, ordinary, toxic): the key of a word, or of a word after another."""
+    for batch in batches:
+        keys, before = word_hashes(batch.word.tolist()), batch.before.to_numpy()
+        if not batch.single.all():
+            keys = pair_hashes(before.view(np.uint64), keys)
+        yield pd.DataFrame({"key": keys.view(np.int64), "before": before, "ordinary": batch.ordinary, "toxic": batch.toxic})
+
+
+def _frequent(rows: DataFrame, single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of the words or pairs that occur more than ``DISCOUNT`` times, the words before, counts [class, key]."""
+    before = F.lit(0).cast("long") if single else F.col("before")
+    frequent = rows.where(F.col("ordinary") + F.col("toxic") > DISCOUNT).select("word", before.alias("before"), "ordinary", "toxic", F.lit(single).alias("single"))
+    found = frequent.mapInPandas(_hashed, "key long, before long, ordinary long, toxic long").toArrow()
+    keys = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    counts = np.stack([found[c].to_numpy()[order].astype(np.float32) for c in ("ordinary", "toxic")])
+    return keys[order], found["before"].to_numpy()[order], counts
 
 
 def _cell_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,6 +258,21 @@ def _cell_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+def _learned(words: DataFrame, uses: DataFrame, starts: DataFrame) -> tuple[Counts, Counts]:
+    """What occurs more than ``DISCOUNT`` times; a pair's shares lean on those of all pairs where its first word is rare."""
+    sums = [np.array([x or 0 for x in rows.agg(F.sum("ordinary"), F.sum("toxic")).first()], dtype=float) for rows in (words, uses)]
+    all_words, all_uses = (((x + 1) / (x + 1).sum())[:, None] for x in sums)
+    keys, _, counts = _frequent(words, single=True)
+    vocabulary = Counts(keys, counts, np.broadcast_to(all_words.astype(np.float32), counts.shape))
+    keys, before, counts = _frequent(uses, single=False)
+    found = starts.where(F.col("ordinary") + F.col("toxic") > DISCOUNT).toArrow()
+    first = found["before"].to_numpy()
+    order = np.argsort(first)
+    at = order[np.searchsorted(first, before, sorter=order)] if len(before) else np.empty(0, dtype=np.int64)
+    shares = np.stack([found[c].to_numpy()[at].astype(float) for c in ("ordinary", "toxic")]) + PRIOR * all_uses
+    return vocabulary, Counts(keys, counts, (shares / shares.sum(0)).astype(np.float32))
+
+
 def _platt(scores: np.ndarray, positives: np.ndarray, totals: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve through counts by score; (1, 0) without two classes."""
     if not len(scores) or positives.sum() <= 0 or positives.sum() >= totals.sum():
@@ -204,11 +310,13 @@ def fit(
     spread: float = 3.0,
     slack: float = 0.3,
 ) -> ToxicityModel:
-    """Learn from all toxic rows and as many ordinary ones, less a fifth of both for the calibration.
+    """Learn from all labelled rows, less a fifth of both classes for the calibration.
 
-    Ordinary rows are thinned by a seeded hash of their key, so that both classes have their counts from
-    like amounts of text. Null texts and labels other than 0 and 1 are left out. The driver receives counts by
-    cell, at most nine tables of ``2**BITS`` cells, and scores rounded to a hundredth.
+    Words and pairs are counted in all of them and compared with the classes' shares. For the letters the larger
+    class is thinned by a seeded hash of the key, so that both have their counts from like amounts of text. Null
+    texts and labels other than 0 and 1 are left out. The driver receives counts by cell, at most nine tables of
+    ``2**BITS`` cells, the counts of all words and pairs that occur more than ``DISCOUNT`` times, which grow with the
+    learned text, and scores rounded to a hundredth.
     Without rows of both classes every ratio is 1 and every score 0.5.
     """
     spark = docs.sparkSession
@@ -222,19 +330,29 @@ def fit(
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy(F.col(toxic).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     keep = min(1.0, sizes.get(1, 0) / sizes[0]) if sizes.get(0) else 0.0
     kept_toxic = min(1.0, sizes.get(0, 0) / sizes[1]) if sizes.get(1) else 0.0
-    shares = F.when(F.col(toxic) == 1, F.lit(kept_toxic)).otherwise(F.lit(keep))
-    used = F.pmod(F.shiftright(h, 20), F.lit(1 << 20)) < shares * (1 << 20)
+    shares = F.when(F.col("toxic") == 1, F.lit(kept_toxic)).otherwise(F.lit(keep))
+    used = F.pmod(F.shiftright(seeded(6, F.col("key")), 20), F.lit(1 << 20)) < shares * (1 << 20)
     fifth = F.pmod(h, F.lit(5)) == 0
-    rows = labelled(docs, marks.where(used & ~fifth), key, text, toxic).select("text", "toxic")
-    pairs = rows.mapInPandas(_contexts_of, "word string, toxic int, before string").distinct()
+    rows = labelled(docs, marks.where(~fifth), key, text, toxic).select("text", "toxic", used.alias("balanced"))
+    uses = written(
+        rows.mapInPandas(_pairs_of, "word string, toxic int, before long, n long, balanced boolean")
+        .groupBy("before", "word")
+        .agg(*(F.sum(F.when(F.col("toxic") == i, F.col("n")).otherwise(0)).alias(name) for i, name in enumerate(("ordinary", "toxic"))),
+             *(F.max((F.col("toxic") == i) & F.col("balanced")).alias(name) for i, name in enumerate(("like_ordinary", "like_toxic")))),
+        "toxic_pairs",
+    )
     words = written(
-        pairs.groupBy("word").agg(
-            F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic")
+        uses.groupBy("word").agg(
+            F.count_if(F.col("ordinary") > 0).alias("ordinary"), F.count_if(F.col("toxic") > 0).alias("toxic"),
+            F.count_if("like_ordinary").alias("like_ordinary"), F.count_if("like_toxic").alias("like_toxic"),
         ),
         "toxic_words",
-    )
+    )
+    starts = uses.groupBy("before").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    vocabulary, pairs = _learned(words, uses, starts)
+    like = words.select("word", F.col("like_ordinary").alias("ordinary"), F.col("like_toxic").alias("toxic"))
     cells = (
-        words.mapInPandas(_cell_sums, "which int, cell long, ordinary double, toxic double")
+        like.where(F.col("ordinary") + F.col("toxic") > 0).mapInPandas(_cell_sums, "which int, cell long, ordinary double, toxic double")
         .groupBy("which", "cell")
         .agg(F.sum("ordinary").cast("float").alias("ordinary"), F.sum("toxic").cast("float").alias("toxic"))
         .withColumn("cell", F.col("cell").cast("int"))
@@ -246,7 +364,7 @@ def fit(
     tables[1, which, cell] = cells["toxic"].to_numpy()
     counts = tables[:, 2 * ORDERS]
     totals = counts.sum(axis=1, dtype=np.float64)
-    model = ToxicityModel(tables[:, :ORDERS], tables[:, ORDERS : 2 * ORDERS], counts, totals, spread, slack)
+    model = ToxicityModel(tables[:, :ORDERS], tables[:, ORDERS : 2 * ORDERS], counts, totals, vocabulary, pairs, spread, slack)
     if not totals.all():
         model.slope = 0.0
         return model
@@ -269,9 +387,9 @@ def raw_score(spark: SparkSession, model: ToxicityModel, text: str | Column) ->
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, float] = {}
+        known = KnownWords(shared.value)
         for texts in batches:
-            yield pd.Series(shared.value.raw_scores(texts.tolist(), cache))
+            yield pd.Series(shared.value.raw_scores(texts.tolist(), known))
 
     return score(F.col(text) if isinstance(text, str) else text)
 

@@ -106,3 +106,50 @@ def test_without_two_classes(spark):
         assert set(scores(spark, docs, toxicity.fit(docs, labels_of(spark, labels)))) == {0.5}
     empty = docs_of(spark, [])
     assert scores(spark, empty, toxicity.fit(empty, labels_of(spark, []))) == []
+
+
+def plain(seed, count):
+    rng = random.Random(seed)
+    return [rng.choices("abcdefghijklmnopqrstuvwxyz", k=30) for _ in range(count)]
+
+
+def fitted(spark, rows):
+    docs = docs_of(spark, [(i, " ".join(words)) for i, words in enumerate(rows)])
+    return toxicity.fit(docs, labels_of(spark, [(i, i % 2) for i in range(len(rows))]))
+
+
+def test_a_rare_word_of_toxic_rows_counts(spark):
+    """In fewer contexts than the 39 that a gate of three standard deviations asks for."""
+    rows = plain(5, 300)
+    for words in rows[1:80:2]:
+        words[7] = "9"
+    model = fitted(spark, rows)
+    with_word, without = model.raw_scores(["c d 9 e f", "c d g e f"])
+    assert with_word > without + 0.1
+
+
+def test_a_word_that_always_follows_the_same_word_counts(spark):
+    rows = plain(6, 300)
+    for i, words in enumerate(rows):
+        words[7:9] = ["8", "9"] if i % 2 else ["8", "7"]
+    model = fitted(spark, rows)
+    toxic, plain_text = model.raw_scores(["c d 8 9 e f", "c d 8 7 e f"])
+    assert toxic > plain_text + 1
+
+
+def test_all_ordinary_rows_are_counted(spark):
+    rows, labels = made(7, 400)
+    docs = docs_of(spark, rows)
+    model = toxicity.fit(docs, labels_of(spark, labels))
+    folds = docs.select("doc_id", (~held_out("doc_id") & (F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(5)) != 0)).alias("used")).collect()
+    used = {r.doc_id for r in folds if r.used}
+    pairs = [{p for (i, t), (_, y) in zip(rows, labels, strict=True) if i in used and y == c for p in zip(["", *t.split()[:-1]], t.split())} for c in (0, 1)]
+    for word in ("ka", "lo", "mi"):
+        at = np.searchsorted(model.vocabulary.keys, toxicity.word_hashes([word]))
+        assert model.vocabulary.counts[:, at].ravel().tolist() == [sum(w == word for _, w in p) for p in pairs]
+
+
+def test_held_out_recall(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    got = QUERIES["op6_toxicity"](spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").where("held_out and toxic = 1")
+    assert got.agg(F.avg("predicted")).first()[0] > 0.5
