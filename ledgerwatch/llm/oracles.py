@@ -96,3 +96,66 @@ placed as (
   from docs d join flows f on d.source is not distinct from f.source)
 select doc_id, size, cast(source_size as bigint) as source_size, round(target, 6) as target,
   cast(size * (uses + case when rest > 0 and middle <= rest then 1 else 0 end) as bigint) as taken from placed"""
+
+# every kept term's smoothed share in every group of documents and in every language, term by term
+DIVERGENCE = r"""
+with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+occ as (
+  select row, lang, source,
+    translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+  from d),
+kept as (select lang, term from occ group by all having count(distinct row) >= 10),
+sizes as (select lang, count(*) as v from kept group by all),
+groups as (select distinct lang, source from d),
+n as (select lang, source, term, count(*) as n from occ group by all),
+cells as (select g.lang, g.source, k.term, coalesce(n.n, 0) as n
+  from groups g join kept k using (lang) left join n using (lang, source, term)),
+totals as (select lang, source, sum(n) as total from cells group by all),
+shares as (
+  select c.lang, c.source, c.term, c.n, 1 + (1000000000::hugeint * (c.n + 2)) // (t.total + 2 * s.v) as p
+  from cells c join totals t using (lang, source) join sizes s using (lang)),
+whole as (select lang, term, sum(n) as n from cells group by all),
+whole_totals as (select lang, sum(n) as total from whole group by all),
+lang_shares as (
+  select w.lang, w.term, 1 + (1000000000::hugeint * (w.n + 2)) // (t.total + 2 * s.v) as q
+  from whole w join whole_totals t using (lang) join sizes s using (lang)),
+pairs as (
+  select a.lang, a.source, b.source as item from groups a join groups b on a.lang = b.lang and a.source <> b.source),
+pair_sums as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pair_rows as (
+  select lang, source, 'pair' as part, item, cast(coalesce(value, 0) as bigint) as value from pairs left join pair_sums using (lang, source, item)),
+term_rows as (
+  select lang, source, 'term' as part, term as item, cast(((p - q) * (p - q)) // (p + q) as bigint) as value
+  from shares join lang_shares using (lang, term) where n > 0 and p > q),
+ranked as (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+  from (select * from pair_rows union all select * from term_rows))
+select * from ranked where part = 'pair' or rank <= 10"""
+
+# phrases of two and three words by counting every one of them
+PHRASES = r"""
+with recursive pieces as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws
+  from documents),
+grams as (
+  select lang, len, unnest(list_transform(range(1, len(ws) - len + 2), lambda i: array_to_string(ws[i:i + len - 1], ' '))) as phrase
+  from pieces, (select unnest([1, 2, 3]) as len) where len(ws) >= len),
+f as (select lang, len, phrase, count(*) as a from grams group by all),
+totals as (select lang, sum(a) as n from f where len = 1 group by all),
+often as (select *, string_split(phrase, ' ') as ws from f where len > 1 and a >= 10),
+cuts as (
+  select c.lang, c.phrase, c.len, c.a, k, l.a as l, r.a as r, (1000000::hugeint * c.a * c.a) // (l.a::hugeint * r.a) as score
+  from often c join (select unnest([1, 2]) as k) on k < c.len
+  join f l on l.lang = c.lang and l.len = k and l.phrase = array_to_string(c.ws[1:k], ' ')
+  join f r on r.lang = c.lang and r.len = c.len - k and r.phrase = array_to_string(c.ws[k + 1:], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase, len order by score, k) = 1),
+longer as (
+  select lang, part, max(a) as a from (
+    select lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as part from often where len = 3) group by all),
+left_over as (select b.* from best b left join longer o on b.len = 2 and o.lang = b.lang and o.part = b.phrase where o.a is null or 100 * o.a < 50 * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_over)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join totals using (lang) where rank <= 2000"""

@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm import ann, chat, langid, mixing, oracles, pieces, probminhash, syncmers, toxicity, url_filter, wrappers
+from ledgerwatch.llm import (
+    ann,
+    chat,
+    divergence,
+    langid,
+    mixing,
+    oracles,
+    pieces,
+    probminhash,
+    syncmers,
+    toxicity,
+    url_filter,
+    wrappers,
+)
 from ledgerwatch.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +119,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("same"),
     )
+
+
+@query("op12_source_divergence", oracles.DIVERGENCE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
