@@ -136,21 +136,22 @@ select * from ranked where part = 'pair' or rank <= 10"""
 
 # phrases of two and three words by counting every one of them
 PHRASES = r"""
-with recursive pieces as (
+with pieces as (
   select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws
   from documents),
 grams as (
-  select lang, len, unnest(list_transform(range(1, len(ws) - len + 2), lambda i: array_to_string(ws[i:i + len - 1], ' '))) as phrase
-  from pieces, (select unnest([1, 2, 3]) as len) where len(ws) >= len),
-f as (select lang, len, phrase, count(*) as a from grams group by all),
+  select lang, size as len, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) as phrase
+  from (select *, unnest([1, 2, 3]) as size from pieces) where len(ws) >= size),
+f as materialized (select lang, len, phrase, count(*) as a from grams group by all),
 totals as (select lang, sum(a) as n from f where len = 1 group by all),
 often as (select *, string_split(phrase, ' ') as ws from f where len > 1 and a >= 10),
+halves as materialized (
+  select lang, phrase, len, a, k, array_to_string(ws[1:k], ' ') as head, array_to_string(ws[k + 1:], ' ') as rest
+  from (select *, unnest(range(1, len)) as k from often)),
 cuts as (
-  select c.lang, c.phrase, c.len, c.a, k, l.a as l, r.a as r, (1000000::hugeint * c.a * c.a) // (l.a::hugeint * r.a) as score
-  from often c join (select unnest([1, 2]) as k) on k < c.len
-  join f l on l.lang = c.lang and l.len = k and l.phrase = array_to_string(c.ws[1:k], ' ')
-  join f r on r.lang = c.lang and r.len = c.len - k and r.phrase = array_to_string(c.ws[k + 1:], ' ')),
+  select c.lang, c.phrase, c.len, c.a, c.k, l.a as l, r.a as r, (1000000::hugeint * c.a * c.a) // (l.a::hugeint * r.a) as score
+  from halves c join f l on l.lang = c.lang and l.phrase = c.head join f r on r.lang = c.lang and r.phrase = c.rest),
 best as (select * from cuts qualify row_number() over (partition by lang, phrase, len order by score, k) = 1),
 longer as (
   select lang, part, max(a) as a from (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.llm import (
     ann,
     chat,
+    collocations,
     divergence,
     langid,
     mixing,
@@ -124,3 +125,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_source_divergence", oracles.DIVERGENCE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+@query("op13_collocations", oracles.PHRASES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents").select("text", "lang"))
