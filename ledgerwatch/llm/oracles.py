@@ -160,3 +160,41 @@ left_over as (select b.* from best b left join longer o on b.len = 2 and o.lang
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_over)
 select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
 from ranked join totals using (lang) where rank <= 2000"""
+
+# every rule over every text; a match is taken with the gap before it, so running lengths give its place
+SECRETS = r"""
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+rules(no, kind, pattern, kept, least, folded) as (values
+  (0, 'assign', '((password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([a-z0-9+/_.=-]+))', 4, 6, true),
+  (1, 'access', '(AKIA[A-Z0-9]+)', 2, 20, false),
+  (2, 'hex', '([0-9a-f]+)', 2, 24, false),
+  (3, 'private_key', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 2, 0, false),
+  (4, 'hub_token', '(gh[pousr]_[A-Za-z0-9]{36,})', 2, 0, false),
+  (5, 'chat_token', '(xox[abpr]-[A-Za-z0-9-]{10,})', 2, 0, false),
+  (6, 'cloud_key', '(AIza[A-Za-z0-9_-]{35})', 2, 0, false),
+  (7, 'pay_key', '(sk_(?:live|test)_[A-Za-z0-9]{16,})', 2, 0, false),
+  (8, 'signed_token', '(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})', 2, 0, false),
+  (9, 'bearer', '(bearer\x20+[a-z0-9+/_.~-]{16,})', 2, 0, true),
+  (10, 'url_login', '(://[A-Za-z0-9._%+-]+:[^\x00-\x20/@:]{3,}@[A-Za-z0-9])', 2, 0, false)),
+asked as (
+  select row, no, kind, kept, least, '(?s)(.*?)' || pattern as pattern,
+    case when folded then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as t
+  from d, rules),
+found as (
+  select row, no, kind, least, regexp_extract_all(t, pattern, 0) as w, regexp_extract_all(t, pattern, 1) as g,
+    case when kept = 4 then regexp_extract_all(t, pattern, 4) else regexp_extract_all(t, pattern, 2) end as k
+  from asked),
+each as (select row, no, kind, least, unnest(range(1, len(w) + 1)) as i, w, g, k from found),
+placed as (
+  select row, no, kind, least, length(k[i]) as kept_length, length(w[i]) - length(g[i]) as size,
+    sum(length(w[i])) over (partition by row, no order by i) as stop
+  from each),
+spans as (select row, no, kind, stop - size as start, stop from placed where kept_length >= least),
+texts as (
+  select row, count(*) filter (no = 0) as n_assign, count(*) filter (no = 1) as n_access, count(*) filter (no = 2) as n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, no) filter (no < 3) as base,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, no) as spans
+  from spans group by row)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join texts using (row)"""

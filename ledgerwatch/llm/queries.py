@@ -17,6 +17,7 @@ from ledgerwatch.llm import (
     oracles,
     pieces,
     probminhash,
+    secret_scan,
     syncmers,
     toxicity,
     url_filter,
@@ -130,3 +131,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_collocations", oracles.PHRASES)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query("op11_secret_scan", oracles.SECRETS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind_no"] < len(secret_scan.BASE))
+    counts = [secret_scan.counted(F.col("secrets"), n).alias(f"n_{r.kind}") for n, r in enumerate(secret_scan.BASE)]
+    digest = F.sha2(secret_scan.listed(base).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
