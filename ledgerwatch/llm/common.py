@@ -12,7 +12,7 @@ SEGMENT = 1 << 20  # longest stretch of a text that is hashed at once
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.concatenate([[_U(1)], np.full(65535, _BASE, dtype=np.uint64)]), dtype=np.uint64)
+POWERS = np.cumprod(np.concatenate([[_U(1)], np.full(65535, _BASE, dtype=np.uint64)]), dtype=np.uint64)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -91,7 +91,7 @@ def _hash_words(data: bytes) -> np.ndarray:
     starts = np.cumsum(lengths) - lengths
     letters = raw[inside].astype(np.uint64)
     place = np.arange(len(letters)) - np.repeat(starts, lengths)
-    sums = np.add.reduceat((letters + _U(1)) * _POWERS[place & 0xFFFF], starts)
+    sums = np.add.reduceat((letters + _U(1)) * POWERS[place & 0xFFFF], starts)
     return mixed(sums + lengths.astype(np.uint64) * _BASE)
 
 

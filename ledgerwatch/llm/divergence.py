@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerwatch.llm.common import small_batches
-from ledgerwatch.llm.pointer_sort import LOWER, gathered, runs_of, slices, sort_pointers, text_buffer
+from ledgerwatch.llm.pointer_sort import LOWER, cut_runs, gathered, runs_of, slices, sort_pointers, text_buffer
 from ledgerwatch.workspace import written
 
 LEAST_DOCS = 10
@@ -29,42 +29,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A row with an empty term says that the group occurs, and in how many documents.
     """
     for part in slices(batches, "text"):
-        raw, offsets = text_buffer(part.column("text").combine_chunks())
+        groups, group_of = _groups(part.column("lang").to_pylist(), part.column("source").to_pylist())
+        by_group = np.argsort(group_of, kind="stable")  # then a word's pointers come group by group, text by text
+        group_of = group_of[by_group]
+        raw, offsets = text_buffer(part.column("text").combine_chunks().take(pa.array(by_group)))
         raw = LOWER[raw]
-        inside = _LETTER[raw]
         cuts = offsets[1:-1]
-        starts, lengths = _cut(*runs_of(inside), cuts[cuts < len(raw) - 8])
-        keys = pa.StructArray.from_arrays([part.column(c).combine_chunks().cast(pa.string()) for c in ("lang", "source")], ["lang", "source"])
-        groups, group_of = _groups(keys)
-        doc_of = np.searchsorted(offsets, starts, side="right") - 1
+        starts, lengths = cut_runs(*runs_of(_LETTER[raw]), cuts[cuts < len(raw) - 8])
         order, run = sort_pointers(raw, starts, lengths)
-        first = order[np.searchsorted(run, np.arange(run[-1] + 1))] if len(run) else order
-        here = group_of[doc_of[order]]
-        cell, n = np.unique(run * len(groups) + here, return_counts=True)
-        seen = np.unique(run * len(offsets) + doc_of[order])  # a term's documents, each once
-        owner = (seen // len(offsets)) * len(groups) + group_of[seen % len(offsets)]
-        docs = np.unique(owner, return_counts=True)[1]
-        term = gathered(raw, starts[first], lengths[first])
-        yield _rows(groups, cell % len(groups), term.take(pa.array(cell // len(groups))), n, docs)
+        doc = np.searchsorted(offsets, starts[order], side="right") - 1
+        group = group_of[doc]
+        new_cell = np.flatnonzero((np.diff(run, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+        new_doc = (np.diff(run, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)
+        n = np.diff(np.append(new_cell, len(run)))
+        docs = np.add.reduceat(new_doc.astype(np.int64), new_cell) if len(new_cell) else n
+        first = order[new_cell]
+        yield _rows(groups, group[new_cell], gathered(raw, starts[first], lengths[first]), n, docs)
         sizes = np.bincount(group_of, minlength=len(groups))
         yield _rows(groups, np.arange(len(groups)), pa.array([""] * len(groups)), np.zeros(len(groups), dtype=np.int64), sizes)
 
 
-def _cut(starts: np.ndarray, lengths: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that go on over the end of a text are cut there."""
-    if not len(starts):
-        return starts, lengths
-    ends = starts + lengths
-    at = np.searchsorted(starts, cuts, side="right") - 1
-    within = np.unique(cuts[(at >= 0) & (cuts > starts[at]) & (cuts < ends[at])])
-    starts, ends = np.sort(np.concatenate([starts, within])), np.sort(np.concatenate([ends, within]))
-    return starts, ends - starts
-
-
-def _groups(keys: pa.StructArray) -> tuple[list[tuple[str, str]], np.ndarray]:
+def _groups(langs: list[str], sources: list[str]) -> tuple[list[tuple[str, str]], np.ndarray]:
     number: dict[tuple[str, str], int] = {}
-    pairs = zip(keys.field("lang").to_pylist(), keys.field("source").to_pylist())
-    which = np.array([number.setdefault(p, len(number)) for p in pairs], dtype=np.int64)
+    which = np.array([number.setdefault(p, len(number)) for p in zip(langs, sources)], dtype=np.int64)
     return list(number), which
 
 

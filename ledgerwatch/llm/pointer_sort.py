@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ledgerwatch.llm.common import POWERS, mixed
+
 SLICE_BYTES = 16 << 20  # text that is sorted at once; a longer single text is one slice
 _PAD = 8
 _DEEP = 16  # steps of 7 bytes after which the rest of a word is compared as a whole
@@ -35,6 +37,17 @@ def runs_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - edges[::2]
 
 
+def cut_runs(starts: np.ndarray, lengths: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that go on over the end of a text are cut there."""
+    if not len(starts):
+        return starts, lengths
+    ends = starts + lengths
+    at = np.searchsorted(starts, cuts, side="right") - 1
+    within = np.unique(cuts[(at >= 0) & (cuts > starts[at]) & (cuts < ends[at])])
+    starts, ends = np.sort(np.concatenate([starts, within])), np.sort(np.concatenate([ends, within]))
+    return starts, ends - starts
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.Table]:
     """Batches put together until they hold ``size`` bytes of text; the rest comes last. Empty batches give nothing."""
     held, held_bytes = [], 0
@@ -59,6 +72,8 @@ def _characters(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth:
 def sort_pointers(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the words by their bytes, and in that order the number of each word's run of equal words.
 
+    Equal words keep the order they have.
+
     Multikey quicksort whose characters are seven bytes: a slice is put in order by one character; only
     stretches that agree in it and go on move to the next. Words that agree for 112 bytes are compared whole.
     """
@@ -98,6 +113,18 @@ def _whole(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return np.array([place[x] for x in found], dtype=_U)
 
 
+def byte_hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes."""
+    upto = np.cumsum(lengths)
+    out = np.zeros(len(starts), dtype=_U)
+    some = lengths > 0
+    if some.any():
+        place = np.arange(upto[-1]) - np.repeat(upto - lengths, lengths)
+        data = raw[place + np.repeat(starts, lengths)].astype(_U) + _U(1)
+        out[some] = np.add.reduceat(data * POWERS[place & 0xFFFF], (upto - lengths)[some])
+    return mixed(out + lengths.astype(_U) * POWERS[1])
+
+
 def gathered(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """A string column of the given stretches of bytes."""
     offsets = np.zeros(len(starts) + 1, dtype=np.int64)
