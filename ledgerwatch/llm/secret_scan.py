@@ -6,7 +6,7 @@ All of it is column expressions; the rules are compiled on the driver.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -191,23 +191,31 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return rows.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def _running(sizes: Column) -> Column:
     """Running sums of an array, in about n * sqrt(n) steps: within stretches of sqrt(n), then over them."""
-    zero = F.lit(0).cast("long")
-
-    def total(xs: Column) -> Column:
-        return F.aggregate(xs, zero, lambda a, x: a + x)
-
-    width = F.greatest(F.ceil(F.sqrt(F.size(sizes))), F.lit(1)).cast("int")
-    count = F.ceil(F.size(sizes) / width).cast("int")
-    stretches = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.slice(sizes, k * width + 1, width))
-    sums = F.transform(stretches, total)
-    return F.flatten(
-        F.transform(
-            stretches,
-            lambda s, k: F.transform(s, lambda x, i: total(F.slice(sums, F.lit(1), k)) + total(F.slice(s, F.lit(1), i + 1))),
-        )
-    )
+
+    def sums(stretches: Column, totals: Column) -> Column:
+        def within(s: Column, k: Column) -> Column:
+            before = _total(F.slice(totals, F.lit(1), k))
+            return _bound(before, lambda b: F.transform(s, lambda x, i: b + _total(F.slice(s, F.lit(1), i + 1))))
+
+        return F.flatten(F.transform(stretches, within))
+
+    def cut(xs: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+        steps = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), width)
+        return F.transform(steps, lambda i: F.slice(xs, i, width))
+
+    return _bound(sizes, lambda xs: _bound(cut(xs), lambda st: _bound(F.transform(st, _total), lambda t: sums(st, t))))
 
 
 def spans(text: Column, rule: Rule, number: int) -> Column:
@@ -220,7 +228,7 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
     whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x).cast("long"))
     gaps = F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda x: F.length(x).cast("long"))
     kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(2 + rule.group)), lambda x: F.length(x))
-    rows = F.arrays_zip(whole.alias("w"), gaps.alias("g"), kept.alias("k"), _running(whole).alias("e"))
+    rows = _bound(whole, lambda w: F.arrays_zip(w.alias("w"), gaps.alias("g"), kept.alias("k"), _running(w).alias("e")))
     rows = F.filter(rows, lambda m: m["k"] >= rule.least)
     return F.transform(
         rows,
