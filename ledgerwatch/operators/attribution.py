@@ -2,10 +2,11 @@
 
 A leaf is reached when the row passes every split on its path. Merging the splits of
 one feature leaves a conjunction over at most ``depth`` features, each either met by
-the row (1) or replaced by the share of training rows that met it. The Shapley values
-of such a product depend only on which of the leaf's features the row meets, so they
-are tabulated per leaf in the tasks, 2^m entries for m features, and looked up once
-per row and leaf: no tree is walked and nothing is recursive.
+the row (1) or replaced by the share of training rows that met it. The Shapley value of
+condition i in such a product is ``(met_i - share_i)`` times the mean, over t from 0 to 1,
+of the product of ``share_j + t (met_j - share_j)`` over the other conditions. That mean is
+of a polynomial of degree m - 1, so m / 2 quadrature points give it exactly: O(m^2) per
+leaf, and nothing is kept but the leaves.
 
 Values are log-odds: the booster's margin is half of them, hence the factor 2.
 """
@@ -14,21 +15,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import factorial
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators.model import FraudModel
-from ledgerwatch.workspace import new_dir
+from ledgerwatch.operators.trees import MARGIN_TO_LOG_ODDS, Node, base_value, read_ensemble
 
-MARGIN_TO_LOG_ODDS = 2.0
 _CONDITIONS_KEPT = 512
-
-
-TABLE_BYTES = 128 << 20  # of tables that a worker keeps; beyond, they are made anew for each batch
+BLOCK_ROWS = 4096  # rows whose products stay in the processor's cache
 
 
 @dataclass(frozen=True)
@@ -39,32 +37,12 @@ class Leaf:
     shares: tuple[float, ...]
     value: float
 
-    def table(self) -> np.ndarray:
-        """Per feature its attribution for each pattern of met conditions, bit i set when the i-th is met."""
-        return self.value * _shapley_table(self.shares)
-
-
-class Leaves:
-    """The leaves of all trees: what travels to the tasks grows with their number, not with 2^depth."""
-
-    def __init__(self, leaves: list[Leaf]) -> None:
-        self.leaves = leaves
-        self.tables: list[np.ndarray] | None = None
-
-    def __getstate__(self):
-        return {"leaves": self.leaves, "tables": None}
-
-    def __iter__(self) -> Iterator[tuple[tuple[tuple[int, float, float], ...], np.ndarray]]:
-        size = sum(8 * len(leaf.shares) << len(leaf.shares) for leaf in self.leaves)
-        if self.tables is None and size <= TABLE_BYTES:
-            self.tables = [leaf.table() for leaf in self.leaves]
-        for i, leaf in enumerate(self.leaves):
-            yield leaf.bounds, self.tables[i] if self.tables else leaf.table()
-
 
 @dataclass(frozen=True)
 class Explainer:
-    leaves: Leaves
+    """The leaves of all trees: what travels to the tasks grows with their number, not with 2^depth."""
+
+    leaves: tuple[Leaf, ...]
     base_value: float
     width: int
 
@@ -79,94 +57,82 @@ def explainer(model: FraudModel) -> Explainer:
 
 
 def _build(model: FraudModel) -> Explainer:
-    """Read the node table of a trained model: at most trees x 2^(depth+1) rows."""
-    spark = SparkSession.getActiveSession()
-    path = new_dir(spark, "trees")
-    model.classifier.write().save(path)
-    node = F.col("nodeData")
-    nodes = (
-        spark.read.parquet(f"{path}/data")
-        .select(
-            "treeID",
-            node["id"].alias("id"),
-            node["prediction"].alias("value"),
-            node["rawCount"].alias("cover"),
-            node["leftChild"].alias("left"),
-            node["rightChild"].alias("right"),
-            node["split"]["featureIndex"].alias("feature"),
-            F.get(node["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"),
-        )
-        .collect()
-    )
-    trees: dict[int, dict[int, object]] = {}
-    for r in nodes:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    leaves, base = [], 0.0
-    for tree, weight in enumerate(model.classifier.treeWeights):
-        for met, value in _paths(trees[tree], 0, {}, MARGIN_TO_LOG_ODDS * weight):
-            conditions = sorted((f, lo, hi, share) for f, (lo, hi, share) in met.items())
-            shares = [c[3] for c in conditions]
-            base += value * float(np.prod(shares))
-            if conditions:
-                bounds = tuple((f, lo, hi) for f, lo, hi, _ in conditions)
-                leaves.append(Leaf(bounds, tuple(shares), value))
-    return Explainer(Leaves(leaves), base, len(model.features))
-
-
-def _paths(tree, node_id, met, weight):
+    ensemble = read_ensemble(model)
+    leaves = []
+    for tree, weight in zip(ensemble.trees, ensemble.weights, strict=True):
+        for met, value in _paths(tree, 0, {}, MARGIN_TO_LOG_ODDS * weight):
+            if met:
+                conditions = sorted((f, lo, hi, share) for f, (lo, hi, share) in met.items())
+                leaves.append(Leaf(tuple(c[:3] for c in conditions), tuple(c[3] for c in conditions), value))
+    return Explainer(tuple(leaves), base_value(ensemble), len(ensemble.features))
+
+
+def _paths(tree: tuple[Node, ...], at: int, met: dict, weight: float) -> Iterator[tuple[dict, float]]:
     """(conditions per feature, leaf value) for every leaf below a node."""
-    node = tree[node_id]
-    if node["left"] < 0:
-        yield met, weight * node["value"]
+    node = tree[at]
+    if node.left < 0:
+        yield met, weight * node.value
         return
-    feature, threshold = node["feature"], node["threshold"]
-    lo, hi, share = met.get(feature, (-np.inf, np.inf, 1.0))
-    sides = ((node["left"], lo, min(hi, threshold)), (node["right"], max(lo, threshold), hi))
+    lo, hi, share = met.get(node.feature, (-np.inf, np.inf, 1.0))
+    sides = ((node.left, lo, min(hi, node.threshold)), (node.right, max(lo, node.threshold), hi))
     for child, low, high in sides:
-        kept = share * tree[child]["cover"] / node["cover"]
-        yield from _paths(tree, child, {**met, feature: (low, high, kept)}, weight)
-
-
-def _shapley_table(shares):
-    """Shapley values of prod(met_i or share_i): a row per feature, a column per pattern of met conditions."""
-    m = len(shares)
-    weights = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
-    met = ((np.arange(1 << m) >> np.arange(m)[:, None]) & 1).astype("float64")
-    table = np.empty((m, 1 << m))
-    for i in range(m):
-        by_size = np.zeros((m, 1 << m))  # row k: products with k conditions met by the row's own values
-        by_size[0] = 1
-        for j in range(m):
-            if j != i:
-                grown = by_size * shares[j]
-                grown[1:] += by_size[:-1] * met[j]
-                by_size = grown
-        table[i] = (met[i] - shares[i]) * (weights @ by_size)
-    return table
-
-
-def attribute(values: np.ndarray, leaves: Leaves) -> np.ndarray:
+        kept = share * tree[child].cover / node.cover
+        yield from _paths(tree, child, {**met, node.feature: (low, high, kept)}, weight)
+
+
+@lru_cache(maxsize=64)
+def _points(conditions: int) -> tuple[tuple[float, float], ...]:
+    """Places in 0..1 and weights that give the mean of any polynomial of a degree under ``conditions``."""
+    x, w = np.polynomial.legendre.leggauss((conditions + 1) // 2)
+    return tuple(zip(((x + 1) / 2).tolist(), (w / 2).tolist()))
+
+
+def attribute(values: np.ndarray, leaves: tuple[Leaf, ...]) -> np.ndarray:
     """Attributions of a (rows x features) matrix."""
-    rows, width = values.shape
-    columns = [np.ascontiguousarray(values[:, f]) for f in range(width)]
-    total = np.zeros((width, rows))
+    out = np.zeros_like(values)
+    for start in range(0, len(values), BLOCK_ROWS):
+        out[start : start + BLOCK_ROWS] = _attribute_block(values[start : start + BLOCK_ROWS], leaves).T
+    return out
+
+
+def _attribute_block(values: np.ndarray, leaves: tuple[Leaf, ...]) -> np.ndarray:
+    columns = np.ascontiguousarray(values.T)
+    total = np.zeros(columns.shape)
     met: dict[tuple[int, float, float], np.ndarray] = {}
-    index, found = np.empty(rows, dtype=np.intp), np.empty(rows)
-    for bounds, table in leaves:
-        kind = np.uint8 if len(bounds) <= 8 else np.uint32
-        pattern = np.zeros(rows, dtype=kind)
-        for i, condition in enumerate(bounds):
+    for leaf in leaves:
+        gains, shares = [], leaf.shares  # gains: met - share
+        for condition, share in zip(leaf.bounds, shares, strict=True):
             if condition not in met:
                 if len(met) >= _CONDITIONS_KEPT:
                     met.clear()
                 f, above, up_to = condition
-                met[condition] = ((columns[f] > above) & (columns[f] <= up_to)).view(np.uint8)
-            pattern |= np.left_shift(met[condition], i, dtype=kind)
-        index[:] = pattern
-        for (f, _, _), attributions in zip(bounds, table, strict=True):
-            np.take(attributions, index, out=found, mode="clip")
-            total[f] += found
-    return total.T
+                met[condition] = ((columns[f] > above) & (columns[f] <= up_to)).astype(np.float64)
+            gains.append(met[condition] - share)
+        for i, (f, _, _) in enumerate(leaf.bounds):
+            if len(gains) == 1:
+                total[f] += leaf.value * gains[i]
+        if len(gains) > 1:
+            sums = _others(gains, shares, leaf.value)
+            for (f, _, _), gain, mean in zip(leaf.bounds, gains, sums, strict=True):
+                mean *= gain
+                total[f] += mean
+    return total
+
+
+def _others(gains: list[np.ndarray], shares: tuple[float, ...], value: float) -> list[np.ndarray]:
+    """Per condition ``value`` times the mean over t of the product of all other factors ``share + t gain``."""
+    m = len(gains)
+    sums = [np.zeros(len(gains[0])) for _ in range(m)]
+    for t, weight in _points(m):
+        factors = [t * gain + share for gain, share in zip(gains, shares, strict=True)]
+        before = np.full(len(gains[0]), value * weight)
+        after: list[np.ndarray | None] = [None] * m  # products of the factors behind each
+        for i in range(m - 2, -1, -1):
+            after[i] = factors[i + 1] if after[i + 1] is None else factors[i + 1] * after[i + 1]
+        for i in range(m):
+            sums[i] += before if after[i] is None else before * after[i]
+            before = before * factors[i]
+    return sums
 
 
 def explain_rows(df: DataFrame, model: FraudModel, key: str, name: str = "attributions") -> DataFrame:

@@ -66,14 +66,14 @@ def train_model(spark, sf_dir):
     return M.score(split.where("is_test"), fitted).select(KEY, F.col(S.LABEL).cast("int").alias(S.LABEL), "score")
 
 
-@query("score")
-def score(spark, sf_dir):
+@query("trained_score")
+def trained_score(spark, sf_dir):
     job = trained(spark, sf_dir)
     return M.score(job.features, job.model).select(KEY, "score")
 
 
-@query("model_save_load")
-def model_save_load(spark, sf_dir):
+@query("trained_save_load")
+def trained_save_load(spark, sf_dir):
     job = trained(spark, sf_dir)
     path = new_dir(spark, "model")
     M.save_model(job.model, path)
@@ -84,7 +84,7 @@ def model_save_load(spark, sf_dir):
 
 @query("model_reload_gap", from_features("select event_id, 0.0::double as gap from feat"))
 def model_reload_gap(spark, sf_dir):
-    return model_save_load(spark, sf_dir).select(KEY, F.abs(F.col("score") - F.col("loaded")).alias("gap"))
+    return trained_save_load(spark, sf_dir).select(KEY, F.abs(F.col("score") - F.col("loaded")).alias("gap"))
 
 
 @query("run_log")
@@ -107,8 +107,8 @@ def model_info(spark, sf_dir):
     return M.model_info(job.model, row)
 
 
-@query("explain_rows")
-def explain_rows(spark, sf_dir):
+@query("trained_explain_rows")
+def trained_explain_rows(spark, sf_dir):
     job = trained(spark, sf_dir)
     return attribution.explain_rows(job.features, job.model, KEY)
 
@@ -123,13 +123,13 @@ def explain_additivity(spark, sf_dir):
     )
 
 
-@query("predict_report")
-def predict_report(spark, sf_dir):
+@query("trained_predict_report")
+def trained_predict_report(spark, sf_dir):
     return reports.predict_report(_attributed(spark, sf_dir), KEY, trained(spark, sf_dir).model.threshold)
 
 
-@query("explain_report")
-def explain_report(spark, sf_dir):
+@query("trained_explain_report")
+def trained_explain_report(spark, sf_dir):
     return reports.explain_report(_attributed(spark, sf_dir), KEY)
 
 
@@ -174,13 +174,13 @@ def investigate_checks(spark, sf_dir):
     )
 
 
-@query("global_importance")
-def global_importance(spark, sf_dir):
+@query("trained_importance")
+def trained_importance(spark, sf_dir):
     return attribution.global_importance(_attributed(spark, sf_dir), S.REALISTIC_FEATURES)
 
 
-@query("case_attribution")
-def case_attribution(spark, sf_dir):
+@query("trained_cases")
+def trained_cases(spark, sf_dir):
     job = trained(spark, sf_dir)
     scored = M.score(job.features, job.model)
     cases = sampling.first_by_hash(reports.confident_fraud(scored, job.model.threshold), KEY, 10)
