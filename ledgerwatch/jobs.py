@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwatch import schema as S
+from ledgerwatch.functions import columns as C
 from ledgerwatch.operators import attribution, curves, model as M, profiling, reports, retrieval, sampling
 from ledgerwatch.operators.features import add_request_features, feature_table
 from ledgerwatch.operators.validation import default_velocity, split_valid
@@ -25,6 +26,7 @@ from ledgerwatch.session import open_session
 from ledgerwatch.sources import corpus as corpus_files
 from ledgerwatch.sources import transactions as log_files
 from ledgerwatch.sources.trace import write_trace
+from ledgerwatch.sources.transactions import event_time
 from ledgerwatch.sources.event_log import EPOCH_SECONDS
 from ledgerwatch.streaming import scoring, velocity
 from ledgerwatch.workspace import written
@@ -164,6 +166,34 @@ def velocity_stream(spark: SparkSession, args) -> None:
         spark.streams.awaitAnyTermination()
     for query in last:
         query.awaitTermination()
+    # the input has ended: what is still open is complete too
+    closed = spark.read.schema(velocity.HOURS_SCHEMA).parquet(table)
+    rows = log_files.scan_csv(spark, args.log).where(C.is_relevant()).select("nameOrig", "step")
+    rest = written(velocity.open_hours(rows, closed), "open_hours")
+    _save(rest, args.out, "counts_1h_open")
+    for length in (3, 24):
+        part = spark.read.schema("nameOrig string, bucket int, n int").parquet(f"{args.out}/counts_{length}h/table")
+        _save(velocity.open_buckets(closed.unionByName(rest), part, length), args.out, f"counts_{length}h_open")
+
+
+def velocity_rows(spark: SparkSession, args) -> None:
+    """Each arriving transaction with its counters so far, once its hour closes; late ones are left out and counted.
+
+    The log is Parquet with a unique key: arrivals are accepted first, and all counts start from what was accepted.
+    """
+    shape = spark.read.parquet(args.log).schema
+    log = spark.readStream.schema(shape).parquet(args.log).where(C.is_relevant())
+    log = log.select(args.key, "nameOrig", "step", event_time("step", args.epoch).alias("ts"))
+    velocity.start_accept(log, f"{args.out}/accepted", args.key).awaitTermination()
+    kind = shape[args.key].dataType.simpleString()
+    accepted = spark.readStream.schema(f"{args.key} {kind}, nameOrig string, step int, ts timestamp, day int").parquet(f"{args.out}/accepted/table")
+    velocity.start_append(velocity.closed_hours(accepted, args.epoch), f"{args.out}/hours").awaitTermination()
+    velocity.start_asof(spark, f"{args.out}/hours/table", f"{args.out}/asof", args.idle).awaitTermination()
+    velocity.start_asof_rows(
+        spark, f"{args.out}/asof/table", f"{args.out}/accepted/table", args.out, args.key, args.epoch
+    ).awaitTermination()
+    seen = spark.read.parquet(args.log).where(C.is_relevant())
+    _save(velocity.late_rows(seen, spark.read.parquet(f"{args.out}/accepted/table"), args.key).where("late").drop("late"), args.out, "late")
 
 
 JOBS: dict[str, tuple[Callable, dict[str, object]]] = {
@@ -176,6 +206,7 @@ JOBS: dict[str, tuple[Callable, dict[str, object]]] = {
     "corpus": (build_corpus, {"docs": None}),
     "investigate": (investigate, {"requests": None, "model": None, "corpus": None, "key": KEY}),
     "velocity-stream": (velocity_stream, {"log": None, "epoch": EPOCH_SECONDS, "every": ""}),
+    "velocity-rows": (velocity_rows, {"log": None, "key": KEY, "epoch": EPOCH_SECONDS, "idle": velocity.IDLE_HOURS}),
     "score-stream": (score_stream, {"requests": None, "model": None, "counters": "", "every": ""}),
 }
 

@@ -14,6 +14,7 @@ from ledgerwatch.streaming import scoring, velocity
 from ledgerwatch.workspace import new_dir, written
 
 
+_ACCEPTED = f"{KEY} long, nameOrig string, step int, ts timestamp, day int"
 _REQUEST = (KEY, "step", "type", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
 
 
@@ -88,32 +89,33 @@ def score_stream_velocity(spark, sf_dir):
     return spark.read.parquet(f"{out}/scored").select(KEY, *S.VELOCITY_FEATURES)
 
 
-def _closed_sql(hours):
+def _buckets_sql(hours):
     return f"""select "nameOrig", {hours} as hours, cast(floor(step / {hours}) as integer) as bucket, cast(sum(n) as integer) as n
-    from h group by 1, 3 having {hours} = 1 or max(floor(step / {hours})) * {hours} + {hours} - 1 < (select max(step) from h)"""
+    from h group by 1, 3"""
 
 
 @query(
     "velocity_stream",
     f"""with {TX},
-    h as (
-      select "nameOrig", step, count(*) as n from tx where type in ('TRANSFER', 'CASH_OUT') group by 1, 2 having {_CLOSED})
+    h as (select "nameOrig", step, count(*) as n from tx where type in ('TRANSFER', 'CASH_OUT') group by 1, 2)
     """
-    + " union all ".join(f"({_closed_sql(h)})" for h in (1, 3, 24)),
+    + " union all ".join(f"({_buckets_sql(h)})" for h in (1, 3, 24)),
 )
 def velocity_stream(spark, sf_dir):
-    """Hours are counted once; the longer buckets are sums of closed hours."""
-    hours = new_dir(spark, "closed_hours")
-    velocity.start_append(velocity.closed_hours(_relevant(spark, sf_dir), EPOCH_SECONDS), hours).awaitTermination()
-    table = f"{hours}/table"
-    found = spark.read.schema(velocity.HOURS_SCHEMA).parquet(table).select(
-        "nameOrig", F.lit(1).alias("hours"), F.col("step").alias("bucket"), F.col("n").cast("int").alias("n")
-    )
+    """Hours are counted once; longer buckets are sums of closed hours; what is open when the input ends comes last."""
+    accepted, hours = new_dir(spark, "accepted"), new_dir(spark, "closed_hours")
+    velocity.start_accept(_relevant(spark, sf_dir).select(KEY, "nameOrig", "step", "ts"), accepted, KEY).awaitTermination()
+    rows = spark.readStream.schema(_ACCEPTED).parquet(f"{accepted}/table")
+    velocity.start_append(velocity.closed_hours(rows, EPOCH_SECONDS), hours).awaitTermination()
+    closed = spark.read.schema(velocity.HOURS_SCHEMA).parquet(f"{hours}/table")
+    every = closed.unionByName(velocity.open_hours(spark.read.schema(_ACCEPTED).parquet(f"{accepted}/table"), closed))
+    found = every.select("nameOrig", F.lit(1).alias("hours"), F.col("step").alias("bucket"), F.col("n").cast("int").alias("n"))
     for length in (3, 24):
         out = new_dir(spark, f"velocity_{length}h")
-        closed = spark.readStream.schema(velocity.HOURS_SCHEMA).parquet(table)
-        velocity.start_append(velocity.closed_buckets(closed, length, EPOCH_SECONDS), out).awaitTermination()
+        stream = spark.readStream.schema(velocity.HOURS_SCHEMA).parquet(f"{hours}/table")
+        velocity.start_append(velocity.closed_buckets(stream, length, EPOCH_SECONDS), out).awaitTermination()
         part = spark.read.schema("nameOrig string, bucket int, n int").parquet(f"{out}/table")
+        part = part.unionByName(velocity.open_buckets(every, part, length))
         found = found.unionByName(part.select("nameOrig", F.lit(length).alias("hours"), "bucket", "n"))
     return found
 
@@ -140,7 +142,40 @@ def _closed_hours_asof(spark, sf_dir):
       cast(sum(n) over (partition by "nameOrig", floor(step / 24) order by step) as bigint) as velocity_24hr from h""",
 )
 def velocity_asof_stream(spark, sf_dir):
-    return spark.read.parquet(_closed_hours_asof(spark, sf_dir))
+    return velocity.asof_table(spark, _closed_hours_asof(spark, sf_dir))
+
+
+_HOURS_SQL = """h as (
+      select 'A' || (user_id % 50) as "nameOrig", step, count(*) as n from tx join events using (event_id)
+      where type in ('TRANSFER', 'CASH_OUT') and user_id % 5 < 2 + step // 150 group by 1, 2)"""
+
+
+@query(
+    "velocity_asof_expiry",
+    f"""with {TX}, {_HOURS_SQL}
+    select "nameOrig", step, n,
+      cast(coalesce(sum(n) over (partition by "nameOrig" order by step rows between unbounded preceding and 1 preceding), 0)
+        as bigint) as velocity_cumcount,
+      n as velocity_1hr,
+      cast(sum(n) over (partition by "nameOrig", floor(step / 3) order by step) as bigint) as velocity_3hr,
+      cast(sum(n) over (partition by "nameOrig", floor(step / 24) order by step) as bigint) as velocity_24hr from h""",
+)
+def velocity_asof_expiry(spark, sf_dir):
+    """Accounts of few transactions, in six arrivals: many fall silent for a day, leave the state and come back."""
+    hours, out = new_dir(spark, "hours"), new_dir(spark, "asof")
+    events = table(spark, sf_dir, "events")
+    log = _relevant_batch(spark, sf_dir).join(events.select(KEY, "user_id"), KEY)
+    busy = log.where(F.col("user_id") % 5 < 2 + F.floor(F.col("step") / 150))
+    counted = busy.groupBy(F.concat(F.lit("A"), F.col("user_id") % 50).alias("nameOrig"), "step").agg(F.count("*").alias("n"))
+    counted = written(counted, "counted")
+    for part in range(6):
+        counted.where(F.least(F.floor(F.col("step") / 120), F.lit(5)) == part).write.mode("append").parquet(f"{hours}/table")
+        velocity.start_asof(spark, f"{hours}/table", out, idle=24).awaitTermination()
+    return velocity.asof_table(spark, f"{out}/table")
+
+
+def _relevant_batch(spark, sf_dir):
+    return filter_types(transactions_from_events(table(spark, sf_dir, "events")))
 
 
 def _so_far(hours):
@@ -159,8 +194,7 @@ def _so_far(hours):
 def velocity_asof_rows(spark, sf_dir):
     accepted, hours, asof, out = (new_dir(spark, name) for name in ("accepted", "closed_hours", "asof", "asof_rows"))
     velocity.start_accept(_relevant(spark, sf_dir).select(KEY, "nameOrig", "step", "ts"), accepted, KEY).awaitTermination()
-    shape = f"{KEY} long, nameOrig string, step int, ts timestamp, day int"
-    rows = spark.readStream.schema(shape).parquet(f"{accepted}/table")
+    rows = spark.readStream.schema(_ACCEPTED).parquet(f"{accepted}/table")
     velocity.start_append(velocity.closed_hours(rows, EPOCH_SECONDS), hours).awaitTermination()
     velocity.start_asof(spark, f"{hours}/table", asof).awaitTermination()
     velocity.start_asof_rows(spark, f"{asof}/table", f"{accepted}/table", out, KEY, EPOCH_SECONDS).awaitTermination()

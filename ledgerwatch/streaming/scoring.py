@@ -11,16 +11,20 @@ from ledgerwatch.functions import columns as C
 from ledgerwatch.operators import model as M
 from ledgerwatch.operators.features import add_request_features
 from ledgerwatch.operators.validation import default_velocity, validate
-from ledgerwatch.streaming.velocity import ASOF_SCHEMA
+from ledgerwatch.streaming.velocity import asof_table
 
 
 def score_batch(batch: DataFrame, model: M.FraudModel) -> tuple[DataFrame, DataFrame]:
     """Scored valid rows and rejected rows of a batch (or of a whole table)."""
-    checked = validate(default_velocity(batch))
+    return score_checked(validate(default_velocity(batch)), model, batch.columns)
+
+
+def score_checked(checked: DataFrame, model: M.FraudModel, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The same for rows that are validated already; ``columns`` of the valid ones stay."""
     valid = F.size("failed") == 0
     scored = M.score(add_request_features(checked.where(valid).drop("failed")), model)
     labelled = scored.select(
-        *batch.columns,
+        *columns,
         F.col("score").alias("_score"),
         C.predicted_class("score", model.threshold).alias("predicted_class"),
         C.risk_label("score", model.threshold).alias("risk_label"),
@@ -80,10 +84,12 @@ def start_scoring(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if counters:
-            batch = with_counters(batch, batch.sparkSession.read.schema(ASOF_SCHEMA).parquet(counters))
-        scored, rejected = score_batch(batch, model)
+            batch = with_counters(batch, asof_table(batch.sparkSession, counters))
+        checked = validate(default_velocity(batch)).persist()  # read, joined and checked once for both tables
+        scored, rejected = score_checked(checked, model, batch.columns)
         scored.write.mode("overwrite").parquet(f"{out}/scored/batch={batch_id}")
         rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+        checked.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)

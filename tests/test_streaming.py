@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerwatch import schema as S
@@ -155,3 +156,38 @@ def test_late_rows_disturb_no_counters(spark, sf_dir, tmp_path):
         if r["event_id"] in got:
             want = [len(before)] + [1 + sum(x["step"] // h == r["step"] // h for x in before) for h in (1, 3, 24)]
             assert [got[r["event_id"]][c] for c in S.VELOCITY_FEATURES] == want
+
+
+def test_silent_accounts_leave_the_state_and_resume(spark, tmp_path):
+    steps = {"a": [1, 2, 30, 200, 201, 450], "b": list(range(1, 460, 20)), "c": [5], "d": [460]}
+    rows = [(name, step, 2) for name, found in steps.items() for step in found]
+    for low in range(0, 480, 80):
+        part = [r for r in rows if low <= r[1] < low + 80]
+        spark.createDataFrame(part, velocity.HOURS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/hours")
+        query = velocity.start_asof(spark, f"{tmp_path}/hours", f"{tmp_path}/asof", idle=48)
+        query.awaitTermination()
+    written_rows = spark.read.schema(velocity.ASOF_SCHEMA).parquet(f"{tmp_path}/asof/table")
+    ended = {(r["nameOrig"], r["life"], r["step"], r["velocity_cumcount"]) for r in written_rows.where("ended").collect()}
+    assert ended == {("a", 1, 30, 6), ("a", 200, 201, 4), ("c", 5, 5, 2)}
+    state = spark.read.format("statestore").option("stateVarName", "counts").load(f"{tmp_path}/asof/checkpoint")
+    assert {r["key"][0] for r in state.select("key").collect()} == {"a", "b", "d"}
+    got = {(r["nameOrig"], r["step"]): r["velocity_cumcount"] for r in velocity.asof_table(spark, f"{tmp_path}/asof/table").collect()}
+    assert got == {(name, step): 2 * i for name, found in steps.items() for i, step in enumerate(found)}
+
+
+def test_idle_time_covers_the_longest_bucket(spark):
+    with pytest.raises(ValueError, match="24 hours"):
+        velocity.asof_counts(spark.createDataFrame([], velocity.HOURS_SCHEMA), idle=23)
+
+
+def test_open_hours_and_buckets_complete_a_bounded_input(spark):
+    rows = spark.createDataFrame([("a", s) for s in (1, 1, 2, 5, 7, 7)] + [("b", 7), ("b", 2)], "nameOrig string, step int")
+    hours = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("b", 2, 1)], velocity.HOURS_SCHEMA)
+    rest = velocity.open_hours(rows, hours)
+    assert {tuple(r) for r in rest.collect()} == {("a", 5, 1), ("a", 7, 2), ("b", 7, 1)}
+    every = hours.unionByName(rest)
+    closed = spark.createDataFrame([("a", 0, 3), ("b", 0, 1)], "nameOrig string, bucket int, n int")
+    assert {tuple(r) for r in velocity.open_buckets(every, closed, 3).collect()} == {("a", 1, 1), ("a", 2, 2), ("b", 2, 1)}
+    none = velocity.open_hours(rows, hours.limit(0))
+    assert none.agg(F.sum("n")).first()[0] == 8
+    assert velocity.open_hours(rows.limit(0), hours).count() == 0
