@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerwatch import schema as S
 from ledgerwatch.functions import columns as C
 from ledgerwatch.operators import features as feature_ops
-from ledgerwatch.operators import profiling, reports, sampling, validation
+from ledgerwatch.operators import increment, profiling, reports, sampling, validation
 from ledgerwatch.registry import query
 from ledgerwatch.registry.tables import (
     HASH_SQL,
@@ -21,8 +21,9 @@ from ledgerwatch.registry.tables import (
     test_score,
     transactions,
 )
+from ledgerwatch.sources import account_table
 from ledgerwatch.sources import transactions as log
-from ledgerwatch.workspace import new_dir
+from ledgerwatch.workspace import new_dir, written
 
 MONEY = ("amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
 _LOG = ["step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig", "nameDest", "oldbalanceDest",
@@ -447,3 +448,75 @@ def recommend(spark, sf_dir):
         KEY, C.risk_label("score", 0.5).alias("risk_label"), (F.col("velocity_24hr") > 5).alias("risk_flag")
     )
     return rows.withColumn("recommendation", C.recommendation(F.col("risk_label"), F.col("risk_flag")))
+
+
+# A log with broken lines: every 13th line lacks its last two fields, every 17th has one more, every 19th a step that is no number.
+_LINE_SQL = """, lines as (
+  select event_id, case when event_id % 19 = 0 then 'x' || step else cast(step as varchar) end || ',' || type || ',' || cast(floor(amount) as bigint)
+    || ',' || "nameOrig" || ',1,2,' || "nameDest" || ',3,4' || case when event_id % 13 = 0 then '' else ',0,0' end
+    || case when event_id % 17 = 0 then ',more' else '' end as line, step, type, cast(cast(floor(amount) as bigint) as double) as amount from tx)"""
+
+
+def _broken_log(spark, sf_dir) -> str:
+    rows = transactions(spark, sf_dir)
+    step = F.when(F.col(KEY) % 19 == 0, F.concat(F.lit("x"), F.col("step"))).otherwise(F.col("step").cast("string"))
+    line = F.concat(
+        step, F.lit(","), "type", F.lit(","), F.floor("amount").cast("string"),
+        F.lit(","), "nameOrig", F.lit(",1,2,"), "nameDest", F.lit(",3,4"),
+        F.when(F.col(KEY) % 13 == 0, "").otherwise(",0,0"), F.when(F.col(KEY) % 17 == 0, ",more").otherwise(""),
+    )
+    path = new_dir(spark, "broken_log")
+    rows.select(line.alias("value")).write.text(path)
+    return path
+
+
+@query(
+    "broken_lines",
+    from_tx(f"""{_LINE_SQL}
+    select line, count(*) as times from lines where event_id % 13 = 0 or event_id % 17 = 0 or event_id % 19 = 0 group by line"""),
+)
+def broken_lines(spark, sf_dir):
+    """The table of lines that do not fit the log's schema."""
+    _, broken = log.split_log(log.scan_csv_checked(spark, _broken_log(spark, sf_dir), header=False))
+    return broken.groupBy("line").agg(F.count("*").alias("times"))
+
+
+@query(
+    "sound_lines",
+    from_tx(f"""{_LINE_SQL}
+    select type, count(*) as "rows", cast(sum(step) as bigint) as steps, sum(amount) as amounts from lines
+    where event_id % 13 <> 0 and event_id % 17 <> 0 and event_id % 19 <> 0 group by type"""),
+)
+def sound_lines(spark, sf_dir):
+    sound, _ = log.split_log(log.scan_csv_checked(spark, _broken_log(spark, sf_dir), header=False))
+    return sound.groupBy("type").agg(F.count("*").alias("rows"), F.sum("step").alias("steps"), F.sum("amount").alias("amounts"))
+
+
+_VELOCITY_SQL = ", ".join(f"velocity_{h}" for h in ("cumcount", "1hr", "3hr", "24hr"))
+
+
+@query("velocity_increment", from_features(f'select event_id, "nameOrig", step, {_VELOCITY_SQL} from feat'))
+def velocity_increment(spark, sf_dir):
+    """A log in three parts, cut within a day: each adds its rows' counters and renews those of the open day."""
+    rows = feature_ops.filter_types(transactions(spark, sf_dir)).select(KEY, "nameOrig", "step")
+    kept = spark.createDataFrame([], increment.CARRY)
+    have = rows.limit(0).select("*", *[F.lit(0).alias(c) for c in S.VELOCITY_FEATURES])
+    for low, high in ((-1, 200), (200, 500), (500, 10**6)):
+        part = rows.where((F.col("step") > low) & (F.col("step") <= high))
+        added = increment.added_velocity(part, kept, KEY)
+        renewed = increment.refreshed(have, part)
+        untouched = have.join(renewed.select(KEY), KEY, "left_anti")
+        have = written(untouched.unionByName(renewed).unionByName(added), "velocity")
+        kept = written(increment.merged_carry(kept, increment.carry_of(part)), "carry")
+    return have.select(KEY, "nameOrig", "step", *S.VELOCITY_FEATURES)
+
+
+@query("velocity_by_account", from_features(f'select event_id, "nameOrig", step, {_VELOCITY_SQL} from feat'))
+def velocity_by_account(spark, sf_dir):
+    """From a table laid out by account: written with one shuffle, read with none."""
+    rows = feature_ops.filter_types(transactions(spark, sf_dir)).select(KEY, "nameOrig", "step")
+    path = new_dir(spark, "by_account")
+    name = "log_" + path.rsplit("-", 1)[1]
+    return account_table.velocity_by_account(account_table.write_by_account(rows, name, path, 8), KEY).select(
+        KEY, "nameOrig", "step", *[F.col(c).cast("int").alias(c) for c in S.VELOCITY_FEATURES]
+    )

@@ -8,9 +8,10 @@ from ledgerwatch.functions import text as text_functions
 from ledgerwatch.operators import retrieval
 from ledgerwatch.operators.neighbors import knn
 from ledgerwatch.operators.trace import trace_pair
-from ledgerwatch.registry import query
+from ledgerwatch.registry import ORACLES, query
 from ledgerwatch.registry.tables import table
 from ledgerwatch.sources import corpus, trace
+from ledgerwatch.streaming import traces
 from ledgerwatch.workspace import new_dir, written
 
 
@@ -224,6 +225,28 @@ def trace_pair_query(spark, sf_dir):
     return trace_pair(_events(spark, sf_dir))
 
 
+@query("trace_pair_stream", f"select distinct * from ({ORACLES['trace_pair']})")
+def trace_pair_stream(spark, sf_dir):
+    """The events arrive in three parts, calls ahead of their results; lines are written, read and paired as streams."""
+    source, lines, out = (new_dir(spark, name) for name in ("events", "trace", "pairs"))
+    ts = F.timestamp_seconds(F.col("investigation_id") * 60 + F.col("seq"))
+    events = written(_events(spark, sf_dir).select(F.col("investigation_id").cast("bigint").alias("investigation_id"), F.col("seq").cast("bigint").alias("seq"), ts.alias("ts"), "type", "name", "content"), "events")
+    edges = events.agg(F.max("investigation_id")).first()[0]
+    part = F.floor(F.col("investigation_id") * 3 / (edges + 1)) + F.when((F.col("type") == "tool_result") & (F.col("seq") % 4 == 1), 1).otherwise(0)
+    last = traces.end_marker(spark)
+    for i in range(4):
+        rows = events.where(part == i)
+        (rows.unionByName(last) if i == 3 else rows).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        traces.start_trace(stream, lines, "investigation_id", "seq", "ts", "type", "name", "content").awaitTermination()
+        arriving = traces.stream_trace(spark, f"{lines}/table")
+        # a whole part's investigations lie between a call and its result
+        traces.start_pairs(arriving, out, wait="400 days", watermark="400 days").awaitTermination()
+    found = traces.answered(spark.read.schema(traces.PAIRS).parquet(f"{out}/table"))
+    kinds = dict(events.dtypes) | dict(_events(spark, sf_dir).dtypes)
+    return found.withColumns({c: F.col(c).cast(kinds[c]) for c in ("investigation_id", "seq")})
+
+
 @query(
     "trace_write",
     """select 'data: {"type":"tool_call","name":"' || event_type || '","input":' || case when event_id % 2 = 0

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerwatch import schema as S
 
@@ -81,3 +82,30 @@ def features_sanity(df: DataFrame) -> DataFrame:
         F.round(F.avg(F.col(S.LABEL).cast("double")) * 100, 4).alias("fraud_rate_pct"),
         F.lit(len(df.columns)).alias("columns"),
     )
+
+
+BROKEN = "_broken"
+
+
+def scan_csv_checked(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """The log with two columns more: ``_broken``, a line that does not fit the schema, whole, and ``_file``.
+
+    A line is broken if it has too few or too many fields or a field that cannot be read as its type; its
+    readable fields are filled. Sound lines have NULL there. Empty fields are NULL values, not faults; blank
+    lines, and with ``header`` lines that repeat the column names, are no rows. Lines are read as text and
+    parsed as wholes, so a line is judged alike whichever columns are used.
+    """
+    shape = T.StructType([*S.TXN_SCHEMA.fields, T.StructField(BROKEN, T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")).where(F.trim("value") != "")
+    if header:
+        lines = lines.where(F.col("value") != ",".join(S.TXN_SCHEMA.names))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+    read = lines.withColumn("row", F.from_csv("value", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shape), options))
+    return read.select("row.*", "_file")
+
+
+def split_log(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sound rows, and (file, line) of the broken ones for a table of their own."""
+    sound = checked.where(F.col(BROKEN).isNull()).drop(BROKEN, "_file")
+    broken = checked.where(F.col(BROKEN).isNotNull()).select(F.col("_file").alias("file"), F.col(BROKEN).alias("line"))
+    return sound, broken
