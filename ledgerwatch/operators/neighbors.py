@@ -1,9 +1,12 @@
 """Exact nearest neighbours by squared Euclidean distance, ties to the smaller id.
 
 Few queries (a checked count) travel to the vectors: each task keeps the best ``k``
-per query and ships only those. Many queries of many dimensions meet the vectors in a
-grid: both sides are packed into blocks, one row and one buffer each, and every pair of
-blocks is one search, so a vector moves once per block of the other side, not per query.
+per query and ships only those. Many queries of many dimensions are dealt into blocks;
+the vectors are packed into blocks of their own in the shared folder, and the task of a
+query block reads those one after the other, folding the best ``k``: what shuffles is each
+side once and ``k`` rows per query. Single precision products leave out most pairs, the
+rest are measured as everywhere else. Where tasks cannot open the shared folder by
+themselves, both sides meet in a grid of blocks, each block moved once per block opposite.
 
 In few dimensions the triangle inequality leaves most pairs out, so there queries meet
 the vectors by bin:
@@ -27,6 +30,8 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,8 @@ BLOCK = 2_048
 BIN_DIMENSIONS = 16  # above, bins rule nothing out
 GRID_BLOCK = 16_384  # vectors in a block of the grid
 _TILE_QUERIES, _TILE_VECTORS = 256, 1_024
+_FOLD_QUERIES, _FOLD_VECTORS = 1_024, 2_048
+_HELD_BYTES = 64 << 20  # of neighbours' vectors that a task keeps for its queries
 _BROADCAST_BINS = 1_000_000
 _SLACK = 1e-9
 _NEAR_PIVOTS = 1e-6
@@ -54,20 +61,22 @@ def knn(
     few: bool | None = None,
     bin_dimensions: int = BIN_DIMENSIONS,
     grid_block: int = GRID_BLOCK,
+    read_shared: bool | None = None,
 ) -> DataFrame:
     """The ``k`` nearest ``base`` rows of every query.
 
     Both inputs have columns ``id`` (long) and ``vector`` (array of float or double).
     Returns ``query_id, rank (from 1), id, distance`` with the squared distance, and
     the neighbour's ``vector`` on request. Fewer than ``k`` rows come back only when
-    ``base`` has fewer. ``few`` is the answer of ``is_few`` if the caller has it.
+    ``base`` has fewer. ``few`` is the answer of ``is_few`` if the caller has it; ``read_shared``
+    says whether tasks can open files of the shared folder (found out by default).
     """
     queries = _doubles(queries)
     base = _doubles(base)
     if is_few(queries, few_queries) if few is None else few:
         found = _scan(queries, base, k, with_vector)
     elif _width(base) > bin_dimensions:
-        found = _search_grid(queries, base, k, grid_block, with_vector)
+        found = _search_blocks(queries, base, k, grid_block, with_vector, read_shared)
     else:
         found = _search_bins(queries, base, k, cells, block, with_vector)
     columns = ["query_id", "rank", "id", "distance"] + (["vector"] if with_vector else [])
@@ -152,9 +161,8 @@ def packed(df: DataFrame, block: int) -> DataFrame:
     return written(dealt.groupBy("block_no").applyInArrow(pack, f"block_no int, {_PACKED}"), "blocks")
 
 
-def grid(queries: DataFrame, base: DataFrame, block: int = GRID_BLOCK) -> tuple[DataFrame, DataFrame]:
+def grid(rows: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packed queries and vectors, each row once per block of the other side, keyed by ``(row, col)``."""
-    rows, columns = packed(queries, block), packed(base, block)
     row_ids, column_ids = (side.select("block_no").agg(F.collect_list("block_no")).scalar() for side in (rows, columns))
     return (
         rows.withColumnRenamed("block_no", "row").withColumn("col", F.explode(column_ids)),
@@ -162,18 +170,101 @@ def grid(queries: DataFrame, base: DataFrame, block: int = GRID_BLOCK) -> tuple[
     )
 
 
-def _search_grid(queries: DataFrame, base: DataFrame, k: int, block: int, with_vector: bool) -> DataFrame:
-    rows, columns = grid(queries, base, block)
+def _search_blocks(
+    queries: DataFrame, base: DataFrame, k: int, block: int, with_vector: bool, read_shared: bool | None
+) -> DataFrame:
+    stored = packed(base, block)
+    files = sorted(stored.inputFiles())
+    if not files or (not _opens(files[0]) if read_shared is None else not read_shared):
+        return _search_grid(queries, stored, k, block, with_vector)
+    held = block if not with_vector else max(256, min(block, _HELD_BYTES // (8 * k * max(_width(base), 1))))
+    queries = written(queries, "queries")
+    blocks = max(1, -(-queries.count() // held))
+
+    def search(table: pa.Table) -> pa.Table:
+        ids = np.ascontiguousarray(table.column("id").to_numpy())
+        vectors = _matrix(table.column("vector").combine_chunks())
+        best, far = None, np.full(len(ids), np.inf)
+        for base_ids, there in _stored_blocks(files):
+            best = _folded(best, far, vectors, base_ids, there, k, with_vector)
+        if best is None:
+            return _FOUND_ARROW.empty_table()
+        return pa.Table.from_batches([_found_batch((ids[best[0]], *best[1:]))])
+
+    dealt = queries.withColumn("block_no", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block_no").applyInArrow(search, _FOUND)
+
+
+def _opens(uri: str) -> bool:
+    """Whether Arrow has a file system for a path."""
+    try:
+        filesystem, path = pa.fs.FileSystem.from_uri(uri)
+        return filesystem.get_file_info(path).is_file
+    except (pa.ArrowException, OSError):
+        return False
 
-    def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(table.column("id_bytes")[0].as_py(), dtype="int64")
-        vectors = np.frombuffer(table.column("vector_bytes")[0].as_py(), dtype="float64")
-        return ids, vectors.reshape(len(ids), table.column("width")[0].as_py())
+
+def _stored_blocks(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of each block that ``packed`` wrote, one in memory at a time."""
+    for uri in files:
+        filesystem, path = pa.fs.FileSystem.from_uri(uri)
+        with filesystem.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=1, columns=["id_bytes", "vector_bytes", "width"]):
+                yield _unpacked(batch)
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(table.column("id_bytes")[0].as_py(), dtype="int64")
+    vectors = np.frombuffer(table.column("vector_bytes")[0].as_py(), dtype="float64")
+    return ids, vectors.reshape(len(ids), table.column("width")[0].as_py())
+
+
+def _folded(best, far, queries, base_ids, vectors, k, with_vector):
+    """``best`` (place of the query, id, distance, vector or nothing) with what another block of vectors has nearer.
+
+    ``far`` holds each query's ``k``-th distance so far and is brought up to date. Queries go by place,
+    since several may carry one id.
+    """
+    width = queries.shape[1]
+    sizes = np.einsum("ij,ij->i", queries, queries)
+    for j in range(0, len(base_ids), _FOLD_VECTORS):
+        there = vectors[j : j + _FOLD_VECTORS]
+        there_size = np.einsum("ij,ij->i", there, there)
+        found = [best]
+        for i in range(0, len(queries), _FOLD_QUERIES):
+            asked, size = queries[i : i + _FOLD_QUERIES], sizes[i : i + _FOLD_QUERIES, None]
+            with np.errstate(over="ignore", invalid="ignore"):
+                near = size + there_size - 2.0 * (asked.astype("float32") @ there.astype("float32").T)
+                # more than single precision products of that many numbers, and double sums, can be off
+                off = (width + 8) * 2.0**-22 * np.sqrt(size * there_size) + 2.0**-48 * (size + there_size)
+                low, high = near - off, near + off
+            beyond = ~np.isfinite(near)  # single precision cannot say: measured below
+            low[beyond], high[beyond] = -np.inf, np.inf
+            limit = far[i : i + _FOLD_QUERIES]
+            if high.shape[1] >= k:
+                limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1])
+            q, b = np.nonzero(low <= limit[:, None])
+            distance = np.zeros(len(q))
+            for d in range(width):  # as _distances sums
+                gap = asked[q, d] - there[b, d]
+                distance += gap * gap
+            found.append((q + i, base_ids[j + b], distance, (there if with_vector else there[:, :0])[b]))
+        new = [np.concatenate([x[c] for x in found[1:]]) for c in range(4)]
+        best = _merged(best, new, k) if best is not None else _merged(new, [x[:0] for x in new], k)
+        full = np.bincount(best[0], minlength=len(far)) >= k
+        worst = np.zeros(len(far))
+        np.maximum.at(worst, best[0], best[2])
+        far[full] = worst[full]
+    return best
+
+
+def _search_grid(queries: DataFrame, stored: DataFrame, k: int, block: int, with_vector: bool) -> DataFrame:
+    rows, columns = grid(packed(queries, block), stored)
 
     def search(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not asked.num_rows or not there.num_rows:
             return _FOUND_ARROW.empty_table()
-        return pa.Table.from_batches([_found_batch(_best(*unpacked(asked), *unpacked(there), k, with_vector))])
+        return pa.Table.from_batches([_found_batch(_best(*_unpacked(asked), *_unpacked(there), k, with_vector))])
 
     keys = ["row", "col"]
     return rows.groupBy(*keys).cogroup(columns.groupBy(*keys)).applyInArrow(search, _FOUND)

@@ -43,11 +43,21 @@ def chunk_documents(spark, sf_dir):
     return text_functions.chunk_documents(docs, separator="\n")
 
 
-@query("load_corpus", "select sum(length(text) + 1)::bigint as chars from documents")
+@query(
+    "load_corpus",
+    """select 'doc-' || doc_id as source, cast(length(text) as bigint) as chars, sha256(text) as digest,
+    count(*) over () as files from documents where text <> '' and doc_id is not null""",
+)
 def load_corpus(spark, sf_dir):
+    """Each document as a file of its own: name without its ending, length and content of every one."""
     path = new_dir(spark, "corpus")
-    _documents(spark, sf_dir).select("text", "lang").write.partitionBy("lang").text(path)
-    return corpus.load_corpus(spark, path).agg(F.sum(F.length("text")).alias("chars"))
+    corpus.write_texts(_documents(spark, sf_dir).where("text <> '' and doc_id is not null"), path, F.concat(F.lit("doc-"), "doc_id"))
+    found = corpus.load_corpus(spark, path)
+    files = found.select("source").distinct().count()
+    return found.select(
+        "source", F.length("text").cast("long").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"),
+        F.lit(files).cast("long").alias("files"),
+    )
 
 
 _KNN = """near as (
@@ -80,17 +90,32 @@ def knn_topk(spark, sf_dir):
     )
 
 
-@query(
-    "knn_cells",
-    f"""with {_KNN} select query_id, cast("rank" as integer) as "rank", id, round(distance, 6) + 0.0 as distance from near
-    where "rank" <= 3""",
-)
+_KNN_12 = _KNN.replace("q.embedding::", "q.embedding[1:12]::").replace("b.embedding::", "b.embedding[1:12]::")
+_NEAR_SQL = """select query_id, cast("rank" as integer) as "rank", id, round(distance, 6) + 0.0 as distance from near where "rank" <= 3"""
+
+
+@query("knn_cells", f"with {_KNN_12} {_NEAR_SQL}")
 def knn_cells(spark, sf_dir):
-    """The plan for more queries than one task should hold, on the same tables."""
-    vectors = _vectors(spark, sf_dir)
+    """The plan for many queries of few dimensions, on a projection to twelve."""
+    vectors = _vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 12))
     return knn(vectors, vectors, 3, few_queries=0, cells=32).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
+@query("knn_blocks", f"with {_KNN} {_NEAR_SQL}")
+def knn_blocks(spark, sf_dir):
+    """The plan for many queries of many dimensions: tasks read blocks of vectors from the shared folder."""
+    vectors = _vectors(spark, sf_dir)
+    return knn(vectors, vectors, 3, few_queries=0, grid_block=128).withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+@query("knn_grid", f"with {_KNN} {_NEAR_SQL}")
+def knn_grid(spark, sf_dir):
+    """The same where tasks cannot open the shared folder: blocks meet blocks."""
+    vectors = _vectors(spark, sf_dir)
+    near = knn(vectors, vectors, 3, few_queries=0, grid_block=256, read_shared=False)
+    return near.withColumn("distance", F.round("distance", 6) + 0.0)
+
+
 _PASSAGE = """case when length(text) > 500 then regexp_replace(substring(text, 1, 500), ' [^ ]*\\z', '') || ' …' else text end"""
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.text import file_stem
@@ -16,6 +20,26 @@ def load_corpus(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("value").alias("text"), file_stem(F.col("_metadata.file_name")).alias("source"))
 
 
+def write_texts(docs: DataFrame, path: str, name: Column, text: str = "text") -> int:
+    """Each text as a file ``<name>.txt`` below ``path``, written by the tasks; the number of texts.
+
+    For corpora of files that others read; names must be unique, as the later of two would win. A retried
+    task writes the same files again.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, folder = pa.fs.FileSystem.from_uri(path)
+        filesystem.create_dir(folder, recursive=True)
+        for batch in batches:
+            for stem, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with filesystem.open_output_stream(f"{folder}/{stem}.txt") as out:
+                    out.write(content.encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = docs.select(name.alias("stem"), F.col(text).alias("content")).where(F.col("content").isNotNull())
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def save_vectors(df: DataFrame, path: str) -> None:
     df.select(*VECTOR_COLUMNS).write.mode("overwrite").parquet(path)
 

@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
+import plans
 import pytest
 
 from pyspark.sql import functions as F
 
-from ledgerwatch.operators.neighbors import grid, knn, self_knn
+from ledgerwatch.operators import neighbors
+from ledgerwatch.operators.neighbors import grid, knn, packed, self_knn
 
 SMALL = {"few_queries": 0, "cells": 12, "block": 16}
 
@@ -40,12 +43,13 @@ def test_matches_brute_force(spark, layout, width, k):
     assert run(knn(as_df(queries), as_df(base), k, **layout)) == brute(queries, base, k)
 
 
-@pytest.mark.parametrize("width", [3, 20])
-@pytest.mark.parametrize("with_vector", [False, True])
-def test_grid_matches_brute_force(spark, width, with_vector):
+@pytest.mark.parametrize("shared", [True, False])
+@pytest.mark.parametrize("width,with_vector", [(3, True), (20, False)])
+def test_blocks_and_grid_match_brute_force(spark, width, with_vector, shared):
     base, queries = points(6, 150, width, copies=40), points(7, 70, width)
     as_df = lambda rows: spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
-    near = knn(as_df(queries), as_df(base), 4, few_queries=0, bin_dimensions=0, grid_block=16, with_vector=with_vector)
+    layout = {"few_queries": 0, "bin_dimensions": 0, "grid_block": 16, "read_shared": shared}
+    near = knn(as_df(queries), as_df(base), 4, with_vector=with_vector, **layout)
     assert run(near) == brute(queries, base, 4)
     if with_vector:
         known = dict(base)
@@ -55,12 +59,43 @@ def test_grid_matches_brute_force(spark, width, with_vector):
 def test_grid_moves_blocks_not_pairs(spark):
     """At 384 dimensions 600 queries and 900 vectors shuffle 2 x 12 rows, each a block of whole vectors."""
     df = spark.range(900).select("id", F.transform(F.sequence(F.lit(1), F.lit(384)), lambda i: F.rand(3) + i).alias("vector"))
-    asked, there = grid(df.where("id < 600"), df, block=225)
+    asked, there = grid(packed(df.where("id < 600"), 225), packed(df, 225))
     assert (asked.count(), there.count()) == (12, 12)
     size = F.sum(F.length("vector_bytes"))
     assert asked.agg(size).first()[0] == 600 * 384 * 8 * 4 and there.agg(size).first()[0] == 900 * 384 * 8 * 3
 
 
+def test_blocks_are_read_not_shuffled(spark):
+    """At 384 dimensions the search shuffles each query once and k short rows per query, no vector of the other side."""
+    rnd = np.random.default_rng(0)
+    vectors = rnd.normal(size=(900, 384))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    near = knn(df.where("id < 600"), df, 3, few_queries=0, grid_block=100, read_shared=True)
+    got = run(near)
+    want = ((vectors[:600, None, :] - vectors[None, :, :]) ** 2).sum(axis=2).argsort(axis=1, kind="stable")[:, :3]
+    assert got == {i: row.tolist() for i, row in enumerate(want)}
+    plan = plans.text(near)
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and "FlatMapCoGroupsInArrow" not in plan
+    assert sum("query_id" in line for line in shuffles) == 1 and sum("block_no" in line for line in shuffles) == 1
+
+
+def test_single_precision_only_leaves_out_what_is_farther(monkeypatch):
+    rnd = np.random.default_rng(1)
+    queries = rnd.normal(size=(40, 30)) * 10.0 ** rnd.integers(-3, 20, size=(40, 1))
+    base = np.concatenate([queries[:20] * (1 + 1e-9), queries[:20], rnd.normal(size=(100, 30)) * 1e-5, np.full((2, 30), 1e30)])
+    ids = rnd.permutation(len(base))
+    monkeypatch.setattr(neighbors, "_FOLD_VECTORS", 13)
+    monkeypatch.setattr(neighbors, "_FOLD_QUERIES", 7)
+    best, far = None, np.full(len(queries), np.inf)
+    for part in range(0, len(base), 50):
+        best = neighbors._folded(best, far, queries, ids[part : part + 50], base[part : part + 50], 5, False)
+    want_place, want_ids, want_distance, _ = neighbors._best(np.arange(40), queries, ids, base, 5, False)
+    order = np.lexsort((want_ids, want_distance, want_place))
+    assert best[0].tolist() == want_place[order].tolist() and best[1].tolist() == want_ids[order].tolist()
+    assert best[2].tolist() == want_distance[order].tolist()
+
+
 def test_pivots_come_from_a_thinned_table(spark):
     """With many partitions the driver is sent about twice the pivots in all, not that many per partition."""
     rows = points(8, 3000, 2)
