@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch import schema as S
-from ledgerwatch.operators import attribution, model as M, reports, sampling, trees
+from ledgerwatch.operators import attribution, curves, model as M, reports, sampling, trees, validation
+from ledgerwatch.operators.features import filter_types
 from ledgerwatch.operators.trees import Ensemble, Node
-from ledgerwatch.registry import query
-from ledgerwatch.registry.tables import DRIVERS, HASH_SQL, KEY, features, from_features
+from ledgerwatch.plans import investigation
+from ledgerwatch.registry import ORACLES, metric_queries, query  # noqa: F401  (the SQL of evaluate)
+from ledgerwatch.registry.model_queries import document_corpus
+from ledgerwatch.registry.tables import DRIVERS, HASH_SQL, KEY, features, from_features, from_tx, test_score, transactions
+from ledgerwatch.sources import run_log
 from ledgerwatch.workspace import new_dir
 
 FEATURES = S.REALISTIC_FEATURES
@@ -178,3 +182,105 @@ def case_attribution(spark, sf_dir):
     explained = attribution.explain_table(cases, given(spark), [KEY, *FEATURES, "score"])
     found = reports.top_drivers(explained, [KEY, "score", "amount"], 8)
     return found.withColumn("score", F.round("score", 9))
+
+
+_QUESTION = """concat_ws(' ', lower(risk_label), 'risk', lower(replace(type, '_', ' ')),
+  case when risk_flag then 'with many transactions in a day' end,
+  case when risk_score >= 0.4 then 'because of ' || lower(three) end)"""
+
+
+@query(
+    "investigate_given",
+    from_given(
+        f"""select event_id, risk_score, predicted_class, risk_label, flagged_features, case when risk_score >= 0.4 then three end as top_drivers,
+          case when risk_score >= 0.4 then summary end as summary, risk_flag,
+          case when risk_label = 'HIGH' or (risk_label = 'MEDIUM' and risk_flag) then 'ESCALATE'
+            when risk_label = 'MEDIUM' or risk_flag then 'MONITOR' else 'CLEAR' end as recommendation,
+          {_QUESTION} as query, true as has_passages
+        from (
+          select event_id, type, round(score, 4) as risk_score, cast(score >= {GIVEN.threshold} as integer) as predicted_class,
+            {LABEL} as risk_label, coalesce(flagged, '') as flagged_features, velocity_24hr > 5 as risk_flag
+          from attr left join flags using (event_id))
+        join (select event_id, string_agg(label, ' and ' order by place) as three, min({SENTENCE}) filter (place = 1) as summary
+          from ranked where place <= 3 group by event_id) using (event_id)"""
+    ),
+)
+def investigate_given(spark, sf_dir):
+    """Findings of the given model, each with the passages that its question found."""
+    rows = features(spark, sf_dir, keep=("type",)).select(KEY, "type", *FEATURES)
+    found = investigation.investigate(rows, KEY, given(spark), document_corpus(spark, sf_dir))
+    return found.select(
+        KEY,
+        "risk_score",
+        "predicted_class",
+        "risk_label",
+        F.array_join("flagged_features", " | ").alias("flagged_features"),
+        F.array_join(F.col("top_drivers")["label"], " and ").alias("top_drivers"),
+        "summary",
+        "risk_flag",
+        "recommendation",
+        "query",
+        (F.length("passages") > 0).alias("has_passages"),
+    )
+
+
+_RULES = [("step", "step between 1 and 743"), ("type", "type in ('TRANSFER', 'CASH_OUT')"), ("amount", "amount > 0")]
+_RULES += [(c, f'"{c}" >= 0') for c in ("oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")]
+_BROKEN = "concat_ws(', ', " + ", ".join(f"case when not coalesce({ok}, false) then '{name}' end" for name, ok in _RULES) + ")"
+
+
+@query(
+    "error_events",
+    from_tx(
+        f"""select event_id as investigation_id, 0 as seq, 'error' as type, null::varchar as name, null::varchar as input,
+        'invalid transaction: ' || {_BROKEN} as content from tx where {_BROKEN} <> ''"""
+    ),
+)
+def error_events(spark, sf_dir):
+    """What a trace says of the transactions that are not investigated."""
+    _, rejected = validation.split_valid(validation.default_velocity(transactions(spark, sf_dir)))
+    return investigation.error_events(rejected, KEY)
+
+
+# Two runs over given scores, so that the run log has values that SQL can say.
+_METRICS = ("roc_auc", "pr_auc", "best_threshold", "best_f1", "precision", "recall", "true_negatives", "false_positives",
+            "false_negatives", "true_positives", "recall_at_0.5", "precision_at_0.5", "f1_at_0.5")
+_FORMULA_SQL = 'round(0.5 * amount / (amount + 5000) + 0.5 * cast("newbalanceOrig" = 0 as integer), 4)'
+_NAMES_SQL = ", ".join(f"'{m}'" for m in _METRICS)
+_VALUES_SQL = ", ".join(f'cast("{m}" as double)' for m in _METRICS)
+
+
+def _run_sql(score: str) -> str:
+    sql = ORACLES["evaluate"].replace(_FORMULA_SQL, score)
+    return f"(select unnest([{_NAMES_SQL}]) as metric, unnest([{_VALUES_SQL}]) as value from ({sql}))"
+
+
+_AMOUNT_SQL = "round(amount / (amount + 3000), 4)"
+
+
+def _given_runs(spark, sf_dir) -> DataFrame:
+    rows = filter_types(transactions(spark, sf_dir))
+    path = new_dir(spark, "runs")
+    for run, score in (("Formula", test_score(rows)), ("Amount", rows.withColumn("score", F.round(F.col("amount") / (F.col("amount") + 3000), 4)))):
+        metrics = curves.evaluate(score.select(KEY, "score", F.col(S.LABEL).cast("int").alias(S.LABEL)), "score", S.LABEL)
+        run_log.append_run(spark, path, run, {"score": run.lower(), "rows": "all"}, metrics.first().asDict())
+    return run_log.read_runs(spark, path)
+
+
+@query(
+    "run_log_given",
+    f"""select run, metric, value, lower(run) as score from (
+    select 'Formula' as run, * from {_run_sql(_FORMULA_SQL)} union all select 'Amount', * from {_run_sql(_AMOUNT_SQL)})""",
+)
+def run_log_given(spark, sf_dir):
+    listed = _given_runs(spark, sf_dir).select("run", F.explode("metrics").alias("metric", "value"), F.col("params")["score"].alias("score"))
+    return listed.withColumn("value", F.round("value", 9))
+
+
+@query(
+    "run_compare_given",
+    f"""select metric, f.value as "Formula", a.value as "Amount" from {_run_sql(_FORMULA_SQL)} f join {_run_sql(_AMOUNT_SQL)} a using (metric)""",
+)
+def run_compare_given(spark, sf_dir):
+    compared = run_log.run_compare(_given_runs(spark, sf_dir), ["Formula", "Amount"])
+    return compared.select("metric", *[F.round(c, 9).alias(c) for c in ("Formula", "Amount")])

@@ -251,7 +251,39 @@ def _balanced(spark, sf_dir):
     return smote(written(features(spark, sf_dir), "features"), KEY, S.REALISTIC_FEATURES)
 
 
-@query("smote")
+def _hash_sql(seed, key):
+    return f"cast('0x' || substr(md5('{seed}:' || {key}), 1, 12) as bigint)"
+
+
+_VECTOR_SQL = "[" + ", ".join(f'cast(cast("{c}" as float) as double)' for c in S.REALISTIC_FEATURES) + "]"
+_POINT_SQL = ", ".join(
+    f'cast(mine[{i + 1}] + u * (near[{i + 1}] - mine[{i + 1}]) as float) as "{c}"' for i, c in enumerate(S.REALISTIC_FEATURES)
+)
+
+
+@query(
+    "smote",
+    from_features(
+        f"""select event_id as base_key, 0::bigint as copy, {", ".join(f'cast("{c}" as float) as "{c}"' for c in S.REALISTIC_FEATURES)},
+          cast("isFraud" as integer) as "isFraud", false as is_synthetic from feat
+        union all select id, copy, {_POINT_SQL}, 1, true from placed""",
+        'fraud as (select * from feat where "isFraud" = 1)',
+        f"vectors as (select event_id as id, {_VECTOR_SQL} as v from fraud)",
+        f"""near_rows as (select a.event_id as id, b.event_id as other,
+          row_number() over (partition by a.event_id order by {_SMOTE_D2}, b.event_id) as place
+          from fraud a join fraud b on a.event_id <> b.event_id)""",
+        "near_sizes as (select id, least(count(*), 5) as found from near_rows group by id)",
+        f"""shares as (select id, each + case when place <= rest then 1 else 0 end as copies from (
+          select event_id as id, row_number() over (order by {HASH_SQL}, event_id) as place,
+            (legit - fraud) // fraud as each, (legit - fraud) % fraud as rest
+          from fraud, (select count(*) filter ("isFraud" = 0) as legit, count(*) filter ("isFraud" = 1) as fraud from feat)))""",
+        "made as (select id, cast(unnest(range(1, copies + 1)) as bigint) as copy from shares)",
+        f"""drawn as (select id, copy, {_hash_sql(42, "id || '/' || copy")} % found + 1 as pick,
+          {_hash_sql(43, "id || '/' || copy")}::double / {1 << C.HASH_BITS} as u from made join near_sizes using (id))""",
+        """placed as (select d.id, copy, u, m.v as mine, o.v as near from drawn d join near_rows n on n.id = d.id and n.place = d.pick
+          join vectors m on m.id = d.id join vectors o on o.id = n.other)""",
+    ),
+)
 def smote_query(spark, sf_dir):
     rows = _balanced(spark, sf_dir)
     return rows.select("base_key", "copy", *S.REALISTIC_FEATURES, F.col(S.LABEL).cast("int").alias(S.LABEL), "is_synthetic")

@@ -191,7 +191,7 @@ def trained_cases(spark, sf_dir):
 _corpora: dict[tuple[str, str], investigation.Corpus] = {}
 
 
-def _corpus(spark, sf_dir) -> investigation.Corpus:
+def document_corpus(spark, sf_dir) -> investigation.Corpus:
     """The vector table of the documents, built and saved once per session and data folder."""
     place = (spark.sparkContext.applicationId, sf_dir)
     if place not in _corpora:
@@ -203,10 +203,17 @@ def _corpus(spark, sf_dir) -> investigation.Corpus:
     return _corpora[place]
 
 
-def _findings(spark, sf_dir):
-    job = trained(spark, sf_dir)
-    columns = ["type", *S.REALISTIC_FEATURES]
-    return investigation.investigate(job.features.select(KEY, *columns), KEY, job.model, _corpus(spark, sf_dir))
+_found: dict[tuple[str, str], DataFrame] = {}
+
+
+def _findings(spark, sf_dir) -> DataFrame:
+    """The findings of all transactions, made and written once per session and data folder."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _found:
+        job = trained(spark, sf_dir)
+        rows = job.features.select(KEY, "type", *S.REALISTIC_FEATURES)
+        _found[place] = written(investigation.investigate(rows, KEY, job.model, document_corpus(spark, sf_dir)), "all_findings")
+    return _found[place]
 
 
 @query("investigate")

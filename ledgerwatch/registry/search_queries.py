@@ -60,6 +60,18 @@ def load_corpus(spark, sf_dir):
     )
 
 
+# An encoder that SQL can state as well: length and how often some letters occur.
+_LETTERS = "eatnrsi"
+
+
+def _letter_counts(text):
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _LETTERS]
+    return F.array(*[c.cast("float") for c in (F.length(text), *counts)])
+
+
+_LETTERS_SQL = "[" + ", ".join(["length({0})"] + [f"length({{0}}) - length(replace({{0}}, '{c}', ''))" for c in _LETTERS]) + "]::double[]"
+
+
 _KNN = """near as (
   select q.vec_id as query_id, b.vec_id as id, list_distance(q.embedding::double[], b.embedding::double[]) ** 2 as distance,
     row_number() over (partition by q.vec_id
@@ -134,18 +146,6 @@ def chunk_lookup(spark, sf_dir):
     return retrieval.chunk_lookup(hits, passages)
 
 
-# An encoder that SQL can state as well: length and how often some letters occur.
-_LETTERS = "eatnrsi"
-
-
-def _letter_counts(text):
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _LETTERS]
-    return F.array(*[c.cast("float") for c in (F.length(text), *counts)])
-
-
-_LETTERS_SQL = "[" + ", ".join(["length({0})"] + [f"length({{0}}) - length(replace({{0}}, '{c}', ''))" for c in _LETTERS]) + "]::double[]"
-
-
 @query(
     "retrieve",
     f"""with {_CHUNKS},
@@ -178,6 +178,27 @@ def embed_chunks(spark, sf_dir):
     return retrieval.embed(chunks, retrieval.fit_encoder(chunks)).select("doc_id", "paragraph", "embedding")
 
 
+def _unit_letters(text):
+    counts = _letter_counts(text)
+    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return F.transform(counts, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)))
+
+
+@query(
+    "embed_letters",
+    f"""with {_CHUNKS}, counted as (select *, {_LETTERS_SQL.format("chunk")} as v from chunks),
+    sized as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as size from counted)
+    select doc_id, cast(paragraph as integer) as paragraph, unnest(range(0, len(v)))::integer as at,
+      round(unnest(list_transform(v, lambda x: cast(cast(case when size > 0 then x / size else 0 end as float) as double))), 6) as value from sized""",
+)
+def embed_letters(spark, sf_dir):
+    """Unit vectors of an encoder that is a function of the text, value by value."""
+    chunks = chunk_documents(spark, sf_dir).withColumnRenamed("chunk", "text")
+    listed = F.posexplode("embedding").alias("at", "value")
+    found = retrieval.embed(chunks, _unit_letters).select("doc_id", "paragraph", listed)
+    return found.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 @query(
     "embed_sizes",
     f"""with {_CHUNKS} select doc_id, cast(paragraph as integer) as paragraph, 384 as dimensions,
