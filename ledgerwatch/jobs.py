@@ -29,7 +29,7 @@ from ledgerwatch.sources.trace import write_trace
 from ledgerwatch.sources.transactions import event_time
 from ledgerwatch.sources.event_log import EPOCH_SECONDS
 from ledgerwatch.streaming import scoring, velocity
-from ledgerwatch.workspace import written
+from ledgerwatch.workspace import job_folder, written
 
 KEY = "row_id"
 
@@ -227,4 +227,6 @@ def main(argv: Sequence[str] | None = None) -> None:
             )
         command.add_argument("--out", required=True)
     args = parser.parse_args(argv)
-    JOBS[args.job][0](open_session(f"ledgerwatch {args.job}"), args)
+    spark = open_session(f"ledgerwatch {args.job}")
+    with job_folder(spark, args.job):
+        JOBS[args.job][0](spark, args)

@@ -161,8 +161,9 @@ def retrieve(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
     chunks = retrieval.written_chunks(docs, "doc_id", separator="\n")
-    place = F.shiftleft("doc_id", 20) + F.col("paragraph")  # in the order that SQL breaks ties by
-    vectors = retrieval.embed(chunks.withColumn("chunk_id", place), _letter_counts)
+    in_order = chunks.drop("chunk_id").orderBy("doc_id", "paragraph")  # as SQL breaks ties
+    placed = written(in_order.withColumn("chunk_id", F.monotonically_increasing_id()), "placed_chunks")
+    vectors = retrieval.embed(placed, _letter_counts)
     queries = retrieval.embed(asked, _letter_counts).select("id", F.col("embedding").alias("vector"))
     return retrieval.retrieve(queries, vectors)
 

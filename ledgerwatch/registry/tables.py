@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwatch import schema as S
-from ledgerwatch.operators.features import feature_table, filter_types
-from ledgerwatch.sources.event_log import transactions_from_events
+from ledgerwatch.operators.features import feature_table
+from ledgerwatch.sources.event_log import relevant_from_events, transactions_from_events
 
 KEY = "event_id"
 
@@ -21,8 +21,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions_from_events(table(spark, sf_dir, "events"))
 
 
+def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relevant_from_events(table(spark, sf_dir, "events"))
+
+
 def features(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), **layout) -> DataFrame:
-    return feature_table(transactions(spark, sf_dir), KEY, keep, **layout)
+    return feature_table(relevant(spark, sf_dir), KEY, keep, **layout)
 
 
 def test_score(df: DataFrame) -> DataFrame:
@@ -36,7 +40,7 @@ test_score.__test__ = False
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key, score and label of the relevant transactions."""
-    rows = test_score(filter_types(transactions(spark, sf_dir)))
+    rows = test_score(relevant(spark, sf_dir))
     return rows.select(KEY, "amount", "score", F.col(S.LABEL).cast("int").alias(S.LABEL))
 
 

@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwatch import schema as S
+
 # 2024-01-01T00:00:00Z, where the hour of step 1 begins
 EPOCH_SECONDS = 1704067200
 _EPOCH_DAY = EPOCH_SECONDS // 86400
 
 
+# which event stands for which transaction type
+TYPES = {"click": "TRANSFER", "purchase": "CASH_OUT", "view": "PAYMENT", "signup": "CASH_IN", "error": "DEBIT"}
+
+
+def relevant_from_events(events: DataFrame) -> DataFrame:
+    """The transactions that can be fraudulent; the filter is on the stored column, so the scan applies it."""
+    kinds = [event for event, kind in TYPES.items() if kind in S.TYPE_CODES]
+    return transactions_from_events(events.where(F.col("event_type").isin(kinds)))
+
+
 def transactions_from_events(events: DataFrame) -> DataFrame:
     """Eleven transaction columns plus the row key ``event_id`` and the time ``ts``.
 
@@ -23,10 +35,7 @@ def transactions_from_events(events: DataFrame) -> DataFrame:
             "make_timestamp_ltz(year(ts), month(ts), day(ts), hour(ts), minute(ts), extract(SECOND FROM ts), 'UTC')"
         ).alias("ts"),
         F.expr(f"(unix_date(cast(ts as date)) - {_EPOCH_DAY}) * 24 + hour(ts) + 1").alias("step"),
-        F.expr(
-            "case event_type when 'click' then 'TRANSFER' when 'purchase' then 'CASH_OUT'"
-            " when 'view' then 'PAYMENT' when 'signup' then 'CASH_IN' when 'error' then 'DEBIT' end"
-        ).alias("type"),
+        F.expr("case event_type " + " ".join(f"when '{e}' then '{t}'" for e, t in TYPES.items()) + " end").alias("type"),
         F.expr("round(value * 100, 2)").alias("amount"),
         F.expr("concat('C', user_id div 4)").alias("nameOrig"),
         F.expr("concat('D', event_id * 7919 % 997)").alias("nameDest"),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_jobs: dict[str, list[str]] = {}  # the folders of running jobs, outermost first
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,8 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_dir(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _folder(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    return "/".join([f"{shared_dir(spark)}/ledgerwatch/{app}", *_jobs.get(app, [])])
+
+
+@contextmanager
+def job_folder(spark: SparkSession, job: str) -> Iterator[str]:
+    """A folder for the intermediate tables made in the block, removed with them when it ends, however it ends.
+
+    What a job keeps belongs elsewhere. Tables made outside the block stay.
+    """
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/ledgerwatch/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    inside = [*_jobs.get(app, []), f"{job}-{uuid.uuid4().hex[:12]}"]
+    _jobs[app] = inside
+    path = _folder(spark)
+    try:
+        yield path
+    finally:
+        _jobs[app] = inside[:-1]
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

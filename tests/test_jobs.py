@@ -81,6 +81,50 @@ def test_velocity_stream(spark, work):
     assert days.agg(F.sum("n")).first()[0] <= log.count()
 
 
+def test_velocity_counts_are_whole_when_the_input_ends(spark, work):
+    main(["velocity-stream", "--log", f"{work}/log", "--out", f"{work}/whole"])
+    log = spark.read.schema(S.TXN_SCHEMA).option("header", True).csv(f"{work}/log").where("type in ('TRANSFER', 'CASH_OUT')")
+    for hours in (1, 3, 24):
+        parts = [spark.read.parquet(f"{work}/whole/counts_{hours}h{part}") for part in ("/table", "_open")]
+        found = parts[0].select("nameOrig", "n").unionByName(parts[1].select("nameOrig", "n"))
+        assert found.agg(F.sum("n")).first()[0] == log.count()
+        want = log.groupBy("nameOrig", F.floor(F.col("step") / hours)).count()
+        assert found.count() == want.count()
+
+
+def test_velocity_rows(spark, sf_dir, work):
+    from ledgerwatch.registry.tables import transactions
+
+    log = transactions(spark, sf_dir).select("event_id", "type", "nameOrig", "step")
+    log.write.mode("overwrite").parquet(f"{work}/keyed")
+    main(["velocity-rows", "--log", f"{work}/keyed", "--key", "event_id", "--out", f"{work}/rows"])
+    rows = spark.read.parquet(f"{work}/rows/rows")
+    relevant = log.where("type in ('TRANSFER', 'CASH_OUT')")
+    assert relevant.count() - rows.count() <= 8  # the last hour is open
+    assert spark.read.parquet(f"{work}/rows/late").count() == 0
+    ordered = sorted((r["nameOrig"], r["step"], r["event_id"], r["velocity_cumcount"]) for r in rows.collect())
+    place = {}
+    for account, _, _, counted in ordered:
+        assert counted == place.get(account, 0)
+        place[account] = counted + 1
+
+
+def test_jobs_leave_no_intermediate_tables(spark, tmp_path):
+    import os
+
+    from ledgerwatch.workspace import job_folder, new_dir, written
+
+    outside = new_dir(spark, "kept")
+    with job_folder(spark, "outer") as outer:
+        spark.range(3).write.parquet(new_dir(spark, "a"))
+        with pytest.raises(RuntimeError), job_folder(spark, "inner") as inner:
+            assert written(spark.range(2), "b").count() == 2 and os.listdir(inner)
+            raise RuntimeError
+        assert not os.path.exists(inner) and os.listdir(outer)
+    assert not os.path.exists(outer)
+    assert os.path.dirname(new_dir(spark, "kept")) == os.path.dirname(outside)
+
+
 def test_session_settings(spark):
     from ledgerwatch.session import SETTINGS, open_session
 

@@ -143,3 +143,10 @@ def test_session_zone_does_not_move_the_hours(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert before == after
+
+
+def test_types_are_filtered_by_the_scan_of_the_events(spark, sf_dir):
+    from ledgerwatch.registry.tables import features
+
+    plan = features(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "In(event_type, [click,purchase])" in plan
