@@ -11,6 +11,7 @@ from ledgerwatch.operators.trace import trace_pair
 from ledgerwatch.registry import ORACLES, query
 from ledgerwatch.registry.tables import table
 from ledgerwatch.sources import corpus, trace
+from ledgerwatch.sources.event_log import EPOCH_SECONDS
 from ledgerwatch.streaming import traces
 from ledgerwatch.workspace import new_dir, written
 
@@ -272,11 +273,11 @@ def trace_pair_query(spark, sf_dir):
     return trace_pair(_events(spark, sf_dir))
 
 
-@query("trace_pair_stream", f"select distinct * from ({ORACLES['trace_pair']})")
+@query("trace_pair_stream", ORACLES["trace_pair"])
 def trace_pair_stream(spark, sf_dir):
     """The events arrive in three parts, calls ahead of their results; lines are written, read and paired as streams."""
     source, lines, out = (new_dir(spark, name) for name in ("events", "trace", "pairs"))
-    ts = F.timestamp_seconds(F.col("investigation_id") * 60 + F.col("seq"))
+    ts = F.timestamp_seconds(EPOCH_SECONDS + F.col("investigation_id") * 60 + F.col("seq"))  # a watermark begins at 1970
     events = written(_events(spark, sf_dir).select(F.col("investigation_id").cast("bigint").alias("investigation_id"), F.col("seq").cast("bigint").alias("seq"), ts.alias("ts"), "type", "name", "content"), "events")
     edges = events.agg(F.max("investigation_id")).first()[0]
     part = F.floor(F.col("investigation_id") * 3 / (edges + 1)) + F.when((F.col("type") == "tool_result") & (F.col("seq") % 4 == 1), 1).otherwise(0)
