@@ -151,6 +151,15 @@ def trigrams_of(rules: Sequence[Rule]) -> list[str]:
     return sorted({g for r in rules for c in trigram_query(r) for s in c for g in s})
 
 
+def _any_of(grams: Sequence[str]) -> str:
+    """A pattern that finds each of the trigrams wherever it stands, overlaps included: branches by first two letters."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in sorted(grams):
+        tree.setdefault(a, {}).setdefault(b, []).append(re.escape(c))
+    seconds = {a: "|".join(f"{re.escape(b)}[{''.join(cs)}]" for b, cs in some.items()) for a, some in tree.items()}
+    return "(?=(" + "|".join(f"{re.escape(a)}(?:{some})" for a, some in seconds.items()) + "))"
+
+
 def postings(docs: DataFrame, grams: Sequence[str], text: str = "text", key: Column | None = None) -> DataFrame:
     """(block, gram, ids): which texts hold each trigram in lower case, by blocks of about ``BLOCK_DOCS`` texts.
 
@@ -159,8 +168,10 @@ def postings(docs: DataFrame, grams: Sequence[str], text: str = "text", key: Col
     a text to search. Null and empty texts have no postings, empty tables none at all.
     """
     key = F.xxhash64(text) if key is None else key
+    if not grams:
+        return docs.sparkSession.createDataFrame([], "block bigint, gram string, ids array<bigint>")
     low = docs.where(F.length(text) > 2).select(key.alias("id"), F.lower(F.col(text)).alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
+    held = F.array_distinct(F.regexp_extract_all("low", F.lit(_any_of(grams)), F.lit(1)))
     rows = low.select("id", held.alias("grams")).where(F.size("grams") > 0)
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
     rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode("grams").alias("gram"), "id")

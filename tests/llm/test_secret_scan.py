@@ -65,6 +65,15 @@ def test_empty_table_and_shuffled_candidates(spark, monkeypatch):
         assert [tuple(s) for s in r["secrets"]] == plain((TEXTS * 3)[r["doc_id"]])
 
 
+def test_postings_name_every_trigram_of_a_text(spark):
+    grams = secret_scan.trigrams_of(BASE + ADDED) + ["a.b", "[x]", "^-]", "\\d+", "aaa"]
+    texts = [*TEXTS, "a.b axb [x] ^-] \\d+ 5", "AAAA", "x" * 3 + "\n" + "".join(grams)]
+    found = secret_scan.postings(rows_of(spark, texts), grams, key=F.col("doc_id"))
+    got = {(r["gram"], i) for r in found.collect() for i in r["ids"]}
+    assert got == {(g, i) for i, t in enumerate(texts) for g in grams if t and g in t.lower()}
+    assert secret_scan.postings(rows_of(spark, texts), []).count() == 0
+
+
 def test_candidates_hold_every_match_and_leave_texts_out(spark):
     rules = [r for r in BASE + ADDED if secret_scan.trigram_query(r)]
     docs = rows_of(spark, TEXTS)
