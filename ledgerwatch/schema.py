@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The log's columns and their types.
 TXN_SCHEMA = T.StructType(
     [
         T.StructField("step", T.IntegerType()),
