@@ -85,5 +85,5 @@ def test_run(spark):
 
 def test_registered():
     assert {"pipeline", *queries.QUERIES} <= set(entry.queries())
-    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
