@@ -16,9 +16,8 @@ and calibrated on rows no count has seen.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -34,6 +33,8 @@ BITS = 19  # of the index into each table of counts, which bounds the model
 PRIOR = 5.0
 DISCOUNT = 3
 CACHE = 400_000  # words whose log ratio a worker remembers
+NEW_WORDS = 20_000  # words whose letters are looked up at once
+AT_ONCE = 200_000  # words that are scored at once, or those of one text
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -115,11 +116,30 @@ class Counts:
         return out
 
 
+@dataclass
+class Ratios:
+    """Log ratios of expressions with sorted 64-bit hashes."""
+
+    keys: np.ndarray = field(repr=False)
+    ratios: np.ndarray = field(repr=False)
+
+    def refine(self, hashes: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """``lower`` with the log ratios of the hashes that are known."""
+        if not len(self.keys):
+            return lower
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.ratios[at], lower)
+
+
+NO_RATIOS = Ratios(np.empty(0, dtype=np.uint64), np.empty(0))
+
+
 @dataclass
 class ToxicityModel:
-    """Class 1 is toxic. ``vocabulary`` and ``pairs`` hold what occurs more than ``DISCOUNT`` times in all learned rows.
+    """Class 1 is toxic. ``vocabulary`` holds the words that occur more than ``DISCOUNT`` times in all learned rows.
 
-    Counts by cell in like amounts of both classes: ``grams`` and ``contexts`` [class, order, cell] for the letters,
+    ``pairs`` holds the log ratios of those pairs that say something else than their second word alone; to leave
+    out the others changes no score. Counts by cell in like amounts of both classes: ``grams`` and ``contexts`` [class, order, cell] for the letters,
     ``words`` [class, cell] and their ``totals`` for comparison.
     """
 
@@ -128,7 +148,7 @@ class ToxicityModel:
     words: np.ndarray = field(repr=False)
     totals: np.ndarray
     vocabulary: Counts
-    pairs: Counts
+    pairs: Ratios
     spread: float
     slack: float
     slope: float = 1.0
@@ -149,18 +169,37 @@ class ToxicityModel:
             shared = pooled
         return np.bincount(owner, weights=np.log(rates[1] / rates[0]), minlength=len(words))
 
-    def raw_scores(self, texts: list[str | None], known: KnownWords | None = None) -> np.ndarray:
-        known = KnownWords(self) if known is None else known
+    def known_words(self) -> KnownWords:
+        """The words that this process has seen with this model, kept as long as the model is."""
+        if not hasattr(self, "_known"):
+            self._known = KnownWords(self)
+        return self._known
+
+    def raw_scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
+        found: list[tuple[int, list[str]]] = []
+        waiting = 0
         for i, text in enumerate(texts):
             words = words_of(text)
-            if not words:
-                continue
-            hashes, ratios = known.of(words)
-            after = pair_hashes(np.concatenate([NO_WORD, hashes[:-1]]), hashes)
-            out[i] = self.pairs.refine(after, ratios, self.slack).sum() / np.sqrt(len(words))
+            if words:
+                found.append((i, words))
+                waiting += len(words)
+            if waiting > AT_ONCE:
+                self._score(found, out)
+                found, waiting = [], 0
+        if found:
+            self._score(found, out)
         return out
 
+    def _score(self, found: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+        sizes = np.array([len(words) for _, words in found])
+        starts = np.cumsum(sizes) - sizes
+        hashes, ratios = self.known_words().of([w for _, words in found for w in words])
+        before = np.concatenate([NO_WORD, hashes[:-1]])
+        before[starts] = NO_WORD
+        sums = np.add.reduceat(self.pairs.refine(pair_hashes(before, hashes), ratios), starts)
+        out[[i for i, _ in found]] = sums / np.sqrt(sizes)
+
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -50, 50)))
 
@@ -187,54 +226,97 @@ class KnownWords:
                 self.hashes, self.ratios = (np.concatenate([x[:n], np.empty(2 * end - n, dtype=x.dtype)]) for x in (self.hashes, self.ratios))
             hashes = word_hashes(new)
             self.hashes[n:end] = hashes
-            self.ratios[n:end] = self.model.vocabulary.refine(hashes, self.model.letter_ratios(new), self.model.slack)
+            letters = np.concatenate([self.model.letter_ratios(new[i : i + NEW_WORDS]) for i in range(0, len(new), NEW_WORDS)])
+            self.ratios[n:end] = self.model.vocabulary.refine(hashes, letters, self.model.slack)
             self.places.update(zip(new, range(n, end), strict=True))
         at = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
         return self.hashes[at], self.ratios[at]
 
 
 NO_WORD = word_hashes([""])
+FREQUENT = f"ordinary + toxic > {DISCOUNT}"
+SAME = 1e-9  # log ratios that differ by rounding only
 
 
 def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(word, toxic, hash of the word before, rows, whether in a row that balances the classes) once per batch."""
     for batch in batches:
         for toxic in (0, 1):
-            rows: Counter[tuple[str, str]] = Counter()
-            balanced = set()
             own = batch[batch.toxic == toxic]
-            for text, used in zip(own.text, own.balanced, strict=True):
-                words = words_of(text)
-                pairs = set(zip(["", *words[:-1]], words, strict=True))
-                rows.update(pairs)
-                if used:
-                    balanced |= pairs
-            if rows:
-                before, word = zip(*rows, strict=True)
-                hashes = dict(zip(different := list(set(before)), word_hashes(different).view(np.int64), strict=True))
-                yield pd.DataFrame(
-                    {"word": word, "toxic": toxic, "before": [hashes[x] for x in before], "n": list(rows.values()), "balanced": [x in balanced for x in rows]}
-                )
+            found = [(words, used) for words, used in zip(map(words_of, own.text), own.balanced, strict=True) if words]
+            if found:
+                yield _pair_rows([words for words, _ in found], np.array([bool(used) for _, used in found])).assign(toxic=toxic)
+
+
+def _pair_rows(texts: list[list[str]], used: np.ndarray) -> pd.DataFrame:
+    places = {"": 0}
+    sizes = np.array([len(words) for words in texts])
+    word = np.fromiter((places.setdefault(w, len(places)) for words in texts for w in words), dtype=np.int64, count=sizes.sum())
+    before = np.concatenate([[0], word[:-1]])
+    before[np.cumsum(sizes) - sizes] = 0
+    row = np.repeat(np.arange(len(texts)), sizes)
+    uses = np.unique((before * len(places) + word) * len(texts) + row)  # a pair once a row
+    pair, row = np.divmod(uses, len(texts))
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    before, word = np.divmod(pair[first], len(places))
+    names = np.array(list(places), dtype=object)
+    return pd.DataFrame(
+        {
+            "word": names[word],
+            "before": word_hashes(names.tolist()).view(np.int64)[before],
+            "n": np.diff(first, append=len(pair)),
+            "balanced": np.logical_or.reduceat(used[row], first),
+        }
+    )
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, before, ordinary, toxic): the key of a word, or of a word after another."""
+    """(key, ordinary, toxic) by the key of the word."""
     for batch in batches:
-        keys, before = word_hashes(batch.word.tolist()), batch.before.to_numpy()
-        if not batch.single.all():
-            keys = pair_hashes(before.view(np.uint64), keys)
-        yield pd.DataFrame({"key": keys.view(np.int64), "before": before, "ordinary": batch.ordinary, "toxic": batch.toxic})
+        keys = word_hashes(batch.word.tolist())
+        yield pd.DataFrame({"key": keys.view(np.int64), "ordinary": batch.ordinary, "toxic": batch.toxic})
 
 
-def _frequent(rows: DataFrame, single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of the words or pairs that occur more than ``DISCOUNT`` times, the words before, counts [class, key]."""
-    before = F.lit(0).cast("long") if single else F.col("before")
-    frequent = rows.where(F.col("ordinary") + F.col("toxic") > DISCOUNT).select("word", before.alias("before"), "ordinary", "toxic", F.lit(single).alias("single"))
-    found = frequent.mapInPandas(_hashed, "key long, before long, ordinary long, toxic long").toArrow()
+def _vocabulary(words: DataFrame) -> Counts:
+    """The words that occur more than ``DISCOUNT`` times; the shares are those of all words."""
+    found = words.where(FREQUENT).select("word", "ordinary", "toxic").mapInPandas(_hashed, "key long, ordinary long, toxic long").toArrow()
     keys = found["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     counts = np.stack([found[c].to_numpy()[order].astype(np.float32) for c in ("ordinary", "toxic")])
-    return keys[order], found["before"].to_numpy()[order], counts
+    return Counts(keys[order], counts, np.broadcast_to(_all_shares(words).astype(np.float32), counts.shape))
+
+
+def _all_shares(rows: DataFrame) -> np.ndarray:
+    """How the classes share all counts, [class, 1]."""
+    sums = np.array([x or 0 for x in rows.agg(F.sum("ordinary"), F.sum("toxic")).first()], dtype=float)
+    return ((sums + 1) / (sums + 1).sum())[:, None]
+
+
+def _pair_ratios(model: ToxicityModel, uses: DataFrame) -> Ratios:
+    """What a word says after another, where that is not what it says alone.
+
+    Worked out in the tasks from the pairs that occur more than ``DISCOUNT`` times. A pair's shares are those of its
+    first word, and lean on those of all pairs where that word is rare.
+    """
+    starts = uses.groupBy("before").agg(F.sum("ordinary").alias("from_ordinary"), F.sum("toxic").alias("from_toxic"))
+    rows = uses.where(FREQUENT).select("word", "before", "ordinary", "toxic").join(starts, "before")
+    prior = PRIOR * _all_shares(uses)
+    shared = uses.sparkSession.sparkContext.broadcast(model)
+
+    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, slack = shared.value.known_words(), shared.value.slack
+        for batch in batches:
+            hashes, alone = known.of(batch.word.tolist())
+            shares = np.stack([batch.from_ordinary, batch.from_toxic]).astype(float) + prior
+            counts = np.stack([batch.ordinary, batch.toxic]).astype(float)
+            said = _log_ratios(counts, shares / shares.sum(0), alone, slack)
+            keys = pair_hashes(batch.before.to_numpy().view(np.uint64), hashes)
+            yield pd.DataFrame({"key": keys.view(np.int64), "ratio": said})[np.abs(said - alone) > SAME]
+
+    found = rows.mapInPandas(ratios, "key long, ratio double").toArrow()
+    keys = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return Ratios(keys[order], found["ratio"].to_numpy()[order])
 
 
 def _cell_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,21 +340,6 @@ def _cell_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _learned(words: DataFrame, uses: DataFrame, starts: DataFrame) -> tuple[Counts, Counts]:
-    """What occurs more than ``DISCOUNT`` times; a pair's shares lean on those of all pairs where its first word is rare."""
-    sums = [np.array([x or 0 for x in rows.agg(F.sum("ordinary"), F.sum("toxic")).first()], dtype=float) for rows in (words, uses)]
-    all_words, all_uses = (((x + 1) / (x + 1).sum())[:, None] for x in sums)
-    keys, _, counts = _frequent(words, single=True)
-    vocabulary = Counts(keys, counts, np.broadcast_to(all_words.astype(np.float32), counts.shape))
-    keys, before, counts = _frequent(uses, single=False)
-    found = starts.where(F.col("ordinary") + F.col("toxic") > DISCOUNT).toArrow()
-    first = found["before"].to_numpy()
-    order = np.argsort(first)
-    at = order[np.searchsorted(first, before, sorter=order)] if len(before) else np.empty(0, dtype=np.int64)
-    shares = np.stack([found[c].to_numpy()[at].astype(float) for c in ("ordinary", "toxic")]) + PRIOR * all_uses
-    return vocabulary, Counts(keys, counts, (shares / shares.sum(0)).astype(np.float32))
-
-
 def _platt(scores: np.ndarray, positives: np.ndarray, totals: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve through counts by score; (1, 0) without two classes."""
     if not len(scores) or positives.sum() <= 0 or positives.sum() >= totals.sum():
@@ -314,10 +381,11 @@ def fit(
 
     Words and pairs are counted in all of them and compared with the classes' shares. For the letters the larger
     class is thinned by a seeded hash of the key, so that both have their counts from like amounts of text. Null
-    texts and labels other than 0 and 1 are left out. The driver receives counts by cell, at most nine tables of
-    ``2**BITS`` cells, the counts of all words and pairs that occur more than ``DISCOUNT`` times, which grow with the
-    learned text, and scores rounded to a hundredth.
-    Without rows of both classes every ratio is 1 and every score 0.5.
+    texts and labels other than 0 and 1 are left out; repeated rows count as often as they occur, several labels of
+    a key as toxic if one says so. The driver receives counts by cell, at most nine tables of ``2**BITS`` cells, the
+    counts of all words that occur more than ``DISCOUNT`` times and the log ratios of those pairs that say something
+    else than their second word, which both grow with the learned text, and scores rounded to a hundredth.
+    Without rows of both classes, as in empty tables, every ratio is 1 and every score 0.5.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -348,8 +416,6 @@ def fit(
         ),
         "toxic_words",
     )
-    starts = uses.groupBy("before").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    vocabulary, pairs = _learned(words, uses, starts)
     like = words.select("word", F.col("like_ordinary").alias("ordinary"), F.col("like_toxic").alias("toxic"))
     cells = (
         like.where(F.col("ordinary") + F.col("toxic") > 0).mapInPandas(_cell_sums, "which int, cell long, ordinary double, toxic double")
@@ -364,10 +430,11 @@ def fit(
     tables[1, which, cell] = cells["toxic"].to_numpy()
     counts = tables[:, 2 * ORDERS]
     totals = counts.sum(axis=1, dtype=np.float64)
-    model = ToxicityModel(tables[:, :ORDERS], tables[:, ORDERS : 2 * ORDERS], counts, totals, vocabulary, pairs, spread, slack)
+    model = ToxicityModel(tables[:, :ORDERS], tables[:, ORDERS : 2 * ORDERS], counts, totals, _vocabulary(words), NO_RATIOS, spread, slack)
     if not totals.all():
         model.slope = 0.0
         return model
+    model.pairs = _pair_ratios(_for_scores(model), uses)
     curve = (
         labelled(docs, marks.where(fifth), key, text, toxic)
         .select("toxic", F.round(raw_score(spark, model, "text"), 2).alias("raw"))
@@ -381,21 +448,28 @@ def fit(
     return model
 
 
+def _for_scores(model: ToxicityModel) -> ToxicityModel:
+    """What the tasks need of a model."""
+    return replace(model, words=np.empty((2, 0)))
+
+
 def raw_score(spark: SparkSession, model: ToxicityModel, text: str | Column) -> Column:
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(_for_scores(model))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = KnownWords(shared.value)
         for texts in batches:
-            yield pd.Series(shared.value.raw_scores(texts.tolist(), known))
+            yield pd.Series(shared.value.raw_scores(texts.tolist()))
 
     return score(F.col(text) if isinstance(text, str) else text)
 
 
 def toxicity(spark: SparkSession, model: ToxicityModel, text: str | Column) -> Column:
-    """The probability that each whole text is toxic; null, empty and wordless texts score as one without evidence."""
+    """The probability that each whole text is toxic; null, empty and wordless texts score as one without evidence.
+
+    Equal texts score alike; a table without rows has no scores.
+    """
     raw = raw_score(spark, model, text)
     line = F.least(F.greatest(raw * model.slope + model.offset, F.lit(-50.0)), F.lit(50.0))
     return 1 / (1 + F.exp(-line))
