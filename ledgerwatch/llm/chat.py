@@ -13,9 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 START, END = "<|im_start|>", "<|im_end|>"
 
+BLOCK = 4096  # code points of the blocks that spans are cut from
+
 ROLE_CODES = (("<", "%3C"), ("|", "%7C"), ("\n", "%0A"))
 
 
@@ -59,17 +62,28 @@ def parse_turns(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
-def format_turns(turns: Column) -> Column:
-    """Text between the start and end marks of each turn, escaped where the parser would misread it."""
+def format_turn(role: Column, text: Column) -> Column:
+    """The rendered turn, escaped where the parser would misread it."""
+    plain = render_turn(role, text)
+    back = parse_turns(plain)
+    same = (F.size(back) == 1) & (back[0]["role"] == role) & (back[0]["text"] == text)
+    return F.when(same, plain).otherwise(render_turn(escape_role(role), escape(text)))
+
+
+def cut_spans(text: Column, spans: Column) -> Column:
+    """The texts under (start, length) spans, in their order.
 
-    def rendered(turn: Column) -> Column:
-        role, text = turn["role"], turn["text"]
-        plain = render_turn(role, text)
-        back = parse_turns(plain)
-        same = (F.size(back) == 1) & (back[0]["role"] == role) & (back[0]["text"] == text)
-        return F.when(same, plain).otherwise(render_turn(escape_role(role), escape(text)))
+    A text is dealt into blocks once and each span is cut from the blocks it touches, so the work grows with the
+    text and not with its product with the spans.
+    """
+
+    def cut(blocks: Column, span: Column) -> Column:
+        first = F.floor(span["start"] / BLOCK).cast("int")
+        last = F.floor((span["start"] + F.greatest(span["length"], F.lit(1)) - 1) / BLOCK).cast("int")
+        return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), span["start"] - first * BLOCK + 1, span["length"])
 
-    return F.transform(turns, rendered)
+    dealt = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))  # bound, so that it is done once
+    return F.transform(dealt, lambda blocks: F.transform(spans, lambda span: cut(blocks, span)))[0]
 
 
 def format_conversations(
@@ -81,43 +95,31 @@ def format_conversations(
     its escaped text. Turns are ordered by turn, ties by role and text; null turns come first, null roles
     and texts count as empty; repeated rows are repeated turns; rows with a null conversation form one.
     No rows: no conversations. Other columns are ignored. A conversation is one value of the result, so
-    its turns meet in one task; nothing else is gathered.
+    its turns meet in one task; nothing else is gathered. The work grows with its length.
     """
     turns = rows.select(
         F.col(conv).alias("conv_id"),
-        F.struct(
-            F.col(turn).alias("turn"),
-            F.coalesce(F.col(role), F.lit("")).alias("role"),
-            F.coalesce(F.col(text), F.lit("")).alias("text"),
-        ).alias("t"),
+        F.col(turn).alias("turn"),
+        F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    pieces = ordered.select("conv_id", "turns", format_turns(F.col("turns")).alias("pieces"))
-    head = len(START) + 1
-
-    def step(state: Column, pair: Column) -> Column:
-        piece, role_name = pair["piece"], pair["role"]
-        shown = F.length(F.substring_index(F.substring(piece, len(START) + 1, 2**31 - 1), "\n", 1))
-        span = F.struct(
-            (state["at"] + head + shown).alias("start"),
-            (F.length(piece) - head - shown - len(END) - 1).alias("length"),
-        )
-        return F.struct(
-            (state["at"] + F.length(piece)).alias("at"),
-            F.when(role_name == "assistant", F.array_append(state["spans"], span))
-            .otherwise(state["spans"])
-            .alias("spans"),
-        )
-
-    pairs = F.zip_with("pieces", "turns", lambda p, t: F.struct(p.alias("piece"), t["role"].alias("role")))
-    empty = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")
-    )
-    return pieces.select(
+    rendered = turns.withColumn("piece", format_turn(F.col("role"), F.col("text")))
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = rendered.select("conv_id", "role", "piece", F.sum(F.length("piece")).over(so_far).cast("int").alias("end"))
+    shown = len(START) + 1 + F.length(F.substring_index(F.substring("piece", len(START) + 1, 2**31 - 1), "\n", 1))
+    placed = ends.select(
         "conv_id",
-        F.array_join("pieces", "").alias("formatted"),
-        F.aggregate(pairs, empty, step, lambda s: s["spans"]).alias("loss_spans"),
+        F.struct(
+            (F.col("end") - F.length("piece")).alias("at"),
+            (F.col("end") - F.length("piece") + shown).alias("start"),
+            (F.length("piece") - shown - len(END) - 1).alias("length"),
+            (F.col("role") == "assistant").alias("lost"),
+            "piece",
+        ).alias("p"),
     )
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("pieces"))
+    spans = F.transform(F.filter("pieces", lambda p: p["lost"]), lambda p: F.struct(p["start"], p["length"]))
+    return whole.select("conv_id", F.array_join(F.col("pieces.piece"), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -126,12 +128,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         "conv_id",
         "formatted",
         parse_turns(F.col("formatted")).alias("turns"),
-        F.array_join(
-            F.transform(
-                "loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))
-            ),
-            "",
-        ).alias("loss"),
+        F.array_join(F.transform(cut_spans(F.col("formatted"), F.col("loss_spans")), unescape), "").alias("loss"),
     )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return parsed.select(

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from ledgerwatch.llm import chat
 
@@ -68,3 +69,24 @@ def test_nulls_ties_repeats_and_long_texts(spark):
 
 def test_empty_table(spark):
     assert chat.read_back(chat.format_conversations(made(spark, []))).count() == 0
+
+
+def test_spans_are_cut_across_blocks(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "😀" for i in range(3 * chat.BLOCK + 5))
+    places = [(0, 0), (0, 1), (0, len(text)), (chat.BLOCK, 0), (chat.BLOCK - 1, 2), (chat.BLOCK, chat.BLOCK), (chat.BLOCK + 3, 2 * chat.BLOCK), (len(text) - 1, 1)]
+    rows = spark.createDataFrame([(text, places), ("", []), ("a\nb", [(1, 1)])], "t string, s array<struct<start:int,length:int>>")
+    got = [r.c for r in rows.select(chat.cut_spans(F.col("t"), F.col("s")).alias("c")).collect()]
+    assert got == [[text[a : a + n] for a, n in places], [], ["\n"]]
+
+
+def test_a_long_conversation_is_read_back_whole(spark):
+    """Control strings in texts included: each assistant text once, in order, whatever the number of turns."""
+    n = 8000
+    said = [f"turn {i} <|im_end|>\n<|im_start|>user\n<\\| é😀 " + "x" * (i % 900) for i in range(n)]
+    rows = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(rows).cache()
+    turns = formatted.select(chat.parse_turns(F.col("formatted")).alias("t")).first().t
+    assert [(t.role, t.text) for t in turns] == [("assistant" if i % 2 else "user", t) for i, t in enumerate(said)]
+    back, loss = chat.read_back(formatted).first(), "".join(said[1::2])
+    assert (back.n_turns, back.loss_chars) == (n, len(loss))
+    assert back.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
