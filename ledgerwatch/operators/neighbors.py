@@ -6,7 +6,8 @@ the vectors are packed into blocks of their own in the shared folder, and the ta
 query block reads those one after the other, folding the best ``k``: what shuffles is each
 side once and ``k`` rows per query. Single precision products leave out most pairs, the
 rest are measured as everywhere else. Where tasks cannot open the shared folder by
-themselves, both sides meet in a grid of blocks, each block moved once per block opposite.
+themselves, both sides meet in a grid of blocks, each block moved once per block opposite;
+blocks grow with the table up to what a task holds, so there are few of them.
 
 In few dimensions the triangle inequality leaves most pairs out, so there queries meet
 the vectors by bin:
@@ -47,6 +48,7 @@ _FOLD_QUERIES, _FOLD_VECTORS = 1_024, 2_048
 _HELD_BYTES = 64 << 20  # of neighbours' vectors that a task keeps for its queries
 _BROADCAST_BINS = 1_000_000
 _SLACK = 1e-9
+_SINGLE, _TINY = 1e17, 1e-30  # lengths whose squares single precision holds, and more than it loses in tiny ones
 _NEAR_PIVOTS = 1e-6
 
 
@@ -68,7 +70,8 @@ def knn(
     Both inputs have columns ``id`` (long) and ``vector`` (array of float or double).
     Returns ``query_id, rank (from 1), id, distance`` with the squared distance, and
     the neighbour's ``vector`` on request. Fewer than ``k`` rows come back only when
-    ``base`` has fewer. ``few`` is the answer of ``is_few`` if the caller has it; ``read_shared``
+    ``base`` has fewer. ``grid_block`` is the least number of vectors in a block; a larger
+    table has larger ones, as few as keep all cores busy. ``few`` is the answer of ``is_few`` if the caller has it; ``read_shared``
     says whether tasks can open files of the shared folder (found out by default).
     """
     queries = _doubles(queries)
@@ -142,7 +145,11 @@ def packed(df: DataFrame, block: int) -> DataFrame:
 
     Rows are dealt out by a hash of their id, so blocks have like sizes.
     """
-    df = written(df.select("id", "vector"), "vectors")
+    return _packed_rows(written(df.select("id", "vector"), "vectors"), block)
+
+
+def _packed_rows(df: DataFrame, block: int) -> DataFrame:
+    """``packed`` for rows that are written already."""
     blocks = max(1, -(-df.count() // block))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -173,13 +180,19 @@ def grid(rows: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _search_blocks(
     queries: DataFrame, base: DataFrame, k: int, block: int, with_vector: bool, read_shared: bool | None
 ) -> DataFrame:
-    stored = packed(base, block)
+    queries, base = written(queries, "queries"), written(base, "vectors")
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    width = max(_width(base), 1)
+    asked = queries.count()
+    rows, columns = (_block_size(n, isqrt(4 * cores) + 1, block) for n in (asked, base.count()))
+    stored = _packed_rows(base, columns)
     files = sorted(stored.inputFiles())
+    if with_vector:
+        rows = max(256, min(rows, _HELD_BYTES // (8 * k * width)))
     if not files or (not _opens(files[0]) if read_shared is None else not read_shared):
-        return _search_grid(queries, stored, k, block, with_vector)
-    held = block if not with_vector else max(256, min(block, _HELD_BYTES // (8 * k * max(_width(base), 1))))
-    queries = written(queries, "queries")
-    blocks = max(1, -(-queries.count() // held))
+        return _search_grid(queries, stored, k, rows, with_vector)
+    held = min(rows, _block_size(asked, 2 * cores, block))
+    blocks = max(1, -(-asked // held))
 
     def search(table: pa.Table) -> pa.Table:
         ids = np.ascontiguousarray(table.column("id").to_numpy())
@@ -195,6 +208,11 @@ def _search_blocks(
     return dealt.groupBy("block_no").applyInArrow(search, _FOUND)
 
 
+def _block_size(n: int, blocks: int, least: int) -> int:
+    """Rows in a block when ``n`` are cut into ``blocks``, or into more where a task cannot hold so many."""
+    return max(least, min(GRID_BLOCK, -(-n // blocks)))
+
+
 def _opens(uri: str) -> bool:
     """Whether Arrow has a file system for a path."""
     try:
@@ -232,18 +250,8 @@ def _folded(best, far, queries, base_ids, vectors, k, with_vector):
         there_size = np.einsum("ij,ij->i", there, there)
         found = [best]
         for i in range(0, len(queries), _FOLD_QUERIES):
-            asked, size = queries[i : i + _FOLD_QUERIES], sizes[i : i + _FOLD_QUERIES, None]
-            with np.errstate(over="ignore", invalid="ignore"):
-                near = size + there_size - 2.0 * (asked.astype("float32") @ there.astype("float32").T)
-                # more than single precision products of that many numbers, and double sums, can be off
-                off = (width + 8) * 2.0**-22 * np.sqrt(size * there_size) + 2.0**-48 * (size + there_size)
-                low, high = near - off, near + off
-            beyond = ~np.isfinite(near)  # single precision cannot say: measured below
-            low[beyond], high[beyond] = -np.inf, np.inf
-            limit = far[i : i + _FOLD_QUERIES]
-            if high.shape[1] >= k:
-                limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1])
-            q, b = np.nonzero(low <= limit[:, None])
+            asked, size = queries[i : i + _FOLD_QUERIES], sizes[i : i + _FOLD_QUERIES]
+            q, b = _maybe_near(asked, size, there, there_size, far[i : i + _FOLD_QUERIES], k)
             distance = np.zeros(len(q))
             for d in range(width):  # as _distances sums
                 gap = asked[q, d] - there[b, d]
@@ -258,13 +266,41 @@ def _folded(best, far, queries, base_ids, vectors, k, with_vector):
     return best
 
 
+def _maybe_near(asked, size, there, there_size, limit, k):
+    """(query, vector) places of all pairs that may be among the ``k`` nearest, or nearer than ``limit``."""
+    width = asked.shape[1]
+    norm, there_norm = np.sqrt(size), np.sqrt(there_size.max())
+    if np.isfinite(limit).all() and norm.max() < _SINGLE and there_norm < _SINGLE:
+        # half of (squared distance less the query's square) with its sign turned, as one product
+        left = np.column_stack([asked, np.ones(len(asked))]).astype("float32")
+        right = np.column_stack([there, -there_size / 2]).astype("float32")
+        half = left @ right.T
+        # more than such a product, and double sums, can be off
+        off = (width + 16) * 2.0**-22 * there_norm * (norm + there_norm) + 2.0**-46 * (size + limit) + _TINY
+        least = np.nextafter(((size - limit) / 2 - off).astype("float32"), np.float32(-np.inf))
+        return np.nonzero(half >= least[:, None])
+    size = size[:, None]
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = size + there_size - 2.0 * (asked.astype("float32") @ there.astype("float32").T)
+        # more than single precision products of that many numbers, and double sums, can be off
+        off = (width + 8) * 2.0**-22 * np.sqrt(size * there_size) + 2.0**-48 * (size + there_size)
+        low, high = near - off, near + off
+    beyond = ~np.isfinite(near)  # single precision cannot say: measured below
+    low[beyond], high[beyond] = -np.inf, np.inf
+    if high.shape[1] >= k:
+        limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1])
+    return np.nonzero(low <= limit[:, None])
+
+
 def _search_grid(queries: DataFrame, stored: DataFrame, k: int, block: int, with_vector: bool) -> DataFrame:
-    rows, columns = grid(packed(queries, block), stored)
+    rows, columns = grid(_packed_rows(queries, block), stored)
 
     def search(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not asked.num_rows or not there.num_rows:
             return _FOUND_ARROW.empty_table()
-        return pa.Table.from_batches([_found_batch(_best(*_unpacked(asked), *_unpacked(there), k, with_vector))])
+        ids, vectors = _unpacked(asked)
+        best = _folded(None, np.full(len(ids), np.inf), vectors, *_unpacked(there), k, with_vector)
+        return pa.Table.from_batches([_found_batch((ids[best[0]], *best[1:]))])
 
     keys = ["row", "col"]
     return rows.groupBy(*keys).cogroup(columns.groupBy(*keys)).applyInArrow(search, _FOUND)

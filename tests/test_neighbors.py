@@ -80,6 +80,19 @@ def test_blocks_are_read_not_shuffled(spark):
     assert sum("query_id" in line for line in shuffles) == 1 and sum("block_no" in line for line in shuffles) == 1
 
 
+@pytest.mark.parametrize("shared", [True, False])
+def test_blocks_grow_with_the_table(spark, monkeypatch, shared):
+    """However small the least block, there are no more blocks than keep the cores busy: else what moves grows with the square."""
+    sizes, pack = [], neighbors._packed_rows
+    monkeypatch.setattr(neighbors, "_packed_rows", lambda df, block: sizes.append(block) or pack(df, block))
+    rows = points(10, 900, 18)
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = run(knn(df.where("id < 600"), df, 3, few_queries=0, grid_block=4, read_shared=shared))
+    assert got == brute(rows[:600], rows, 3)
+    cores = spark.sparkContext.defaultParallelism
+    assert sizes and all(block >= 600 / (2 * cores + 1) for block in sizes)
+
+
 def test_single_precision_only_leaves_out_what_is_farther(monkeypatch):
     rnd = np.random.default_rng(1)
     queries = rnd.normal(size=(40, 30)) * 10.0 ** rnd.integers(-3, 20, size=(40, 1))
