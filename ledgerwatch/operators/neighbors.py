@@ -314,6 +314,8 @@ def _search_bins(
     base = written(
         base.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy"), "vectors"
     )
+    if _width(base) > BIN_DIMENSIONS:  # most queries visit most bins, so there should be few
+        block = _block_size(base.count(), isqrt(4 * spark.sparkContext.defaultParallelism) + 1, block)
     wanted = min(cells, 2 * isqrt(base.count()) + 1)
     # the pivots: at most `cells` rows. A threshold on the hash first, so that tasks send about twice as many in all
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
@@ -457,7 +459,8 @@ def _meet(visits: DataFrame, in_bins: DataFrame, k: int, block: int, n_bins: int
         matrix = _matrix(queries.column("query").combine_chunks())
         base_ids = base.column("id").to_numpy()
         vectors = _matrix(base.column("vector").combine_chunks())
-        return pa.Table.from_batches([_found_batch(_best(ids, matrix, base_ids, vectors, k, with_vector))])
+        best = _folded(None, np.full(len(ids), np.inf), matrix, base_ids, vectors, k, with_vector)
+        return pa.Table.from_batches([_found_batch((ids[best[0]], *best[1:]))])
 
     keys = ["bin", "query_block"]
     return asked.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(search, _FOUND)

@@ -103,15 +103,16 @@ def knn_topk(spark, sf_dir):
     )
 
 
-_KNN_12 = _KNN.replace("q.embedding::", "q.embedding[1:12]::").replace("b.embedding::", "b.embedding[1:12]::")
+_DIMENSIONS = 64  # of the embeddings
 _NEAR_SQL = """select query_id, cast("rank" as integer) as "rank", id, round(distance, 6) + 0.0 as distance from near where "rank" <= 3"""
 
 
-@query("knn_cells", f"with {_KNN_12} {_NEAR_SQL}")
+@query("knn_cells", f"with {_KNN} {_NEAR_SQL}")
 def knn_cells(spark, sf_dir):
-    """The plan for many queries of few dimensions, on a projection to twelve."""
-    vectors = _vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 12))
-    return knn(vectors, vectors, 3, few_queries=0, cells=32).withColumn("distance", F.round("distance", 6) + 0.0)
+    """The plan of cells and bins, made for few dimensions, on the whole vectors."""
+    vectors = _vectors(spark, sf_dir)
+    near = knn(vectors, vectors, 3, few_queries=0, cells=32, bin_dimensions=_DIMENSIONS)
+    return near.withColumn("distance", F.round("distance", 6) + 0.0)
 
 
 @query("knn_blocks", f"with {_KNN} {_NEAR_SQL}")

@@ -93,6 +93,15 @@ def test_blocks_grow_with_the_table(spark, monkeypatch, shared):
     assert sizes and all(block >= 600 / (2 * cores + 1) for block in sizes)
 
 
+def test_cells_answer_for_whole_vectors(spark, tmp_path):
+    """The query measures every dimension: here the first twelve are alike."""
+    from ledgerwatch.registry import QUERIES, search_queries  # noqa: F401
+
+    rows = [(i, [1.0] * 12 + v) for i, v in points(11, 80, 52)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert run(QUERIES["knn_cells"](spark, str(tmp_path))) == brute(rows, rows, 3)
+
+
 def test_single_precision_only_leaves_out_what_is_farther(monkeypatch):
     rnd = np.random.default_rng(1)
     queries = rnd.normal(size=(40, 30)) * 10.0 ** rnd.integers(-3, 20, size=(40, 1))
