@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-A few pages of each host are aligned by simple tree matching. Siblings with the same label next to each
+All pages of a host are aligned by simple tree matching: what their structures share becomes the host's slots, and
+each page's texts are counted by slot. Siblings with the same label next to each
 other count as one repeated node. A node without blocks in it whose text is the same on nearly all of the pages belongs to the
 host's template; the others are slots. A page's text is what its slots say, less the slots that stand in
 menus, headers, footers, sidebars, notices, adverts, forms and comments.
@@ -14,17 +15,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerwatch.llm.common import joined_small, seeded, small_batches
 from ledgerwatch.llm.url_filter import host_of
+from ledgerwatch.workspace import written
 
-SAMPLE = 16  # pages of a host that are aligned
-SURE = 0.8  # share of them that must say the same
+FAN = 64  # structures of a host that are merged at once
+SURE = 0.8  # share of a host's pages that must say the same
 LEAST = 4  # and how many pages at least
 DEEPEST = 100  # levels of a template; what is deeper is a slot
 
@@ -163,20 +167,26 @@ def _shape(root: Node) -> None:
 
 @dataclass
 class Slot:
-    """A node of the template. ``children`` hold no two neighbours with one label."""
+    """A node of the template. ``children`` hold no two neighbours with one label; ``number`` is its place in preorder."""
 
     label: str
-    texts: Counter = field(default_factory=Counter)
     children: list[Slot] = field(default_factory=list)
-    constant: frozenset[str] = frozenset()
+    number: int = 0
 
-    def packed(self, pages: int) -> list:
-        sure = [t for t, n in self.texts.items() if t and n >= max(LEAST, SURE * pages)]
-        return [self.label, sorted(sure), [c.packed(pages) for c in self.children]]
+    def packed(self) -> list:
+        return [self.label, [c.packed() for c in self.children]]
 
     @classmethod
-    def unpacked(cls, data: list) -> Slot:
-        return cls(data[0], constant=frozenset(data[1]), children=[cls.unpacked(c) for c in data[2]])
+    def unpacked(cls, data: list, numbers: Iterator[int] | None = None) -> Slot:
+        numbers = count() if numbers is None else numbers
+        own = next(numbers)
+        return cls(data[0], [cls.unpacked(c, numbers) for c in data[1]], own)
+
+
+def _digest(number: int, text: str) -> int:
+    """64 bits, signed, of what a slot says."""
+    found = xxhash.xxh64_intdigest(f"{number}:{text}".encode("utf-8", "replace"))
+    return found - (1 << 64) if found >> 63 else found
 
 
 class Aligner:
@@ -230,8 +240,7 @@ class Aligner:
 
 
 def _merge(slot: Slot, nodes: list[Node], depth: int = 0) -> None:
-    """Add a page's nodes to their slot: texts, and slots for what has none yet."""
-    slot.texts.update({n.said() for n in nodes})
+    """Add a page's nodes to their slot: slots for what has none yet."""
     if depth == DEEPEST:
         return
     grouped: dict[int, list[Node]] = {}
@@ -259,19 +268,69 @@ def _merge(slot: Slot, nodes: list[Node], depth: int = 0) -> None:
             _merge(child, grouped[id(child)], depth + 1)
 
 
-def induce(pages: list[str]) -> str:
-    """The template of a host as JSON, from some of its pages."""
+def structure(pages: list[Node]) -> str:
+    """The slots of some pages as JSON."""
     template = Slot("#")
     for page in pages:
-        _merge(template, [parse(page)])
-    return json.dumps(template.packed(len(pages)), ensure_ascii=False)
+        _merge(template, [page])
+    return json.dumps(template.packed(), ensure_ascii=False)
+
+
+def _as_page(slots: list) -> Node:
+    """Slots as a page that has each of them once."""
+
+    def made(data: list) -> Node:
+        return Node(data[0], data[0], False, [made(c) for c in data[1]])
+
+    root = made(slots)
+    _shape(root)
+    return root
+
+
+def joined_structures(structures: list[str]) -> str:
+    """The slots of several pages or groups of pages, in an order of their own."""
+    return structure([_as_page(json.loads(x)) for x in sorted(set(structures))])
+
+
+def least_pages(pages: int) -> float:
+    """How many of a host's pages must say the same."""
+    return max(LEAST, SURE * pages)
+
+
+def template_of(slots: str, sure: list[int]) -> str:
+    return json.dumps({"slots": json.loads(slots), "sure": sorted(sure)}, ensure_ascii=False)
+
+
+def induce(pages: list[str]) -> str:
+    """The template of a host as JSON, from its different pages."""
+    slots = joined_structures([structure([parse(page)]) for page in pages])
+    known = Extractor(template_of(slots, []))
+    said = Counter(x for page in pages for x in known.said(page))
+    return template_of(slots, [x for x, n in said.items() if n >= least_pages(len(pages))])
 
 
 class Extractor:
     def __init__(self, template: str) -> None:
-        self.template = Slot.unpacked(json.loads(template))
+        data = json.loads(template)
+        self.template = Slot.unpacked(data["slots"])
+        self.sure = frozenset(data["sure"])
         self.aligner = Aligner()
 
+    def said(self, page: str | None) -> list[int]:
+        """What the page's slots say outside menus and the like, each once."""
+        out: set[int] = set()
+        todo = [(parse(page), self.template)]
+        while todo:
+            node, slot = todo.pop()
+            if node.aside:
+                continue
+            text = node.said()
+            if text:
+                out.add(_digest(slot.number, text))
+            slots = self._slots(node, slot)
+            todo.extend((x, slots[id(x)]) for x in node.content if id(x) in slots)
+        return sorted(out)
+
     def text(self, page: str | None) -> str:
         """What the page's slots say outside menus and the like; where it has articles, inside those."""
         root = parse(page)
@@ -307,7 +366,7 @@ class Extractor:
             if block:
                 close()
                 todo.append(None)
-            if slot is not None and slot.constant and node.said() in slot.constant:
+            if slot is not None and self.sure and _digest(slot.number, node.said()) in self.sure:
                 continue
             slots = self._slots(node, slot)
             for child in reversed(node.content):
@@ -337,41 +396,87 @@ class Extractor:
         return "article" if "article" in found else "main" if "main" in found else ""
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
+def _structures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"host": batch.host, "slots": [structure([parse(x)]) for x in batch.html]}, dtype=object).drop_duplicates()
+
+
+def _joined(group: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"host": [group.host.iloc[0]], "slots": [joined_structures(group.slots.tolist())]})
+
+
+def host_slots(rows: DataFrame) -> DataFrame:
+    """``host, slots`` from all rows (host, html): different structures are merged some ``FAN`` at a time.
+
+    Who meets whom goes by a hash of the structures, so neither the order nor the layout of the rows matters.
+    """
+    shape = "host string, slots string"
+    found = written(rows.select("host", "html").mapInPandas(_structures, shape).distinct(), "page_slots")
+    while True:
+        sizes = found.groupBy("host").agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= 1:
+            return found
+        group = F.pmod(F.xxhash64("slots"), F.ceil(F.col("n") / FAN)).alias("part")
+        dealt = found.join(sizes, "host").select("host", "slots", group)
+        found = written(dealt.groupBy("host", "part").applyInPandas(_joined, shape).distinct(), "host_slots")
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """``host, template`` from all rows (host, html) with a page; equal pages of a host count once."""
+    rows = rows.where(F.length("html") > 0)
+    slots = host_slots(rows)
+
+    @F.pandas_udf("array<long>")
+    def said(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        extractors: dict[str, Extractor] = {}
+        for own, sources in batches:
+            yield pd.Series([_extractor(extractors, x).said(y) for x, y in zip(own, sources, strict=True)], dtype=object)
+
+    bare = slots.withColumn("template", F.concat(F.lit('{"sure": [], "slots": '), "slots", F.lit("}"))).drop("slots")
+    known = joined_small(rows.select("host", "html"), bare, "host", limit=5_000)
+    each = known.select("host", seeded(5, F.col("html")).alias("mark"), said("template", "html").alias("said"))
+    each = written(each.groupBy("host", "mark").agg(F.first("said").alias("said")), "page_texts")
+    pages = each.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = each.select("host", F.explode("said").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
+    enough = F.col("n") >= F.greatest(F.lit(float(LEAST)), SURE * F.col("pages"))
+    # at most as many as a page has nodes, over ``SURE``
+    sure = counts.where(F.col("n") >= LEAST).join(pages, "host").where(enough).groupBy("host").agg(F.collect_list("digest").alias("sure"))
+
+    @F.pandas_udf("string")
+    def packed(slots: pd.Series, sure: pd.Series) -> pd.Series:
+        return pd.Series([template_of(x, [int(d) for d in y]) for x, y in zip(slots, sure, strict=True)], dtype=object)
+
+    none = F.array().cast("array<long>")
+    return slots.join(sure, "host", "left").select("host", packed("slots", F.coalesce("sure", none)).alias("template"))
+
+
+def _extractor(known: dict[str, Extractor], template: str) -> Extractor:
+    if template not in known:
+        if len(known) > 1_000:
+            known.clear()
+        known[template] = Extractor(template)
+    return known[template]
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per input row: ``page_id, url, text``.
 
-    The template of a host is fitted on at most ``sample`` of its different pages, chosen by a seeded hash;
-    pages without a host share one. A host with fewer than four different pages has no template texts, only
-    slots. Null and empty pages give empty text, repeated rows are repeated, other columns are ignored.
+    The template of a host is fitted on all its different pages; pages without a host share one. A host with fewer
+    than four different pages has no template texts, only slots. Null and empty pages give empty text, repeated rows
+    are repeated, other columns are ignored.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = rows.withColumn("host", host_of("url"))
-    marks = rows.select("host", seeded(5, F.col("html")).alias("mark")).distinct()
-    first = Window.partitionBy("host").orderBy("mark")
-    chosen = marks.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("host", "mark")
-    chosen = chosen.select(F.struct("host", "mark").alias("page"))
-    found = joined_small(rows.select(F.struct("host", seeded(5, F.col("html")).alias("mark")).alias("page"), "html"), chosen, "page")
-    samples = found.groupBy("page").agg(F.first("html").alias("html")).select("page.host", "page.mark", "html")
-
-    def induced(group: pd.DataFrame) -> pd.DataFrame:
-        own = [x for x in group.sort_values("mark").html if x]
-        return pd.DataFrame({"host": [group.host.iloc[0]], "template": [induce(own)]})
-
-    templates = samples.groupBy("host").applyInPandas(induced, "host string, template string")
-    known = joined_small(rows, templates, "host", limit=5_000)
+    found = written(templates(rows), "templates")
+    full = rows.where(F.length("html") > 0)
+    empty = rows.where(F.coalesce(F.length("html"), F.lit(0)) == 0).select("page_id", "url", F.lit("").alias("text"))
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         extractors: dict[str, Extractor] = {}
-        for templates, sources in batches:
-            out = []
-            for template, source in zip(templates, sources, strict=True):
-                if template not in extractors:
-                    if len(extractors) > 1_000:
-                        extractors.clear()
-                    extractors[template] = Extractor(template)
-                out.append(extractors[template].text(source))
-            yield pd.Series(out, dtype=object)
-
-    return known.select("page_id", "url", text("template", "html").alias("text"))
+        for own, sources in batches:
+            yield pd.Series([_extractor(extractors, x).text(y) for x, y in zip(own, sources, strict=True)], dtype=object)
+
+    known = joined_small(full, found, "host", limit=5_000)
+    return known.select("page_id", "url", text("template", "html").alias("text")).unionByName(empty)

@@ -111,3 +111,28 @@ def test_nulls_repeats_and_empty_tables(spark):
 def test_copies_are_one_page(spark):
     rows = [(i, "http://h/%d" % i, "<p>same text</p>") for i in range(30)]
     assert set(texts(spark, rows).values()) == {"same text"}
+
+
+def test_all_pages_of_a_host_are_counted(spark):
+    """A line on 12 of 40 pages is no template, whichever pages they are; one on 36 is, and a loop over all pages agrees."""
+    html = "<div><h1>Head {0}</h1>{1}<p>text {0}</p>{2}</div>"
+    sources = [html.format(i, "<p>seldom</p>" if i % 10 < 3 else "", "<h2>often</h2>" if i % 10 else "") for i in range(40)]
+    for order in (1, -1):
+        got = texts(spark, [(i, "http://h.org/%d" % i, x) for i, x in list(enumerate(sources))[::order]])
+        loop = wrappers.Extractor(wrappers.induce(sources))
+        for i, source in enumerate(sources):
+            assert got[i] == f"Head {i}" + (" seldom" if i % 10 < 3 else "") + f" text {i}" == loop.text(source)
+
+
+def test_texts_are_counted_beyond_a_few_pages(spark, monkeypatch):
+    """The counts are those of all different pages, in groups or not."""
+    monkeypatch.setattr(wrappers, "FAN", 3)
+    shapes = ["<p>t{0}</p>", "<p>t{0}</p><ul><li>x{0}</ul>", "<h2>a{0}</h2><p>t{0}</p>", "<p>t{0}</p><blockquote>q{0}</blockquote>", "<table><tr><td>{0}</table>"]
+    sources = [shapes[i % 5].format(i) + ("<h3>same</h3>" if i < 39 else "<h3>other</h3>") for i in range(50)]
+    rows = spark.createDataFrame([("h", x) for x in sources * 2], "host string, html string")
+    found = wrappers.json.loads(wrappers.templates(rows).first().template)
+    known = wrappers.Extractor(wrappers.json.dumps(found | {"sure": []}))
+    said = wrappers.Counter(x for page in sources for x in known.said(page))
+    assert max(said.values()) == 39 and found["sure"] == []
+    more = rows.unionByName(rows.sparkSession.createDataFrame([("h", "<p>n%d</p><h3>same</h3>" % i) for i in range(6)], rows.schema))
+    assert len(wrappers.json.loads(wrappers.templates(more).first().template)["sure"]) == 1
