@@ -123,6 +123,18 @@ def test_margin_is_the_share_that_unused_texts_lose(spark):
     assert margins and abs(model.min_margin - np.quantile(margins, 0.1)) < 1e-12
 
 
+def test_words_of_all_learned_texts_count(spark, monkeypatch):
+    """A word in most texts of a language, each with a long tail of its own, is in the dictionary, the commonest last."""
+    monkeypatch.setattr(langid, "DICTIONARY", 600)
+    words = ["alpha", "beta", "gamma"]
+    own = [(i, " ".join([w for j, w in enumerate(words) if i % (j + 1) == 0] + [f"x{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(20)]), "aa") for i in range(400)]
+    other = [(1000 + i, DE, "de") for i in range(30)]
+    model = langid.fit(rows_of(spark, own + other))
+    held = model.dictionaries[0].split()
+    assert model.langs == ("aa", "de") and held[-1] == b"alpha" and held[-2] == b"beta" and held[-3] == b"gamma"
+    assert b"hund" in model.dictionaries[1]
+
+
 FINNISH = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
 POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
 RUSSIAN = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью."
