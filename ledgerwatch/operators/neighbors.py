@@ -122,12 +122,12 @@ def _scan(queries: DataFrame, base: DataFrame, k: int, with_vector: bool) -> Dat
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
+        far = np.full(len(ids), np.inf)
         for batch in batches:
             if batch.num_rows:
-                found = _best(ids, matrix, *_rows(batch), k, with_vector)
-                best = found if best is None else _merged(best, found, k)
+                best = _folded(best, far, matrix, *_rows(batch), k, with_vector, finite=True)
         if best is not None:
-            yield _found_batch(best)
+            yield _found_batch((ids[best[0]], *best[1:]))
 
     return base.mapInArrow(best_of_partition, _FOUND)
 
@@ -237,11 +237,11 @@ def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]
     return ids, vectors.reshape(len(ids), table.column("width")[0].as_py())
 
 
-def _folded(best, far, queries, base_ids, vectors, k, with_vector):
+def _folded(best, far, queries, base_ids, vectors, k, with_vector, finite=False):
     """``best`` (place of the query, id, distance, vector or nothing) with what another block of vectors has nearer.
 
     ``far`` holds each query's ``k``-th distance so far and is brought up to date. Queries go by place,
-    since several may carry one id.
+    since several may carry one id. ``finite``: distances that are infinite or no number count for nothing.
     """
     width = queries.shape[1]
     sizes = np.einsum("ij,ij->i", queries, queries)
@@ -256,6 +256,9 @@ def _folded(best, far, queries, base_ids, vectors, k, with_vector):
             for d in range(width):  # as _distances sums
                 gap = asked[q, d] - there[b, d]
                 distance += gap * gap
+            if finite and not np.isfinite(distance).all():
+                real = np.isfinite(distance)
+                q, b, distance = q[real], b[real], distance[real]
             found.append((q + i, base_ids[j + b], distance, (there if with_vector else there[:, :0])[b]))
         new = [np.concatenate([x[c] for x in found[1:]]) for c in range(4)]
         best = _merged(best, new, k) if best is not None else _merged(new, [x[:0] for x in new], k)
@@ -299,7 +302,7 @@ def _search_grid(queries: DataFrame, stored: DataFrame, k: int, block: int, with
         if not asked.num_rows or not there.num_rows:
             return _FOUND_ARROW.empty_table()
         ids, vectors = _unpacked(asked)
-        best = _folded(None, np.full(len(ids), np.inf), vectors, *_unpacked(there), k, with_vector)
+        best = _folded(None, np.full(len(ids), np.inf), vectors, *_unpacked(there), k, with_vector, finite=True)
         return pa.Table.from_batches([_found_batch((ids[best[0]], *best[1:]))])
 
     keys = ["row", "col"]
@@ -459,7 +462,7 @@ def _meet(visits: DataFrame, in_bins: DataFrame, k: int, block: int, n_bins: int
         matrix = _matrix(queries.column("query").combine_chunks())
         base_ids = base.column("id").to_numpy()
         vectors = _matrix(base.column("vector").combine_chunks())
-        best = _folded(None, np.full(len(ids), np.inf), matrix, base_ids, vectors, k, with_vector)
+        best = _folded(None, np.full(len(ids), np.inf), matrix, base_ids, vectors, k, with_vector, finite=True)
         return pa.Table.from_batches([_found_batch((ids[best[0]], *best[1:]))])
 
     keys = ["bin", "query_block"]

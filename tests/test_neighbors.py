@@ -102,6 +102,28 @@ def test_cells_answer_for_whole_vectors(spark, tmp_path):
     assert run(QUERIES["knn_cells"](spark, str(tmp_path))) == brute(rows, rows, 3)
 
 
+@pytest.mark.parametrize("layout", [{}, SMALL, {"few_queries": 0, "bin_dimensions": 0, "grid_block": 16, "read_shared": False}])
+def test_vectors_that_are_no_numbers_are_nobodys_neighbours(spark, layout):
+    rows = points(12, 60, 3)
+    odd = [(100, [float("nan"), 1.0, 2.0]), (101, [1.0, float("inf"), 0.0])]
+    as_df = lambda rows: spark.createDataFrame(rows, "id long, vector array<double>")
+    assert run(knn(as_df(rows), as_df(rows + (odd if layout != SMALL else [])), 3, **layout)) == brute(rows, rows, 3)
+    assert run(knn(as_df(odd), as_df(rows), 3, **layout)) == {}
+
+
+def test_scans_measure_only_what_may_be_near(monkeypatch):
+    """Few queries against many vectors: once a query has k neighbours, nearly all pairs are left out by one product."""
+    rnd = np.random.default_rng(2)
+    queries, base = rnd.normal(size=(50, 384)), rnd.normal(size=(6_000, 384))
+    measured, near = [], neighbors._maybe_near
+    monkeypatch.setattr(neighbors, "_maybe_near", lambda *a: measured.append(near(*a)) or measured[-1])
+    best = neighbors._folded(None, np.full(50, np.inf), queries, np.arange(6_000), base, 2, False, finite=True)
+    want = neighbors._best(np.arange(50), queries, np.arange(6_000), base, 2, False)
+    order = np.lexsort((want[1], want[2], want[0]))
+    assert all(np.array_equal(a, b[order]) for a, b in zip(best[:3], want[:3], strict=True))
+    assert sum(len(q) for q, _ in measured) < 1_000
+
+
 def test_single_precision_only_leaves_out_what_is_farther(monkeypatch):
     rnd = np.random.default_rng(1)
     queries = rnd.normal(size=(40, 30)) * 10.0 ** rnd.integers(-3, 20, size=(40, 1))
