@@ -181,10 +181,17 @@ def embed_chunks(spark, sf_dir):
     return retrieval.embed(chunks, retrieval.fit_encoder(chunks)).select("doc_id", "paragraph", "embedding")
 
 
+def _once(value, use):
+    """``use`` of a value that is worked out once a row, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _unit_letters(text):
-    counts = _letter_counts(text)
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return F.transform(counts, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)))
+    def unit(counts):
+        size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+        return _once(size, lambda s: F.transform(counts, lambda x: F.when(s > 0, x / s).otherwise(F.lit(0.0))))
+
+    return _once(text, lambda t: _once(_letter_counts(t), unit))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.functions import text
 from ledgerwatch.operators import retrieval
 from ledgerwatch.operators.trace import trace_pair
+from ledgerwatch.registry import search_queries
 from ledgerwatch.sources import corpus, trace
 
 
@@ -188,3 +189,14 @@ def test_random_texts_keep_their_long_paragraphs_in_order(spark):
             # what was skipped holds no paragraph that is long enough
             assert max((len(p.strip()) for p in re.split("\n\n", skipped)), default=0) < 50
         assert max((len(p.strip()) for p in re.split("\n\n", rest)), default=0) < 50
+
+
+def test_letter_counts_are_worked_out_once_a_chunk(spark):
+    rows = spark.createDataFrame([("eat teas",), ("",), (None,)], "text string")
+    found = rows.select(search_queries._unit_letters(F.col("text")).alias("v"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") == len(search_queries._LETTERS)
+    first, empty, _ = (r["v"] for r in found.collect())
+    size = (64 + 4 + 4 + 4 + 1) ** 0.5
+    assert first == pytest.approx([x / size for x in (8, 2, 2, 2, 0, 0, 1, 0)])
+    assert empty == [0.0] * 8
