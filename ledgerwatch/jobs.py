@@ -110,7 +110,8 @@ def score(spark: SparkSession, args) -> None:
 
 def build_corpus(spark: SparkSession, args) -> None:
     """Text files to a vector table and its encoder."""
-    docs = written(corpus_files.load_corpus(spark, args.docs).withColumn("doc_id", F.monotonically_increasing_id()), "documents")
+    with corpus_files.many_files_a_task(spark):
+        docs = written(corpus_files.load_corpus(spark, args.docs).withColumn("doc_id", F.monotonically_increasing_id()), "documents")
     chunks = retrieval.written_chunks(docs, "doc_id")
     encoder = retrieval.fit_encoder(chunks)
     encoder.write().overwrite().save(f"{args.out}/encoder")

@@ -53,12 +53,14 @@ def load_corpus(spark, sf_dir):
     """Each document as a file of its own: name without its ending, length and content of every one."""
     path = new_dir(spark, "corpus")
     corpus.write_texts(_documents(spark, sf_dir).where("text <> '' and doc_id is not null"), path, F.concat(F.lit("doc-"), "doc_id"))
-    found = corpus.load_corpus(spark, path)
-    files = found.select("source").distinct().count()
-    return found.select(
-        "source", F.length("text").cast("long").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"),
-        F.lit(files).cast("long").alias("files"),
-    )
+    with corpus.many_files_a_task(spark):  # read once, for both the rows and their number
+        found = written(
+            corpus.load_corpus(spark, path).select(
+                "source", F.length("text").cast("long").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+            ),
+            "corpus_files",
+        )
+    return found.withColumn("files", F.lit(found.select("source").distinct().count()).cast("long"))
 
 
 # An encoder that SQL can state as well: length and how often some letters occur.

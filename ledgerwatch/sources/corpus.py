@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from zlib import crc32
 
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401
@@ -12,32 +14,55 @@ from pyspark.sql import functions as F
 from ledgerwatch.functions.text import file_stem
 
 VECTOR_COLUMNS = ("chunk_id", "doc_id", "paragraph", "source", "text", "embedding")
+FOLDERS = 256  # that a corpus of files is dealt over
+OPEN_COST = 1 << 16  # bytes that opening a small file is taken to cost
+_OPEN_COST = "spark.sql.files.openCostInBytes"
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.txt`` below ``path`` as one row: its text, and its name without suffix."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    return files.select(F.col("value").alias("text"), file_stem(F.col("_metadata.file_name")).alias("source"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.col("content").cast("string").alias("text"), file_stem(F.col("_metadata.file_name")).alias("source"))
+
+
+@contextmanager
+def many_files_a_task(spark: SparkSession) -> Iterator[None]:
+    """What runs in the block reads small files by the thousand: Spark counts each as 4 MB otherwise, 32 to a task."""
+    before = spark.conf.get(_OPEN_COST)
+    spark.conf.set(_OPEN_COST, str(OPEN_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set(_OPEN_COST, before)
 
 
 def write_texts(docs: DataFrame, path: str, name: Column, text: str = "text") -> int:
-    """Each text as a file ``<name>.txt`` below ``path``, written by the tasks; the number of texts.
+    """Each text as a file ``<name>.txt`` in one of ``FOLDERS`` folders below ``path``, written by the tasks; the number of texts.
 
-    For corpora of files that others read; names must be unique, as the later of two would win. A retried
+    For corpora of files that others read; names must be unique, as the later of two would win. The name decides
+    the folder: many small ones are listed by the tasks, a single large one by the driver alone. A retried
     task writes the same files again.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, folder = pa.fs.FileSystem.from_uri(path)
-        filesystem.create_dir(folder, recursive=True)
+        made = set()
         for batch in batches:
             for stem, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with filesystem.open_output_stream(f"{folder}/{stem}.txt") as out:
+                part = f"{folder}/{crc32(stem.encode('utf-8')) % FOLDERS:03}"
+                if part not in made:
+                    filesystem.create_dir(part, recursive=True)
+                    made.add(part)
+                with filesystem.open_output_stream(f"{part}/{stem}.txt") as out:
                     out.write(content.encode("utf-8"))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
 
     rows = docs.select(name.alias("stem"), F.col(text).alias("content")).where(F.col("content").isNotNull())
-    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    written = rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not written:  # an empty corpus is a folder without files
+        filesystem, folder = pa.fs.FileSystem.from_uri(path)
+        filesystem.create_dir(folder, recursive=True)
+    return written
 
 
 def save_vectors(df: DataFrame, path: str) -> None:

@@ -200,3 +200,18 @@ def test_letter_counts_are_worked_out_once_a_chunk(spark):
     size = (64 + 4 + 4 + 4 + 1) ** 0.5
     assert first == pytest.approx([x / size for x in (8, 2, 2, 2, 0, 0, 1, 0)])
     assert empty == [0.0] * 8
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    setting = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(setting)
+    texts = spark.range(400).select(F.concat(F.lit("t"), "id").alias("name"), F.concat(F.lit("﻿ä\r\n"), "id").alias("text"))
+    assert corpus.write_texts(texts, str(tmp_path / "texts"), F.col("name")) == 400
+    assert len(list((tmp_path / "texts").iterdir())) > 32  # folders enough that tasks list them
+    with corpus.many_files_a_task(spark):
+        found = corpus.load_corpus(spark, str(tmp_path / "texts"))
+        assert found.rdd.getNumPartitions() <= 8
+        assert {(r["source"], r["text"]) for r in found.collect()} == {(f"t{i}", f"﻿ä\r\n{i}") for i in range(400)}
+    assert spark.conf.get(setting) == before
+    assert corpus.write_texts(texts.limit(0), str(tmp_path / "none"), F.col("name")) == 0
+    assert corpus.load_corpus(spark, str(tmp_path / "none")).count() == 0
