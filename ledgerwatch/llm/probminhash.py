@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,10 +63,9 @@ def signature(runs: np.ndarray, weights: np.ndarray, registers: int = REGISTERS)
         alive = times < first.max()
         t, k = times[alive], places[alive]
         who = np.broadcast_to(runs[:, None], times.shape)[alive]
-        order = np.argsort(-t, kind="stable")  # of several in one register the earliest is written last
-        t, k, who = t[order], k[order], who[order]
-        better = t < first[k]
-        first[k[better]] = t[better]
+        before = first[k]
+        np.minimum.at(first, k, t)
+        better = (t == first[k]) & (t < before)
         holder[k[better]] = who[better]
         at = times[:, -1]
         going = at < first.max()
@@ -138,29 +138,36 @@ def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(list(out.values()), columns=["id", "runs", "weights"])
 
 
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _compare(least: float):
     low = least - DEVIATIONS * (least * (1 - least) / REGISTERS) ** 0.5
 
-    def unpack(block: pd.DataFrame, name: str, kind: type) -> np.ndarray:
-        return np.frombuffer(b"".join(block[name]), dtype=kind).reshape(len(block), -1)
-
-    def compare(members: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-        """Links between a block of members and one of leaders of the same bucket."""
-        out = []
-        if len(members) and len(leaders):
-            marks, bands = unpack(members, "registers", np.uint16), unpack(members, "bands", np.int64)
-            band = members.band.iloc[0]
-            for r in leaders.itertuples(index=False):
-                agree = (marks == np.frombuffer(r.registers, dtype=np.uint16)).mean(axis=1)
-                shared = bands == np.frombuffer(r.bands, dtype=np.int64)
-                mine = (agree >= low) & (members.root.to_numpy() != r.root) & (shared.argmax(axis=1) == band)
-                runs, weights = np.frombuffer(r.runs, dtype=np.uint64), np.frombuffer(r.weights, dtype=np.int32)
-                for i in np.flatnonzero(mine):
-                    other = members.iloc[i]
-                    theirs = np.frombuffer(other.runs, dtype=np.uint64), np.frombuffer(other.weights, dtype=np.int32)
-                    if probability_jaccard(runs, weights, *theirs) >= least:
-                        out.append((r.root, other.root))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+    def unpack(block: pa.Table, name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(block.column(name).to_pylist()), dtype=kind).reshape(block.num_rows, -1)
+
+    def weighted(block: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(block.column(c)[i].as_buffer(), dtype=t) for c, t in (("runs", np.uint64), ("weights", np.int32)))
+
+    def compare(members: pa.Table, leaders: pa.Table) -> pa.Table:
+        """Links between a block of members and one of leaders of the same bucket; most blocks are a few rows."""
+        out = set()
+        if members.num_rows and leaders.num_rows:
+            (marks, led_marks), (bands, led_bands) = (
+                (unpack(members, c, t), unpack(leaders, c, t)) for c, t in (("registers", np.uint16), ("bands", np.int64))
+            )
+            roots, led_roots = members.column("root").to_numpy(), leaders.column("root").to_numpy()
+            band = members.column("band")[0].as_py()
+            for j in range(leaders.num_rows):
+                mine = np.flatnonzero((roots != led_roots[j]) & ((bands == led_bands[j]).argmax(axis=1) == band))
+                mine = mine[(marks[mine] == led_marks[j]).mean(axis=1) >= low]
+                mine = [i for i in mine.tolist() if (led_roots[j], roots[i]) not in out]
+                leader = weighted(leaders, j) if mine else None
+                for i in mine:
+                    if probability_jaccard(*leader, *weighted(members, i)) >= least:
+                        out.add((led_roots[j], roots[i]))
+        return pa.table([[a for a, _ in out], [b for _, b in out]], schema=_LINKS)
 
     return compare
 
@@ -249,7 +256,7 @@ def _linked(rows: DataFrame, texts: DataFrame, buckets: DataFrame, least: float)
     heads = heads.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
     keys, columns = ["bucket", "chunk", "block"], ["band", "root", "registers", "bands", "runs", "weights"]
     links = members.select(*keys, *columns).groupBy(*keys).cogroup(heads.select(*keys, *columns).groupBy(*keys))
-    return _merged(roots, written(links.applyInPandas(_compare(least), "a long, b long"), "near_links"))
+    return _merged(roots, written(links.applyInArrow(_compare(least), "a long, b long"), "near_links"))
 
 
 def _active(buckets: DataFrame, roots: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerwatch.llm import probminhash
@@ -150,3 +151,23 @@ def test_word_hashes_of_long_words():
     text = "a" * 3_000_000 + " b"
     assert len(word_hashes(text)) >= 2 and (word_hashes(text) == word_hashes(text)).all()
     assert (word_hashes("Ab, cd") == word_hashes("ab CD!")).all() and not len(word_hashes(None))
+
+
+def test_a_block_is_compared_in_arrow():
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(3)]
+    texts += [t[:-1] + ["other"] for t in texts] + [list(texts[0])]
+    rows = []
+    for i, words in enumerate(texts):
+        held, weights = probminhash.weighted_shingles(word_hashes(" ".join(words)))
+        holder = probminhash.signature(held, weights)
+        bands = probminhash.band_hashes(holder)
+        bands[0] = 7  # all share the first bucket
+        rows.append((0, i, probminhash.marks_of(holder), bands.tobytes(), held.tobytes(), weights.astype(np.int32).tobytes()))
+    names = ["band", "root", "registers", "bands", "runs", "weights"]
+    block = pa.table(dict(zip(names, zip(*rows, strict=True), strict=True)))
+    found = probminhash._compare(0.8)(block, block).to_pylist()
+    near = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and jaccard(runs(" ".join(a)), runs(" ".join(b))) >= 0.8}
+    assert {(0, 3), (1, 4), (2, 5), (0, 6), (3, 6)} <= near
+    assert {(r["a"], r["b"]) for r in found} == near and len(found) == len(near)
+    assert probminhash._compare(0.8)(block, block.slice(0, 0)).num_rows == 0
