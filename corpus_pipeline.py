@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwatch.llm import langid, mixing, pieces, probminhash, toxicity
-from ledgerwatch.llm.common import table
+from ledgerwatch.llm.common import lean_workers, table
 from ledgerwatch.workspace import written
 
 TOXIC = 0.7
@@ -63,6 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder before the next."""
+    lean_workers(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage_{name}")

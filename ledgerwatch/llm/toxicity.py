@@ -32,9 +32,9 @@ ORDERS = 4
 BITS = 19  # of the index into each table of counts, which bounds the model
 PRIOR = 5.0
 DISCOUNT = 3
-CACHE = 400_000  # words whose log ratio a worker remembers
-NEW_WORDS = 20_000  # words whose letters are looked up at once
-AT_ONCE = 200_000  # words that are scored at once, or those of one text
+CACHE = 150_000  # words whose log ratio a worker remembers
+NEW_WORDS = 4_000  # words whose letters are looked up at once
+AT_ONCE = 50_000  # words that are scored at once, or those of one text
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)

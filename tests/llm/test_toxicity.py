@@ -1,12 +1,14 @@
 """Toxicity: held-out accuracy on made-up word families and the given documents, odd rows."""
 
+import os
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerwatch.llm import toxicity
-from ledgerwatch.llm.common import held_out, table
+from ledgerwatch.llm.common import LEAN, held_out, lean_workers, table
 from ledgerwatch.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, score double, toxic string"
@@ -153,3 +155,25 @@ def test_held_out_recall(spark):
     sf_dir = "/root/testdata/sf0.1"
     got = QUERIES["op6_toxicity"](spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").where("held_out and toxic = 1")
     assert got.agg(F.avg("predicted")).first()[0] > 0.5
+
+
+def test_scoring_new_words_takes_little_memory():
+    cells = (2, toxicity.ORDERS, 1 << toxicity.BITS)
+    none = toxicity.Counts(np.empty(0, dtype=np.uint64), np.empty((2, 0)), np.empty((2, 0)))
+    model = toxicity.ToxicityModel(
+        np.zeros(cells, dtype=np.float32), np.zeros(cells, dtype=np.float32), np.empty((2, 0)), np.ones(2), none, toxicity.NO_RATIOS, 3.0, 0.3
+    )
+    texts = [" ".join(f"word{i}x{j}" for j in range(300)) for i in range(200)]
+    tracemalloc.start()
+    scores = model.raw_scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == 200 and np.isfinite(scores).all()
+    assert peak < 35e6, peak
+
+
+def test_lean_workers(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "environment", {**spark.sparkContext.environment, "MALLOC_ARENA_MAX": "3"})
+    lean_workers(spark)
+    seen = spark.range(1).select(F.udf(lambda _: ",".join(os.environ.get(k, "") for k in LEAN))("id")).first()[0]
+    assert seen == ",".join({**LEAN, "MALLOC_ARENA_MAX": "3"}.values())
