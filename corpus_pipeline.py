@@ -6,6 +6,9 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from ledgerwatch.workspace import written
 
 TOXIC = 0.7
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; lang becomes the predicted one. Rejected texts go: null, letterless, undecided."""
@@ -49,12 +54,23 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("same"))
 
 
+def _lean(stage: Stage) -> Stage:
+    """``stage`` with lean Python workers, whoever calls it."""
+
+    @wraps(stage)
+    def running(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        lean_workers(spark)
+        return stage(spark, docs, sf_dir)
+
+    return running
+
+
 STAGES = [
-    ("language", identify_language),
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("mix", mix),
-    ("pieces", encode_pieces),
+    ("language", _lean(identify_language)),
+    ("toxicity", _lean(drop_toxic)),
+    ("near_duplicates", _lean(drop_near_duplicates)),
+    ("mix", _lean(mix)),
+    ("pieces", _lean(encode_pieces)),
 ]
 
 # counts by language model, first arrivals and compressed sizes have no SQL; tests compare stages with brute force
@@ -63,7 +79,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder before the next."""
-    lean_workers(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage_{name}")

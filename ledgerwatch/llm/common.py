@@ -27,8 +27,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
 
-# of the C library: arrays of a megabyte go back to the system when freed, and threads share two arenas
-LEAN = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
+# of the C library: arrays of a megabyte go back to the system when freed, and threads share two arenas; Arrow uses it too
+LEAN = {
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(4 << 20),
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
 
 
 def lean_workers(spark: SparkSession) -> None:

@@ -134,17 +134,53 @@ class Ratios:
 NO_RATIOS = Ratios(np.empty(0, dtype=np.uint64), np.empty(0))
 
 
+@dataclass
+class UsedCells:
+    """Tables of counts [class, cell] with those cells only that have any: (sorted cells, counts [class, n + 1], the last 0).
+
+    A table more than half full is kept as it is, without a list of cells.
+    """
+
+    tables: list[tuple[np.ndarray | None, np.ndarray]] = field(repr=False)
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> UsedCells:
+        """From counts [class, order, cell]."""
+        tables: list[tuple[np.ndarray | None, np.ndarray]] = []
+        for table in np.moveaxis(counts, 1, 0):
+            used = np.flatnonzero(table.any(axis=0)).astype(np.int32)
+            if 2 * len(used) > table.shape[1]:
+                tables.append((None, table))
+            else:
+                tables.append((used, np.pad(table[:, used], ((0, 0), (0, 1)))))
+        return cls(tables)
+
+    def at(self, order: int, cells: np.ndarray) -> np.ndarray:
+        used, counts = self.tables[order]
+        if used is None:
+            return counts[:, cells]
+        cells = cells.astype(np.int32)
+        at = np.searchsorted(used, cells)  # beyond the last cell: the place of the 0
+        known = np.append(used, -1)[at] == cells
+        return counts[:, np.where(known, at, len(used))]
+
+
+def _counts_at(tables: np.ndarray | UsedCells, order: int, cells: np.ndarray) -> np.ndarray:
+    found = tables.at(order, cells) if isinstance(tables, UsedCells) else tables[:, order][:, cells]
+    return found.astype(float)
+
+
 @dataclass
 class ToxicityModel:
     """Class 1 is toxic. ``vocabulary`` holds the words that occur more than ``DISCOUNT`` times in all learned rows.
 
     ``pairs`` holds the log ratios of those pairs that say something else than their second word alone; to leave
     out the others changes no score. Counts by cell in like amounts of both classes: ``grams`` and ``contexts`` [class, order, cell] for the letters,
-    ``words`` [class, cell] and their ``totals`` for comparison.
+    without the empty cells in the tasks, ``words`` [class, cell] and their ``totals`` for comparison.
     """
 
-    grams: np.ndarray = field(repr=False)
-    contexts: np.ndarray = field(repr=False)
+    grams: np.ndarray | UsedCells = field(repr=False)
+    contexts: np.ndarray | UsedCells = field(repr=False)
     words: np.ndarray = field(repr=False)
     totals: np.ndarray
     vocabulary: Counts
@@ -159,8 +195,8 @@ class ToxicityModel:
         shared = np.full(len(owner), 1 / 256)
         rates = np.stack([shared, shared])
         for order, (gram, context) in enumerate(cells):
-            counts = self.grams[:, order][:, gram].astype(float)
-            totals = self.contexts[:, order][:, context].astype(float)
+            counts = _counts_at(self.grams, order, gram)
+            totals = _counts_at(self.contexts, order, context)
             pooled = (counts.sum(0) + 2 * shared) / (totals.sum(0) + 2)
             base = rates * (pooled / shared)
             expected = totals * base
@@ -449,8 +485,9 @@ def fit(
 
 
 def _for_scores(model: ToxicityModel) -> ToxicityModel:
-    """What the tasks need of a model."""
-    return replace(model, words=np.empty((2, 0)))
+    """What the tasks need of a model: each worker holds one, so without the cells that have no counts."""
+    grams, contexts = (UsedCells.of(x) if isinstance(x, np.ndarray) else x for x in (model.grams, model.contexts))
+    return replace(model, grams=grams, contexts=contexts, words=np.empty((2, 0)))
 
 
 def raw_score(spark: SparkSession, model: ToxicityModel, text: str | Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerwatch.llm import langid, probminhash, queries, toxicity
-from ledgerwatch.llm.common import table
+from ledgerwatch.llm.common import LEAN, table
 
 SF = "/root/testdata/sf0.01"
 CLASHING = ["score", "class", "found", "size", "rank", "ids", "toxic", "mark"]
@@ -87,3 +87,12 @@ def test_registered():
     assert {"pipeline", *queries.QUERIES} <= set(entry.queries())
     assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_every_stage_has_lean_workers(spark, docs, monkeypatch):
+    """Also where the stages are called by themselves, without ``run``."""
+    environment = dict(spark.sparkContext.environment)
+    for _, stage in corpus_pipeline.STAGES:
+        monkeypatch.setattr(spark.sparkContext, "environment", {k: v for k, v in environment.items() if k not in LEAN})
+        stage(spark, docs.limit(0), SF)
+        assert LEAN.items() <= spark.sparkContext.environment.items()

@@ -1,6 +1,7 @@
 """Toxicity: held-out accuracy on made-up word families and the given documents, odd rows."""
 
 import os
+import pickle
 import random
 import tracemalloc
 
@@ -177,3 +178,27 @@ def test_lean_workers(spark, monkeypatch):
     lean_workers(spark)
     seen = spark.range(1).select(F.udf(lambda _: ",".join(os.environ.get(k, "") for k in LEAN))("id")).first()[0]
     assert seen == ",".join({**LEAN, "MALLOC_ARENA_MAX": "3"}.values())
+
+
+def test_tasks_get_used_cells_only():
+    rng = np.random.default_rng(3)
+    cells = (2, toxicity.ORDERS, 1 << toxicity.BITS)
+    grams, contexts = np.zeros(cells, dtype=np.float32), np.zeros(cells, dtype=np.float32)
+    words = [f"w{i}x{i % 7}" for i in range(500)]
+    found, _ = toxicity.letter_cells(words[:400])
+    for order, (gram, context) in enumerate(found):
+        np.add.at(grams, (rng.integers(0, 2, len(gram)), order, gram), 1)
+        np.add.at(contexts, (rng.integers(0, 2, len(context)), order, context), 1)
+    grams[:, 3] += 1  # a full table stays as it is
+    grams[0, 0, -1] = contexts[1, 2, 0] = 5  # the first and the last cell
+    none = toxicity.Counts(np.empty(0, dtype=np.uint64), np.empty((2, 0)), np.empty((2, 0)))
+    model = toxicity.ToxicityModel(grams, contexts, np.empty((2, 0)), np.ones(2), none, toxicity.NO_RATIOS, 3.0, 0.3)
+    sent = toxicity._for_scores(model)
+    every = np.arange(1 << toxicity.BITS)
+    for order in range(toxicity.ORDERS):
+        assert (toxicity._counts_at(sent.grams, order, every) == grams[:, order]).all()
+        assert (toxicity._counts_at(sent.contexts, order, every) == contexts[:, order]).all()
+    assert (sent.letter_ratios(words) == model.letter_ratios(words)).all()
+    assert len(pickle.dumps(sent)) < 6e6 < len(pickle.dumps(model))  # 4 MB are the full table
+    empty = toxicity.UsedCells.of(np.zeros(cells, dtype=np.float32))
+    assert not empty.at(0, every).any()
