@@ -3,7 +3,8 @@
 Different vectors are dealt into shards by a hash. A shard's graph starts at random; every vector in turn
 searches the graph greedily, and of what it finds keeps the neighbours that no nearer kept one covers
 within ``ALPHA`` times its own distance. Neighbours point back and are pruned the same way. Queries go
-through every shard with a beam search, many at a time, and the best of all shards are kept.
+through every shard with a beam search, many at a time, and the best of all shards are kept: the task of a
+block of queries reads the graphs from the shared folder one after the other.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,7 @@ BEAM = 64
 ALPHA = 1.2
 BATCH = 256  # vectors that search at once
 QUERIES = 1_024  # queries in a block, about
+PAIR_TASKS = 4_096  # at most, for blocks that meet graphs by a join
 
 
 def beam_search(points: np.ndarray, links: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +143,12 @@ def _merge(points: np.ndarray, own: np.ndarray, some: np.ndarray, away: np.ndarr
     return out
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    made = np.array(vectors.tolist(), dtype=np.float64)
-    made /= np.abs(made).max(axis=1, keepdims=True)
+def _matrix(vectors: pd.Series | list) -> np.ndarray:
+    return np.array(list(vectors), dtype=np.float64)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    made = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return made / np.linalg.norm(made, axis=1, keepdims=True)
 
 
@@ -158,6 +166,7 @@ def nearest(
     k: int = 5,
     shard: int = SHARD,
     beam: int = BEAM,
+    read_shared: bool | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest cosines found per query row, its own row left out.
 
@@ -166,7 +175,8 @@ def nearest(
     vectors of another length than the query's are no candidates. Equal vectors are one node that carries
     its ``k + 1`` least rows, so copies cannot fill a graph. Equal rows (key and vector) are rows of
     their own: a query's own row is left out once; equal query rows give the same result and count as one
-    query. Other columns are ignored.
+    query. Other columns are ignored. ``read_shared`` says whether tasks can open the shared folder, where that
+    is known; where they cannot, graphs travel to the blocks of queries.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(
@@ -189,11 +199,12 @@ def nearest(
     )
 
     def built(group: pd.DataFrame) -> pd.DataFrame:
-        links, start = build_graph(_unit(group.v), beam=beam)
+        points = _matrix(group.v)
+        links, start = build_graph(_unit(points), beam=beam)
         return pd.DataFrame(
             {
                 "d": [group.d.iloc[0]], "shard": [group.shard.iloc[0]], "start": [start],
-                "points": [np.array(group.v.tolist(), dtype=np.float64).tobytes()],
+                "points": [points.tobytes()],
                 "links": [links.astype(np.int32).tobytes()],
                 "row_ids": [[r["vec_id"] for own in group["rows"] for r in own]],
                 "row_counts": [[r["n"] for own in group["rows"] for r in own]],
@@ -203,10 +214,37 @@ def nearest(
 
     form = "d int, shard int, start int, points binary, links binary, row_ids array<long>, row_counts array<long>, row_ends array<long>"
     graphs = written(dealt.groupBy("d", "shard").applyInPandas(built, form), "graphs")
-    asked = each.where("asks").select(F.size("v").alias("d"), "vec_id", "v")
-    blocks = max(1, math.ceil(asked.count() / QUERIES))
+    asked = written(each.where("asks").select("vec_id", "v"), "asked")
+    many = asked.count()
+    files = sorted(graphs.inputFiles())
+    if not (_opens(files[0]) if read_shared is None else read_shared):
+        return _met(asked, graphs, counts, math.ceil(many / QUERIES), sum(math.ceil(n / shard) for n in sizes.values()), k, beam)
+
+    def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        block = pd.concat(parts, ignore_index=True)
+        for _, own in block.groupby(block.v.map(len)):
+            ids, own = own.vec_id.to_numpy(dtype=np.int64), _matrix(own.v)
+            best = None
+            for graph in _stored(files, own.shape[1]):
+                best = _best(best, _answers(graph, ids, own, k, beam), k)
+            if best is not None:
+                at, vec_id, score, copies = (np.repeat(x, best[3]) for x in best)
+                rank = np.arange(len(at)) - np.searchsorted(at, at) + 1
+                yield pd.DataFrame({"query_id": ids[at], "rank": rank, "vec_id": vec_id, "score": score})
+
+    cores = spark.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(many / QUERIES), min(4 * cores, math.ceil(many / BATCH)))
+    return asked.repartition(blocks, "vec_id", "v").mapInPandas(searched, "query_id long, rank int, vec_id long, score double")
+
+
+def _met(asked: DataFrame, graphs: DataFrame, counts: Column, blocks: int, shards: int, k: int, beam: int) -> DataFrame:
+    """The same where tasks cannot open the shared folder: every block of queries is joined with every graph."""
+    sized = asked.select(F.size("v").alias("d"), "vec_id", "v")
     packed = (
-        asked.groupBy("d", F.pmod(seeded(2, F.col("vec_id"), F.col("v")), F.lit(blocks)).alias("block"))
+        sized.groupBy("d", F.pmod(seeded(2, F.col("vec_id"), F.col("v")), F.lit(max(1, blocks))).alias("block"))
         .agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), counts[F.col("d")] - 1)))
     )
@@ -215,9 +253,12 @@ def nearest(
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for b in batch.itertuples(index=False):
-                yield _answers(b, k, beam)
+                ids, own = np.array([q["vec_id"] for q in b.asked], dtype=np.int64), _matrix([q["v"] for q in b.asked])
+                at, vec_id, score, copies = _best(None, _answers(b, ids, own, k, beam), k)
+                by = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) >> 1 for v in own], dtype=np.int64)
+                yield pd.DataFrame({"query_id": ids[at], "asked_by": by[at], "vec_id": vec_id, "score": score, "copies": copies})
 
-    pairs = pairs.repartition(max(blocks * sum(math.ceil(n / shard) for n in sizes.values()), 1), "d", "shard", "block")
+    pairs = pairs.repartition(min(max(blocks * shards, 1), PAIR_TASKS), "d", "shard", "block")
     found = pairs.mapInPandas(searched, "query_id long, asked_by long, vec_id long, score double, copies int")
     least = Window.partitionBy("query_id", "asked_by").orderBy(F.desc("score"), "vec_id")
     ranked = (
@@ -227,30 +268,62 @@ def nearest(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _answers(block, k: int, beam: int) -> pd.DataFrame:
-    raw = np.frombuffer(block.points, dtype=np.float64).reshape(-1, block.d)
-    points = _unit(pd.Series(list(raw)))
-    links = np.frombuffer(block.links, dtype=np.int32).reshape(len(points), -1).astype(np.int64)
-    own = [np.array(q["v"], dtype=np.float64) for q in block.asked]
+def _opens(uri: str) -> bool:
+    """Whether Arrow has a file system for a path."""
+    try:
+        filesystem, path = pa.fs.FileSystem.from_uri(uri)
+        return filesystem.get_file_info(path).is_file
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def _stored(files: list[str], d: int) -> Iterator[pd.Series]:
+    """The graphs of vectors of length ``d``, one in memory at a time."""
+    for uri in files:
+        filesystem, path = pa.fs.FileSystem.from_uri(uri)
+        with filesystem.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=1):
+                if batch.num_rows and batch.column("d")[0].as_py() == d:
+                    yield batch.to_pandas().iloc[0]
+
+
+Answers = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # place of the query, key found, score, how often
+
+
+def _answers(graph, ids: np.ndarray, own: np.ndarray, k: int, beam: int) -> Answers:
+    """What the queries ``own`` with the keys ``ids`` find in a graph."""
+    raw = np.frombuffer(graph.points, dtype=np.float64).reshape(-1, graph.d)
+    points = _unit(raw)
+    links = np.frombuffer(graph.links, dtype=np.int32).reshape(len(points), -1).astype(np.int64)
     out = []
     for i in range(0, len(own), BATCH):
-        some = np.array(own[i : i + BATCH])
-        ids, far = beam_search(points, links, block.start, _unit(pd.Series(list(some))), max(beam, 2 * k + 2))
+        some = own[i : i + BATCH]
+        nodes, far = beam_search(points, links, graph.start, _unit(some), max(beam, 2 * k + 2))
         order = np.argsort(far, axis=1, kind="stable")[:, : 2 * k + 2]
-        for j, query in enumerate(block.asked[i : i + BATCH]):
-            found = ids[j][order[j]]
+        for j, query in enumerate(some):
+            found = nodes[j][order[j]]
             found = found[found >= 0]
-            scores = cosines(some[j], raw[found])
+            scores = cosines(query, raw[found])
             for node, score in zip(found, scores, strict=True):
-                same = np.array_equal(raw[node], some[j])
-                for at in range(block.row_ends[node - 1] if node else 0, block.row_ends[node]):
-                    vec_id = int(block.row_ids[at])
-                    copies = min(int(block.row_counts[at]) - (same and vec_id == query["vec_id"]), k)
+                same = np.array_equal(raw[node], query)
+                for at in range(graph.row_ends[node - 1] if node else 0, graph.row_ends[node]):
+                    vec_id = int(graph.row_ids[at])
+                    copies = min(int(graph.row_counts[at]) - (same and vec_id == ids[i + j]), k)
                     if copies > 0:
-                        out.append((query["vec_id"], i + j, vec_id, float(score), copies))
-    made = pd.DataFrame(out, columns=["query_id", "asked_by", "vec_id", "score", "copies"])
-    made["asked_by"] = [xxhash.xxh3_64_intdigest(own[i].tobytes()) >> 1 for i in made.asked_by]
-    return made
+                        out.append((i + j, vec_id, float(score), copies))
+    at, vec_id, score, copies = zip(*out) if out else ((),) * 4
+    return np.array(at, dtype=np.int64), np.array(vec_id, dtype=np.int64), np.array(score, dtype=np.float64), np.array(copies, dtype=np.int64)
+
+
+def _best(best: Answers | None, more: Answers, k: int) -> Answers:
+    """The ``k`` best per query of both, copies counted, in the order of rank; ties go to the smaller key."""
+    at, vec_id, score, copies = more if best is None else (np.concatenate(x) for x in zip(best, more, strict=True))
+    order = np.lexsort([vec_id, -score, at])
+    at, vec_id, score, copies = at[order], vec_id[order], score[order], copies[order]
+    before = np.cumsum(copies) - copies
+    before -= before[np.searchsorted(at, at)]
+    kept = before < k
+    return at[kept], vec_id[kept], score[kept], np.minimum(copies, k - before)[kept]
 
 
 def cosines(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:

@@ -1,5 +1,7 @@
 """Neighbour graphs against brute force, and the defined results of odd vectors."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +82,34 @@ def test_large_and_small_numbers(spark):
 
 def test_empty_table(spark):
     assert ann.nearest(table(spark, []), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_tasks_grow_with_the_queries_alone(spark, monkeypatch):
+    """Blocks of queries times shards would be tasks and copies of graphs without end, and the driver keeps an entry of each."""
+    monkeypatch.setattr(ann, "QUERIES", 2)
+    monkeypatch.setattr(ann, "PAIR_TASKS", 16)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6 + i % 2).tolist()) for i in range(600)] + [(i, [0.5, 1.0, 2.0]) for i in range(600, 700)]
+    blocks, shards = 7, 80
+
+    def tasks(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return "Join" in plan, max(int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan))
+
+    one = ann.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, shard=8)
+    assert tasks(one) == (False, blocks)
+    met = ann.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, shard=8, read_shared=False)
+    assert tasks(met) == (True, 16) and blocks * shards > 500
+    got, want = found(one), brute(rows)
+    assert got == found(met)
+    assert set(got) == set(want) and one.schema["rank"].dataType.typeName() == "integer"
+    assert all([x[1] for x in got[q]] == [i for _, i in best] for q, best in want.items())
+
+
+def test_best_counts_copies():
+    """Three copies of key 4 take three ranks; ties go to the smaller key."""
+    one = tuple(np.array(x) for x in ([0, 0, 1], [4, 9, 5], [0.5, 0.9, 0.1], [3, 1, 1]))
+    two = tuple(np.array(x) for x in ([0, 0], [2, 3], [0.5, 0.1], [1, 1]))
+    best = ann._best(ann._best(None, one, 4), two, 4)
+    assert [x.tolist() for x in best] == [[0, 0, 0, 1], [9, 2, 4, 5], [0.9, 0.5, 0.5, 0.1], [1, 1, 2, 1]]
+    assert all(not len(x) for x in ann._best(None, tuple(x[:0] for x in one), 4))
