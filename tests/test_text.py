@@ -215,3 +215,39 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     assert spark.conf.get(setting) == before
     assert corpus.write_texts(texts.limit(0), str(tmp_path / "none"), F.col("name")) == 0
     assert corpus.load_corpus(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_tasks_list_and_read_a_corpus(spark, tmp_path):
+    """The driver holds no entry of a file; rows are those that Spark's own reader gives."""
+    named = ["a.txt", "_a.txt", ".b.txt", "_c=1.txt", "deep/er/a b%20#+.txt", "_hid/x.txt", "_metadata/y.txt", "_x=1/z.txt", ".d/u.txt",
+             "UP.TXT", "v.txt._COPYING_", "w._COPYING_/w.txt", "dir.txt/no.md", "dir.txt/in.v2.txt", "same/a.txt", "bytes.txt", "plain"]
+    for i, name in enumerate(named):
+        (tmp_path / "c d%" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "c d%" / name).write_bytes(f"text {i}\r\n".encode())
+    (tmp_path / "c d%" / "bytes.txt").write_bytes(b"\xff\x00\xfe")
+    (tmp_path / "c d%" / "empty.txt").write_bytes(b"")
+    (tmp_path / "c d%" / "nothing").mkdir()
+
+    def rows(df):
+        return sorted((r["source"], bytes(r["text"])) for r in df.withColumn("text", F.col("text").cast("binary")).collect())
+
+    for path in (str(tmp_path / "c d%"), f"{tmp_path}/c d%/deep", f"{tmp_path}/c d%/nothing"):
+        found, plain = corpus.load_corpus(spark, path), corpus.load_corpus(spark, path, by_tasks=False)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "binaryFile" not in plan
+        assert found.dtypes == plain.dtypes and rows(found) == rows(plain)
+    assert [s for s, _ in rows(corpus.load_corpus(spark, str(tmp_path / "c d%")))].count("a") == 2
+    every = "".join(map(chr, [*range(1, 47), *range(48, 0x180), 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000, 0x4E2D]))
+    assert corpus._as_uri(every) == spark._jvm.org.apache.hadoop.fs.Path(f"/x/{every}").toUri().toString()[3:]
+    for path in (f"{tmp_path}/c*/same", f"{tmp_path}/c d%/a.txt"):  # a pattern, a single file
+        assert [s for s, _ in rows(corpus.load_corpus(spark, path))] == ["a"]
+
+
+def test_files_are_read_in_bounded_tasks_and_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "TASK_FILES", 10)
+    monkeypatch.setattr(corpus, "_HELD_BYTES", 20)
+    texts = spark.range(100).select(F.concat(F.lit("t"), "id").alias("name"), F.repeat(F.lit("xy"), F.col("id").cast("int") + 1).alias("text"))
+    corpus.write_texts(texts, str(tmp_path / "texts"), F.col("name"))
+    found = corpus.load_corpus(spark, str(tmp_path / "texts"))
+    assert found.rdd.getNumPartitions() == 10
+    assert {(r["source"], r["text"]) for r in found.collect()} == {(f"t{i}", "xy" * (i + 1)) for i in range(100)}
